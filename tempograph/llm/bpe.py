@@ -1,44 +1,37 @@
 """Byte-level BPE encoding and decoding by forced boundaries.
 
-A pair of bytes that lies inside no vocabulary token can never be merged, so a
-text may be cut between the two and the fragments encoded on their own: the
-concatenated ids are those of the whole text.  A blank after a character that
-is no white space is such a cut, and so is a line end between two such
-characters; the rest is cut at every pair absent from the vocabulary.  Since
-fragments recur, each is merged once per worker and remembered (the memory is
-bounded and affects speed only).
+A pair of bytes that lies inside no vocabulary token can never be merged, so it
+marks a certain cut: the fragments on both sides are encoded on their own and
+their ids concatenated.  The pairs are read off the vocabulary.  A cut must also
+leave the word pattern's view unchanged; cuts are therefore taken before a single
+blank between two visible ASCII characters, where a new word begins whatever
+stands around.  Long texts become many independent fragments of bounded size.
+
+A fragment is encoded by tiktoken's engine with the file's own vocabulary, if
+every token of the file is reached by its listed merge (checked on loading; then
+lowest-rank merging of byte strings and merging by the listed pairs give the same
+ids), and else, or where it holds characters beyond Latin-1, by the tokenizers
+library itself.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from tempograph.llm._common import append_columns, texts
 
+#: Characters after which the next certain cut is taken.
+FRAGMENT = 1024
 MEMO = 250_000
 
-# The word pattern of byte-level BPE and the white space that it knows.
-WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
-
-RARE_WHITE = re.compile("[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Below this code point every letter class is settled, so that all libraries agree on it.
-SETTLED = "\u0250"
-
-
-def byte_chars() -> dict[int, str]:
-    """The printable character that stands for each byte in a byte-level vocabulary."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+# Fixed value: the word pattern of byte-level BPE.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Memo(dict):
@@ -55,8 +48,33 @@ class Memo(dict):
         return value
 
 
+def byte_chars() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def merges_settle(tokens: dict[bytes, int], pairs: list[tuple[bytes, bytes]]) -> bool:
+    """Whether each merged token, built from its bytes by lower-ranked tokens alone, arrives at its listed pair."""
+    order = {a + b: i for i, (a, b) in enumerate(pairs)}
+    if len(order) < len(pairs) or any(tokens[a + b] - tokens[pairs[0][0] + pairs[0][1]] != i for i, (a, b) in enumerate(pairs)):
+        return False
+    for i, (a, b) in enumerate(pairs):
+        whole = a + b
+        parts = [whole[k : k + 1] for k in range(len(whole))]
+        while len(parts) > 2:
+            rank, at = min((order.get(x + y, i), k) for k, (x, y) in enumerate(zip(parts, parts[1:])))
+            if rank >= i:
+                return False
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if parts != [a, b]:
+            return False
+    return True
+
+
 class ByteBpe:
-    """Encoder and decoder for a byte-level BPE file of the tokenizers library; ids are little-endian 32-bit bytes."""
+    """Encoder and decoder for a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -64,77 +82,62 @@ class ByteBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
-        vocab = spec["model"]["vocab"]
-        self.inside = {t[i : i + 2] for t in vocab for i in range(len(t) - 1)}
-        self.chars = byte_chars()
-        self.translate = {b: c for b, c in self.chars.items()}
-        back = {c: b for b, c in self.chars.items()}
+        self.library.no_truncation()
+        self.library.no_padding()
+        back = {c: b for b, c in byte_chars().items()}
+        raw = lambda token: bytes(back[c] for c in token)
+        tokens = {raw(t): i for t, i in spec["model"]["vocab"].items()}
+        pairs = [tuple(map(raw, m.split(" ") if isinstance(m, str) else m)) for m in spec["model"]["merges"]]
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        self.bytes_of = [b""] * size
-        for t, i in vocab.items():
-            self.bytes_of[i] = bytes(back[c] for c in t)
+        self.bytes_of = [b""] * (max([*tokens.values(), *self.special.values()]) + 1)
+        for t, i in tokens.items():
+            self.bytes_of[i] = t
         for t, i in self.special.items():
             self.bytes_of[i] = t.encode()
-        self.words = regex.compile(PATTERN)
-        self.fragments = Memo(self._merge)
-        self.pieces = Memo(self._piece)
-        self.first = Memo(self._chunk)
-        self.spaced = Memo(lambda chunk: self._chunk(" " + chunk))
-        self.line_end = self._chunk("\n")
-        #: Whether an id ends a sentence: its bytes close with . ! ? or a line end.
+        #: Byte pairs inside some token; all others are certain cuts.
+        self.inside = np.zeros((256, 256), bool)
+        for t in tokens:
+            for x, y in zip(t, t[1:]):
+                self.inside[x, y] = True
+        before = "".join(re.escape(chr(b)) for b in range(33, 127) if not self.inside[b, 32])
+        self.cut = re.compile(f"(?<=[{before}])(?= [!-~])") if before else None
+        self.engine = None
+        if pairs and merges_settle(tokens, pairs) and spec.get("normalizer") is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+            import tiktoken
+
+            self.engine = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks=tokens, special_tokens={})
+        #: Of each id: whether it ends a sentence, and whether it opens a word (white space first).
         self.ends_sentence = np.array([b.rstrip(b"\"')")[-1:] in (b".", b"!", b"?", b"\n") if b else False for b in self.bytes_of])
-
-    def _merge(self, fragment: str) -> bytes:
-        return array("I", [t.id for t in self.library.model.tokenize(fragment)]).tobytes()
-
-    def _mapped(self, shown: str) -> bytes:
-        """Ids of a word, given as its bytes' characters: cut at the pairs that no token holds."""
-        inside, at, out = self.inside, 0, []
-        for i in range(1, len(shown)):
-            if shown[i - 1 : i + 1] not in inside:
-                out.append(self.fragments[shown[at:i]])
-                at = i
-        out.append(self.fragments[shown[at:]])
-        return b"".join(out)
-
-    def _piece(self, piece: str) -> bytes:
-        return self._mapped(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.translate))
-
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(self._by_pattern(chunk))
-
-    def _by_pattern(self, text: str) -> Iterator[bytes]:
-        if text and max(text) >= SETTLED:
-            return (self._mapped(shown) for shown, _ in self.library.pre_tokenizer.pre_tokenize_str(text))
-        return map(self.pieces.__getitem__, self.words.findall(text))
-
-    def chunks(self, text: str) -> list[bytes]:
-        """The text's ids as a list of pieces, about one for each word; joined they are all its ids."""
-        if not text:
-            return []
+        self.opens_word = np.array([b[:1].isspace() for b in self.bytes_of])
+
+    def fragments(self, text: str) -> Iterator[str]:
+        """The text cut at certain boundaries, about every FRAGMENT characters."""
+        at = 0
+        while self.cut and len(text) - at > 2 * FRAGMENT and (m := self.cut.search(text, at + FRAGMENT)):
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:]
+
+    def _fragment(self, fragment: str) -> np.ndarray:
+        if self.engine:
+            try:
+                fragment.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                return self.engine.encode_to_numpy(fragment, disallowed_special=())
+        return np.array(self.library.encode(fragment, add_special_tokens=False).ids, np.uint32)
+
+    def encode(self, text: str) -> np.ndarray:
+        """The text's ids (uint32)."""
         if self.special_split and any(s in text for s in self.special):
-            out = []
-            for part in self.special_split.split(text):
-                if part in self.special:
-                    out.append(np.array([self.special[part]], "<u4").tobytes())
-                else:
-                    out += self.chunks(part)
-            return out
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or RARE_WHITE.search(text):
-            return list(self._by_pattern(text))
-        out, spaced = [], self.spaced.__getitem__
-        for line in text.split("\n"):
-            words = line.split(" ")
-            out.append(self.first[words[0]])
-            out += map(spaced, words[1:])
-            out.append(self.line_end)
-        out.pop()
-        return out
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(self.chunks(text))
+            parts = [np.array([self.special[p]], np.uint32) if p in self.special else self.encode(p) for p in self.special_split.split(text)]
+        elif len(text) <= 2 * FRAGMENT:
+            return self._fragment(text)
+        else:
+            parts = list(map(self._fragment, self.fragments(text)))
+        return np.concatenate(parts)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -150,11 +153,12 @@ def encoder(path: str) -> ByteBpe:
     return _loaded[path]
 
 
-def id_lists(encoded: list[bytes]) -> pa.Array:
+def id_lists(encoded: list[np.ndarray]) -> pa.Array:
     """Arrow list<int32> over encoded documents without a Python object for each id."""
-    offsets = np.zeros(len(encoded) + 1, np.int64)
-    np.cumsum([len(x) // 4 for x in encoded], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(encoded), "<i4"), pa.int32()))
+    offsets = np.zeros(len(encoded) + 1, np.int32)
+    np.cumsum([len(x) for x in encoded], out=offsets[1:])
+    flat = np.concatenate([np.empty(0, np.uint32), *encoded]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
 def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tempograph.llm._common import slices, texts
-from tempograph.llm.bpe import encoder
+from tempograph.llm.bpe import ByteBpe, encoder
 
 RUN, GRAIN = 1 << 20, 12
 #: Tokens of padding that a cut of each kind is worth: after a document, after a sentence, elsewhere.
@@ -60,13 +60,17 @@ def best_cuts(at: list[int], penalty: list[float], size: int) -> list[int]:
     return ends[::-1]
 
 
-def candidates(word_ends: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, opens_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions and kinds (0 document, 1 sentence, 2 other) of the cuts that the search considers."""
-    before = np.concatenate(([0], word_ends[:-1]))
-    keep = (kinds < 2) | (word_ends // GRAIN != before // GRAIN)
-    at, kind = word_ends[keep], kinds[keep]
+    kind = np.where(ends_sentence[ids], 1, 3).astype(np.int8)
+    kind[:-1][(kind[:-1] == 3) & opens_word[ids[1:]]] = 2
+    kind[doc_ends - 1] = 0
+    at = np.flatnonzero(kind < 3) + 1
+    kind = kind[at - 1]
+    keep = (kind < 2) | (at // GRAIN != np.concatenate(([0], at[:-1])) // GRAIN)
+    at, kind = at[keep], kind[keep]
     gaps = np.diff(at, prepend=0)
-    if len(at) and gaps.max() > 4 * GRAIN:  # inside a long word
+    if gaps.max() > 4 * GRAIN:  # inside a long word
         extra = np.concatenate([np.arange(at[i] - gaps[i] + GRAIN, at[i], GRAIN) for i in np.flatnonzero(gaps > 4 * GRAIN)])
         at, kind = np.concatenate((at, extra)), np.concatenate((kind, np.full(len(extra), 2, kind.dtype)))
         order = np.argsort(at, kind="stable")
@@ -74,9 +78,9 @@ def candidates(word_ends: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.
     return at, kind
 
 
-def pack_run(ids: np.ndarray, word_ends: np.ndarray, kinds: np.ndarray, doc_ends: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+def pack_run(ids: np.ndarray, doc_ends: np.ndarray, bpe: ByteBpe, size: int) -> tuple[np.ndarray, ...]:
     """Pieces of a run: begin, end, document number, window number, window begin."""
-    at, kind = candidates(word_ends, kinds, size)
+    at, kind = candidates(ids, doc_ends, bpe.ends_sentence, bpe.opens_word)
     positions = [0, *at.tolist()]
     chosen = best_cuts(positions, [0.0, *np.array(PENALTY)[kind].tolist()], size)
     window_ends = np.array([positions[i] for i in chosen], np.int64)
@@ -100,23 +104,18 @@ def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(tokenizer)
-        tail = np.array([end_id], "<u4").tobytes()
+        tail = np.array([end_id], np.uint32)
         base, done = TaskContext.get().partitionId() << 32, 0
         keys, docs, total = [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal done, keys, docs, total
-            joined = b"".join(x for doc in docs for x in doc)
-            flat = np.frombuffer(joined, "<u4")
-            word_ends = np.cumsum(np.fromiter((len(x) // 4 for doc in docs for x in doc), np.int64))
-            words = np.cumsum([len(doc) for doc in docs])
-            kinds = np.where(bpe.ends_sentence[flat[word_ends - 1]], 1, 2)
-            kinds[words - 1] = 0
-            doc_ends = word_ends[words - 1]
-            begins, ends, doc, window, opened = pack_run(flat, word_ends, kinds, doc_ends, size)
+            flat = np.concatenate(docs)
+            doc_ends = np.cumsum([len(x) for x in docs])
+            begins, ends, doc, window, opened = pack_run(flat, doc_ends, bpe, size)
             doc_begins = np.concatenate(([0], doc_ends[:-1]))
             sizes = np.diff(doc_ends, prepend=0)
-            pieces = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate(([0], ends * 4)).astype(np.int32)), pa.py_buffer(joined)])
+            pieces = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate(([0], ends * 4)).astype(np.int32)), pa.py_buffer(flat.astype("<u4"))])
             out = [pa.array(keys, key).take(pa.array(doc)), begins - doc_begins[doc], ends - begins, sizes[doc], base + done + window, begins - opened]
             done += int(window[-1]) + 1
             keys, docs, total = [], [], 0
@@ -125,10 +124,9 @@ def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
         for whole in batches:
             for batch in slices(whole, text):
                 for k, x in zip(batch.column(id_col).to_pylist(), texts(batch, text)):
-                    doc = [*filter(None, bpe.chunks(x)), tail]
                     keys.append(k)
-                    docs.append(doc)
-                    total += sum(map(len, doc)) // 4
+                    docs.append(np.append(bpe.encode(x), tail))
+                    total += len(docs[-1])
                     if total >= RUN:
                         yield flush()
         if docs:
