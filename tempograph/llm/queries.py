@@ -44,5 +44,35 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op5_bpe": op5_bpe, "op9_token_files": op9_token_files}
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tempograph.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tempograph.llm.media import read_media, store_media
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = read_media(store_media(docs).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")).drop("text"))
+    sums = F.concat_ws(",", F.col("channel_sums").cast("array<string>"))
+    return stored.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("bigint").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat(F.col("height").cast("string"), F.lit("x"), F.col("width").cast("string"), F.lit("x3:"), sums, F.lit(":"), F.crc32("tensor").cast("string")).alias("feature"),
+    )
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_near_dup": op2_near_dup,
+    "op5_bpe": op5_bpe,
+    "op9_token_files": op9_token_files,
+    "op10_media": op10_media,
+}
 ORACLES: dict[str, str] = {}
