@@ -23,6 +23,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tempograph.llm.quality_rules import quality_rules
+
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    judged = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), trusted)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tempograph.llm._common import utf8_crc
+    from tempograph.llm.quality_classifier import quality_scores
+
+    held_out = utf8_crc("doc_id") % 5 == 0
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "quality")
+    scored = quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tempograph.llm.bpe import bpe_decode, bpe_encode
 
@@ -36,6 +54,37 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The contract's rules.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tempograph.llm.url_filter import filter_urls
+
+    judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tempograph.llm.line_dedup import drop_repeated_lines
+
+    cleaned = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tempograph.llm.secrets import count_kind, described, scan_secrets
+
+    scanned = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    spans = F.col("spans")
+    return scanned.select(
+        "doc_id",
+        *(count_kind(spans, kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        F.sha2(described(F.filter(spans, lambda s: s["rank"] < 3)), 256).alias("base_sha256"),
+        described(spans).alias("spans"),
+    )
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tempograph.llm.token_files import read_token_files, token_file_path, write_token_files
 
@@ -68,11 +117,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {
-    "op1_packing": op1_packing,
-    "op2_near_dup": op2_near_dup,
-    "op5_bpe": op5_bpe,
-    "op9_token_files": op9_token_files,
-    "op10_media": op10_media,
-}
+QUERIES = {q.__name__: q for q in (op1_packing, op2_near_dup, op3_quality_rules, op4_quality_classifier, op5_bpe, op6_url_filter, op7_line_dedup, op8_secrets, op9_token_files, op10_media)}
 ORACLES: dict[str, str] = {}
