@@ -23,7 +23,6 @@ from tempograph.llm._common import append_columns, slices, texts
 BUCKETS, NGRAM, SMOOTH = 1 << 16, 4, 0.5
 SYMBOLS = b"#*$%&|<>"
 FACTOR = np.uint32(0x9E3779B1)
-LETTERS = bytes(range(33, 127))
 
 
 def buckets(raw: bytes) -> np.ndarray:
@@ -73,11 +72,10 @@ def bucket_counts(df: DataFrame, text: str, trusted: str) -> tuple[np.ndarray, n
         counts = np.zeros((2, BUCKETS), np.int64)
         for whole in batches:
             for batch in slices(whole, text):
-                for x, good in zip(texts(batch, text), batch.column(trusted).to_pylist()):
-                    own = np.bincount(buckets(x.encode("utf-8", "surrogatepass")), minlength=BUCKETS)
-                    counts[1] += own
-                    if good:
-                        counts[0] += own
+                own = [buckets(x.encode("utf-8", "surrogatepass")) for x in texts(batch, text)]
+                for row, some in enumerate(([x for x, good in zip(own, batch.column(trusted).to_pylist()) if good], own)):
+                    if some:
+                        counts[row] += np.bincount(np.concatenate(some), minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(counts[0]), pa.array(counts[1])], names=["bucket", "good", "raw"])
 
     sums = df.select(text, trusted).mapInArrow(run, "bucket bigint, good bigint, raw bigint").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("raw").alias("raw"))
