@@ -11,10 +11,13 @@ probability below ``MISS`` (a pair of similar sets has signatures that differ in
 a share of 1 - similarity of the positions).
 
 Documents with equal sets are first joined to one class.  In the index each class
-is compared with one leader of its buckets; links are confirmed on full sets.
-What then still meets in a bucket but not in a component is compared pair by
-pair, so that no link is lost, while a large group of near copies never makes its
-square of pairs.
+is compared with one leader of its buckets (the class that meets the most others);
+links are confirmed on full sets.  What then still meets in a bucket but not in a
+component is compared in the join itself, without making pairs of it, by two
+tests: an upper bound of the overlap that is exact (a shingle that no other
+class in question has cannot be shared), and the Hamming distance of ``BITS`` one-bit
+MinHash values, five deviations wide.  Pairs that pass are confirmed on full sets.
+So no link is lost, and a large group of near copies doesn't make its square of pairs.
 
 Null and empty texts have no set: they are linked with nothing and kept.  Rows
 that repeat an id count as one document.  A null id is never linked.
@@ -32,7 +35,7 @@ from tempograph.llm._common import append_columns, cut, drop_cut, slices, texts
 from tempograph.llm._graph import components
 from tempograph.llm.bpe import Memo
 
-WIDTH, MISS = 4, 2e-6
+WIDTH, MISS, BITS = 4, 2e-6, 1024
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,6 +101,56 @@ class Signer:
         return out.reshape(len(parts), -1).view(np.int64)
 
 
+def furthest(similarity: float) -> int:
+    """Differing one-bit MinHash values that a pair at the similarity may have: the mean and five deviations."""
+    p = (1 - similarity) / 2
+    return int(np.ceil(BITS * p + 5 * np.sqrt(BITS * p * (1 - p))))
+
+
+class BitSigner:
+    """BITS one-bit MinHash values of a set, packed into 64-bit words."""
+
+    def __init__(self):
+        seeds = mixed(np.arange(1, 2 * BITS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+        self.a, self.b = (seeds[:BITS] | np.uint64(1))[:, None], seeds[BITS:][:, None]
+
+    def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        out = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(shingles), 512):
+            out = np.minimum(out, (shingles[at : at + 512] * self.a + self.b).min(axis=1))
+        return np.packbits((mixed(out) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
+def shingle_rows(held: DataFrame, shingle: int) -> DataFrame:
+    """(node, s) for each shingle of each text."""
+
+    def run(batches):
+        shingler = Shingler(shingle)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets = [shingler(x) for x in texts(batch, "text")]
+                nodes = np.repeat(batch.column("node").to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["node", "s"])
+
+    return held.mapInArrow(run, "node bigint, s bigint")
+
+
+def bit_rows(held: DataFrame, shingle: int) -> DataFrame:
+    """The rows with w0.. added, the words of the one-bit signature."""
+    words = [f"w{i}" for i in range(BITS // 64)]
+
+    def make():
+        shingler, signer = Shingler(shingle), BitSigner()
+
+        def fn(batch):
+            made = np.array([signer(shingler(x)) for x in texts(batch, "text")], np.int64).reshape(-1, len(words))
+            return {w: pa.array(made[:, i].copy()) for i, w in enumerate(words)}
+
+        return fn
+
+    return append_columns(held, "text", ", ".join(f"{w} bigint" for w in words), make)
+
+
 def sketch(df: DataFrame, id_col: str, text: str, shingle: int, chunks: int) -> DataFrame:
     """node, n_shingles, h1, h2 (128-bit digest of the set) and keys of every row."""
 
@@ -152,12 +205,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
     some = sketches.where("n_shingles > 0 and node is not null")
     classes = cut(some.groupBy("h1", "h2").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
     keyed = classes.select("node", "n", F.explode("keys").alias("key"))
-    buckets = cut(keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1"), "buckets")
-    shared = cut(keyed.join(buckets.select("key", "leader"), "key"), "shared")
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = cut(keyed.join(buckets, "key"), "shared")
     held = cut(df.select(F.col(id_col).cast("bigint").alias("node"), F.col(text).alias("text")).join(shared.select("node").distinct(), "node", "left_semi"), "texts")
 
-    # A class and the leader of most of its buckets.
-    votes = shared.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"))
+    # A class and the leader of most of its buckets; a bucket's leader is the class that meets the most others.
+    meets = shared.join(shared.groupBy("node").agg(F.sum("members").alias("met")), "node")
+    leaders = meets.groupBy("key").agg(F.max(F.struct("met", F.negative("node").alias("l"))).alias("m")).select("key", F.negative("m.l").alias("leader"))
+    votes = shared.join(leaders, "key").where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"))
     star = votes.groupBy("node").agg(F.max(F.struct("votes", F.negative("leader").alias("l"))).alias("m")).select(F.negative("m.l").alias("a"), F.col("node").alias("b"))
     links = cut(confirm(star, held, shingle, percent), "links")
     # What meets in a bucket but isn't in one component yet.
@@ -165,17 +220,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
     tagged = shared.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     mixed_keys = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     apart = cut(tagged.join(mixed_keys, "key", "left_semi"), "apart")
-    done = star.select("a", "b")
-    x, y = (apart.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component"))) for s in "xy")
-    meet = (x["key"] == y["key"]) & (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y"))
-    near = (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-    rest = x.join(y, meet & near).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+    there = apart.select("node", "n").distinct()
+    texts_there = held.join(there, "node")
+    alone = shingle_rows(texts_there.select("node", "text"), shingle).groupBy("s").agg(F.count("*").alias("c"), F.max("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    most = texts_there.join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))).where(100 * F.col("most") >= percent * F.col("n"))
+    able = cut(bit_rows(most, shingle).drop("text", "alone", "n").join(classes.select("node", "keys"), "node"), "able")
+    rows = apart.join(able, "node")
+    x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "key")) for s in "xy")
+    c = F.least("most_x", "most_y")
+    apart_bits = sum((F.bit_count(F.col(f"w{i}_x").bitwiseXOR(F.col(f"w{i}_y"))) for i in range(1, BITS // 64)), F.bit_count(F.col("w0_x").bitwiseXOR(F.col("w0_y"))))
+    meet = (
+        (x["key"] == y["key"])
+        & (F.col("node_x") < F.col("node_y"))
+        & (F.col("component_x") != F.col("component_y"))
+        & (100 * c >= percent * (F.col("n_x") + F.col("n_y") - c))
+        & (apart_bits <= furthest(percent / 100))
+        & (F.array_min(F.array_intersect("keys_x", "keys_y")) == x["key"])  # once, though they meet in several buckets
+    )
+    rest = x.join(y, meet).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
     more = cut(confirm(rest, held, shingle, percent), "links")
     final = components(links.union(more))
 
     by_class = classes.select("h1", "h2", F.col("node").alias("rep"))
     labels = by_class.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("node", "n_shingles", "h1", "h2").join(labels, ["h1", "h2"], "left")
-    drop_cut(buckets)
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("node"))
     return out.select(F.col("node").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("node").isNull() | (F.col("node") == component)).alias("kept"))

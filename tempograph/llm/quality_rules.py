@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tempograph.llm._common import append_columns, slices, texts
 
-BUCKETS, NGRAM, SMOOTH = 1 << 16, 4, 0.5
+BUCKETS, NGRAM, PRIOR = 1 << 16, 4, 10_000
 SYMBOLS = b"#*$%&|<>"
 FACTOR = np.uint32(0x9E3779B1)
 
@@ -86,10 +86,9 @@ def bucket_counts(df: DataFrame, text: str, trusted: str) -> tuple[np.ndarray, n
 
 
 def log_ratio(good: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    if not good.sum():
-        return np.zeros(BUCKETS)
-    p, q = good + SMOOTH, raw + SMOOTH
-    return np.log(p / p.sum()) - np.log(q / q.sum())
+    """log p_trusted - log p_raw by bucket.  The trusted counts get PRIOR n-grams dealt like the raw corpus, so that few trusted texts decide little."""
+    q = (raw + 0.5) / (raw.sum() + 0.5 * BUCKETS)
+    return np.log((good + PRIOR * q) / (good.sum() + PRIOR)) - np.log(q)
 
 
 RESULT = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, llr double, kept boolean"

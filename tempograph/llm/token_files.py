@@ -19,23 +19,38 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempograph.llm._common import append_columns, cut, drop_cut, scratch, slices, texts
-from tempograph.llm.bpe import Memo
+from tempograph.llm.bpe import Memo, byte_chars, merges_settle
 
 BITS, LANES, STEPS, BLOCK = 22, 128, 256, 1 << 18
+#: Words that a worker remembers.
+PLAIN = 400_000
 LOW = np.uint64(1 << 31)
 MAGIC = b"rANS"
 
 
+# The word pattern of the word-end vocabulary, over the Unicode white space.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
+END = "\x01"
+
+
 class WordBpe:
-    """Encoder for a word-end BPE file: white space is never part of a token, so blanks are certain cuts."""
+    """Encoder for a lower-casing word-end BPE file: white space is never part of a token, so blanks are certain cuts.
+
+    Words between blanks recur and are remembered.  A new one within Latin-1 is lower-cased, cut by the
+    word pattern and encoded by tiktoken's engine, END standing for the end of a word (if the vocabulary
+    passes merges_settle()); others go to the tokenizers library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -44,16 +59,49 @@ class WordBpe:
         self.library.no_truncation()
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.special = [x["content"] for x in json.load(f).get("added_tokens", [])]
+            spec = json.load(f)
+        self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.width = "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.chunks = Memo(self._chunk)
-
-    def _chunk(self, chunk: str) -> bytes:
+        self.code = "H" if self.width == "<u2" else "I"
+        self.chunks = Memo(self._by_library)
+        self.plain = Memo(self._by_engine, PLAIN)
+        self.engine = self._engine(spec)
+
+    def _engine(self, spec: dict):
+        end = spec["model"].get("end_of_word_suffix")
+        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        if not end or steps != ["NFC", "Replace", "Lowercase"]:
+            return None
+        back = {c: b for b, c in byte_chars().items()}
+        raw = lambda t: bytes(back[c] for c in t.removesuffix(end)) + END.encode() * t.endswith(end)
+        vocab = spec["model"]["vocab"]
+        tokens = {raw(t): i for t, i in vocab.items()}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        pairs = [(raw(a), raw(b)) for a, b in merges] + [(raw(t.removesuffix(end)), END.encode()) for t in vocab if t.endswith(end) and len(t) == len(end) + 1]
+        pairs.sort(key=lambda p: tokens[p[0] + p[1]])
+        if len(tokens) != len(vocab) or not merges_settle(tokens, pairs):
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("words", pat_str=f"[^{END}]*{END}", mergeable_ranks=tokens, special_tokens={})
+
+    def _by_library(self, chunk: str) -> bytes:
         return np.array(self.library.encode(chunk, add_special_tokens=False).ids, self.width).tobytes()
 
+    def _by_engine(self, chunk: str) -> bytes:
+        words = chunk + END if chunk.isalpha() else END.join([*WORDS.findall(chunk), ""])
+        return array(self.code, self.engine.encode_ordinary(words)).tobytes()
+
     def encode(self, text: str) -> bytes:
-        if any(" " in s and s in text for s in self.special):
-            return self._chunk(text)
+        if any(s in text for s in self.special):
+            return self._by_library(text)
+        if self.engine and END not in text:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                return b"".join(map(self.plain.__getitem__, text.lower().replace("\n", " ").split(" ")))
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
