@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tempograph.plans import event_queries, symbolic_queries, text_queries, vector_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "symbolic_chords"
+_ALL = {**event_queries.FOUND, **symbolic_queries.FOUND, **vector_queries.FOUND, **text_queries.FOUND}
+
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
