@@ -33,7 +33,7 @@ from tempograph.llm.bpe import Memo, byte_chars, merges_settle
 
 BITS, LANES, STEPS, BLOCK = 22, 128, 256, 1 << 18
 #: Words that a worker remembers.
-PLAIN = 400_000
+PLAIN = 200_000
 LOW = np.uint64(1 << 31)
 MAGIC = b"rANS"
 
