@@ -215,9 +215,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
     votes = shared.join(leaders, "key").where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"))
     star = votes.groupBy("node").agg(F.max(F.struct("votes", F.negative("leader").alias("l"))).alias("m")).select(F.negative("m.l").alias("a"), F.col("node").alias("b"))
     links = cut(confirm(star, held, shingle, percent), "links")
-    # What meets in a bucket but isn't in one component yet.
-    joined = components(links)
-    tagged = shared.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    # What meets in a bucket but isn't known to be in one component: known is what leads to one leader in two steps.
+    up = links.select(F.col("b").alias("node"), F.col("a").alias("one"))
+    known = up.join(links.select(F.col("b").alias("one"), F.col("a").alias("two")), "one", "left").select("node", F.coalesce("two", "one").alias("component"))
+    tagged = shared.join(known, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     mixed_keys = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     apart = cut(tagged.join(mixed_keys, "key", "left_semi"), "apart")
     there = apart.select("node", "n").distinct()

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tempograph.llm._common import append_columns, slices, texts
 
-BUCKETS, NGRAM, PRIOR = 1 << 16, 4, 10_000
+BUCKETS, NGRAM, PRIOR, FILTER = 1 << 16, 4, 10_000, 1 << 20
 SYMBOLS = b"#*$%&|<>"
 FACTOR = np.uint32(0x9E3779B1)
 
@@ -65,24 +65,42 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def bucket_counts(df: DataFrame, text: str, trusted: str) -> tuple[np.ndarray, np.ndarray]:
-    """(trusted, raw) n-gram counts over all rows.  A task sends a row for each bucket at most, so the driver gets a fixed number of rows."""
+def bucket_counts(docs: DataFrame) -> np.ndarray:
+    """N-gram counts over all rows' ``text``.  A task sends a row for each bucket at most, so the driver gets a fixed number of rows."""
 
     def run(batches):
-        counts = np.zeros((2, BUCKETS), np.int64)
+        counts = np.zeros(BUCKETS, np.int64)
         for whole in batches:
-            for batch in slices(whole, text):
-                own = [buckets(x.encode("utf-8", "surrogatepass")) for x in texts(batch, text)]
-                for row, some in enumerate(([x for x, good in zip(own, batch.column(trusted).to_pylist()) if good], own)):
-                    if some:
-                        counts[row] += np.bincount(np.concatenate(some), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(counts[0]), pa.array(counts[1])], names=["bucket", "good", "raw"])
+            for batch in slices(whole, "text"):
+                counts += np.bincount(np.concatenate([buckets(x.encode("utf-8", "surrogatepass")) for x in texts(batch, "text")]), minlength=BUCKETS)
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["bucket", "n"])
 
-    sums = df.select(text, trusted).mapInArrow(run, "bucket bigint, good bigint, raw bigint").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("raw").alias("raw"))
-    out = np.zeros((2, BUCKETS), np.int64)
-    for r in sums.collect():
-        out[:, r.bucket] = r.good, r.raw
-    return out[0], out[1]
+    out = np.zeros(BUCKETS, np.int64)
+    for r in docs.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r.bucket] = r.n
+    return out
+
+
+def only_listed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, text) whose id is among ``ids`` (id).
+
+    A bitmap of FILTER hashed positions, which is all that the driver gets, first drops most other rows
+    where they are; so only about the listed documents' texts can enter the join's shuffle.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER)).cast("int")
+    bits = np.zeros(FILTER, bool)
+    bits[[r.p for r in ids.select(place.alias("p")).distinct().collect()]] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def run(batches):
+        there = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            keep = there[batch.column("p").to_numpy()]
+            yield batch.filter(pa.array(keep)).select(["id", "text"])
+
+    near = docs.withColumn("p", place).mapInArrow(run, docs.schema)
+    return near.join(ids, "id", "left_semi")
 
 
 def log_ratio(good: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -99,10 +117,9 @@ def quality_rules(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
 
     ``trusted`` holds the ids of the target documents in ``id_col``.
     """
-    ids = trusted.select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
-    marked = df.select(F.col(id_col).alias("__own"), F.col(text).alias("text"))
-    good = marked.join(ids, F.col("__own") == F.col("__id"), "left").select("text", F.col("__id").isNotNull().alias("good"))
-    table = df.sparkSession.sparkContext.broadcast(log_ratio(*bucket_counts(good, "text", "good")))
+    docs = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    good = only_listed(docs, trusted.select(F.col(id_col).alias("id")).where("id is not null").distinct())
+    table = df.sparkSession.sparkContext.broadcast(log_ratio(bucket_counts(good), bucket_counts(docs)))
 
     def make():
         weight = table.value
