@@ -174,7 +174,8 @@ def stage_name(text: Column) -> Column:
 def take_name(text: Column) -> Column:
     """a recording's name: path characters and controls out, no .wav, no dots or blanks at the ends; null if nothing is left."""
     clean = F.regexp_replace(text, r"[/\\:*?\"<>|\x00-\x1f]", "_")
-    clean = F.regexp_replace(F.substring(F.regexp_replace(clean, r"(?i)\.wav$", ""), 1, 64), r"[. ]+$|^\.+", "")
+    clean = F.regexp_replace(F.rtrim(clean), r"(?i)\.wav$", "")
+    clean = F.regexp_replace(F.substring(clean, 1, 64), r"[. ]+$|^\.+", "")
     return F.when(clean == "", None).otherwise(clean)
 
 
