@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempograph.llm.oracles import ORACLES  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -118,4 +120,4 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (op1_packing, op2_near_dup, op3_quality_rules, op4_quality_classifier, op5_bpe, op6_url_filter, op7_line_dedup, op8_secrets, op9_token_files, op10_media)}
-ORACLES: dict[str, str] = {}
+
