@@ -104,3 +104,30 @@ def chart_origin(beats: DataFrame, by: list[str], first: Column, tolerance, bar)
     down = beats.where("downbeat").groupBy(*by).agg(F.max(F.when(F.col("at") <= first + tolerance, F.col("at"))).alias("__last"), F.min("at").alias("__first"), F.max(first).alias("__chord"))
     back = F.col("__first") - F.ceil((F.col("__first") - F.col("__chord")) / bar) * bar
     return down.select(*by, F.coalesce("__last", back).alias("origin"))
+
+
+def snap_to_bar(df: DataFrame, bars: DataFrame, by: list[str], beat: str, unit: bool = False) -> DataFrame:
+    """A beat moved to the nearest bar line of its bar (or, with ``unit``, to a counted beat), halves up."""
+    hit = asof_join(df, bars.withColumn("__bar_from", F.col("start_beat")), by, beat, "__bar_from", ["bar"], ["start_beat", "num", "den"], clamp=True)
+    step = theory.beat_unit(F.col("num"), F.col("den")) if unit else theory.bar_length(F.col("num"), F.col("den"))
+    return hit.withColumn("snapped", F.col("start_beat") + snap(F.col(beat) - F.col("start_beat"), step)).select(*df.columns, "snapped")
+
+
+def one_a_bar(chords: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The fallback layout: chord i in bar i."""
+    return chords.withColumn("bar", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+
+
+def grid_at(df: DataFrame, grids: DataFrame, by: list[str]) -> DataFrame:
+    """The grid of each row's bar; a beat where none is published."""
+    return df.join(grids, [*by, "bar"], "left").withColumn("divisions", F.coalesce("divisions", F.lit(1)))
+
+
+def swing_at(ratio: Column, num: Column, den: Column) -> Column:
+    """Straight in compound meters."""
+    return F.when(theory.is_compound(num, den), 0.5).otherwise(ratio)
+
+
+def with_lead_in(segments: DataFrame, by: list[str], first: str, gap: str) -> DataFrame:
+    """The pulses that fit before the first beat, one at least."""
+    return segments.withColumn("lead_in", F.greatest(F.lit(1), F.floor(F.col(first) / F.col(gap) + 0.5)))

@@ -286,3 +286,30 @@ def tuplet_brackets(starts: list[float], lengths: list[float], divisions: int) -
     return out
 
 
+
+
+def staff_document(lines: DataFrame, by: str, part: str, clef: str = "treble", num: int = 4, den: int = 4) -> DataFrame:
+    """A LilyPond document of each recording, a staff for each part."""
+    w = "      "
+    body = lines.groupBy(by, part).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bar", "line"))), lambda x: F.concat(F.lit(w), x["line"])), "\n").alias("body"))
+    head = F.concat(F.lit('  \\new Staff \\with { instrumentName = "'), F.col(part).cast("string"), F.lit(f'" }} {{\n    \\clef "{clef}"\n    \\time {num}/{den}\n'))
+    staves = body.select(by, part, F.concat(head, "body", F.lit('\n    \\bar "|."\n  }')).alias("staff"))
+    whole = staves.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(part, "staff"))), lambda x: x["staff"]), "\n").alias("staves"))
+    return whole.select(by, F.concat(F.lit('\\version "2.24.0"\n\n\\score {\n  <<\n'), "staves", F.lit("\n  >>\n  \\layout { }\n}\n")).alias("document"))
+
+
+def repeat_brackets(bars: DataFrame, by: str, bars_a_line: int = 4) -> DataFrame:
+    """(line, tag, first bar, last bar) of lines that occur again, from (bar, line text)."""
+    from tempograph.operators.layout import repeat_tags
+
+    numbered = bars.withColumn("__line", F.floor(F.col("bar") / bars_a_line))
+    lines = numbered.groupBy(by, F.col("__line").alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bar", F.col("line").alias("t")))), lambda x: x["t"]), " ").alias("text"), F.min("bar").alias("first_bar"), F.max("bar").alias("last_bar"))
+    return repeat_tags(lines, [by], ["line"], "text").where("tag is not null").select(by, "line", "tag", "first_bar", "last_bar")
+
+
+def tempo_mark(bpm: Column, num: Column, den: Column) -> Column:
+    """The counted beat and its rounded rate, or null under one a minute."""
+    unit = theory.beat_unit(num, den)
+    rate = F.floor(bpm / unit + 0.5).cast("bigint")
+    name = F.when(unit == 1.5, "4.").when(unit == 0.5, "8").when(unit == 2.0, "2").otherwise("4")
+    return F.when(rate >= 1, F.concat(F.lit('\\tempo \\markup { \\italic "ca." } '), name, F.lit(" = "), rate.cast("string")))

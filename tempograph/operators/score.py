@@ -232,3 +232,46 @@ def guarded(df: DataFrame, by: list[str], most: int, what: str) -> DataFrame:
     counts = df.groupBy(*by).agg(F.count("*").alias("__n"))
     fine = F.when(F.col("__n") > most, F.raise_error(F.lit(f"more than {most} {what}")).cast("boolean")).otherwise(F.lit(True))
     return df.join(counts, by).where(fine).drop("__n")
+
+
+def playable(notes: DataFrame) -> DataFrame:
+    """Notes with a place on the beat axis that are no drums, by onset."""
+    return notes.where((F.col("role") != "DRUMS") & F.col("start_beat").isNotNull() & F.col("end_beat").isNotNull())
+
+
+def producible(parts: DataFrame) -> DataFrame:
+    """Whether a part can be written on a staff, and why not."""
+    reason = F.when(F.col("role") == "DRUMS", "percussion has no staff here").when(F.col("notes") == 0, "the part has no notes").when(~F.col("quantized"), "its notes have no place in a bar")
+    return parts.withColumn("reason", reason).withColumn("producible", F.col("reason").isNull())
+
+
+def accent_downbeat(beats: DataFrame, by: list[str], per_bar: int) -> DataFrame:
+    """The phase with the loudest beats, at a confidence of 0.35 (sure where a bar is one beat)."""
+    from tempograph.operators.stats import phase_means
+    from tempograph.operators.temporal import first_of_each
+
+    best = first_of_each(phase_means(beats, by, "beat_no", "strength", per_bar), by, [F.desc("mean"), "phase"])
+    return best.select(*by, "phase", F.lit(1.0 if per_bar == 1 else 0.35).alias("confidence"))
+
+
+def summary(chords: DataFrame, beats: DataFrame, by: list[str]) -> DataFrame:
+    """What was found in each recording, in words."""
+    from tempograph.operators.stats import change_count, steady_rate
+
+    rate = steady_rate(beats, by, "seconds", ["seconds"]).select(*by, (60 / F.col("steady_gap")).alias("bpm"))
+    count = beats.groupBy(*by).agg(F.count("*").alias("beats"))
+    named = change_count(chords, by, ["start"], "symbol").join(chords.groupBy(*by).agg(F.count_if(F.col("quality") != "NONE").alias("chords")), by)
+    all_of = count.join(rate, by, "left").join(named, by, "left")
+    text = F.format_string("%d beats at %.1f BPM, %d chords, %d changes", "beats", F.coalesce("bpm", F.lit(0.0)), F.coalesce("chords", F.lit(0).cast("bigint")), F.coalesce("changes", F.lit(0).cast("bigint")))
+    return all_of.select(*by, text.alias("summary"))
+
+
+def wanted_parts(parts: Column) -> Column:
+    """Requested parts without repeats, in their first order."""
+    return F.array_distinct(parts)
+
+
+def without_repeats(chords: DataFrame, by: list[str], order: list[str], symbol: str) -> DataFrame:
+    """Only the rows whose symbol differs from the one before."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return chords.withColumn("__p", F.lag(symbol).over(w)).where(~F.col(symbol).eqNullSafe(F.col("__p"))).drop("__p")

@@ -229,3 +229,89 @@ def log_frequency_map(window: int, rate: int, bins: int, per_semitone: int, lowe
     d = np.abs(np.arange(window // 2 + 1)[None, :] - at[:, None]) / 2.5
     w = np.where(d < 1, 0.5 * (1 + np.cos(np.pi * d)), 0)
     return w / np.maximum(1e-12, w.sum(axis=1, keepdims=True))
+
+
+def click_chord_chunks(spark: SparkSession, rec: str, bpm: float, seconds: float, chords: list[list[float]], beats_per_chord: int, rate: int = RATE, chunk: int = CHUNK) -> DataFrame:
+    """A click track with a decaying chord on each beat, the chords in turn."""
+    clicks = click_chunks(spark, rec, bpm, seconds, rate, chunk).select("rec_id", "chunk_no", "sample_rate", F.col("samples").alias("__click"))
+    period = 60.0 / bpm * rate
+    spots = F.sequence(F.col("chunk_no").cast("bigint") * chunk, F.col("chunk_no").cast("bigint") * chunk + F.size("__click") - 1)
+
+    def value(k):
+        beat = F.floor(k / period)
+        into = (k - beat * period) / period
+        level = 0.7 + 0.3 * F.exp(-3.0 * into)
+        out = F.lit(0.0)
+        for i, chord in enumerate(chords):
+            here = F.pmod(F.floor(beat / beats_per_chord), F.lit(len(chords))) == i
+            tones = sum((0.6 / len(chord) * F.sin(2 * math.pi * f * k / F.lit(float(rate))) for f in chord), F.lit(0.0))
+            out = F.when(here, tones * level).otherwise(out)
+        return out
+
+    return clicks.select("rec_id", "chunk_no", "sample_rate", F.zip_with("__click", F.transform(spots, value), lambda a, b: a + b).alias("samples"))
+
+
+def anti_alias(x, pole: float = 0.45, stages: int = 2):
+    """low_pass() twice over each maximal run of finite values; the others stay as they are."""
+
+    def is_finite(v):
+        return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+
+    empty = F.array().cast("array<struct<ok:boolean,vs:array<double>>>")
+
+    def step(acc, v):
+        last = F.try_element_at(acc, F.lit(-1))
+        joins = (F.size(acc) > 0) & F.coalesce(last["ok"] & is_finite(v), F.lit(False))
+        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["ok"].alias("ok"), F.concat(last["vs"], F.array(v)).alias("vs"))))
+        fresh = F.concat(acc, F.array(F.struct(is_finite(v).alias("ok"), F.array(v).alias("vs"))))
+        return F.when(joins, grown).otherwise(fresh)
+
+    def smooth(vs):
+        for _ in range(stages):
+            vs = low_pass(vs, pole)
+        return vs
+
+    runs = F.aggregate(x, empty, step)
+    return F.flatten(F.transform(runs, lambda r: F.when(r["ok"], smooth(r["vs"])).otherwise(r["vs"])))
+
+
+def tempo_in(strength: np.ndarray, frame_rate: float, start: float = 0.0, end: float | None = None, low: float = 40.0, high: float = 240.0) -> float:
+    """The tempo of a stretch of an onset envelope; of all of it where the stretch has under 8 frames."""
+    part = strength[int(start * frame_rate) : None if end is None else int(math.ceil(end * frame_rate))]
+    part = strength if len(part) < 8 else part
+    if not len(part):
+        return 120.0
+    x = part - part.mean()
+    n = len(x)
+    acf = np.correlate(x, x, "full")[n - 1 :] / n
+    bpm = np.arange(low, high + 0.25, 0.25)
+    lag = 60.0 * frame_rate / bpm
+    got = np.interp(lag, np.arange(n), acf, right=0.0) * np.exp(-0.5 * (np.log2(bpm / 120) / 1.4) ** 2)
+    return float(bpm[int(got.argmax())])
+
+
+def comb_phase(strength: np.ndarray, period: float) -> float:
+    """The offset under a period whose comb gathers the most strength; the first on a tie."""
+    offsets = np.arange(int(math.ceil(period)))
+    sums = [strength[np.round(np.arange(o, len(strength), period)).astype(int).clip(max=len(strength) - 1)].mean() if len(strength) else 0.0 for o in offsets]
+    return float(offsets[int(np.argmax(sums))]) if len(offsets) else 0.0
+
+
+def tempi_of_windows(df: DataFrame, by: str, frame: str, strength: str, frame_rate: float, seconds: float = 25.0) -> DataFrame:
+    """Tempo and beats of half-overlapping windows, stitched; one recording a group."""
+    kind = df.schema[by].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(frame, kind="stable")[strength].to_numpy()
+        length = len(x) / frame_rate
+        step = seconds / 2
+        starts = [k * step for k in range(max(1, int(math.ceil((length - seconds) / step)) + 1))]
+        found, bpm = [], 120.0
+        for s in starts:
+            bpm = tempo_in(x, frame_rate, s, s + seconds)
+            part = x[int(s * frame_rate) : int((s + seconds) * frame_rate)]
+            found.append(s + beat_path(part, 60 * frame_rate / bpm) / frame_rate if len(part) else np.empty(0))
+        beats = stitched(found, starts, step, 60 / bpm)
+        return pd.DataFrame({by: pdf[by].iloc[0], "beat": np.arange(len(beats)), "seconds": beats})
+
+    return df.groupBy(by).applyInPandas(run, f"{by} {kind}, beat bigint, seconds double")

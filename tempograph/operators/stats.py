@@ -113,3 +113,35 @@ def tuning_histogram(df: DataFrame, by: list[str], pitch: str, weight: str, bins
     sums = df.withColumn("bin", F.floor((part + 0.5) * bins).cast("bigint")).groupBy(*by, "bin").agg(F.sum(weight).alias("mass"))
     w = Window.partitionBy(*by).orderBy(F.desc("mass"), "bin")
     return sums.withColumn("__r", F.row_number().over(w)).where("__r = 1").select(*by, "bin", "mass", ((F.col("bin") + 0.5) / bins - 0.5).alias("tuning"))
+
+
+def changed_lines(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows of a baseline that differ now; names that are missing now are skipped, new ones shown."""
+    old, new = before.select(key, F.col(value).alias("was")), after.select(key, F.col(value).alias("now"))
+    return old.join(new, key, "full_outer").where(F.col("now").isNotNull() & ~F.col("was").eqNullSafe(F.col("now")))
+
+
+def sweep(features: DataFrame, settings: DataFrame, run) -> DataFrame:
+    """``run`` over features for every row of a (small, listed) table of settings; one plan, the features scanned once."""
+    return run(features.crossJoin(F.broadcast(settings)))
+
+
+def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Rows that break a rule, with the names of those they break (a null counts as broken)."""
+    broken = F.filter(F.array(*[F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
+    return df.withColumn("broken", broken).where(F.size("broken") > 0)
+
+
+def finite(column: str) -> Column:
+    """Neither null, NaN nor infinite."""
+    x = F.col(column)
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+
+
+def clock_aggregates(df: DataFrame, by: list[str], at: str, width: int) -> DataFrame:
+    """Counts in regular slots, empty ones included between a key's first and last."""
+    slot = F.floor(F.col(at) / width)
+    sums = df.groupBy(*by, slot.alias("slot")).agg(F.count("*").alias("n"))
+    ends = sums.groupBy(*by).agg(F.min("slot").alias("a"), F.max("slot").alias("z"))
+    every = ends.select(*by, F.explode(F.sequence("a", "z")).alias("slot"))
+    return every.join(sums, [*by, "slot"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

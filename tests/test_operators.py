@@ -267,3 +267,45 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert spark.table("rates").agg(F.sum("onsets")).first()[0] == 400
     assert spark.table("gaps").count() == 200
+
+
+def test_smaller_operators(spark, tmp_path):
+    from tempograph.operators import stats
+
+    both = stats.changed_lines(frame(spark, [("a", 1), ("b", 2), ("c", 3)], "k string, v int"), frame(spark, [("a", 1), ("b", 5), ("d", 4)], "k string, v int"), "k", "v")
+    assert sorted((r.k, r.was, r.now) for r in both.collect()) == [("b", 2, 5), ("d", None, 4)]
+    bad = stats.violations(frame(spark, [(1.0, 200), (float("nan"), 5)], "x double, midi int"), {"finite": stats.finite("x"), "range": F.col("midi").between(0, 127)})
+    assert sorted(r.broken for r in bad.collect()) == [["finite"], ["range"]]
+    x = frame(spark, [([1.0, 2.0, float("nan"), 4.0, 4.0],)], "v array<double>").select(signal.anti_alias(F.col("v")).alias("v")).first().v
+    assert math.isnan(x[2]) and x[3] == x[4] == pytest.approx(4.0) and 1 <= x[0] <= x[1] <= 2
+    pulse = np.zeros(800)
+    pulse[3::50] = 1
+    assert signal.tempo_in(pulse, 100.0) == pytest.approx(120, abs=1) and signal.comb_phase(pulse, 50) == 3
+    beats = signal.tempi_of_windows(frame(spark, [(1, i, float(v)) for i, v in enumerate(np.tile(pulse, 6))], "k int, i int, s double"), "k", "i", "s", 100.0, 10.0)
+    assert beats.count() > 80
+    bars = meter.bar_table(frame(spark, [(1, 0, 4, 4), (1, 1, 6, 8)], "k int, start_bar int, num int, den int"), ["k"], 4)
+    snapped = meter.snap_to_bar(frame(spark, [(1, 2.0), (1, 5.4)], "k int, beat double"), bars, ["k"], "beat").orderBy("beat").collect()
+    assert [r.snapped for r in snapped] == [4.0, 4.0]
+    loud = score.accent_downbeat(frame(spark, [("r", i, 1.0 if i % 4 == 2 else 0.1) for i in range(16)], "rec string, beat_no int, strength double"), ["rec"], 4).first()
+    assert (loud.phase, loud.confidence) == (2, 0.35)
+    chords = frame(spark, [("r", 0.0, "C", "MAJOR"), ("r", 2.0, "G", "MAJOR")], "rec string, start double, symbol string, quality string")
+    said = score.summary(chords, frame(spark, [("r", i * 0.5) for i in range(9)], "rec string, seconds double"), ["rec"]).first().summary
+    assert said == "9 beats at 120.0 BPM, 2 chords, 1 changes"
+    lines = frame(spark, [("r", i, f"{'ab'[i % 2]}1 |") for i in range(8)], "rec string, bar int, line string")
+    assert [(r.tag, r.first_bar) for r in notation.repeat_brackets(lines, "rec").orderBy("line").collect()] == [("A", 0), ("A", 4)]
+    assert "\\new Staff" in notation.staff_document(lines.withColumn("part", F.lit("p")), "rec", "part").first().document
+    chunks = signal.click_chord_chunks(spark, "x", 120, 1.0, [[220.0, 330.0], [440.0]], 1, 1000)
+    assert chunks.select(F.size("samples")).first()[0] == 1000
+
+
+def test_commands(spark, tmp_path, capsys):
+    from tempograph import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "song.mid").write_bytes(midi.fixture_file("fourChordSong"))
+    root = str(tmp_path / "w")
+    assert cli.main(["init", root, str(tmp_path / "in" / "song.mid")]) == 0
+    assert cli.main(["analyze", root, str(tmp_path / "in")]) == 0
+    assert cli.main(["render", root]) == 0 and cli.main(["info", root]) == 0 and cli.main(["doctor"]) == 0
+    out = capsys.readouterr().out
+    assert "| C" in out and "pyspark: found" in out
