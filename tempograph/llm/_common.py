@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes handed to a batch function at once; bounds a worker's memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 ARROW = {
     T.LongType(): pa.int64(),
@@ -76,7 +77,29 @@ def scratch(spark: SparkSession, what: str = "table") -> str:
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='tempograph-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tempograph-{what}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/tempograph-{what}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(clean_scratch)
+    _made.append((spark, path))
+    return path
+
+
+#: Scratch paths of this process that are still there.
+_made: list[tuple[SparkSession, str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean_scratch() -> None:
+    """Removes all scratch tables of this process: when their results have been written, and at its end."""
+    while _made:
+        try:
+            delete(*_made.pop())
+        except Exception:  # noqa: BLE001 - the session may have ended already
+            return
 
 
 def cut(df: DataFrame, what: str = "table") -> DataFrame:
@@ -93,9 +116,8 @@ def drop_cut(df: DataFrame) -> None:
     """Remove the files of a table made by cut() that nothing reads any more."""
     path = getattr(df, "_tempograph_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        delete(df.sparkSession, path)
+        _made[:] = [m for m in _made if m[1] != path]
 
 
 def utf8_crc(column: str):

@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -73,17 +74,22 @@ def merges_settle(tokens: dict[bytes, int], pairs: list[tuple[bytes, bytes]]) ->
     return True
 
 
+def load_library(path: str):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    return library
+
+
 class ByteBpe:
     """Encoder and decoder for a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
         back = {c: b for b, c in byte_chars().items()}
         raw = lambda token: bytes(back[c] for c in token)
         tokens = {raw(t): i for t, i in spec["model"]["vocab"].items()}
@@ -111,6 +117,11 @@ class ByteBpe:
         self.ends_sentence = np.array([b.rstrip(b"\"')")[-1:] in (b".", b"!", b"?", b"\n") if b else False for b in self.bytes_of])
         self.opens_word = np.array([b[:1].isspace() for b in self.bytes_of])
 
+    @cached_property
+    def library(self):
+        """The tokenizers library's own encoder, loaded where a text needs it."""
+        return load_library(self.path)
+
     def fragments(self, text: str) -> Iterator[str]:
         """The text cut at certain boundaries, about every FRAGMENT characters."""
         at = 0

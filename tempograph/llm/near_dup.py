@@ -56,7 +56,7 @@ class Shingler:
 
     def __init__(self, size: int):
         self.size = size
-        self.words = Memo(xxhash.xxh64_intdigest)
+        self.words = Memo(xxhash.xxh64_intdigest, 50_000)
         self.factor = mixed(np.arange(1, size + 1, dtype=np.uint64) * MIX) | np.uint64(1)
 
     def __call__(self, text: str) -> np.ndarray:

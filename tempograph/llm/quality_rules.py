@@ -86,7 +86,8 @@ def only_listed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows (id, text) whose id is among ``ids`` (id).
 
     A bitmap of FILTER hashed positions, which is all that the driver gets, first drops most other rows
-    where they are; so only about the listed documents' texts can enter the join's shuffle.
+    where they are; so only about the listed documents' texts enter the join's shuffle, which grows
+    with the list.  It is a merge join at any size: few listed rows shuffle little, and many don't fit a broadcast.
     """
     place = F.pmod(F.xxhash64("id"), F.lit(FILTER)).cast("int")
     bits = np.zeros(FILTER, bool)
@@ -100,7 +101,7 @@ def only_listed(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(keep)).select(["id", "text"])
 
     near = docs.withColumn("p", place).mapInArrow(run, docs.schema)
-    return near.join(ids, "id", "left_semi")
+    return near.join(ids.hint("merge"), "id", "left_semi")
 
 
 def log_ratio(good: np.ndarray, raw: np.ndarray) -> np.ndarray:

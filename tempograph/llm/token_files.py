@@ -21,6 +21,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempograph.llm._common import append_columns, cut, drop_cut, scratch, slices, texts
-from tempograph.llm.bpe import Memo, byte_chars, merges_settle
+from tempograph.llm.bpe import Memo, byte_chars, load_library, merges_settle
 
 BITS, LANES, STEPS, BLOCK = 22, 128, 256, 1 << 18
 #: Words that a worker remembers.
@@ -53,20 +54,22 @@ class WordBpe:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        self.width = "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        added = spec.get("added_tokens", [])
+        self.special = [x["content"] for x in added]
+        self.size = 1 + max([*spec["model"]["vocab"].values(), *(x["id"] for x in added)])
+        self.width = "<u2" if self.size <= 1 << 16 else "<u4"
         self.code = "H" if self.width == "<u2" else "I"
         self.chunks = Memo(self._by_library)
         self.plain = Memo(self._by_engine, PLAIN)
         self.engine = self._engine(spec)
 
+    @cached_property
+    def library(self):
+        return load_library(self.path)
+
     def _engine(self, spec: dict):
         end = spec["model"].get("end_of_word_suffix")
         steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
@@ -248,7 +251,7 @@ def write_token_files(df: DataFrame, tokenizer: str, path: str, id_col: str = "d
     parts = parts or max(1, ids.rdd.getNumPartitions())
     tokens = cut(tokenize(df, tokenizer, id_col, text, end_id, range_bounds(ids, "doc_id", parts)), "tokens")
     bpe = word_encoder(tokenizer)
-    width, size = bpe.width, bpe.library.get_vocab_size(with_added_tokens=True) + (1 if end_id is None else max(1, end_id + 2 - bpe.library.get_vocab_size(with_added_tokens=True)))
+    width, size = bpe.width, max(bpe.size, 0 if end_id is None else end_id + 1)
     rows = count_symbols(tokens, width, size).collect()  # a row for each symbol of the vocabulary at most
     counts = np.zeros(size, np.int64)
     for r in rows:
