@@ -66,15 +66,14 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """N-gram counts over all rows' ``text``.  A task sends a row for each bucket at most, so the driver gets a fixed number of rows."""
+    """N-gram counts over all rows' ``text``.  A task sends a row for each bucket, so the driver gets a fixed number of rows."""
 
     def run(batches):
         counts = np.zeros(BUCKETS, np.int64)
         for whole in batches:
             for batch in slices(whole, "text"):
                 counts += np.bincount(np.concatenate([buckets(x.encode("utf-8", "surrogatepass")) for x in texts(batch, "text")]), minlength=BUCKETS)
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(counts)], names=["bucket", "n"])
 
     out = np.zeros(BUCKETS, np.int64)
     for r in docs.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
