@@ -1,6 +1,7 @@
 """Every registered query against its DuckDB counterpart, at the smallest scale."""
 
 import os
+from numbers import Number
 
 import duckdb
 import pandas as pd
@@ -26,7 +27,7 @@ def duck():
 def plain(x):
     if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
         return None
-    return round(float(x), 5) + 0.0 if isinstance(x, (int, float)) and not isinstance(x, bool) else x
+    return round(float(x), 5) + 0.0 if isinstance(x, Number) and not isinstance(x, bool) else x
 
 
 def rows(frame):
