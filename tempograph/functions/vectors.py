@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it (also within lambdas)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(v: Column) -> Column:
     """Sum of a vector."""
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
@@ -17,8 +22,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def l1_normalise(v: Column, least: float = 1e-12) -> Column:
     """The vector over its sum; unchanged where the sum is too small."""
-    s = total(v)
-    return F.when(s <= least, v).otherwise(F.transform(v, lambda x: x / s))
+    return let(v, lambda w: let(total(w), lambda s: F.when(s <= least, w).otherwise(F.transform(w, lambda x: x / s))))
 
 
 def l2_norm(v: Column) -> Column:
@@ -26,14 +30,12 @@ def l2_norm(v: Column) -> Column:
 
 
 def l2_normalise(v: Column) -> Column:
-    n = l2_norm(v)
-    return F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))
+    return let(v, lambda w: let(l2_norm(w), lambda n: F.when(n == 0, w).otherwise(F.transform(w, lambda x: x / n))))
 
 
 def cosine(a: Column, b: Column, empty: float = 0.0) -> Column:
     """M4: cosine similarity; ``empty`` where a norm is zero."""
-    n = l2_norm(a) * l2_norm(b)
-    return F.when(n == 0, F.lit(empty)).otherwise(dot(a, b) / n)
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: let(l2_norm(p["a"]) * l2_norm(p["b"]), lambda n: F.when(n == 0, F.lit(empty)).otherwise(dot(p["a"], p["b"]) / n)))
 
 
 def vector_sum(a: Column, b: Column) -> Column:
@@ -51,11 +53,13 @@ def argmax_first(v: Column) -> Column:
 
 def fold(v: Column, classes: int = 12, first: int = 0) -> Column:
     """A10: sums of the vector's values by (index + first) mod classes."""
-    spots = F.sequence(F.lit(0), F.size(v) - 1)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(classes - 1)),
-        lambda c: F.aggregate(F.filter(spots, lambda i: F.pmod(i + first, F.lit(classes)) == c), F.lit(0.0), lambda acc, i: acc + F.get(v, i)),
-    )
+
+    def classes_of(w: Column) -> Column:
+        spots = F.sequence(F.lit(0), F.size(w) - 1)
+        one = lambda c: F.aggregate(F.filter(spots, lambda i: F.pmod(i + first, F.lit(classes)) == c), F.lit(0.0), lambda acc, i: acc + F.get(w, i))
+        return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), one)
+
+    return let(v, classes_of)
 
 
 def interpolate(v: Column, at: Column) -> Column:
