@@ -9,8 +9,9 @@ Viterbi search under a unigram model.  Its counts come from the letter runs of a
 URLs and from seed words; a run that seed words alone can spell is left out, so
 that concatenated names fall apart.  A multinomial naive Bayes model over words is
 then counted on all URLs: those with a block seed among their words are examples
-of ``block``, the others of ``allow``.  Both models keep the ``VOCABULARY`` most
-frequent words, a documented size of the model; other words count as unknown.
+of ``block``, the others of ``allow``.  Both models hold every word.  Up to
+``VOCABULARY`` distinct runs, a worker has the models whole; beyond, they are tables,
+and runs, words and pages are joined to what they need of them.
 
 A null URL, or one without ``://``, has an empty host and path and is allowed.
 """
@@ -25,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempograph.llm._common import append_columns
+from tempograph.llm._common import append_columns, cut
 from tempograph.llm.bpe import Memo
 
-VOCABULARY, LONGEST = 50_000, 24
+#: Distinct runs of a model that workers hold whole, and the most frequent rows of a larger one that are broadcast.
+VOCABULARY, LONGEST, TEXTS = 50_000, 24, 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RUNS = re.compile("[a-z]+")
 
@@ -109,15 +111,19 @@ def spelled(run: str, words: frozenset[str]) -> bool:
     return ends[-1] == 3
 
 
-def train(urls: DataFrame) -> tuple[Segmenter, dict[str, float], float, float]:
-    """Segmenter, log-odds of block for each word, that of an unknown word, and of the classes, from all rows of (host, path)."""
-    runs = urls.select(F.explode(F.concat(runs_of(F.col("host")), runs_of(F.col("path")))).alias("run"))
-    top = runs.groupBy("run").count().orderBy(F.desc("count"), "run").limit(VOCABULARY).collect()  # the model's size
-    counts = {r["run"]: r["count"] for r in top if len(r["run"]) <= LONGEST and not spelled(r["run"], WORD_SEEDS)}
-    most = max(counts.values(), default=1)
-    for w in sorted(WORD_SEEDS):
-        counts[w] = max(counts.get(w, 0), 1 + most // 1000)
-    segmenter = Segmenter(counts)
+def all_runs() -> Column:
+    return F.concat(runs_of(F.col("host")), runs_of(F.col("path")))
+
+
+def with_seeds(counts: dict[str, int], most: int) -> dict[str, int]:
+    """The counts, those of seed words raised to a thousandth of the highest."""
+    return counts | {w: max(counts.get(w, 0), 1 + most // 1000) for w in sorted(WORD_SEEDS)}
+
+
+def train(urls: DataFrame, top: list) -> tuple[Segmenter, dict[str, float], float]:
+    """Segmenter, log-odds of block for each word, and of the classes, from all rows of (host, path) and all their runs, counted."""
+    counts = {r["run"]: r["n"] for r in top if len(r["run"]) <= LONGEST and not spelled(r["run"], WORD_SEEDS)}
+    segmenter = Segmenter(with_seeds(counts, max(counts.values(), default=1)))
 
     def count(batches):
         for batch in batches:
@@ -131,42 +137,126 @@ def train(urls: DataFrame) -> tuple[Segmenter, dict[str, float], float, float]:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([found[k] if k[1] else 0 for k in keys], pa.int64()), pa.array([0 if k[1] else found[k] for k in keys], pa.int64())], names=["word", "block", "allow"])
 
     sums = urls.mapInArrow(count, "word string, block bigint, allow bigint").groupBy("word").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
-    rows = sums.orderBy(F.desc(F.col("word") == ""), F.desc(F.col("block") + F.col("allow")), "word").limit(VOCABULARY + 1).collect()
-    both = {r["word"]: (r["block"], r["allow"]) for r in rows}
+    both = {r["word"]: (r["block"], r["allow"]) for r in sums.collect()}  # pieces of the given runs
     n_block, n_allow = both.pop("", (0, 0))
     size = len(both) + 1
     t_block, t_allow = (sum(x[k] for x in both.values()) + size for k in (0, 1))
-    unknown = math.log(t_allow) - math.log(t_block)
-    odds = {w: math.log((b + 1) / t_block) - math.log((a + 1) / t_allow) for w, (b, a) in sorted(both.items())}
-    return segmenter, odds, unknown, math.log((n_block + 1) / (n_allow + 1))
+    odds = {w: log_odds_of(b, a, t_block, t_allow) for w, (b, a) in both.items()}
+    return segmenter, odds, math.log((n_block + 1) / (n_allow + 1))
+
+
+def log_odds_of(block: int, allow: int, t_block: int, t_allow: int) -> float:
+    return math.log((block + 1) / t_block) - math.log((allow + 1) / t_allow)
+
+
+def looked_up(df: DataFrame, keys: list[str], values: DataFrame, most: int) -> DataFrame:
+    """Inner join with a table of unique keys; the ``most`` keys of highest n are broadcast, so no key of many rows is shuffled."""
+    head = F.broadcast(values.orderBy(F.desc("n"), *keys).limit(most))
+    rest = df.join(F.broadcast(head.select(keys)), keys, "left_anti").join(values, keys)
+    return df.join(head, keys).unionByName(rest).drop("n")
+
+
+def segmented(counted: DataFrame) -> DataFrame:
+    """(run, n) with the words of each run, under the counts of all of them."""
+
+    def fit(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([len(r) <= LONGEST and not spelled(r, WORD_SEEDS) for r in batch.column("run").to_pylist()], pa.bool_()))
+
+    vocabulary = cut(counted.mapInArrow(fit, counted.schema), "url-words")
+    seeds = sorted(WORD_SEEDS)
+    most, longest, others = vocabulary.agg(F.max("n"), F.max(F.length("run")), F.sum(F.when(~F.col("run").isin(seeds), F.col("n")))).first()
+    raised = with_seeds({r["run"]: r["n"] for r in vocabulary.where(F.col("run").isin(seeds)).collect()}, most or 1)
+    total = (others or 0) + sum(raised.values()) + 1
+    longest = min(LONGEST, max(longest or 1, *map(len, seeds)))
+    words = vocabulary.where(~F.col("run").isin(seeds)).union(counted.sparkSession.createDataFrame(list(raised.items()), "run string, n bigint")).toDF("piece", "known")
+    length = F.length("run")
+    pieces = F.transform(F.sequence(F.lit(1), length), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), length - i + 1)), lambda k: F.substring(F.col("run"), i, k)))
+    cuts = counted.select("run", F.explode(F.array_distinct(F.flatten(pieces))).alias("piece"))
+    # Short pieces lie in many runs; there are no more of them than triples of letters.
+    short = cuts.where(F.length("piece") <= 3).join(F.broadcast(words.where(F.length("piece") <= 3)), "piece")
+    found = short.unionByName(cuts.where(F.length("piece") > 3).join(words.where(F.length("piece") > 3), "piece"))
+    found = found.groupBy("run").agg(F.collect_list("piece").alias("pieces"), F.collect_list("known").alias("known"))
+
+    def split(batches):
+        own = Segmenter({})
+        own.total, own.longest = total, longest
+        for batch in batches:
+            made = []
+            for run, texts, known in zip(*(batch.column(c).to_pylist() for c in ("run", "pieces", "known"))):
+                own.cost = {w: math.log(total) - math.log(n) for w, n in zip(texts or (), known or ())}
+                made.append(own._split(run))
+            yield pa.RecordBatch.from_arrays([batch.column("run"), batch.column("n"), pa.array(made, pa.list_(pa.string()))], names=["run", "n", "words"])
+
+    return cut(counted.join(found, "run", "left").mapInArrow(split, "run string, n bigint, words array<string>"), "url-runs")
+
+
+def scored_texts(urls: DataFrame) -> tuple[DataFrame, float]:
+    """log_odds of the runs of each distinct (host, path), with n, its rows, and the log-odds of the classes; all of it joined."""
+    texts = cut(urls.groupBy("host", "path").agg(F.count("*").alias("rows")), "url-texts")
+    each = texts.select("host", "path", "rows", F.posexplode(all_runs()).alias("pos", "run"))
+    runs = segmented(cut(each.groupBy("run").agg(F.sum("rows").alias("n")), "url-counts"))
+    seeds = F.array(*map(F.lit, sorted(BLOCK_SEEDS)))
+    seeded = runs.where(F.arrays_overlap("words", seeds)).select("run", "n")
+    maybe = each.where(F.col("run").rlike("|".join(sorted(BLOCK_SEEDS)))).select("host", "path", "run")
+    blocked = texts.join(looked_up(maybe, ["run"], seeded, VOCABULARY).select("host", "path").distinct(), ["host", "path"])
+    blocked = cut(blocked.select("host", "path", "rows"), "url-blocked")
+    n_block, n_all = (x.agg(F.sum("rows")).first()[0] or 0 for x in (blocked, texts))
+    in_block = blocked.select("rows", F.explode(all_runs()).alias("run")).groupBy("run").agg(F.sum("rows").alias("block"))
+    words = runs.join(in_block, "run", "left").select(F.explode("words").alias("word"), F.coalesce("block", F.lit(0)).alias("block"), "n")
+    words = cut(words.groupBy("word").agg(F.sum("block").alias("block"), F.sum("n").alias("n")).withColumn("allow", F.col("n") - F.col("block")), "url-bayes")
+    size, block, allow = words.agg(F.count("*") + 1, F.sum("block"), F.sum("allow")).first()
+    t_block, t_allow = (block or 0) + size, (allow or 0) + size
+    counts = F.sort_array(F.collect_list(F.struct("pos", "block", "allow")))
+    placed = looked_up(runs.select("run", F.posexplode("words").alias("pos", "word")), ["word"], words, VOCABULARY).groupBy("run").agg(counts.alias("c"))
+
+    def score(batches):
+        for batch in batches:
+            made = [sum(log_odds_of(w["block"], w["allow"], t_block, t_allow) for w in c) for c in batch.column("c").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("run"), batch.column("n"), pa.array(made, pa.float64())], names=["run", "n", "score"])
+
+    scores = cut(placed.join(runs.select("run", "n"), "run").mapInArrow(score, "run string, n bigint, score double"), "url-scores")
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "score")))["score"]
+    per_text = looked_up(each.select("host", "path", "pos", "run"), ["run"], scores, VOCABULARY).groupBy("host", "path").agg(ordered.alias("scores"))
+    return cut(texts.withColumnRenamed("rows", "n").join(per_text, ["host", "path"], "left"), "url-scored"), math.log((n_block + 1) / (n_all - n_block + 1))
+
+
+def judge(rules: list[tuple[str, str]], prior: float, scores_of):
+    """A function of a batch to rule, log_odds and verdict; ``scores_of`` gives the scores of each row's runs."""
+    ruled = Rules(rules)
+
+    def fn(batch):
+        made = {"rule": [], "log_odds": [], "verdict": []}
+        for h, p, scores in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), scores_of(batch)):
+            log_odds = prior + sum(scores) if scores else min(prior, -1.0)
+            hit = ruled.match(h, p)
+            made["rule"].append(hit and hit[0])
+            made["log_odds"].append(log_odds)
+            made["verdict"].append(hit[1] if hit else "block" if log_odds > 0 else "allow")
+        return made
+
+    return fn
 
 
 def filter_urls(df: DataFrame, rules: list[tuple[str, str]], url: str = "url") -> DataFrame:
     """The rows with host, path, rule, log_odds (of block) and verdict added; columns of such names are replaced."""
     host, path = host_of(F.col(url))
     parts = df.select(host.alias("host"), path.alias("path"))
-    segmenter, odds, unknown, prior = train(parts)
-    shared = df.sparkSession.sparkContext.broadcast((segmenter.cost, segmenter.total, segmenter.longest, odds))  # VOCABULARY words at most
     named = df.drop("host", "path", "rule", "log_odds", "verdict").withColumns({"host": host, "path": path})
+    counted = parts.select(F.explode(all_runs()).alias("run")).groupBy("run").agg(F.count("*").alias("n"))
+    top = counted.orderBy(F.desc("n"), "run").limit(VOCABULARY + 1).collect()
+    if len(top) > VOCABULARY or sum(len(r["run"]) for r in top) > VOCABULARY * LONGEST:
+        texts, prior = scored_texts(parts)
+        judged = looked_up(named, ["host", "path"], texts.withColumnRenamed("scores", "_run_scores"), TEXTS).select(*named.columns, "_run_scores")
+        return append_columns(judged, "path", "rule string, log_odds double, verdict string", lambda: judge(rules, prior, lambda batch: batch.column("_run_scores").to_pylist())).drop("_run_scores")
+    segmenter, odds, prior = train(parts, top)
+    shared = df.sparkSession.sparkContext.broadcast((segmenter.cost, segmenter.total, segmenter.longest, odds))  # of VOCABULARY runs at most
 
     def make():
         cost, total, longest, known = shared.value
         own = Segmenter({})
         own.cost, own.total, own.longest = cost, total, longest
-        ruled = Rules(rules)
-        score = Memo(lambda run: sum(known.get(w, unknown) for w in own.memo[run]))
-
-        def fn(batch):
-            made = {"rule": [], "log_odds": [], "verdict": []}
-            for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
-                runs = RUNS.findall(h.lower()) + RUNS.findall(p.lower())
-                log_odds = prior + sum(score[r] for r in runs) if runs else min(prior, -1.0)
-                hit = ruled.match(h, p)
-                made["rule"].append(hit and hit[0])
-                made["log_odds"].append(log_odds)
-                made["verdict"].append(hit[1] if hit else "block" if log_odds > 0 else "allow")
-            return made
-
-        return fn
+        score = Memo(lambda run: sum(known[w] for w in own.memo[run]))
+        return judge(rules, prior, lambda batch: ([score[r] for r in RUNS.findall(h.lower()) + RUNS.findall(p.lower())] for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())))
 
     return append_columns(named, "path", "rule string, log_odds double, verdict string", make)

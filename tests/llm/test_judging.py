@@ -8,6 +8,7 @@ from collections import Counter
 
 import pytest
 
+from tempograph.llm import url_filter
 from tempograph.llm.quality_classifier import features, quality_scores, train
 from tempograph.llm.quality_rules import base_counts, quality_rules
 from tempograph.llm.secrets import ALLOWED, CLASSES, KINDS, WINDOW, described, redact, scan_secrets
@@ -98,6 +99,42 @@ def test_urls(spark):
     assert filter_urls(df.limit(0), []).collect() == []
 
 
+def brute_verdicts(urls):
+    """Both models over all runs and words, in dicts."""
+    runs = [re.findall("[a-z]+", (u or "").partition("://")[2].lower()) for u in urls]
+    counts = Counter(r for x in runs for r in x)
+    counts = {r: n for r, n in counts.items() if len(r) <= 24 and not spelled(r, url_filter.WORD_SEEDS)}
+    floor = 1 + max(counts.values()) // 1000
+    model = Segmenter(counts | {w: max(counts.get(w, 0), floor) for w in url_filter.WORD_SEEDS})
+    pages = [[w for r in x for w in model._split(r)] for x in runs]
+    sums = {True: Counter(), False: Counter()}
+    kinds = [not url_filter.BLOCK_SEEDS.isdisjoint(x) for x in pages]
+    for kind, x in zip(kinds, pages):
+        sums[kind].update(x)
+    words = set(sums[True]) | set(sums[False])
+    total = {k: sum(c.values()) + len(words) + 1 for k, c in sums.items()}
+    prior = math.log((sum(kinds) + 1) / (len(kinds) - sum(kinds) + 1))
+    odds = {w: math.log((sums[True][w] + 1) / total[True]) - math.log((sums[False][w] + 1) / total[False]) for w in words}
+    return [prior + sum(odds[w] for w in x) if x else min(prior, -1.0) for x in pages]
+
+
+@pytest.mark.parametrize("held", [3, 100_000])
+def test_all_words_of_urls_count(spark, monkeypatch, held):
+    monkeypatch.setattr(url_filter, "VOCABULARY", held)
+    monkeypatch.setattr(url_filter, "TEXTS", 2, raising=False)
+    rng = random.Random(9)
+    stems = ["".join(rng.choice("abcdeinorst") for _ in range(rng.randrange(2, 9))) for _ in range(150)]
+    seeds = ["casino", "poker", "torrent", "viagra", "free", "news"]
+    urls = [f"http://{rng.choice(stems)}{rng.choice(stems)}.example.org/{rng.choice(stems)}/{rng.choice(stems)}{rng.choice(seeds) if rng.random() < 0.3 else ''}" for _ in range(400)]
+    urls += [None, "", "x://", f"http://{'qz' * 40}.org/{stems[0]}"] + [f"http://{stems[1]}{stems[2]}.org/same"] * 60
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").repartition(3)
+    out = {r.page_id: r for r in filter_urls(df, []).collect()}
+    want = brute_verdicts(urls)
+    assert len(out) == len(urls)
+    assert [out[i].log_odds for i in range(len(urls))] == pytest.approx(want, abs=1e-9)
+    assert [out[i].verdict for i in range(len(urls))] == ["block" if x > 0 else "allow" for x in want]
+
+
 ASSIGN = re.compile(r"((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
