@@ -74,7 +74,7 @@ def cache_key(spark, d):
   g as (select *, len(regexp_extract_all(s, '[aeiouy]+')) as n from p) select doc_id, pos, cast(greatest(1, n - case when n > 1 and regexp_matches(s, '[^aeiouy]e$') then 1 else 0 end) as integer) as syllables from g""")
 def syllables(spark, d):
     """F5."""
-    w = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.substring("text", 1, 400), " ")).alias("pos", "word"))
+    w = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
     return w.select("doc_id", F.col("pos").cast("bigint").alias("pos"), theory.syllables(F.col("word")).alias("syllables"))
 
 
