@@ -25,3 +25,21 @@ def test_syllables_of_whole_texts(spark, tmp_path):
     got = QUERIES["syllables"](spark, str(tmp_path)).toPandas()
     assert len(got) == 203 and got[got.doc_id == 1].syllables.tolist() == [3, 1] * 100 + [2]
     assert rows(got) == rows(whole_sql(tmp_path, "syllables", "substr(text, 1, 400)", ["documents"]))
+
+
+def test_nnls_activations_of_all_frames(spark, tmp_path):
+    np = pytest.importorskip("numpy")
+    from tempograph.plans.vector_queries import _nnls_dictionary
+
+    rng = np.random.default_rng(4)
+    vectors = {i: rng.normal(size=64).round(3) for i in (0, 99, 100, 101, 5000)}
+    spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in vectors.items()], "vec_id bigint, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.frame, r.note): r.activation for r in QUERIES["nnls_activations"](spark, str(tmp_path)).collect()}
+    a = _nnls_dictionary()
+    assert len(got) == len(vectors) * a.shape[1]
+    for i, v in vectors.items():
+        x = np.zeros(a.shape[1])
+        for _ in range(3000):  # coordinate descent
+            for k in range(len(x)):
+                x[k] = max(0, x[k] + a[:, k] @ (abs(v) - a @ x) / (a[:, k] @ a[:, k]))
+        assert [got[i, k] for k in range(len(x))] == pytest.approx(x.tolist(), abs=1e-5)
