@@ -273,8 +273,8 @@ def transpose(spark, d):
   s as (select rec, region, cast(sum(abs(floor((f + 1) / 7.0))) as bigint) as accidentals, cast(sum(abs(f - region)) as bigint) as distance from r where k = 1 group by 1, 2),
   b as (select *, row_number() over (partition by rec order by accidentals, distance, abs(region - 2), abs(region), region) as k from s) select rec, cast(region as integer) as region, accidentals, distance from b where k = 1""")
 def cheapest_region(spark, d):
-    """A34 over every fifth note."""
-    return harmony.cheapest_region(notes(spark, d).where("event_id % 5 = 0"), ["rec"], "pc", F.lit(2))
+    """A34."""
+    return harmony.cheapest_region(notes(spark, d), ["rec"], "pc", F.lit(2))
 
 
 CYCLE = "A7 A7 A7 A7 D7 D7 A7 A7 E7 D7 A7 E7"

@@ -1,8 +1,10 @@
 """Queries against the whole job, on tables where a cut would show."""
 
+import os
+
 import duckdb
 import pytest
-from test_queries import DIR, rows
+from test_queries import rows
 
 from tempograph.queries import ORACLES, QUERIES
 
@@ -16,7 +18,7 @@ def whole_sql(folder, name, cut, tables):
     con = duckdb.connect()
     con.execute("set timezone = 'UTC'")
     for t in tables:
-        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+        con.execute(f"create view {t} as select * from read_parquet(['{folder}/{t}.parquet', '{folder}/{t}.parquet/*.parquet'][{1 + os.path.isdir(f'{folder}/{t}.parquet')}])")
     return con.sql(ORACLES[name].replace(cut, "text" if name == "syllables" else "")).df()
 
 
@@ -43,3 +45,17 @@ def test_nnls_activations_of_all_frames(spark, tmp_path):
             for k in range(len(x)):
                 x[k] = max(0, x[k] + a[:, k] @ (abs(v) - a @ x) / (a[:, k] @ a[:, k]))
         assert [got[i, k] for k in range(len(x))] == pytest.approx(x.tolist(), abs=1e-5)
+
+
+def events(spark, folder, rows):
+    """(user, id, midi) as notes of an hour, one after another."""
+    e = spark.createDataFrame([(u, i, 1_704_067_200 + 60 * i, 3.0, f'{{"k": {k}}}', "view") for u, i, k in rows], "user_id bigint, event_id bigint, s bigint, value double, props string, event_type string")
+    e.selectExpr("user_id", "event_id", "cast(timestamp_seconds(s) as timestamp_ntz) as ts", "event_type", "value", "props").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_cheapest_region_over_all_notes(spark, tmp_path):
+    folder = events(spark, tmp_path, [(1, i, (6, 1, 8, 3, 10)[i % 5]) for i in range(1, 40)] + [(2, 41, 0), (2, 42, 7)] + [(3, 5 * i, i) for i in range(20, 30)])
+    got = QUERIES["cheapest_region"](spark, folder).toPandas()
+    assert sorted(got.rec) == [1, 2, 3]
+    assert rows(got) == rows(whole_sql(folder, "cheapest_region", " where event_id % 5 = 0", ["events"]))
