@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tempograph.functions import theory
-from tempograph.operators import harmony, meter, stats, temporal
+from tempograph.operators import harmony, meter, score, stats, temporal
 from tempograph.plans.bindings import NOTES, ONSETS, ORIGIN, SIX_HOURS, micros, notes, onsets, table
 
 FOUND: dict = {}
@@ -264,9 +264,10 @@ def fifths_respell(spark, d):
 
 @query(f"with {NOTES} select rec, event_id, midi + 7 as moved, {NAMES}[(midi + 7) % 12 + 1] as name from notes where midi + 7 between 0 and 100")
 def transpose(spark, d):
-    """Up a fifth; notes that would leave the range are dropped."""
-    moved = notes(spark, d).withColumn("moved", F.col("midi") + 7).where("moved between 0 and 100")
-    return moved.select("rec", "event_id", "moved", theory.sharp_name(F.pmod("moved", F.lit(12)).cast("int")).alias("name"))
+    """Up a fifth; a recording with a note that would leave 0..127 is left out whole, and is a row of nulls."""
+    moved, gone = score.transpose_track(notes(spark, d), ["rec"], 7)
+    named = moved.withColumnRenamed("midi", "moved").select("rec", "event_id", "moved", theory.sharp_name(F.pmod("moved", F.lit(12)).cast("int")).alias("name"))
+    return named.unionByName(gone, allowMissingColumns=True)
 
 
 @query(f"""with {NOTES}, r as (select rec, pc, region, f, row_number() over (partition by event_id, region order by abs(f - region), f) as k from (select rec, event_id, pc, region, unnest(range(-15, 20)) as f from (select rec, event_id, pc, unnest(range(-15, 20)) as region from notes where event_id % 5 = 0)) where ((f * 7) % 12 + 12) % 12 = pc),

@@ -59,3 +59,15 @@ def test_cheapest_region_over_all_notes(spark, tmp_path):
     got = QUERIES["cheapest_region"](spark, folder).toPandas()
     assert sorted(got.rec) == [1, 2, 3]
     assert rows(got) == rows(whole_sql(folder, "cheapest_region", " where event_id % 5 = 0", ["events"]))
+
+
+def test_transpose_keeps_high_notes_and_reports_left_out_tracks(spark, tmp_path):
+    folder = events(spark, tmp_path, [(1, 1, 60), (1, 2, 99), (1, 3, 120), (2, 4, 121), (2, 5, 60)])
+    got = sorted(QUERIES["transpose"](spark, folder).select("rec", "event_id", "moved", "name").collect())
+    assert [tuple(r) for r in got] == [(1, 1, 67, "G"), (1, 2, 106, "A#"), (1, 3, 127, "G"), (2, None, None, None)]
+
+
+def test_transpose_without_left_out_tracks(spark, tmp_path):
+    folder = events(spark, tmp_path, [(i % 3, i, i) for i in range(1, 100)])
+    got = QUERIES["transpose"](spark, folder).toPandas()
+    assert len(got) == 99 and rows(got) == rows(whole_sql(folder, "transpose", " where midi + 7 between 0 and 100", ["events"]))
