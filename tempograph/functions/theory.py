@@ -224,9 +224,13 @@ def meter_parts(text: Column) -> Column:
 
 
 def letters(index: Column) -> Column:
-    """A..Z, AA..ZZ for 0.. (bijective base 26, two letters)."""
-    one = lambda i: F.char(F.lit(65) + i)
-    return F.when(index < 26, one(index)).otherwise(F.concat(one(F.floor(index / 26) - 1), one(index % 26)))
+    """A..Z, AA..ZZ, AAA.. for 0.. (bijective base 26)."""
+    first = [(26**k - 26) // 25 for k in range(1, 15)]  # the lowest index of k letters; a bigint has 14 at most
+    length, base = F.lit(1), F.lit(0)
+    for k, low in enumerate(first[1:], 2):
+        length, base = F.when(index >= low, k).otherwise(length), F.when(index >= low, F.lit(low)).otherwise(base)
+    digits = F.conv((index - base).cast("string"), 10, 26)
+    return F.translate(F.lpad(digits, length, "0"), "0123456789ABCDEFGHIJKLMNOP", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 def duration_token(quarters: Column) -> Column:

@@ -4,8 +4,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_queries import rows
 
+from tempograph.functions import theory
 from tempograph.queries import ORACLES, QUERIES
 
 
@@ -71,3 +73,23 @@ def test_transpose_without_left_out_tracks(spark, tmp_path):
     folder = events(spark, tmp_path, [(i % 3, i, i) for i in range(1, 100)])
     got = QUERIES["transpose"](spark, folder).toPandas()
     assert len(got) == 99 and rows(got) == rows(whole_sql(folder, "transpose", " where midi + 7 between 0 and 100", ["events"]))
+
+
+def tag(n):
+    out = ""
+    while n >= 0:
+        out, n = chr(65 + n % 26) + out, n // 26 - 1
+    return out
+
+
+def test_letters_of_any_index(spark):
+    at = [0, 25, 26, 701, 702, 703, 5000, 18277, 18278, 475253, 475254, 12356629, 12356630, 2**31 - 1, 2**31, 2**63 - 1]
+    got = spark.createDataFrame([(i,) for i in [*at, None]], "i bigint").select("i", theory.letters(F.col("i")).alias("t")).collect()
+    assert {r.i: r.t for r in got} == {i: tag(i) for i in at} | {None: None}
+
+
+def test_line_repeat_tags_beyond_two_letters(spark, tmp_path):
+    lines = [f"line {i}" for i in range(6000)]
+    spark.createDataFrame([(1, "\n".join([*lines, "once", *lines]))], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.pos: r.tag for r in QUERIES["line_repeat_tags"](spark, str(tmp_path)).collect()}
+    assert got == {6000: None} | {i: tag(i) for i in range(6000)} | {6001 + i: tag(i) for i in range(6000)}
