@@ -171,8 +171,9 @@ HOURS = f"{ONSETS}, hours as (select h, coalesce(n, 0)::double as n from (select
 
 
 def hourly(spark, d):
+    """Events in each hour from the first to the last of the table; hours count from ORIGIN."""
     counted = onsets(spark, d).groupBy(F.floor((F.col("at") - ORIGIN) / 3_600_000_000).alias("h")).agg(F.count("*").alias("n"))
-    every = spark.range(720).select(F.col("id").alias("h"))
+    every = counted.agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low is not null").select(F.explode(F.sequence("low", "high")).alias("h"))
     return every.join(counted, "h", "left").select(F.lit(1).alias("rec"), "h", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from test_queries import rows
 
 from tempograph.functions import theory
+from tempograph.plans.event_queries import hourly
 from tempograph.queries import ORACLES, QUERIES
 
 
@@ -93,3 +94,14 @@ def test_line_repeat_tags_beyond_two_letters(spark, tmp_path):
     spark.createDataFrame([(1, "\n".join([*lines, "once", *lines]))], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.pos: r.tag for r in QUERIES["line_repeat_tags"](spark, str(tmp_path)).collect()}
     assert got == {6000: None} | {i: tag(i) for i in range(6000)} | {6001 + i: tag(i) for i in range(6000)}
+
+
+def test_hours_are_those_of_the_table(spark, tmp_path):
+    counts = {-30: 2, -29: 1, 0: 4, 3: 1, 719: 3, 720: 5, 800: 2, 830: 6}
+    stamps = [(1_704_067_200 + 3600 * h + i, 1) for h, n in counts.items() for i in range(n)]
+    e = spark.createDataFrame(stamps, "s bigint, user_id bigint").selectExpr("user_id", "s as event_id", "cast(timestamp_seconds(s) as timestamp_ntz) as ts", "'view' as event_type", "1.0D as value", "'{}' as props")
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.lag: r.acf for r in QUERIES["autocorrelation"](spark, str(tmp_path)).collect()}
+    assert got == {k: pytest.approx(sum(n * counts.get(h + k, 0) for h, n in counts.items()) / 861, abs=1e-6) for k in range(49)}
+    assert len(QUERIES["tempo_estimate"](spark, str(tmp_path)).collect()) == 1
+    assert all(-30 <= r.h <= 830 for r in hourly(spark, str(tmp_path)).collect()) and hourly(spark, str(tmp_path)).count() == 861
