@@ -99,13 +99,13 @@ def beat_phases(beats: DataFrame, by: list[str], per_bar: int, phase: int = 0) -
     return beats.withColumn("pos", F.pmod(F.row_number().over(w) - 1 - phase, F.lit(per_bar)).cast("int")).withColumn("downbeat", F.col("pos") == 0)
 
 
-def place_spans(df: DataFrame, by: str, start: str, end: str, snap: Callable[[float], float], all_or_nothing: bool = False) -> DataFrame:
+def place_spans(df: DataFrame, by: str, start: str, end: str, snap: Callable[[float], float], all_or_nothing: bool = False, ties: tuple[str, ...] = ()) -> DataFrame:
     """Spans snapped to a grid, each from where the one before ends at the earliest; a span without length is null (with
-    ``all_or_nothing``, then all of the key are).  The state runs along a recording, which is one group."""
+    ``all_or_nothing``, then all of the key are).  Equal spans go by ``ties``.  The state runs along a recording, which is one group."""
     schema = df.schema.simpleString()[7:-1] + ",placed_start:double,placed_end:double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([start, end], kind="stable")
+        pdf = pdf.sort_values([start, end, *ties], kind="stable")
         furthest, out = float("-inf"), []
         for s, e in zip(pdf[start], pdf[end]):
             a, b = max(snap(s), furthest), snap(e)

@@ -110,12 +110,19 @@ def beats_to_seconds(spark, d):
   o as (select *, row_number() over (partition by rec order by onset, end_z, event_id) as i from (select *, z as end_z from s))
   select rec, cast(count(*) as bigint) as spans from o group by rec""")
 def placed_spans(spark, d):
-    """Every span, placed one after another on an hourly grid."""
+    """The number of spans of placed_notes."""
+    return placed_notes(spark, d).groupBy("rec").agg(F.count("*").alias("spans"))
+
+
+@query()
+def placed_notes(spark, d):
+    """Every span, placed one after another on an hourly grid; null if it has no length there."""
     import math
 
     n = notes(spark, d).select("rec", "event_id", ((F.col("onset") - ORIGIN) / 3.6e9).alias("a"), ((F.col("end_us") - ORIGIN) / 3.6e9).alias("z"))
-    placed = score.place_spans(n, "rec", "a", "z", lambda x: math.floor(x + 0.5))
-    return placed.groupBy("rec").agg(F.count("*").alias("spans"))
+    placed = score.place_spans(n, "rec", "a", "z", lambda x: math.floor(x + 0.5), ties=("event_id",))
+    # A null in a batch of doubles may come as NaN.
+    return placed.select("rec", "event_id", *(F.nanvl(c, F.lit(None).cast("double")).cast("bigint").alias(c) for c in ("placed_start", "placed_end")))
 
 
 @query(f"""with {NOTES}, s as (select rec, (onset - {ORIGIN}) // {SIX_HOURS} as span, event_type, midi, pc, onset, end_us from notes),

@@ -1,6 +1,8 @@
 """Queries against the whole job, on tables where a cut would show."""
 
+import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from test_queries import rows
 
 from tempograph.functions import theory
+from tempograph.plans.bindings import ORIGIN
 from tempograph.plans.event_queries import hourly
 from tempograph.queries import ORACLES, QUERIES
 
@@ -105,3 +108,21 @@ def test_hours_are_those_of_the_table(spark, tmp_path):
     assert got == {k: pytest.approx(sum(n * counts.get(h + k, 0) for h, n in counts.items()) / 861, abs=1e-6) for k in range(49)}
     assert len(QUERIES["tempo_estimate"](spark, str(tmp_path)).collect()) == 1
     assert all(-30 <= r.h <= 830 for r in hourly(spark, str(tmp_path)).collect()) and hourly(spark, str(tmp_path)).count() == 861
+
+
+def test_placed_notes_are_those_of_brute_force(spark, tmp_path):
+    rng = random.Random(7)
+    table = [(rng.randrange(3), i, rng.randrange(0, 90_000_000_000, 600_000_000), rng.choice([1, 2, 5, 9])) for i in range(200)]
+    table += [(1, 300 + i, 7_200_000_000, 3) for i in (5, 1, 3)]  # equal spans: the lowest id is placed
+    e = spark.createDataFrame([(u, i, s, n / 1.0) for u, i, s, n in table], "user_id bigint, event_id bigint, s bigint, value double")
+    e.selectExpr("user_id", "event_id", f"cast(timestamp_micros({ORIGIN} + s) as timestamp_ntz) as ts", "'view' as event_type", "value", "'{\"k\": 1}' as props").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: (r.rec, r.placed_start, r.placed_end) for r in QUERIES["placed_notes"](spark, str(tmp_path)).collect()}
+    want, furthest = {}, {}
+    for u, i, s, n in sorted(table, key=lambda x: (x[2], x[3], x[1])):
+        a, z = (math.floor(x / 3.6e9 + 0.5) for x in (s, s + n * 100 * 12_000_000))
+        a = max(a, furthest.get(u, a))
+        want[i] = (u, a, z) if z > a else (u, None, None)
+        if z > a:
+            furthest[u] = z
+    assert got == want and {None, int} == {type(x[1]) if x[1] is not None else None for x in want.values()}
+    assert sum(r.spans for r in QUERIES["placed_spans"](spark, str(tmp_path)).collect()) == len(table)
