@@ -2,41 +2,47 @@
 
 A pair of bytes that lies inside no vocabulary token can never be merged, so it
 marks a certain cut: the fragments on both sides are encoded on their own and
-their ids concatenated.  The pairs are read off the vocabulary.  A cut must also
-leave the word pattern's view unchanged; cuts are therefore taken before a single
-blank between two visible ASCII characters, where a new word begins whatever
-stands around.  Long texts become many independent fragments of bounded size.
-
-A fragment is encoded by tiktoken's engine with the file's own vocabulary, if
-every token of the file is reached by its listed merge (checked on loading; then
-lowest-rank merging of byte strings and merging by the listed pairs give the same
-ids), and else, or where it holds characters beyond Latin-1, by the tokenizers
-library itself.
+their ids concatenated.  The pairs are read off the vocabulary.  The word pattern
+of byte-level BPE forces further cuts, which follow from the classes of
+neighbouring characters (letter, number, white space, other).  Both kinds are found
+for a whole slice of texts at once, in numpy, whatever their length and whether
+they have blanks or not: a text without blanks is cut at its pairs.
+
+Fragments are merged here: those of one length together, as rows of a matrix, in
+which each round carries out the lowest-ranked merge of every row; fragments over
+``WIDE`` bytes one by one with a heap.  Fragments recur, so a worker remembers up to
+``MEMO`` of them.  A text over ``BLOCK`` bytes is encoded in blocks that end at
+certain cuts that the pattern cannot look across, so memory follows the block.
+
+The classes of characters are asked of the tokenizers library, a character at a
+time as they occur, so its Unicode version is followed.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
-from collections.abc import Iterator
-from functools import cached_property
+from collections import defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tempograph.llm._common import append_columns, texts
+from tempograph.llm._common import append_columns
 
-#: Characters after which the next certain cut is taken.
-FRAGMENT = 1024
-MEMO = 250_000
+WIDE, MEMO, MEMO_BYTES, BLOCK = 32, 250_000, 16 << 20, 1 << 20
+SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
+NEVER = np.iinfo(np.int32).max
 
-# Fixed value: the word pattern of byte-level BPE.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The pre-tokenizer that is followed, and the endings that its word pattern keeps together.
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
 class Memo(dict):
-    """A dict that computes missing entries and empties itself at MEMO entries."""
+    """A dict that computes missing entries and empties itself at ``most`` entries."""
 
     def __init__(self, make, most: int = MEMO):
         super().__init__()
@@ -56,24 +62,6 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def merges_settle(tokens: dict[bytes, int], pairs: list[tuple[bytes, bytes]]) -> bool:
-    """Whether each merged token, built from its bytes by lower-ranked tokens alone, arrives at its listed pair."""
-    order = {a + b: i for i, (a, b) in enumerate(pairs)}
-    if len(order) < len(pairs) or any(tokens[a + b] - tokens[pairs[0][0] + pairs[0][1]] != i for i, (a, b) in enumerate(pairs)):
-        return False
-    for i, (a, b) in enumerate(pairs):
-        whole = a + b
-        parts = [whole[k : k + 1] for k in range(len(whole))]
-        while len(parts) > 2:
-            rank, at = min((order.get(x + y, i), k) for k, (x, y) in enumerate(zip(parts, parts[1:])))
-            if rank >= i:
-                return False
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        if parts != [a, b]:
-            return False
-    return True
-
-
 def load_library(path: str):
     from tokenizers import Tokenizer
 
@@ -83,75 +71,293 @@ def load_library(path: str):
     return library
 
 
+class Merger:
+    """Carries out listed merges: (left id, right id, merged id), the earliest in the list first, from the left."""
+
+    def __init__(self, merges: list[tuple[int, int, int]], size: int):
+        self.size = size
+        self.made = np.array([m for _, _, m in merges], np.int32)
+        keys = np.array([a * size + b for a, b, _ in merges], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ranks = np.append(keys[order], -1), np.append(order, NEVER).astype(np.int32)
+        self.width = "<u2" if size <= 1 << 16 else "<u4"
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair's merge, NEVER if it has none."""
+        wanted = left.astype(np.int64) * self.size + right
+        at = np.searchsorted(self.keys[:-1], wanted)
+        return np.where(self.keys[at] == wanted, self.ranks[at], NEVER)
+
+    def rows(self, ids: np.ndarray) -> Iterable[tuple[np.ndarray, np.ndarray]]:
+        """Fragments of one length (a row each): (row numbers, final ids) as they end."""
+        number = np.arange(len(ids))
+        ranks = self.rank(ids[:, :-1], ids[:, 1:])
+        while ids.shape[1] > 1 and len(ids):
+            at = ranks.argmin(axis=1)
+            lowest = ranks[np.arange(len(ids)), at]
+            on = lowest < NEVER
+            if not on.all():
+                yield number[~on], ids[~on]
+                number, ids, ranks, at, lowest = number[on], ids[on], ranks[on], at[on], lowest[on]
+                if not len(ids):
+                    return
+            row, length = np.arange(len(ids)), ids.shape[1] - 1
+            column = np.arange(length)[None, :]
+            ids[row, at] = self.made[lowest]
+            ids = np.take_along_axis(ids, column + (column > at[:, None]), axis=1)
+            if length == 1:
+                break
+            column = column[:, : length - 1]
+            ranks = np.take_along_axis(ranks, column + (column >= at[:, None]), axis=1)
+            left, right = at > 0, at < length - 1
+            ranks[row[left], at[left] - 1] = self.rank(ids[row[left], at[left] - 1], ids[row[left], at[left]])
+            ranks[row[right], at[right]] = self.rank(ids[row[right], at[right]], ids[row[right], at[right] + 1])
+        yield number, ids
+
+    def one(self, ids: np.ndarray) -> np.ndarray:
+        """A long fragment, by a heap of its possible merges over a linked list."""
+        own, after, before = ids.tolist(), list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        ranks = self.rank(ids[:-1], ids[1:])
+        there = np.flatnonzero(ranks < NEVER)
+        heap = [(r, i, own[i], own[i + 1]) for r, i in zip(ranks[there].tolist(), there.tolist())]
+        heapq.heapify(heap)
+        known: dict[tuple[int, int], int] = {}
+
+        def offer(i: int, j: int) -> None:
+            pair = own[i], own[j]
+            rank = known.get(pair)
+            if rank is None:
+                known[pair] = rank = int(self.rank(np.array(pair[:1]), np.array(pair[1:]))[0])
+            if rank < NEVER:
+                heapq.heappush(heap, (rank, i, *pair))
+
+        end = len(own)
+        while heap:
+            rank, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if own[i] != a or j >= end or own[j] != b:
+                continue
+            own[i], own[j] = int(self.made[rank]), -1
+            after[i] = after[j]
+            if after[i] < end:
+                before[after[i]] = i
+                offer(i, after[i])
+            if before[i] >= 0:
+                offer(before[i], i)
+        return np.array([x for x in own if x >= 0])
+
+    def merged(self, fragments: list[bytes], first: np.ndarray, last: np.ndarray | None = None) -> list[bytes]:
+        """Packed ids of each fragment, whose bytes ``first`` maps to ids (the last byte of each: ``last``, if given)."""
+        last = first if last is None else last
+        out: list[bytes] = [b""] * len(fragments)
+        lengths = defaultdict(list)
+        for i, f in enumerate(fragments):
+            lengths[len(f)].append(i)
+        for length, own in lengths.items():
+            if length > WIDE:
+                for i in own:
+                    symbols = np.frombuffer(fragments[i], np.uint8)
+                    out[i] = self.one(np.append(first[symbols[:-1]], last[symbols[-1]])).astype(self.width).tobytes()
+            elif length:
+                symbols = np.frombuffer(b"".join([fragments[i] for i in own]), np.uint8).reshape(-1, length)
+                for number, ids in self.rows(np.hstack((first[symbols[:, :-1]], last[symbols[:, -1:]]))):
+                    packed, step = ids.astype(self.width).tobytes(), ids.shape[1] * int(self.width[2])
+                    for k, i in enumerate(number.tolist()):
+                        out[own[i]] = packed[k * step : (k + 1) * step]
+        return out
+
+
 class ByteBpe:
     """Encoder and decoder for a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str):
-        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        model = spec["model"]
+        if spec.get("normalizer") or spec["pre_tokenizer"] != PRE_TOKENIZER or any(model.get(k) for k in ("dropout", "ignore_merges", "end_of_word_suffix", "continuing_subword_prefix")):
+            raise ValueError(f"{path} is not a plain byte-level BPE file")
         back = {c: b for b, c in byte_chars().items()}
         raw = lambda token: bytes(back[c] for c in token)
-        tokens = {raw(t): i for t, i in spec["model"]["vocab"].items()}
-        pairs = [tuple(map(raw, m.split(" ") if isinstance(m, str) else m)) for m in spec["model"]["merges"]]
-        self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
-        self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.bytes_of = [b""] * (max([*tokens.values(), *self.special.values()]) + 1)
-        for t, i in tokens.items():
+        tokens = {raw(t): i for t, i in model["vocab"].items()}
+        pairs = [tuple(map(raw, m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+        self.special = {x["content"].encode(): x["id"] for x in spec.get("added_tokens", [])}
+        self.special_split = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
+        self.size = max([*tokens.values(), *self.special.values()]) + 1
+        self.bytes_of = [b""] * (self.size + 1)  # the last for ids that the vocabulary lacks
+        for t, i in [*tokens.items(), *self.special.items()]:
             self.bytes_of[i] = t
-        for t, i in self.special.items():
-            self.bytes_of[i] = t.encode()
-        #: Byte pairs inside some token; all others are certain cuts.
-        self.inside = np.zeros((256, 256), bool)
+        self.merger = Merger([(tokens[a], tokens[b], tokens[a + b]) for a, b in pairs], self.size)
+        self.first = np.array([tokens[bytes([b])] for b in range(256)], np.int32)
+        #: Byte pairs inside some token, at 256 * first + second; all others are certain cuts.
+        self.inside = np.zeros(1 << 16, bool)
         for t in tokens:
-            for x, y in zip(t, t[1:]):
-                self.inside[x, y] = True
-        before = "".join(re.escape(chr(b)) for b in range(33, 127) if not self.inside[b, 32])
-        self.cut = re.compile(f"(?<=[{before}])(?= [!-~])") if before else None
-        self.engine = None
-        if pairs and merges_settle(tokens, pairs) and spec.get("normalizer") is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
-            import tiktoken
-
-            self.engine = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks=tokens, special_tokens={})
+            self.inside[np.frombuffer(t[:-1], np.uint8).astype(np.int64) * 256 + np.frombuffer(t[1:], np.uint8)] = True
+        self.classes = np.full(0x110000, UNKNOWN, np.uint8)
+        self.pattern = load_library(path).pre_tokenizer
+        self.memo: dict[bytes, bytes] = {}
+        self.memo_bytes = 0
         #: Of each id: whether it ends a sentence, and whether it opens a word (white space first).
         self.ends_sentence = np.array([b.rstrip(b"\"')")[-1:] in (b".", b"!", b"?", b"\n") if b else False for b in self.bytes_of])
         self.opens_word = np.array([b[:1].isspace() for b in self.bytes_of])
-
-    @cached_property
-    def library(self):
-        """The tokenizers library's own encoder, loaded where a text needs it."""
-        return load_library(self.path)
-
-    def fragments(self, text: str) -> Iterator[str]:
-        """The text cut at certain boundaries, about every FRAGMENT characters."""
-        at = 0
-        while self.cut and len(text) - at > 2 * FRAGMENT and (m := self.cut.search(text, at + FRAGMENT)):
-            yield text[at : m.start()]
-            at = m.start()
-        yield text[at:]
-
-    def _fragment(self, fragment: str) -> np.ndarray:
-        if self.engine:
-            try:
-                fragment.encode("latin-1")
-            except UnicodeEncodeError:
-                pass
+        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.lengths = np.array([len(b) for b in self.bytes_of])
+        self.places = np.cumsum(self.lengths) - self.lengths
+
+    def _class(self, char: str) -> int:
+        split = lambda x: [p for p, _ in self.pattern.pre_tokenize_str(x)]
+        around = split(f"1{char}a")
+        if len(around) == 2 and char != " ":
+            return NUMBER if len(around[1]) == 1 else LETTER
+        return OTHER if len(split("!" + char)) == 1 else SPACE
+
+    def _classes(self, points: np.ndarray) -> np.ndarray:
+        found = self.classes[points]
+        if (found == UNKNOWN).any():
+            for c in np.unique(points[found == UNKNOWN]).tolist():
+                self.classes[c] = self._class(chr(c))
+            found = self.classes[points]
+        return found
+
+    def word_starts(self, points: np.ndarray, opens: np.ndarray) -> np.ndarray:
+        """Whether the word pattern starts a piece at each character; ``opens`` are the places where texts begin."""
+        kind = self._classes(points)
+        fresh = np.empty(len(points), bool)
+        fresh[0] = True
+        fresh[1:] = kind[1:] != kind[:-1]
+        first = np.zeros(len(points), bool)
+        first[opens] = True
+        fresh |= first
+        blank = kind == SPACE
+        starts = fresh.copy()
+        # The last of several blanks before a word goes its own way; a space is taken by the word after it.
+        starts[:-1] |= blank[:-1] & ~blank[1:] & ~first[1:]
+        starts[1:] &= ~((points[:-1] == 32) & ~blank[1:] & ~first[1:])
+        quote = np.flatnonzero((points == 39) & starts)
+        for ending in ENDINGS:
+            at = quote[quote + len(ending) < len(points)]
+            for k, c in enumerate(ending, 1):
+                at = at[(points[at + k] == ord(c)) & ~first[at + k]]
+            starts[at + 1] = False
+            rest = at[at + len(ending) + 1 < len(points)]
+            starts[rest + len(ending) + 1] = True
+        return starts
+
+    def cuts(self, joined: bytes, opens: np.ndarray) -> np.ndarray:
+        """Whether a forced cut lies before each byte of texts that lie side by side and begin at ``opens``."""
+        data = np.frombuffer(joined, np.uint8)
+        forced = np.empty(len(data), bool)
+        forced[0] = True
+        forced[1:] = ~self.inside[data[:-1].astype(np.int32) * 256 + data[1:]]
+        if joined.isascii():
+            forced |= self.word_starts(data, opens)
+        else:
+            lead = np.flatnonzero((data & 0xC0) != 0x80)
+            points = np.frombuffer(joined.decode().encode("utf-32-le"), "<u4")
+            forced[lead[self.word_starts(points, np.searchsorted(lead, opens))]] = True
+        return forced
+
+    def _recall(self, pieces: list[bytes]) -> list[bytes]:
+        fresh = set(pieces)
+        missing = list(fresh.difference(self.memo))
+        if len(self.memo) + len(missing) > MEMO or self.memo_bytes > MEMO_BYTES:
+            self.memo, self.memo_bytes, missing = {}, 0, list(fresh)
+        if missing:
+            self.memo.update(zip(missing, self.merger.merged(missing, self.first)))
+            self.memo_bytes += sum(map(len, missing))
+        return list(map(self.memo.__getitem__, pieces))
+
+    def _short(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts side by side, and their number by part."""
+        sizes = np.array([len(p) for p in parts], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        joined = b"".join(parts)
+        if not joined:
+            return np.empty(0, self.merger.width), np.zeros(len(parts), np.int64)
+        at = np.flatnonzero(self.cuts(joined, begins[sizes > 0]))
+        found = self._recall([joined[a:b] for a, b in zip(at.tolist(), [*at[1:].tolist(), len(joined)])])
+        upto = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))) // int(self.merger.width[2])
+        ends = np.append(np.searchsorted(at, begins), len(at))
+        return np.frombuffer(b"".join(found), self.merger.width), np.diff(upto[ends])
+
+    def _blocks(self, part: bytes) -> Iterable[bytes]:
+        """A text in blocks of about BLOCK bytes, cut where neither a merge nor the pattern reaches across."""
+        at, size = 0, BLOCK
+        while len(part) - at > size:
+            block = part[at : at + size]
+            last = len(block) - 1
+            while block[last] & 0xC0 == 0x80:
+                last -= 1
+            block = block[:last]  # not inside a character
+            data = np.frombuffer(block, np.uint8)
+            sure = self.cuts(block, np.zeros(1, np.int64))
+            sure[-8:] = False  # the pattern may look ahead
+            sure &= (data & 0xC0) != 0x80
+            sure[:4] = False
+            for back in range(1, 4):
+                sure[back:] &= data[:-back] != 39
+            sure &= data != 39
+            places = np.flatnonzero(sure)[::-1]
+            for place in places.tolist():
+                before = block[max(0, place - 4) : place].decode("utf-8", "ignore")[-1]
+                if self._classes(np.array([ord(before)]))[0] != SPACE:
+                    yield block[:place]
+                    at, size = at + place, BLOCK
+                    break
             else:
-                return self.engine.encode_to_numpy(fragment, disallowed_special=())
-        return np.array(self.library.encode(fragment, add_special_tokens=False).ids, np.uint32)
+                size *= 2
+        yield part[at:]
+
+    def _part(self, part: bytes) -> tuple[np.ndarray, np.ndarray]:
+        made = [self._short([b])[0] for b in self._blocks(part)]
+        ids = np.concatenate(made)
+        return ids, np.array([len(ids)])
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts side by side (null: empty), and their number by text."""
+        whole = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
+        parts, owner = whole, np.arange(len(whole))
+        if self.special and any(s in x for x in whole for s in self.special):
+            split = [self.special_split.split(x) for x in whole]
+            parts, owner = [p for x in split for p in x], np.repeat(owner, [len(x) for x in split])
+        ids, counts, held, size = [np.empty(0, self.merger.width)], [], [], 0
+
+        def flush() -> None:
+            nonlocal held, size
+            if held:
+                for store, made in zip((ids, counts), self._short(held)):
+                    store.append(made)
+            held, size = [], 0
+
+        for p in parts:
+            if p in self.special or len(p) > BLOCK:
+                flush()
+                made = (np.array([self.special[p]], self.merger.width), np.ones(1, np.int64)) if p in self.special else self._part(p)
+                ids.append(made[0])
+                counts.append(made[1])
+                continue
+            held.append(p)
+            size += len(p)
+            if size > BLOCK:
+                flush()
+        flush()
+        return np.concatenate(ids), np.bincount(owner, np.concatenate([np.zeros(0), *counts]), len(whole)).astype(np.int64)
 
     def encode(self, text: str) -> np.ndarray:
-        """The text's ids (uint32)."""
-        if self.special_split and any(s in text for s in self.special):
-            parts = [np.array([self.special[p]], np.uint32) if p in self.special else self.encode(p) for p in self.special_split.split(text)]
-        elif len(text) <= 2 * FRAGMENT:
-            return self._fragment(text)
-        else:
-            parts = list(map(self._fragment, self.fragments(text)))
-        return np.concatenate(parts)
+        """The text's ids."""
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of ids side by side; ids that the vocabulary lacks give nothing, broken UTF-8 U+FFFD."""
+        ids = np.where((ids >= 0) & (ids < self.size), ids, self.size)
+        sizes = self.lengths[ids]
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        places = np.repeat(self.places[ids] - upto[:-1], sizes) + np.arange(upto[-1])
+        raw = self.flat[places].tobytes()
+        ends = upto[np.cumsum(counts)].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends], ends)]
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
 _loaded: dict[str, ByteBpe] = {}
@@ -164,20 +370,18 @@ def encoder(path: str) -> ByteBpe:
     return _loaded[path]
 
 
-def id_lists(encoded: list[np.ndarray]) -> pa.Array:
-    """Arrow list<int32> over encoded documents without a Python object for each id."""
-    offsets = np.zeros(len(encoded) + 1, np.int32)
-    np.cumsum([len(x) for x in encoded], out=offsets[1:])
-    flat = np.concatenate([np.empty(0, np.uint32), *encoded]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-
-
 def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds the ids of every text as array<int>.  Null and empty texts give an empty array; a column of that name is replaced."""
 
     def make():
         bpe = encoder(tokenizer)
-        return lambda batch: {out: id_lists([bpe.encode(x) for x in texts(batch, text)])}
+
+        def fn(batch):
+            ids, counts = bpe.encode_all(batch.column(text))
+            offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+            return {out: pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))}
+
+        return fn
 
     return append_columns(df, text, f"{out} array<int>", make)
 
@@ -187,6 +391,12 @@ def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "ids", out: str = "deco
 
     def make():
         bpe = encoder(tokenizer)
-        return lambda batch: {out: [bpe.decode(x or []) for x in batch.column(ids).to_pylist()]}
+
+        def fn(batch):
+            lists = batch.column(ids)
+            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            return {out: bpe.decode_all(lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False), counts)}
+
+        return fn
 
     return append_columns(df, ids, f"{out} string", make)

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tempograph.llm._common import slices, texts
+from tempograph.llm._common import slices
 from tempograph.llm.bpe import ByteBpe, encoder
 
 RUN, GRAIN = 1 << 20, 12
 #: Tokens of padding that a cut of each kind is worth: after a document, after a sentence, elsewhere.
-PENALTY = (0.0, 1.0, 3.0)
+PENALTY = (0.0, 16.0, 64.0)
 
 PIECES = "start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
@@ -104,7 +104,7 @@ def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(tokenizer)
-        tail = np.array([end_id], np.uint32)
+        tail = np.array([end_id], bpe.merger.width)
         base, done = TaskContext.get().partitionId() << 32, 0
         keys, docs, total = [], [], 0
 
@@ -123,9 +123,10 @@ def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
 
         for whole in batches:
             for batch in slices(whole, text):
-                for k, x in zip(batch.column(id_col).to_pylist(), texts(batch, text)):
+                ids, counts = bpe.encode_all(batch.column(text))
+                for k, x in zip(batch.column(id_col).to_pylist(), np.split(ids, np.cumsum(counts)[:-1])):
                     keys.append(k)
-                    docs.append(np.append(bpe.encode(x), tail))
+                    docs.append(np.append(x, tail))
                     total += len(docs[-1])
                     if total >= RUN:
                         yield flush()

@@ -8,10 +8,11 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tempograph.llm.bpe import bpe_decode, bpe_encode, encoder
-from tempograph.llm.packing import best_cuts, pack_documents
+from tempograph.llm.packing import PENALTY, best_cuts, candidates, pack_documents
 from tempograph.llm.token_files import Table, decode_block, encode_block, read_token_files, scaled, token_file_path, write_token_files
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -32,10 +33,45 @@ def test_encoding_is_the_librarys(text):
         assert bpe.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
-def test_certain_cuts_are_used():
+def pieces_of(text):
+    bpe, raw = encoder(BYTE), text.encode()
+    at = np.flatnonzero(bpe.cuts(raw, np.zeros(1, np.int64)))
+    return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]
+
+
+@pytest.mark.parametrize("text,most", [("ab1-" * 50_000, 2), ("漢字" * 50_000, 6), ("some words. " * 20, 6), ("short", 5), ("ünïcode\u3000ß", 9)])
+def test_every_text_is_cut_where_no_token_reaches(text, most):
+    bpe = encoder(BYTE)
+    inside = {t[i : i + 2] for t in bpe.bytes_of for i in range(len(t) - 1)}
+    pieces = pieces_of(text)
+    assert b"".join(pieces) == text.encode() and max(map(len, pieces)) <= most
+    ends = set(np.cumsum([len(w) for w, _ in bpe.pattern.pre_tokenize_str(text)]).tolist())  # a character of these stands for a byte
+    at = 0
+    for a, b in zip(pieces, pieces[1:]):
+        at += len(a)
+        assert at in ends or a[-1:] + b[:1] not in inside
+    assert all(p in np.cumsum([0, *map(len, pieces)]) for p in list(ends)[:50])
+
+
+def test_long_texts_are_encoded_in_blocks(monkeypatch):
+    bpe = encoder(BYTE)
+    texts = ["it's we'll ''s\n\n  x " * 300, "漢字テスト、" * 400, "é漢" * 900, "x" * 3000, " " * 900 + "a", "'s'll" * 500, "<|endoftext|>a" * 300, "ab1-" * 900]
+    want = [ids_of(t) for t in texts]
+    for block in (64, 333, 1000):
+        monkeypatch.setattr("tempograph.llm.bpe.BLOCK", block)
+        assert [bpe.encode(t).tolist() for t in texts] == want
+    monkeypatch.undo()
+    long = "One sentence of many, it's said. 漢字\n" * 60_000
+    assert bpe.encode(long).tolist() == ids_of(long)
+
+
+def test_memory_of_fragments_is_bounded(monkeypatch):
     bpe = encoder(BYTE)
-    assert bpe.engine is not None and not bpe.inside[ord("a"), ord(" ")]
-    assert len(list(bpe.fragments("some words. " * 1000))) > 5
+    monkeypatch.setattr("tempograph.llm.bpe.MEMO", 20)
+    bpe.memo = {}
+    for i in range(30):
+        text = " ".join(f"word{i}x{j}" for j in range(9))
+        assert bpe.encode(text).tolist() == ids_of(text) and len(bpe.memo) <= 40
 
 
 def test_broken_ids_decode_like_the_library():
@@ -67,6 +103,22 @@ def test_packing_is_optimal(steps):
     assert cost == pytest.approx(brute_force(at, penalty, 10))
 
 
+def test_whole_query_packs_at_the_least_cost(spark, rows):
+    """The windows of one partition cost what the plain recurrence over all candidate cuts finds."""
+    bpe = encoder(BYTE)
+    pieces = pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), BYTE).collect()
+    docs = [[*ids_of(t), 0] for _, t in rows]
+    ends = np.cumsum([len(d) for d in docs])
+    at, kind = candidates(np.concatenate(docs), ends, bpe.ends_sentence, bpe.opens_word)
+    at, price = [0, *at.tolist()], [0.0, *np.array(PENALTY)[kind].tolist()]
+    begins = dict(zip((k for k, _ in rows), [0, *ends.tolist()]))
+    stops = {}
+    for p in pieces:
+        stops[p.sequence_id] = max(stops.get(p.sequence_id, 0), begins[p.doc_id] + p.start + p.length)
+    chosen, paid = sorted(stops.values()), dict(zip(at, price))
+    assert sum(1024 - (b - a) + paid[b] for a, b in zip([0, *chosen], chosen)) == pytest.approx(brute_force(at, price, 1024))
+
+
 def test_pieces_cover_each_document_and_sequence(docs, rows, nothing):
     pieces = pack_documents(docs, BYTE).collect()
     by_doc, by_seq = {}, {}
@@ -119,8 +171,11 @@ def test_token_files_round_trip(spark, docs, rows, nothing):
 
 
 def test_repeated_and_null_ids(spark):
-    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (None, None)], "doc_id bigint, text string")
-    path = token_file_path(spark)
-    write_token_files(df, WORD, path, end_id=2, parts=2)
-    assert sorted(r.n_tokens for r in read_token_files(spark, path).collect()) == [1, 2, 3, 3]
-    assert pack_documents(df, BYTE).count() == 4
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "z"), (1, "c d e"), (None, "c"), (None, None)], "doc_id bigint, text string")
+    seen = []
+    for order in ("text", F.desc("text")):
+        path = token_file_path(spark)
+        write_token_files(df.repartition(3).orderBy(order), WORD, path, end_id=2, parts=2)
+        seen.append(sorted((r.start, r.n_tokens, bytes(r.ids)) for r in read_token_files(spark, path).collect()))
+    assert seen[0] == seen[1] and sorted(n for _, n, _ in seen[0]) == [1, 2, 2, 3, 3, 4]
+    assert pack_documents(df, BYTE).count() == 6
