@@ -72,9 +72,11 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
 
 
 def scratch(spark: SparkSession, what: str = "table") -> str:
-    """A fresh path in the folder that the cluster shares (``spark.checkpoint.dir``)."""
+    """A fresh path in the folder that the cluster shares (``spark.checkpoint.dir``); only a local session may do without that setting."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tempograph-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/tempograph-{what}-{uuid.uuid4().hex}"
@@ -120,6 +122,13 @@ def drop_cut(df: DataFrame) -> None:
         _made[:] = [m for m in _made if m[1] != path]
 
 
+def looked_up(df: DataFrame, keys: list[str], values: DataFrame, most: int) -> DataFrame:
+    """Inner join with a table of unique keys; the ``most`` keys of highest n are broadcast, so no key of many rows is shuffled."""
+    head = F.broadcast(values.orderBy(F.desc("n"), *keys).limit(most))
+    rest = df.join(F.broadcast(head.select(keys)), keys, "left_anti").join(values, keys)
+    return df.join(head, keys).unionByName(rest).drop("n")
+
+
 def utf8_crc(column: str):
     """crc32 of an id as decimal text, as the label folds use it."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -61,4 +61,34 @@ SECRETS = f"""with d as (select doc_id, coalesce(text, '') as text from document
     sha256(coalesce(string_agg(t, ',' order by a, rank) filter (where rank < 3), '')) as base_sha256, coalesce(string_agg(t, ',' order by a, rank), '') as spans
   from d left join every e on d.doc_id = e.doc_id group by d.doc_id"""
 
-ORACLES = {"op2_near_dup": NEAR_DUP, "op7_line_dedup": LINE_DEDUP, "op8_secrets": SECRETS}
+_RUN = "'[a-z]+'"
+URL_FILTER = f"""with recursive t as (select page_id, case when position('://' in coalesce(url, '')) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+  h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_LOWER}) as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from t),
+  rules(verdict, rule) as (values ('block', 'com/en/'), ('allow', 'example.com/en/7'), ('allow', 'net/de/'), ('block', 'example.net/de/8'), ('block', 'org/es/')),
+  fits as (select page_id, rule, verdict, row_number() over (partition by page_id order by length(rule) desc, rule desc) as k from h join rules r
+    on (host = split_part(rule, '/', 1) or ends_with(host, '.' || split_part(rule, '/', 1))) and starts_with(path, substr(rule, position('/' in rule)))),
+  p as (select h.*, rule, verdict as ruling from h left join (select * from fits where k = 1) f on h.page_id = f.page_id),
+  e as (select page_id, host, ruling, unnest(list_concat(regexp_extract_all(host, {_RUN}), regexp_extract_all(translate(path, {_LOWER}), {_RUN}))) as run from p),
+  counted as (select run, count(distinct host) as n from e group by run),
+  words as (select run as piece, n from counted where n > 1 and length(run) <= 24),
+  model as (select coalesce(sum(n), 0) + 1 as total, coalesce(max(length(piece)), 1) as most from words),
+  ends as (select run, unnest(range(1, length(run) + 1)) as j from counted),
+  spots as (select run, j, unnest(range(0, j)) as i from ends),
+  tried as (select s.run, s.j, s.i, case when w.n is null then ln(total) + 3.0 + 2.5 * (s.j - s.i) else ln(total) - ln(w.n) end as price
+    from spots s cross join model left join words w on w.piece = substr(s.run, s.i + 1, s.j - s.i) where s.i = 0 or s.j - s.i <= most),
+  steps as (select run, j, list(struct_pack(i := i, price := price) order by i) as ways from tried group by run, j),
+  best as (select run, 0 as j, [cast(0 as double)] as costs, [cast(0 as bigint)] as back from counted
+    union all select run, j, list_append(costs, least_way.cost), list_append(back, least_way.i) from (
+      select b.run, s.j, b.costs, b.back, list_sort(list_transform(s.ways, lambda w: struct_pack(cost := b.costs[w.i + 1] + w.price, i := w.i)))[1] as least_way from best b join steps s on s.run = b.run and s.j = b.j + 1)),
+  cut as (select run, cast(length(run) as bigint) as j, back from best where j = length(run)
+    union all select run, back[j + 1], back from cut where j > 0),
+  pieces as (select run, substr(run, back[j + 1] + 1, j - back[j + 1]) as word from cut where j > 0),
+  sums as (select word, count(*) filter (where ruling = 'block') as b, count(*) filter (where ruling = 'allow') as a from e join pieces using (run) where ruling is not null group by word),
+  classes as (select count(*) filter (where ruling = 'block') as nb, count(*) filter (where ruling = 'allow') as na from p),
+  sizes as (select sum(b) + count(*) as tb, sum(a) + count(*) as ta from sums),
+  odds as (select word, ln((b + 1) / tb) - ln((a + 1) / ta) as x from sums cross join sizes cross join classes where nb > 0 and na > 0),
+  scores as (select page_id, sum(coalesce(x, 0)) as s from e join pieces using (run) left join odds using (word) group by page_id)
+  select p.page_id, host, path, rule, coalesce(ruling, case when s is not null and nb > 0 and na > 0 and ln(nb / na) + s > 0 then 'block' else 'allow' end) as verdict
+  from p left join scores on p.page_id = scores.page_id cross join classes"""
+
+ORACLES = {"op6_url_filter": URL_FILTER, "op2_near_dup": NEAR_DUP, "op7_line_dedup": LINE_DEDUP, "op8_secrets": SECRETS}

@@ -4,15 +4,17 @@ import hashlib
 import math
 import random
 import re
+import string
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tempograph.llm import url_filter
 from tempograph.llm.quality_classifier import features, quality_scores, train
 from tempograph.llm.quality_rules import base_counts, quality_rules
 from tempograph.llm.secrets import ALLOWED, CLASSES, KINDS, WINDOW, described, redact, scan_secrets
-from tempograph.llm.url_filter import Rules, Segmenter, filter_urls, spelled
+from tempograph.llm.url_filter import Rules, Segmenter, filter_urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -85,54 +87,85 @@ def test_segmentation():
     words = Segmenter({"free": 50, "casino": 40, "bonus": 30, "a": 5})
     assert words.words("freecasinobonus-42") == ["free", "casino", "bonus"]
     assert words.words("qqq") == ["qqq"]
-    assert spelled("freebets", frozenset({"free", "bets"})) and not spelled("free", frozenset({"free"}))
 
 
 def test_urls(spark):
-    urls = [f"https://www.site{'abcdefg'[i % 7]}.example.org/fr/page{i}" for i in range(60)] + [f"http://freecasino.example.org/fr/win{i}" for i in range(6)]
-    odd = [None, "", "no scheme", "x://", "HTTP://UP.Example.com?q#f", "http://a.com/p#x", "http://spamfarm.example.org/x"]
-    df = spark.createDataFrame(list(enumerate([*urls, *odd])), "page_id bigint, url string")
-    out = {r.page_id: r for r in filter_urls(df, [("block", "org/es/")]).collect()}
-    assert all(out[i].verdict == "allow" for i in range(60)) and all(out[i].verdict == "block" for i in range(60, 66))
-    assert [(out[66 + i].host, out[66 + i].path) for i in range(6)] == [("", ""), ("", ""), ("", ""), ("", ""), ("up.example.com", ""), ("a.com", "/p")]
-    assert out[66].verdict == "allow" and out[72].verdict == "block"
-    assert filter_urls(df.limit(0), []).collect() == []
-
-
-def brute_verdicts(urls):
-    """Both models over all runs and words, in dicts."""
-    runs = [re.findall("[a-z]+", (u or "").partition("://")[2].lower()) for u in urls]
-    counts = Counter(r for x in runs for r in x)
-    counts = {r: n for r, n in counts.items() if len(r) <= 24 and not spelled(r, url_filter.WORD_SEEDS)}
-    floor = 1 + max(counts.values()) // 1000
-    model = Segmenter(counts | {w: max(counts.get(w, 0), floor) for w in url_filter.WORD_SEEDS})
-    pages = [[w for r in x for w in model._split(r)] for x in runs]
-    sums = {True: Counter(), False: Counter()}
-    kinds = [not url_filter.BLOCK_SEEDS.isdisjoint(x) for x in pages]
-    for kind, x in zip(kinds, pages):
-        sums[kind].update(x)
-    words = set(sums[True]) | set(sums[False])
-    total = {k: sum(c.values()) + len(words) + 1 for k, c in sums.items()}
-    prior = math.log((sum(kinds) + 1) / (len(kinds) - sum(kinds) + 1))
-    odds = {w: math.log((sums[True][w] + 1) / total[True]) - math.log((sums[False][w] + 1) / total[False]) for w in words}
-    return [prior + sum(odds[w] for w in x) if x else min(prior, -1.0) for x in pages]
+    hosts = ["casinofree", "freebonus", "bonuscasino", "riverstone", "stonecloud", "cloudriver"]
+    urls = [f"https://{h}.example.org/{'es' if i < 3 else 'de'}/page{k}" for i, h in enumerate(hosts) for k in range(10)]
+    urls += [f"https://{w}.example.com/x" for w in ("casino", "free", "bonus", "river", "stone", "cloud") for _ in range(2)]
+    urls += [f"https://www.{w}.example.com/x" for w in ("casino", "free", "bonus", "river", "stone", "cloud")]
+    fresh = ["http://freecasinobonus.example.net/", "http://cloudstone.example.net/"]
+    odd = [None, "", "no scheme", "x://", "HTTP://UP.Example.com?q#f", "http://a.com/p#x"]
+    df = spark.createDataFrame(list(enumerate([*urls, *fresh, *odd])), "page_id bigint, path string").withColumn("Verdict", F.lit(1))
+    rules = [("block", "org/es/"), ("allow", "org/de/")]
+    out = {r.page_id: r for r in filter_urls(df, rules, url="path").collect()}
+    n = len(urls)
+    assert [out[i].verdict for i in range(60)] == ["block"] * 30 + ["allow"] * 30
+    assert out[n].verdict == "block" and out[n + 1].verdict == "allow" and out[n].rule is None
+    assert [(out[n + 2 + i].host, out[n + 2 + i].path) for i in range(6)] == [("", ""), ("", ""), ("", ""), ("", ""), ("up.example.com", ""), ("a.com", "/p")]
+    assert all(out[n + 2 + i].verdict == "allow" for i in range(4))
+    assert filter_urls(df, rules, url="path").columns == ["page_id", "host", "path", "rule", "log_odds", "verdict"]
+    assert filter_urls(df.limit(0), [], url="path").collect() == []
+    assert {r.verdict for r in filter_urls(df, [("block", "org/es/")], url="path").where("rule is null").collect()} == {"allow"}
+
+
+def brute_verdicts(urls, rules, longest=24):
+    """Rules, unigram Viterbi over every cut of a run, and Bayes over all words, in dicts."""
+    hosts, paths = [], []
+    for u in urls:
+        rest = (u or "").partition("://")[2]
+        host = re.match("[^/?#]*", rest)[0]
+        hosts.append("".join(c.lower() if c in string.ascii_uppercase else c for c in host))
+        paths.append(re.match("[^?#]*", rest[len(host) :])[0])
+    runs = [re.findall("[a-z]+", (h + " " + p).translate(url_filter.DOWN)) for h, p in zip(hosts, paths)]
+    holders = {}
+    for h, x in zip(hosts, runs):
+        for r in x:
+            holders.setdefault(r, set()).add(h)
+    counts = {r: len(h) for r, h in holders.items() if len(h) > 1 and len(r) <= longest}
+    total, most = sum(counts.values()) + 1, max(map(len, counts), default=1)
+    known = {}
+
+    def split(run):
+        if not run:
+            return 0.0, 0, ()
+        if run not in known:
+            price = lambda w: math.log(total / counts[w]) if w in counts else math.log(total) + 3 + 2.5 * len(w)
+            known[run] = min((round(split(run[:i])[0] + price(run[i:]), 9), i, (*split(run[:i])[2], run[i:])) for i in range(len(run)) if i == 0 or len(run) - i <= most)
+        return known[run]
+
+    pages = [[w for r in x for w in split(r)[2]] for x in runs]
+    ruling = []
+    for h, p in zip(hosts, paths):
+        fits = [(len(t), t, v) for v, t in rules if ("." + h).endswith("." + t.partition("/")[0]) and p.startswith("/" + t.partition("/")[2])]
+        ruling.append(max(fits)[1:] if fits else (None, None))
+    sums = {k: Counter(w for x, (_, v) in zip(pages, ruling) if v == k for w in x) for k in ("block", "allow")}
+    n = Counter(v for _, v in ruling)
+    words = set(sums["block"]) | set(sums["allow"]) if n["block"] and n["allow"] else set()
+    size = {k: sum(c.values()) + len(words) for k, c in sums.items()}
+    prior = math.log(n["block"] / n["allow"]) if n["block"] and n["allow"] else -1.0
+    odds = {w: math.log((sums["block"][w] + 1) / size["block"]) - math.log((sums["allow"][w] + 1) / size["allow"]) for w in words}
+    return [(*r, prior + sum(odds.get(w, 0.0) for w in x) if x else min(prior, -1.0)) for x, r in zip(pages, ruling)]
 
 
 @pytest.mark.parametrize("held", [3, 100_000])
-def test_all_words_of_urls_count(spark, monkeypatch, held):
+@pytest.mark.parametrize("rules", [[("block", "com/en/"), ("allow", "net/de/"), ("allow", "example.com/en/7"), ("block", "org/es/")], [("block", "org/es/")], []])
+def test_all_words_of_urls_count(spark, monkeypatch, held, rules):
     monkeypatch.setattr(url_filter, "VOCABULARY", held)
-    monkeypatch.setattr(url_filter, "TEXTS", 2, raising=False)
+    monkeypatch.setattr(url_filter, "TEXTS", 2)
     rng = random.Random(9)
-    stems = ["".join(rng.choice("abcdeinorst") for _ in range(rng.randrange(2, 9))) for _ in range(150)]
-    seeds = ["casino", "poker", "torrent", "viagra", "free", "news"]
-    urls = [f"http://{rng.choice(stems)}{rng.choice(stems)}.example.org/{rng.choice(stems)}/{rng.choice(stems)}{rng.choice(seeds) if rng.random() < 0.3 else ''}" for _ in range(400)]
-    urls += [None, "", "x://", f"http://{'qz' * 40}.org/{stems[0]}"] + [f"http://{stems[1]}{stems[2]}.org/same"] * 60
+    stems = ["".join(rng.choice("abcdeinorst") for _ in range(rng.randrange(2, 9))) for _ in range(60)]
+    urls = [f"http://{rng.choice(stems)}{rng.choice(stems)}.example.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.choice([7, 'x'])}{rng.choice(stems)}" for _ in range(400)]
+    urls += [None, "", "x://", f"http://{'qz' * 40}.org/{stems[0]}", f"http://{'ab' * 3000}.com/en/"] + [f"http://{stems[1]}{stems[2]}.org/same"] * 60
     df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").repartition(3)
-    out = {r.page_id: r for r in filter_urls(df, []).collect()}
-    want = brute_verdicts(urls)
+    out = {r.page_id: r for r in filter_urls(df, rules).collect()}
+    want = brute_verdicts(urls, rules)
     assert len(out) == len(urls)
-    assert [out[i].log_odds for i in range(len(urls))] == pytest.approx(want, abs=1e-9)
-    assert [out[i].verdict for i in range(len(urls))] == ["block" if x > 0 else "allow" for x in want]
+    assert [out[i].rule for i in range(len(urls))] == [w[0] for w in want]
+    assert [out[i].log_odds for i in range(len(urls))] == pytest.approx([w[2] for w in want], abs=1e-6)
+    assert [out[i].verdict for i in range(len(urls))] == [w[1] or ("block" if w[2] > 0 else "allow") for w in want]
+    if len(rules) > 1:
+        assert len({w[1] or w[2] > 0 for w in want}) > 2
 
 
 ASSIGN = re.compile(r"((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
