@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,6 +129,19 @@ def looked_up(df: DataFrame, keys: list[str], values: DataFrame, most: int) -> D
     return df.join(head, keys).unionByName(rest).drop("n")
 
 
+def bitmap(df: DataFrame, place: Column, bits: int) -> bytes:
+    """A bitmap (bit i is bit i % 8 of byte i // 8) of the places of all rows, below ``bits``, a multiple of 32,768.
+
+    Tasks send bitmaps of 4 KB, so the driver gets ``bits / 8`` bytes at most, whatever the number of rows.
+    """
+    at = (place + 1).cast("bigint")  # Spark counts its buckets and places from 1 on
+    rows = df.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = bytearray(bits // 8)
+    for r in rows:
+        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = r["bits"]
+    return bytes(out)
+
+
 def utf8_crc(column: str):
     """crc32 of an id as decimal text, as the label folds use it."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

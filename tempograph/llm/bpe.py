@@ -146,9 +146,8 @@ class Merger:
                 offer(before[i], i)
         return np.array([x for x in own if x >= 0])
 
-    def merged(self, fragments: list[bytes], first: np.ndarray, last: np.ndarray | None = None) -> list[bytes]:
-        """Packed ids of each fragment, whose bytes ``first`` maps to ids (the last byte of each: ``last``, if given)."""
-        last = first if last is None else last
+    def merged(self, fragments: list[bytes], first: np.ndarray) -> list[bytes]:
+        """Packed ids of each fragment, whose bytes ``first`` maps to ids."""
         out: list[bytes] = [b""] * len(fragments)
         lengths = defaultdict(list)
         for i, f in enumerate(fragments):
@@ -156,11 +155,10 @@ class Merger:
         for length, own in lengths.items():
             if length > WIDE:
                 for i in own:
-                    symbols = np.frombuffer(fragments[i], np.uint8)
-                    out[i] = self.one(np.append(first[symbols[:-1]], last[symbols[-1]])).astype(self.width).tobytes()
+                    out[i] = self.one(first[np.frombuffer(fragments[i], np.uint8)]).astype(self.width).tobytes()
             elif length:
                 symbols = np.frombuffer(b"".join([fragments[i] for i in own]), np.uint8).reshape(-1, length)
-                for number, ids in self.rows(np.hstack((first[symbols[:, :-1]], last[symbols[:, -1:]]))):
+                for number, ids in self.rows(first[symbols]):
                     packed, step = ids.astype(self.width).tobytes(), ids.shape[1] * int(self.width[2])
                     for k, i in enumerate(number.tolist()):
                         out[own[i]] = packed[k * step : (k + 1) * step]

@@ -4,17 +4,22 @@ The distinct hashes of lines found in several documents are dealt into shards of
 bounded size.  Each shard is indexed by a minimal perfect hash (levels of bit
 arrays; a key's rank is its slot) over compact arrays: a fingerprint, a count of
 documents and the smallest document id.  A document sends each shard the hashes
-of its own lines and probes the arrays there; no line is joined with a line.
+of its own lines and probes the arrays there; no line is joined with a line.  A
+bitmap of ``FILTER`` bits at most, which every task holds, keeps back hashes that no
+shard has; when repeated keys outgrow it, it lets more through and nothing else changes.
 Within a task a shard's arrays come first and then its probes, in a stream, so a
-task holds one shard at a time; each shard's probes are salted over ``SALTS``
-tasks, and documents with very many lines send them in several rows.
+task holds one shard at a time.  The number of documents that hold a shard's keys is
+known when it is built, and its probes are dealt over as many tasks as keep each
+near ``TARGET`` hashes, so a line that a third of all documents share is spread; documents
+with very many lines send them in several rows.
 
 A line's key is the line without the ASCII white space at its ends and with A-Z
 lower-cased; keys shorter than ``min_chars`` code points are left alone.  Hashes
 have 128 bits: one half finds the slot, the other is the fingerprint.
 
 A null or empty text is one empty line.  Rows that repeat an id count as one
-document.  Rows with a null id pass unchanged and don't count as documents.
+document.  Rows with a null id pass unchanged and don't count as documents.  Ids are
+compared as bigint; the cast raises for a text that isn't a number.
 """
 
 from __future__ import annotations
@@ -22,12 +27,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tempograph.llm._common import append_columns, cut, drop_cut, texts
+from tempograph.llm._common import append_columns, bitmap, cut, drop_cut, texts
 
-SHARD, SALTS, PROBES = 1 << 18, 4, 4096
+SHARD, TARGET, PROBES, FILTER = 1 << 18, 1 << 20, 4096, 1 << 26
 WHITE = b" \t\n\x0b\x0c\r"
 
 
@@ -137,32 +142,43 @@ def build_shards(repeated: DataFrame, shards: int) -> DataFrame:
     return repeated.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(build, SHARDS)
 
 
-def probe_rows(df: DataFrame, shards: int, min_chars: int) -> DataFrame:
-    """(shard, salt, node, hashes): each row's distinct keys by shard, in rows of bounded length."""
+def salts_of(loads: dict[int, int], shards: int, others: float, least: int) -> np.ndarray:
+    """Number of tasks for each shard's probes, from the documents that hold its keys and an even part of the other hashes."""
+    own = np.array([loads.get(i, 0) for i in range(shards)]) + others / shards
+    return np.maximum(np.ceil(own / TARGET).astype(np.int64), -(-least // shards))
+
+
+def probe_rows(df: DataFrame, salts: np.ndarray, seen, bits: int, min_chars: int) -> DataFrame:
+    """(shard, task, node, hashes): each row's distinct keys that the bitmap ``seen`` lets through, in rows of bounded length."""
+    shards, before = len(salts), np.cumsum(salts) - salts
 
     def run(batches):
+        held = np.unpackbits(np.frombuffer(seen.value, np.uint8), bitorder="little").view(bool)
         for batch in batches:
-            rows = {"shard": [], "salt": [], "node": [], "hashes": []}
+            rows = {"shard": [], "task": [], "node": [], "hashes": []}
             for node, text in zip(batch.column("node").to_pylist(), texts(batch, "text")):
                 own = b"".join(sorted(set(filter(None, line_keys(text, min_chars)[1]))))
                 both = np.frombuffer(own, "<i8").reshape(-1, 2)
+                both = both[held[both[:, 1] % bits]]
                 shard = both[:, 0] % shards
                 for s in np.unique(shard).tolist():
                     part = both[shard == s]
                     for at in range(0, len(part), PROBES):
                         rows["shard"].append(s)
-                        rows["salt"].append((node + at // PROBES) % SALTS)
+                        rows["task"].append(int(before[s] + (node + at // PROBES) % salts[s]))
                         rows["node"].append(node)
                         rows["hashes"].append(part[at : at + PROBES].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows[c], t) for c, t in (("shard", pa.int32()), ("salt", pa.int32()), ("node", pa.int64()), ("hashes", pa.binary()))], names=list(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c], t) for c, t in (("shard", pa.int32()), ("task", pa.int32()), ("node", pa.int64()), ("hashes", pa.binary()))], names=list(rows))
 
-    return df.mapInArrow(run, "shard int, salt int, node bigint, hashes binary")
+    return df.mapInArrow(run, "shard int, task int, node bigint, hashes binary")
 
 
-def probe(shards: DataFrame, probes: DataFrame) -> DataFrame:
+def probe(shards: DataFrame, salts: np.ndarray, probes: DataFrame) -> DataFrame:
     """(node, h, f): keys that a document must lose, for the document that holds them first keeps them."""
-    names = ["shard", "salt", "node", "hashes", "slot_levels", "level_sizes", "rest", "fingerprints", "counts", "owners"]
-    salted = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    names = ["shard", "task", "node", "hashes", "slot_levels", "level_sizes", "rest", "fingerprints", "counts", "owners"]
+    ends = np.cumsum(salts)
+    tasks = shards.sparkSession.createDataFrame([(i, int(e - n), int(e - 1)) for i, (n, e) in enumerate(zip(salts, ends))], "shard int, a int, b int")
+    salted = shards.join(tasks, "shard").withColumn("task", F.explode(F.sequence("a", "b")))
     rows = salted.unionByName(probes, allowMissingColumns=True).select(names)
 
     def run(batches):
@@ -184,17 +200,27 @@ def probe(shards: DataFrame, probes: DataFrame) -> DataFrame:
             both = np.concatenate([np.empty((0, 2), np.int64), *lost])
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["node", "h", "f"])
 
-    dealt = rows.repartition(F.col("shard"), F.col("salt")).sortWithinPartitions("shard", "salt", F.col("hashes").isNotNull())
+    dealt = rows.repartitionById(int(salts.sum()), F.col("task")).sortWithinPartitions("shard", F.col("hashes").isNotNull())
     return dealt.mapInArrow(run, "node bigint, h bigint, f bigint")
 
 
 def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = 10) -> DataFrame:
     """The rows with their text's repeated lines gone (a null text becomes empty), and n_lines (before) and n_dropped."""
+    spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("bigint").alias("node"), F.col(text).alias("text")).where("node is not null")
-    repeated = cut(key_rows(docs, min_chars).groupBy("h", "f").agg(F.min("node").alias("owner"), F.max("node").alias("last"), F.count("*").alias("documents")).where("owner < last").drop("last"), "line-keys")
-    shards = max(1, -(-repeated.count() // SHARD))
+    every = Observation()
+    keys = key_rows(docs, min_chars).groupBy("h", "f").agg(F.min("node").alias("owner"), F.max("node").alias("last"), F.count("*").alias("documents"))
+    repeated = cut(keys.observe(every, F.coalesce(F.sum("documents"), F.lit(0)).alias("n")).where("owner < last").drop("last"), "line-keys")
+    n_keys = repeated.count()
+    shards = max(1, -(-n_keys // SHARD))
     built = cut(build_shards(repeated, shards), "line-shards")
-    lost = probe(built, probe_rows(docs, shards, min_chars)).distinct()
+    bits = min(FILTER, 1 << max(15, (16 * n_keys).bit_length()))
+    seen = bitmap(repeated, F.pmod("f", F.lit(bits)), bits)
+    # A row for each SHARD repeated keys.
+    loads = {r["shard"]: r["n"] for r in repeated.groupBy(F.pmod("h", F.lit(shards)).cast("int").alias("shard")).agg(F.sum("documents").alias("n")).collect()}
+    others = (every.get["n"] - sum(loads.values())) * (1 - np.exp(-n_keys / bits))
+    salts = salts_of(loads, shards, others, spark.sparkContext.defaultParallelism)
+    lost = probe(built, salts, probe_rows(docs, salts, spark.sparkContext.broadcast(seen), bits, min_chars)).distinct()
     # As many keys for a document as it has lines.
     by_doc = lost.groupBy("node").agg(F.collect_list("h").alias("__h"), F.collect_list("f").alias("__f")).withColumnRenamed("node", "__node")
     joined = df.join(by_doc, F.col(id_col).cast("bigint") == F.col("__node"), "left").drop("__node")

@@ -2,47 +2,64 @@
 
 A document's set is its distinct word shingles.  Its signature has ``chunks`` x
 ``WIDTH`` MinHash values of 32 bits; the distance of two signatures is the number
-of positions that differ.  The signature is split into chunks.  By the pigeonhole
-principle, two signatures at a distance under ``2 * chunks`` agree on some chunk
-in all positions but one at most; so for each chunk and each position left out,
-the others form an index key, and every such pair shares a key.  ``chunks`` is the
-least number for which a pair at the similarity threshold misses all keys with a
-probability below ``MISS`` (a pair of similar sets has signatures that differ in
-a share of 1 - similarity of the positions).
+of positions that differ, and pairs at a distance under ``2 * chunks`` are wanted.
+The signature is split into chunks.  By the pigeonhole principle, two signatures
+under that distance agree on some chunk in all positions but one at most; so for
+each chunk and each position left out, the others form an index key, and every
+wanted pair shares a key.  ``chunks`` is the least number for which a pair at the
+similarity threshold is at a greater distance with a probability below ``MISS`` (two
+sets have signatures that differ in a share of 1 - similarity of the positions);
+more similar pairs are missed less.  Nothing else loses a link.
 
 Documents with equal sets are first joined to one class.  In the index each class
 is compared with one leader of its buckets (the class that meets the most others);
 links are confirmed on full sets.  What then still meets in a bucket but not in a
-component is compared in the join itself, without making pairs of it, by two
-tests: an upper bound of the overlap that is exact (a shingle that no other
-class in question has cannot be shared), and the Hamming distance of ``BITS`` one-bit
-MinHash values, five deviations wide.  Pairs that pass are confirmed on full sets.
-So no link is lost, and a large group of near copies doesn't make its square of pairs.
+component is joined without walking through its buckets pair by pair: two sets at
+the similarity share one of the rarest shingles of each (of n shingles, those that
+can't all be outside the overlap that the similarity needs), so classes are joined
+on those, and tested by size, by the distance of their signatures and then on full
+sets.  A bucket of many classes that stay apart has few such meetings, and a large
+group of near copies doesn't make its square of pairs.
+
+Sets are compared as 64-bit hashes of their shingles and equal sets by 128-bit
+digests: two of n shingles collide with a probability under n**2 / 2**65, two of m
+sets with one under m**2 / 2**129.
 
 Null and empty texts have no set: they are linked with nothing and kept.  Rows
-that repeat an id count as one document.  A null id is never linked.
+that repeat an id and text count once.  Rows that repeat an id with several texts
+have each text's component; they share links where that id is the smallest of the
+classes of these texts.  A null id is never linked.  Ids are compared as bigint; the
+cast raises for a text that isn't a number.  Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempograph.llm._common import append_columns, cut, drop_cut, slices, texts
+from tempograph.llm._common import append_columns, cut, drop_cut, looked_up, slices, texts
 from tempograph.llm._graph import components
 from tempograph.llm.bpe import Memo
 
-WIDTH, MISS, BITS = 4, 2e-6, 1024
+WIDTH, MISS = 4, 4e-6
+#: Keys of most rows whose values are sent to all tasks in a join, and pairs of one class that a task confirms at once.
+HEAVY, GROUP = 1000, 500
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def chunks_for(similarity: float) -> int:
-    p = similarity
-    lost = 1 - p**WIDTH - WIDTH * (1 - p) * p ** (WIDTH - 1)
-    return max(2, int(np.ceil(np.log(MISS) / np.log(lost)))) if lost < 1 else 2
+    """Least number of chunks for which a pair at the similarity is under the distance 2 * chunks but for a chance of MISS."""
+    for chunks in range(2, 200):
+        n, p = chunks * WIDTH, 1 - similarity
+        beyond = sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(2 * chunks, n + 1))
+        if beyond <= MISS:
+            return chunks
+    raise ValueError(f"similarity {similarity} is too low for this index")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -101,58 +118,25 @@ class Signer:
         return out.reshape(len(parts), -1).view(np.int64)
 
 
-def furthest(similarity: float) -> int:
-    """Differing one-bit MinHash values that a pair at the similarity may have: the mean and five deviations."""
-    p = (1 - similarity) / 2
-    return int(np.ceil(BITS * p + 5 * np.sqrt(BITS * p * (1 - p))))
-
-
-class BitSigner:
-    """BITS one-bit MinHash values of a set, packed into 64-bit words."""
-
-    def __init__(self):
-        seeds = mixed(np.arange(1, 2 * BITS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-        self.a, self.b = (seeds[:BITS] | np.uint64(1))[:, None], seeds[BITS:][:, None]
-
-    def __call__(self, shingles: np.ndarray) -> np.ndarray:
-        out = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(shingles), 512):
-            out = np.minimum(out, (shingles[at : at + 512] * self.a + self.b).min(axis=1))
-        return np.packbits((mixed(out) & np.uint64(1)).astype(np.uint8)).view(np.int64)
-
-
 def shingle_rows(held: DataFrame, shingle: int) -> DataFrame:
-    """(node, s) for each shingle of each text."""
+    """(node, d, n, s) for each shingle of each text; d is a digest of its set of n."""
 
     def run(batches):
         shingler = Shingler(shingle)
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = [shingler(x) for x in texts(batch, "text")]
-                nodes = np.repeat(batch.column("node").to_numpy(), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["node", "s"])
-
-    return held.mapInArrow(run, "node bigint, s bigint")
-
+                sizes = np.array([len(s) for s in sets], np.int64)
+                digests = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                columns = [batch.column("node").to_numpy(), digests, sizes]
+                arrays = [pa.array(np.repeat(c, sizes), pa.int64()) for c in columns]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["node", "d", "n", "s"])
 
-def bit_rows(held: DataFrame, shingle: int) -> DataFrame:
-    """The rows with w0.. added, the words of the one-bit signature."""
-    words = [f"w{i}" for i in range(BITS // 64)]
-
-    def make():
-        shingler, signer = Shingler(shingle), BitSigner()
-
-        def fn(batch):
-            made = np.array([signer(shingler(x)) for x in texts(batch, "text")], np.int64).reshape(-1, len(words))
-            return {w: pa.array(made[:, i].copy()) for i, w in enumerate(words)}
-
-        return fn
-
-    return append_columns(held, "text", ", ".join(f"{w} bigint" for w in words), make)
+    return held.mapInArrow(run, "node bigint, d bigint, n bigint, s bigint")
 
 
 def sketch(df: DataFrame, id_col: str, text: str, shingle: int, chunks: int) -> DataFrame:
-    """node, n_shingles, h1, h2 (128-bit digest of the set) and keys of every row."""
+    """node, n_shingles, h1, h2 (128-bit digest of the set), signature and keys of every row."""
 
     def make():
         shingler, signer = Shingler(shingle), Signer(chunks)
@@ -160,23 +144,33 @@ def sketch(df: DataFrame, id_col: str, text: str, shingle: int, chunks: int) ->
         def fn(batch):
             sets = [shingler(x) for x in texts(batch, text)]
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
-            keys = signer.keys(np.array([signer.signature(s) for s in sets], np.uint32).reshape(len(sets), -1))
+            signatures = np.array([signer.signature(s) for s in sets], np.uint32).reshape(len(sets), -1)
+            keys = signer.keys(signatures)
             offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1])
             return {
                 "n_shingles": [len(s) for s in sets],
                 "h1": pa.array(digests[:, 0].copy()),
                 "h2": pa.array(digests[:, 1].copy()),
+                "signature": pa.ListArray.from_arrays(offsets, pa.array(signatures.ravel().view(np.int32))),
                 "keys": pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
             }
 
         return fn
 
     docs = df.select(F.col(id_col).cast("bigint").alias("node"), F.col(text).alias("text"))
-    return append_columns(docs, "text", "n_shingles bigint, h1 bigint, h2 bigint, keys array<bigint>", make).drop("text")
+    return append_columns(docs, "text", "n_shingles bigint, h1 bigint, h2 bigint, signature array<int>, keys array<bigint>", make).drop("text")
+
+
+def distance(x: Column, y: Column) -> Column:
+    """Positions in which two signatures differ."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: (a != b).cast("int")), F.lit(0), lambda n, d: n + d)
 
 
 def confirm(pairs: DataFrame, held: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets reach the similarity.  held: (node, text)."""
+    """Those of the pairs (a, b) whose full sets reach the similarity.  held: (node, text).
+
+    A class ``a`` of many pairs is dealt over as many groups as keep each near GROUP pairs.
+    """
 
     def run(batches):
         shingler = Shingler(shingle)
@@ -192,55 +186,73 @@ def confirm(pairs: DataFrame, held: DataFrame, shingle: int, percent: int) -> Da
                     keep.append(both > 0 and 100 * both >= percent * (len(own) + len(other) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    groups = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("groups", F.ceil(F.col("n") / GROUP).cast("int"))
+    dealt = looked_up(pairs, ["a"], groups, HEAVY).select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"))
     right = held.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    left = held.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    left = held.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(groups, "a")
+    left = left.select("a", "text_a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"))
+    joined = dealt.join(right, "b").join(left, ["a", "g"]).select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
+def rarest(apart: DataFrame, held: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, s): of each class, the shingles of which a set at the similarity must share one; those that no other class has are left out.
+
+    apart: (node).  Shingles are ranked by the number of classes that have them, and then by value.
+    """
+    sets = cut(shingle_rows(held.join(apart, "node"), shingle), "sets")
+    counts = cut(sets.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "shared-shingles")
+    shared = looked_up(sets.withColumnRenamed("n", "size"), ["s"], counts.withColumn("n", F.col("c")), HEAVY)
+    by_node = Window.partitionBy("node", "d")
+    ranked = shared.withColumns({"r": F.row_number().over(by_node.orderBy("c", "s")), "m": F.count("*").over(by_node)})
+    # Those that no other class has come first: n - m of them.
+    least = F.floor((percent * F.col("size") + 99) / 100)
+    found = ranked.where(F.col("size") - F.col("m") + F.col("r") <= F.col("size") - least + 1)
+    out = cut(found.select("node", "s").distinct(), "rarest")
+    drop_cut(sets)
+    drop_cut(counts)
+    return out
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; component_id is the smallest id reachable by links."""
     chunks = chunks_for(percent / 100)
     sketches = cut(sketch(df, id_col, text, shingle, chunks), "sketches")
     some = sketches.where("n_shingles > 0 and node is not null")
-    classes = cut(some.groupBy("h1", "h2").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
+    classes = cut(some.groupBy("h1", "h2").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("keys").alias("keys")), "classes")
     keyed = classes.select("node", "n", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     shared = cut(keyed.join(buckets, "key"), "shared")
-    held = cut(df.select(F.col(id_col).cast("bigint").alias("node"), F.col(text).alias("text")).join(shared.select("node").distinct(), "node", "left_semi"), "texts")
+    held = cut(df.select(F.col(id_col).cast("bigint").alias("node"), F.col(text).alias("text")).where("text is not null").join(shared.select("node").distinct(), "node", "left_semi").withColumn("t", F.xxhash64("text")).dropDuplicates(["node", "t"]).drop("t"), "texts")
+    signatures = classes.select("node", "n", "signature")
+    one, two = (signatures.toDF(*(f"{c}_{s}" for c in signatures.columns)) for s in "ab")
+    able = (
+        (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        & (distance(F.col("signature_a"), F.col("signature_b")) < 2 * chunks)
+    )
 
     # A class and the leader of most of its buckets; a bucket's leader is the class that meets the most others.
     meets = shared.join(shared.groupBy("node").agg(F.sum("members").alias("met")), "node")
     leaders = meets.groupBy("key").agg(F.max(F.struct("met", F.negative("node").alias("l"))).alias("m")).select("key", F.negative("m.l").alias("leader"))
     votes = shared.join(leaders, "key").where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"))
     star = votes.groupBy("node").agg(F.max(F.struct("votes", F.negative("leader").alias("l"))).alias("m")).select(F.negative("m.l").alias("a"), F.col("node").alias("b"))
-    links = cut(confirm(star, held, shingle, percent), "links")
+    wide = looked_up(star, ["a"], one.withColumnRenamed("node_a", "a").join(star.groupBy("a").agg(F.count("*").alias("n")), "a"), HEAVY)
+    links = cut(confirm(wide.join(two.withColumnRenamed("node_b", "b"), "b").where(able).select("a", "b").distinct(), held, shingle, percent).distinct(), "links")
     # What meets in a bucket but isn't known to be in one component: known is what leads to one leader in two steps.
     up = links.select(F.col("b").alias("node"), F.col("a").alias("one"))
     known = up.join(links.select(F.col("b").alias("one"), F.col("a").alias("two")), "one", "left").select("node", F.coalesce("two", "one").alias("component"))
     tagged = shared.join(known, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     mixed_keys = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    apart = cut(tagged.join(mixed_keys, "key", "left_semi"), "apart")
-    there = apart.select("node", "n").distinct()
-    texts_there = held.join(there, "node")
-    alone = shingle_rows(texts_there.select("node", "text"), shingle).groupBy("s").agg(F.count("*").alias("c"), F.max("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    most = texts_there.join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))).where(100 * F.col("most") >= percent * F.col("n"))
-    able = cut(bit_rows(most, shingle).drop("text", "alone", "n").join(classes.select("node", "keys"), "node"), "able")
-    rows = apart.join(able, "node")
-    x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "key")) for s in "xy")
-    c = F.least("most_x", "most_y")
-    apart_bits = sum((F.bit_count(F.col(f"w{i}_x").bitwiseXOR(F.col(f"w{i}_y"))) for i in range(1, BITS // 64)), F.bit_count(F.col("w0_x").bitwiseXOR(F.col("w0_y"))))
-    meet = (
-        (x["key"] == y["key"])
-        & (F.col("node_x") < F.col("node_y"))
-        & (F.col("component_x") != F.col("component_y"))
-        & (100 * c >= percent * (F.col("n_x") + F.col("n_y") - c))
-        & (apart_bits <= furthest(percent / 100))
-        & (F.array_min(F.array_intersect("keys_x", "keys_y")) == x["key"])  # once, though they meet in several buckets
-    )
-    rest = x.join(y, meet).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-    more = cut(confirm(rest, held, shingle, percent), "links")
+    apart = cut(tagged.join(mixed_keys, "key", "left_semi").select("node", "n", "component").distinct(), "apart")
+    rare = rarest(apart.select("node").distinct(), held, shingle, percent)
+    rows = rare.join(apart.select("node", "component").distinct().join(signatures, "node"), "node")
+    a, b = (rows.toDF(*("s" if c == "s" else f"{c}_{t}" for c in rows.columns)) for t in "ab")
+    rest = a.join(b, "s").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & able)
+    pairs = cut(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
+    more = cut(confirm(pairs, held, shingle, percent).distinct(), "links")
     final = components(links.union(more))
+    for done in (shared, held, apart, rare, pairs, links, more):
+        drop_cut(done)
 
     by_class = classes.select("h1", "h2", F.col("node").alias("rep"))
     labels = by_class.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))

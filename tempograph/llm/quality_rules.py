@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograph.llm._common import append_columns, slices, texts
+from tempograph.llm._common import append_columns, bitmap, slices, texts
 
-BUCKETS, NGRAM, PRIOR, FILTER = 1 << 16, 4, 10_000, 1 << 20
+BUCKETS, NGRAM, PRIOR, FILTER, FAN = 1 << 16, 4, 10_000, 1 << 20, 64
 SYMBOLS = b"#*$%&|<>"
 FACTOR = np.uint32(0x9E3779B1)
 
@@ -66,19 +66,30 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """N-gram counts over all rows' ``text``.  A task sends a row for each bucket, so the driver gets a fixed number of rows."""
+    """N-gram counts over all rows' ``text``.  A task sends one packed array; arrays are added up in a tree of FAN arrays a task."""
 
-    def run(batches):
+    def packed(counts):
+        return pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], names=["counts"])
+
+    def count(batches):
         counts = np.zeros(BUCKETS, np.int64)
         for whole in batches:
             for batch in slices(whole, "text"):
                 counts += np.bincount(np.concatenate([buckets(x.encode("utf-8", "surrogatepass")) for x in texts(batch, "text")]), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(counts)], names=["bucket", "n"])
+        yield packed(counts)
+
+    def add(batches):
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for x in batch.column("counts"):
+                counts += np.frombuffer(x.as_buffer(), np.int64)
+        yield packed(counts)
 
-    out = np.zeros(BUCKETS, np.int64)
-    for r in docs.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r.bucket] = r.n
-    return out
+    parts, sums = max(1, docs.rdd.getNumPartitions()), docs.select("text").mapInArrow(count, "counts binary")
+    while parts > FAN:
+        parts = -(-parts // FAN)
+        sums = sums.repartition(parts).mapInArrow(add, "counts binary")
+    return sum((np.frombuffer(r.counts, np.int64) for r in sums.collect()), np.zeros(BUCKETS, np.int64))
 
 
 def only_listed(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -89,12 +100,10 @@ def only_listed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     with the list.  It is a merge join at any size: few listed rows shuffle little, and many don't fit a broadcast.
     """
     place = F.pmod(F.xxhash64("id"), F.lit(FILTER)).cast("int")
-    bits = np.zeros(FILTER, bool)
-    bits[[r.p for r in ids.select(place.alias("p")).distinct().collect()]] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(ids, place, FILTER))
 
     def run(batches):
-        there = np.unpackbits(shared.value).astype(bool)
+        there = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
         for batch in batches:
             keep = there[batch.column("p").to_numpy()]
             yield batch.filter(pa.array(keep)).select(["id", "text"])

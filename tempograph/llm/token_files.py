@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -29,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempograph.llm._common import append_columns, cut, drop_cut, scratch, slices, texts
-from tempograph.llm.bpe import Memo, Merger, byte_chars, load_library
+from tempograph.llm.bpe import Memo, byte_chars, load_library
 
 BITS, LANES, STEPS, BLOCK = 22, 128, 256, 1 << 18
-#: Chunks between blanks that a worker remembers.
+#: Words that a worker remembers.
 PLAIN = 200_000
 LOW = np.uint64(1 << 31)
 MAGIC = b"rANS"
@@ -41,71 +42,88 @@ MAGIC = b"rANS"
 # The word pattern of the word-end vocabulary, over the Unicode white space.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
+END = "\x01"
+
+
+def merges_settle(tokens: dict[bytes, int], pairs: list[tuple[bytes, bytes]]) -> bool:
+    """Whether each merged token, built from its bytes by lower-ranked tokens alone, arrives at its listed pair."""
+    order = {a + b: i for i, (a, b) in enumerate(pairs)}
+    if len(order) < len(pairs) or any(tokens[a + b] - tokens[pairs[0][0] + pairs[0][1]] != i for i, (a, b) in enumerate(pairs)):
+        return False
+    for i, (a, b) in enumerate(pairs):
+        whole = a + b
+        parts = [whole[k : k + 1] for k in range(len(whole))]
+        while len(parts) > 2:
+            rank, at = min((order.get(x + y, i), k) for k, (x, y) in enumerate(zip(parts, parts[1:])))
+            if rank >= i:
+                return False
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if parts != [a, b]:
+            return False
+    return True
 
 
 class WordBpe:
     """Encoder for a lower-casing word-end BPE file: white space is never part of a token, so blanks are certain cuts.
 
-    What stands between blanks recurs and is remembered.  A new chunk within Latin-1 is lower-cased, cut by
-    the word pattern and merged, all new words of a batch together; others go to the tokenizers library.
+    Words between blanks recur and are remembered.  A new one within Latin-1 is lower-cased, cut by the
+    word pattern and encoded by tiktoken's engine, END standing for the end of a word (if the vocabulary
+    passes merges_settle()); others go to the tokenizers library.
     """
 
     def __init__(self, path: str):
         self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        added, model = spec.get("added_tokens", []), spec["model"]
+        added = spec.get("added_tokens", [])
         self.special = [x["content"] for x in added]
-        self.size = 1 + max([*model["vocab"].values(), *(x["id"] for x in added)])
-        end = model.get("end_of_word_suffix")
-        self.merger = None
-        if end and [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
-            ids, chars = model["vocab"], byte_chars()
-            pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-            self.merger = Merger([(ids[a], ids[b], ids[a + b]) for a, b in pairs], self.size)
-            self.first, self.last = (np.array([ids[chars[b] + tail] for b in range(256)], np.int32) for tail in ("", end))
+        self.size = 1 + max([*spec["model"]["vocab"].values(), *(x["id"] for x in added)])
         self.width = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.code = "H" if self.width == "<u2" else "I"
         self.chunks = Memo(self._by_library)
-        self.plain: dict[str, bytes] = {}
+        self.plain = Memo(self._by_engine, PLAIN)
+        self.engine = self._engine(spec)
 
     @cached_property
     def library(self):
         return load_library(self.path)
 
+    def _engine(self, spec: dict):
+        end = spec["model"].get("end_of_word_suffix")
+        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        if not end or steps != ["NFC", "Replace", "Lowercase"]:
+            return None
+        back = {c: b for b, c in byte_chars().items()}
+        raw = lambda t: bytes(back[c] for c in t.removesuffix(end)) + END.encode() * t.endswith(end)
+        vocab = spec["model"]["vocab"]
+        tokens = {raw(t): i for t, i in vocab.items()}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        pairs = [(raw(a), raw(b)) for a, b in merges] + [(raw(t.removesuffix(end)), END.encode()) for t in vocab if t.endswith(end) and len(t) == len(end) + 1]
+        pairs.sort(key=lambda p: tokens[p[0] + p[1]])
+        if len(tokens) != len(vocab) or not merges_settle(tokens, pairs):
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("words", pat_str=f"[^{END}]*{END}", mergeable_ranks=tokens, special_tokens={})
+
     def _by_library(self, chunk: str) -> bytes:
         return np.array(self.library.encode(chunk, add_special_tokens=False).ids, self.width).tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        missing = chunks.difference(self.plain)
-        if len(self.plain) + len(missing) > PLAIN:
-            self.plain, missing = {}, chunks
-        words = {c: [c] if c.isalpha() else WORDS.findall(c) for c in missing}
-        distinct = list({w for x in words.values() for w in x})
-        made = dict(zip(distinct, self.merger.merged([w.encode() for w in distinct], self.first, self.last)))
-        self.plain.update((c, b"".join(map(made.__getitem__, x))) for c, x in words.items())
-
-    def encode_all(self, whole: list[str]) -> list[bytes]:
-        """Packed ids of each text."""
-        split, fresh = [], set()
-        for text in whole:
-            if any(s in text for s in self.special):
-                split.append(None)
-            elif self.merger and is_latin(text):
-                split.append((True, text.lower().replace("\n", " ").split(" ")))
-                fresh.update(split[-1][1])
+    def _by_engine(self, chunk: str) -> bytes:
+        words = chunk + END if chunk.isalpha() else END.join([*WORDS.findall(chunk), ""])
+        return array(self.code, self.engine.encode_ordinary(words)).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self._by_library(text)
+        if self.engine and END not in text:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
             else:
-                split.append((False, text.replace("\n", " ").split(" ")))
-        if fresh:
-            self._learn(fresh)
-        return [self._by_library(text) if x is None else b"".join(map((self.plain if x[0] else self.chunks).__getitem__, x[1])) for text, x in zip(whole, split)]
-
-
-def is_latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+                return b"".join(map(self.plain.__getitem__, text.lower().replace("\n", " ").split(" ")))
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _loaded: dict[str, WordBpe] = {}
@@ -208,7 +226,7 @@ def tokenize(df: DataFrame, tokenizer: str, id_col: str, text: str, end_id: int
         tail = b"" if end_id is None else np.array([end_id], bpe.width).tobytes()
 
         def fn(batch):
-            packed = [x + tail for x in bpe.encode_all(texts(batch, text))]
+            packed = [bpe.encode(x) + tail for x in texts(batch, text)]
             ids = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
             return {"packed": packed, "part": pa.array(np.searchsorted(bounds, ids, side="left"), pa.int32())}
 

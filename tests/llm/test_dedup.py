@@ -7,8 +7,12 @@ import string
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from tempograph.llm import line_dedup
+from tempograph.llm._common import bitmap
 from tempograph.llm._graph import components
-from tempograph.llm.line_dedup import PerfectHash, drop_repeated_lines
+from tempograph.llm.line_dedup import PerfectHash, drop_repeated_lines, salts_of
 from tempograph.llm.near_dup import chunks_for, near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,6 +70,40 @@ def test_near_duplicates_of_odd_tables(spark, nothing):
     assert got == [(-1, None, True), (7, 7, True), (7, 7, True), (9, 9, True)] or got[1:] == [(7, 7, True), (7, 7, True), (9, 9, True)]
 
 
+def test_a_repeated_id_is_linked_by_any_of_its_texts(spark):
+    rng = random.Random(2)
+    one, two, other = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(120)) for _ in range(3))
+    near = lambda t: t.replace(t.split()[60], "changed")
+    df = spark.createDataFrame([(5, one), (5, two), (8, near(one)), (9, near(two)), (4, other), (5, None)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in near_duplicates(df, shingle=3, percent=85).collect()}
+    assert got == {(5, 118): 5, (8, 118): 5, (9, 118): 5, (4, 118): 4, (5, 0): 5}
+
+
+def test_a_bucket_of_classes_that_stay_apart(spark):
+    """Forms with one template and own words: most meet in the index, few are near copies."""
+    rng = random.Random(6)
+    template = [f"t{i}" for i in range(110)]
+    made = [(k, " ".join(template + [f"own{rng.randrange(10**6)}" for _ in range(26)])) for k in range(120)]
+    made += [(200 + k, made[k][1].replace(made[k][1].split()[-1], "other")) for k in range(0, 120, 7)]
+    df = spark.createDataFrame(made, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, shingle=3, percent=85).collect()}
+    assert got == brute_components(made, 3, 85)
+
+
+def test_heavy_nodes_are_looked_up(spark, monkeypatch):
+    monkeypatch.setattr("tempograph.llm._graph.HEAVY", 1)
+    monkeypatch.setattr("tempograph.llm.near_dup.HEAVY", 1)
+    monkeypatch.setattr("tempograph.llm.near_dup.GROUP", 2)
+    edges = [(0, i) for i in range(1, 60)] + [(70, i) for i in range(71, 90)] + [(59, 70), (95, 96)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 0 for i in [*range(60), *range(70, 90)]}, 95: 95, 96: 95}
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(150)]
+    made = [(k, " ".join(w if rng.random() > 0.02 else f"x{rng.randrange(10**6)}" for w in base)) for k in range(60)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(made, "doc_id bigint, text string"), shingle=3, percent=85).collect()}
+    assert got == brute_components(made, 3, 85)
+
+
 def test_chunks_grow_with_the_error_share():
     assert chunks_for(0.8) > chunks_for(0.85) >= 2
 
@@ -105,6 +143,29 @@ def test_lines_of_repeated_and_null_ids(spark):
     assert got == [(0, line), (1, line), (1, line), (2, "short")]
 
 
+@pytest.mark.parametrize("shard,target,probes,bits", [(7, 3, 2, 1 << 15), (1 << 18, 1 << 20, 4096, 1 << 26), (2, 1000, 1, 1 << 15)])
+def test_lines_however_they_are_dealt(spark, monkeypatch, shard, target, probes, bits):
+    for name, value in (("SHARD", shard), ("TARGET", target), ("PROBES", probes), ("FILTER", bits)):
+        monkeypatch.setattr(line_dedup, name, value)
+    rng = random.Random(3)
+    pool = [f"line number {i} of the pool" for i in range(300)]
+    made = [(i, "\n".join(["the line that all share", *(rng.choice(pool) for _ in range(rng.randrange(12)))])) for i in range(60)]
+    made.append((60, "\n".join(pool * 40)))
+    df = spark.createDataFrame(made, "doc_id bigint, text string").repartition(5)
+    assert {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in drop_repeated_lines(df).collect()} == brute_lines(made)
+
+
+def test_bitmap(spark):
+    places = [0, 1, 7, 8, 32767, 32768, 40000, 65535, 40000]
+    df = spark.createDataFrame([(p,) for p in places], "p int")
+    bits = np.unpackbits(np.frombuffer(bitmap(df, F.col("p"), 1 << 16), np.uint8), bitorder="little")
+    assert np.flatnonzero(bits).tolist() == sorted(set(places))
+
+
+def test_salts_follow_the_load():
+    assert salts_of({0: 5 << 20, 1: 10}, 2, 0.0, 1).tolist() == [5, 1] and salts_of({}, 1, 0.0, 6).tolist() == [6]
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(2).integers(0, 2**63, 5000).astype(np.uint64))
     index = PerfectHash.load(*PerfectHash(keys).dump())
