@@ -51,13 +51,13 @@ def best_grid_path(costs: DataFrame, by: str, bar: str, change: float = 0.25) ->
     import numpy as np
     import pandas as pd
 
-    from tempograph.operators.harmony import leader_path
+    from tempograph.operators.harmony import best_path
 
     kind, bkind = costs.schema[by].dataType.simpleString(), costs.schema[bar].dataType.simpleString()
 
     def decode(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot(index=bar, columns="divisions", values="cost").sort_index()
-        path = leader_path(-wide.to_numpy(), np.full(len(wide), change))
+        path = best_path(-wide.to_numpy(), np.full(len(wide), change))
         return pd.DataFrame({by: pdf[by].iloc[0], bar: wide.index, "divisions": np.array(wide.columns)[path].astype("int32")})
 
     return costs.groupBy(by).applyInPandas(decode, f"{by} {kind}, {bar} {bkind}, divisions int")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import lru_cache
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -42,83 +43,59 @@ def single_value(length: Fraction) -> bool:
     return False
 
 
-def bar_units(num: int, den: int) -> list[Fraction]:
-    """The counted beats of a bar, as lengths."""
+@lru_cache(maxsize=None)
+def metric_units(num: int, den: int) -> tuple[Fraction, tuple[Fraction, ...]]:
+    """The counted beat of a meter, and the grids of its bar from coarse to fine, as lengths of a step.
+
+    Half bars while they hold a power of two of beats, the beats, thirds of a compound beat, and then halves of halves.
+    """
     compound = num > 3 and num % 3 == 0 and den >= 8
     beat = Fraction(12 if compound else 4, den)
-    return [beat] * int(Fraction(4 * num, den) / beat)
+    beats = int(Fraction(4 * num, den) / beat)
+    counts = [beats >> k for k in range(1, beats.bit_length())] if beats & (beats - 1) == 0 else [1]
+    steps = [beat * n for n in counts if beats > 1]
+    steps.append(beat / 3 if compound else beat / 2)
+    while steps[-1] / 2 >= SHORTEST:
+        steps.append(steps[-1] / 2)
+    return beat, tuple(x for x in steps if x >= SHORTEST)
 
 
-def split_span(num: int, den: int, start: float, end: float) -> list[float]:
+@lru_cache(maxsize=1 << 16)
+def split_span(num: int, den: int, start: Fraction, end: Fraction) -> tuple[Fraction, ...]:
     """A span of a bar as tied note values that follow the meter.
 
-    The bar is a tree: halves where the beats are a power of two, else the beats; a compound beat has three
-    parts; everything below halves.  From the root down, a span is one value if it is a natural part of its unit
-    (whole children, or one and a half) and hides no beat; else its whole children are joined and the rest goes down.
+    The strongest lines inside the span are those of the coarsest grid that has any.  If the span measures whole steps
+    of that grid, or one and a half, and can be one note, and either begins on a beat or leaves every beat line but the
+    next one visible, it is one note.  Else it is cut at the first and the last of these lines; what is between them is
+    written in the longest notes of whole steps, from the left, and the two ends are split in the same way.
     """
-    beats = bar_units(num, den)
-    beat, whole = beats[0], sum(beats, Fraction(0))
-    compound = beat.numerator % 3 == 0
-
-    def children(a: Fraction, b: Fraction) -> list[tuple[Fraction, Fraction]]:
-        length = b - a
-        if length > beat:
-            n = length / beat
-            parts = 2 if n.denominator == 1 and n.numerator & (n.numerator - 1) == 0 else int(n)
-        elif compound and length == beat:
-            parts = 3
-        else:
-            parts = 2
-        if length / parts < SHORTEST:
-            return []
-        step = length / parts
-        return [(a + step * i, a + step * (i + 1)) for i in range(parts)]
-
-    out: list[Fraction] = []
-
-    def down(a: Fraction, b: Fraction, s: Fraction, e: Fraction) -> None:
-        if e <= s:
-            return
-        kids = children(a, b)
-        length = e - s
-        if not kids:
-            out.append(length)
-            return
-        size = kids[0][1] - kids[0][0]
-        share = length / size
-        natural = length == size * 3 / 2 or (share.denominator == 1 and 1 <= share <= len(kids))
-        hides = (compound and length >= beat) or ((s // beat) + 1) * beat + beat < e
-        if natural and single_value(length) and (not hides or (s / beat).denominator == 1):
-            out.append(length)
-            return
-        k = 0
-        while k < len(kids):
-            x, y = kids[k]
-            low, high = max(s, x), min(e, y)
-            if low >= high:
-                k += 1
-            elif (low, high) == (x, y):
-                runs = [j for j in range(k, len(kids)) if kids[j][1] <= e and single_value(kids[j][1] - x)]
-                if runs:
-                    out.append(kids[runs[-1]][1] - x)
-                    k = runs[-1] + 1
-                else:
-                    down(x, y, low, high)
-                    k += 1
-            else:
-                down(x, y, low, high)
-                k += 1
-
-    down(Fraction(0), whole, Fraction(start), Fraction(end))
-    return [float(x) for x in out]
+    beat, grids = metric_units(num, den)
+    length = end - start
+    if length <= 0:
+        return ()
+    step = next((g for g in grids if (start // g + 1) * g < end), None)
+    if step is None:
+        return (length,)
+    in_steps = length / step
+    natural = in_steps.denominator == 1 or in_steps == Fraction(3, 2)
+    hides = end > (start // beat + 2) * beat or (beat.numerator % 3 == 0 and length >= beat)
+    if natural and single_value(length) and (start % beat == 0 or not hides):
+        return (length,)
+    first, last = -(-start // step) * step, end // step * step
+    values, at = list(split_span(num, den, start, first)), first
+    while at < last:
+        whole = [n * step for n in range(int((last - at) / step), 0, -1) if single_value(n * step)]
+        values += [whole[0]] if whole else split_span(num, den, at, at + step)
+        at += whole[0] if whole else step
+    return (*values, *split_span(num, den, last, end))
 
 
 def split_values(num: Column, den: Column, start, end) -> Column:
-    """D22 over columns."""
+    """D22 over columns.  Few spans differ, so each is split once a worker."""
 
     @F.pandas_udf("array<double>")
     def split(num: pd.Series, den: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
-        return pd.Series([split_span(int(n), int(d), float(s), float(e)) for n, d, s, e in zip(num, den, start, end)])
+        return pd.Series([[float(x) for x in split_span(int(n), int(d), Fraction(s), Fraction(e))] for n, d, s, e in zip(num, den, start, end)])
 
     return split(num, den, start, end)
 

@@ -10,24 +10,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(probe: DataFrame, build: DataFrame, by: list[str], at: str, start: str, order: list[str], take: list[str], direction: str = "backward", clamp: bool = False) -> DataFrame:
-    """Each probe row with the columns ``take`` of the last build row whose ``start`` is at most its ``at``.
+def beside(probe: DataFrame, build: DataFrame, by: list[str], at: str, start: str, order: list[str], take: list[str]) -> tuple[DataFrame, Column, Column]:
+    """Both sides in one frame, with a probe's last build row up to it and its first build row from it on, as structs of ``take``.
 
-    ``order`` breaks ties among build rows of one start (the last wins; forward: the first).  ``direction``
-    "forward" looks for the first build row at or after it.  With ``clamp``, a probe before the first build row gets that.
-    One union and one window: both sides are shuffled once by the key.
+    Probes are the rows of __probe = 1.  Build rows of one start are in the order ``order``.  Every frame of a window
+    runs from a key's first row to the current one, in rising order for the row before and in falling order for the
+    row after, so a key's rows are passed over once each way.
     """
     tie = [f"__o{i}" for i in range(len(order))]
     left = probe.withColumns({"__t": F.col(at), "__probe": F.lit(1), "__hit": F.lit(None).cast(build.select(F.struct(*take)).schema[0].dataType), **{t: F.lit(None).cast(build.schema[c].dataType) for t, c in zip(tie, order)}})
     right = build.select(*by, F.col(start).alias("__t"), F.lit(0).alias("__probe"), F.struct(*take).alias("__hit"), *(F.col(c).alias(t) for t, c in zip(tie, order)))
-    both = left.unionByName(right, allowMissingColumns=True)
-    first = "__probe" if direction == "backward" else F.desc("__probe")
-    w = Window.partitionBy(*by).orderBy("__t", first, *tie)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    hit = F.last("__hit", ignorenulls=True).over(back) if direction == "backward" else F.first("__hit", ignorenulls=True).over(ahead)
-    if clamp:
-        hit = F.coalesce(hit, F.first("__hit", ignorenulls=True).over(ahead) if direction == "backward" else F.last("__hit", ignorenulls=True).over(back))
-    found = both.withColumn("__found", hit).where("__probe = 1")
+    upto = lambda *o: Window.partitionBy(*by).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.last("__hit", ignorenulls=True).over(upto("__t", "__probe", *tie))
+    after = F.last("__hit", ignorenulls=True).over(upto(F.desc("__t"), "__probe", *map(F.desc, tie)))
+    return left.unionByName(right, allowMissingColumns=True), before, after
+
+
+def asof_join(probe: DataFrame, build: DataFrame, by: list[str], at: str, start: str, order: list[str], take: list[str], direction: str = "backward", clamp: bool = False) -> DataFrame:
+    """Each probe row with the columns ``take`` of the last build row whose ``start`` is at most its ``at``.
+
+    ``order`` breaks ties among build rows of one start (the last wins; forward: the first).  ``direction``
+    "forward" looks for the first build row at or after it.  With ``clamp``, a probe that finds none gets the
+    key's nearest on the other side.  Both sides are shuffled once, by the key; a key's rows meet in one task.
+    """
+    both, before, after = beside(probe, build, by, at, start, order, take)
+    hit, other = (before, after) if direction == "backward" else (after, before)
+    found = both.withColumn("__found", F.coalesce(hit, other) if clamp else hit).where("__probe = 1")
     return found.select(*probe.columns, *(F.col(f"__found.{c}").alias(c) for c in take))
 
 
@@ -38,16 +46,11 @@ def piecewise_map(x: Column, start_x: Column, start_y: Column, rate: Column) ->
 
 def nearest_join(probe: DataFrame, build: DataFrame, by: list[str], at: str, start: str, order: list[str], take: list[str]) -> DataFrame:
     """Each probe row with the nearest build row; the earlier one on a tie."""
-    took = [*dict.fromkeys([start, *take])]
-    build = build.select(*by, *dict.fromkeys([*took, *order]))
-    renamed = build.select(*by, *(F.col(c).alias(f"__n_{c}") for c in build.columns if c not in by))
-    names = [f"__n_{c}" for c in took]
-    before = asof_join(probe, renamed, by, at, f"__n_{start}", [f"__n_{c}" for c in order], names)
-    before = before.withColumnsRenamed({n: f"{n}_b" for n in names})
-    both = asof_join(before, renamed, by, at, f"__n_{start}", [f"__n_{c}" for c in order], names, "forward")
-    early, late = F.col(at) - F.col(f"__n_{start}_b"), F.col(f"__n_{start}") - F.col(at)
-    use_early = late.isNull() | (early <= late)
-    return both.select(*probe.columns, *(F.when(use_early, F.col(f"__n_{c}_b")).otherwise(F.col(f"__n_{c}")).alias(c) for c in take))
+    both, before, after = beside(probe, build, by, at, start, order, [*dict.fromkeys([start, *take])])
+    found = both.withColumns({"__before": before, "__after": after}).where("__probe = 1")
+    early, late = F.col(at) - F.col(f"__before.{start}"), F.col(f"__after.{start}") - F.col(at)
+    hit = F.when(late.isNull() | (early <= late), F.col("__before")).otherwise(F.col("__after"))
+    return found.withColumn("__found", hit).select(*probe.columns, *(F.col(f"__found.{c}").alias(c) for c in take))
 
 
 def bucketed(df: DataFrame, start: str, end: str, width: int, origin: int = 0) -> DataFrame:
@@ -161,10 +164,8 @@ def furthest_end(df: DataFrame, by: list[str], order: list[str], end: str) -> Da
 
 def neighbours(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """The last value known before and the next one known after each row."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    before = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(value, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return df.withColumns({"previous_known": before, "next_known": after})
+    so_far = lambda *o: F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*o).rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumns({"previous_known": so_far(*order), "next_known": so_far(*map(F.desc, order))})
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

@@ -74,10 +74,10 @@ def asof_segment(spark, d):
   s as (select *, lead(start_us) over w as nxt, coalesce(sum(rate * (l)) over (partition by rec order by start_us, o_orderkey rows between unbounded preceding and 1 preceding), 0) as start_y
         from (select *, (lead(start_us) over (partition by rec order by start_us, o_orderkey) - start_us) / 1e6 as l from o) window w as (partition by rec order by start_us, o_orderkey)),
   p as (select row_number() over () as id, o_custkey as rec, l_orderkey, l_linenumber, epoch_us(l_shipdate) as t_us from lineitem join orders on l_orderkey = o_orderkey),
-  h as (select p.*, s.o_orderkey as segment, start_us, start_y, rate, row_number() over (partition by p.id order by start_us desc, s.o_orderkey desc) as r from p join s on p.rec = s.rec and s.start_us <= p.t_us)
+  h as (select p.*, s.o_orderkey as segment, start_us, start_y, rate, row_number() over (partition by p.id order by start_us <= t_us desc, abs(t_us - start_us), case when start_us <= t_us then -s.o_orderkey else s.o_orderkey end) as r from p join s on p.rec = s.rec)
   select l_orderkey, l_linenumber, segment, round(start_y + ((t_us - start_us) / 1e6) * rate, 1) as y from h where r = 1""")
 def piecewise_time_map(spark, d):
-    """J2 over orders as rate segments of a customer, probed at shipping dates."""
+    """J1, J2 over orders as rate segments of a customer, probed at shipping dates; the first segment holds for earlier ones."""
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("rec"), "o_orderkey", micros("o_orderdate").alias("start_us"), F.round(F.col("o_totalprice") / 1000).alias("rate"))
     w = Window.partitionBy("rec").orderBy("start_us", "o_orderkey")
     length = (F.lead("start_us").over(w) - F.col("start_us")) / 1e6
@@ -85,7 +85,7 @@ def piecewise_time_map(spark, d):
     s = s.withColumnRenamed("o_orderkey", "segment")
     p = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     p = p.select(F.col("o_custkey").alias("rec"), "l_orderkey", "l_linenumber", micros("l_shipdate").alias("at"))
-    hit = temporal.asof_join(p, s, ["rec"], "at", "start_us", ["segment"], ["segment", "start_us", "start_y", "rate"]).where("segment is not null")
+    hit = temporal.asof_join(p, s, ["rec"], "at", "start_us", ["segment"], ["segment", "start_us", "start_y", "rate"], clamp=True)
     y = V_piecewise(F.col("at"), F.col("start_us"), F.col("start_y"), F.col("rate"))
     return hit.select("l_orderkey", "l_linenumber", "segment", F.round(y, 1).alias("y"))
 
@@ -167,7 +167,7 @@ def peakiness(spark, d):
     return stats.peakiness(onsets(spark, d), ["rec"], "value").withColumn("peakiness", F.round("peakiness", 6))
 
 
-HOURS = f"{ONSETS}, hours as (select h, coalesce(n, 0)::double as n from (select unnest(range(0, 720)) as h) left join (select (t_us - {ORIGIN}) // 3600000000 as h, count(*) as n from onsets group by 1) using (h))"
+HOURS = f"{ONSETS}, counted as (select cast(floor((t_us - {ORIGIN}) / 3.6e9) as bigint) as h, count(*) as n from onsets group by 1), hours as (select h, coalesce(n, 0)::double as n from (select unnest(range(min(h), max(h) + 1)) as h from counted) left join counted using (h))"
 
 
 def hourly(spark, d):
@@ -177,12 +177,12 @@ def hourly(spark, d):
     return every.join(counted, "h", "left").select(F.lit(1).alias("rec"), "h", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
 
 
-@query(f"with {HOURS}, l as (select unnest(range(0, 49)) as lag) select cast(lag as integer) as lag, round(sum(a.n * b.n) / 720, 6) as acf from l join hours a on true join hours b on b.h = a.h + lag group by lag")
+@query(f"with {HOURS}, l as (select unnest(range(0, 49)) as lag) select cast(lag as integer) as lag, round(sum(a.n * b.n) / (select count(*) from hours), 6) as acf from l join hours a on true join hours b on b.h = a.h + lag group by lag")
 def autocorrelation(spark, d):
     return stats.autocorrelation(hourly(spark, d), ["rec"], "h", "n", 48).select("lag", F.round("acf", 6).alias("acf"))
 
 
-@query(f"""with {HOURS}, l as (select unnest(range(0, 49)) as lag), a as (select lag, sum(x.n * y.n) / 720 as acf from l join hours x on true join hours y on y.h = x.h + lag group by lag),
+@query(f"""with {HOURS}, l as (select unnest(range(0, 49)) as lag), a as (select lag, sum(x.n * y.n) / (select count(*) from hours) as acf from l join hours x on true join hours y on y.h = x.h + lag group by lag),
   v as (select list(acf order by lag) as acf from a), g as (select 40 + 0.25 * unnest(range(0, 801)) as bpm),
   s as (select bpm, 60.0 * 4 / bpm * 4 as lag, acf from g, v),
   t as (select bpm, (acf[cast(floor(lag) as int) + 1] + (lag - floor(lag)) * (acf[cast(floor(lag) as int) + 2] - acf[cast(floor(lag) as int) + 1])) * exp(-0.5 * pow(log2(bpm / 120) / 1.4, 2)) as score from s)

@@ -106,23 +106,32 @@ def beats_to_seconds(spark, d):
     return score.beats_to_seconds(b, seg, ["rec"], "beat").select("rec", "event_id", F.round("seconds", 6).alias("seconds"))
 
 
-@query(f"""with {NOTES}, s as (select rec, event_id, onset, floor((onset - {ORIGIN}) / 3.6e9 + 0.5) as a, floor((end_us - {ORIGIN}) / 3.6e9 + 0.5) as z from notes),
-  o as (select *, row_number() over (partition by rec order by onset, end_z, event_id) as i from (select *, z as end_z from s))
-  select rec, cast(count(*) as bigint) as spans from o group by rec""")
-def placed_spans(spark, d):
-    """The number of spans of placed_notes."""
-    return placed_notes(spark, d).groupBy("rec").agg(F.count("*").alias("spans"))
+def _placed_sql(step: str) -> str:
+    return f"""with recursive {NOTES}, s as (select rec, event_id, cast(floor((onset - {ORIGIN}) / {step} + 0.5) as bigint) as a, cast(floor((end_us - {ORIGIN}) / {step} + 0.5) as bigint) as z, row_number() over (partition by rec order by onset, end_us, event_id) as i from notes),
+  p as (select rec, i, event_id, case when z > a then a end as placed_start, case when z > a then z end as placed_end, case when z > a then z end as furthest from s where i = 1
+    union all select s.rec, s.i, s.event_id, case when z > greatest(a, furthest) then greatest(a, furthest) end, case when z > greatest(a, furthest) then z end, case when z > greatest(a, furthest) then z else furthest end from p join s on s.rec = p.rec and s.i = p.i + 1)
+  select rec, event_id, placed_start, placed_end from p"""
 
 
-@query()
-def placed_notes(spark, d):
-    """Every span, placed one after another on an hourly grid; null if it has no length there."""
+def placed(spark, d, step: float):
     import math
 
-    n = notes(spark, d).select("rec", "event_id", ((F.col("onset") - ORIGIN) / 3.6e9).alias("a"), ((F.col("end_us") - ORIGIN) / 3.6e9).alias("z"))
-    placed = score.place_spans(n, "rec", "a", "z", lambda x: math.floor(x + 0.5), ties=("event_id",))
+    n = notes(spark, d).select("rec", "event_id", ((F.col("onset") - ORIGIN) / step).alias("a"), ((F.col("end_us") - ORIGIN) / step).alias("z"))
+    spans = score.place_spans(n, "rec", "a", "z", lambda x: math.floor(x + 0.5), ties=("event_id",))
     # A null in a batch of doubles may come as NaN.
-    return placed.select("rec", "event_id", *(F.nanvl(c, F.lit(None).cast("double")).cast("bigint").alias(c) for c in ("placed_start", "placed_end")))
+    return spans.select("rec", "event_id", *(F.nanvl(c, F.lit(None).cast("double")).cast("bigint").alias(c) for c in ("placed_start", "placed_end")))
+
+
+@query(_placed_sql("2.16e10"))
+def placed_spans(spark, d):
+    """Every span, placed one after another on a grid of six hours; null if it has no length there."""
+    return placed(spark, d, 2.16e10)
+
+
+@query(_placed_sql("3.6e9"))
+def placed_notes(spark, d):
+    """The same on an hourly grid."""
+    return placed(spark, d, 3.6e9)
 
 
 @query(f"""with {NOTES}, s as (select rec, (onset - {ORIGIN}) // {SIX_HOURS} as span, event_type, midi, pc, onset, end_us from notes),
@@ -217,12 +226,11 @@ def metric_split(spark, d):
 
 
 @query("""with o as (select o_custkey as rec, o_orderkey, o_orderstatus, o_orderpriority from orders), b as (select *, o_orderkey % 3 = 0 as fresh from o)
-  select rec, o_orderstatus, count(*) as n from (select * from b where fresh or not exists (select 1 from b b2 where b2.fresh and b2.rec = b.rec and b2.o_orderstatus = b.o_orderstatus)) group by 1, 2""")
+  select rec, o_orderstatus, o_orderkey from b where fresh or not exists (select 1 from b b2 where b2.fresh and b2.rec = b.rec and b2.o_orderstatus = b.o_orderstatus)""")
 def upsert_by_role(spark, d):
     """Rows of a customer and status give way to fresh ones."""
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("rec"), "o_orderkey", "o_orderstatus")
-    merged = temporal.upsert(o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 3 = 0"), ["rec", "o_orderstatus"])
-    return merged.groupBy("rec", "o_orderstatus").agg(F.count("*").alias("n"))
+    return temporal.upsert(o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 3 = 0"), ["rec", "o_orderstatus"])
 
 
 @query("""with s as (select o_custkey as rec, epoch_us(o_orderdate) as t, o_orderkey from orders), b as (select rec, row_number() over (partition by rec order by t, o_orderkey) - 1 as i, o_orderkey from s) select rec, o_orderkey, cast(((i - 1) % 4 + 4) % 4 as integer) as pos, ((i - 1) % 4 + 4) % 4 = 0 as downbeat from b""")
@@ -250,11 +258,14 @@ def audio_chord_runs(spark, d):
     return score.audio_chords(path, ["rec"], ["frame"], "state", "chroma", "similarity").drop("treble")
 
 
-@query()
+@query("""with k as (select k, k - floor(floor(k / 11025.0) * 11025.0 + 0.5) as since from (select unnest(range(88200)) as k)),
+  x as (select k // 4096 as chunk_no, case when since >= 0 and since < 220 then 0.8 * exp(-8.0 * since / 220) * sin(2 * pi() * 1000 * since / 22050) else 0 end as x from k)
+  select cast(chunk_no as integer) as chunk_no, round(max(abs(x)), 6) as peak, round(sqrt(avg(x * x)), 6) as rms from x group by 1""")
 def click_track(spark, d):
     """A click track's chunks with their peaks."""
     c = signal.click_chunks(spark, "clicks", 120.0, 4.0)
-    return stats.peak_rms(c.select("chunk_no", F.explode("samples").alias("x")), ["chunk_no"], "x")
+    s = stats.peak_rms(c.select("chunk_no", F.explode("samples").alias("x")), ["chunk_no"], "x")
+    return s.select("chunk_no", F.round("peak", 6).alias("peak"), F.round("rms", 6).alias("rms"))
 
 
 @query()

@@ -262,7 +262,8 @@ def fifths_respell(spark, d):
     return f.select("pc", "centre", "fifths", theory.name_at_fifths(F.col("fifths")).alias("name"))
 
 
-@query(f"with {NOTES} select rec, event_id, midi + 7 as moved, {NAMES}[(midi + 7) % 12 + 1] as name from notes where midi + 7 between 0 and 100")
+@query(f"""with {NOTES}, gone as (select distinct rec from notes where midi + 7 not between 0 and 127)
+  select rec, event_id, midi + 7 as moved, {NAMES}[(midi + 7) % 12 + 1] as name from notes where rec not in (select rec from gone) union all select rec, null, null, null from gone""")
 def transpose(spark, d):
     """Up a fifth; a recording with a note that would leave 0..127 is left out whole, and is a row of nulls."""
     moved, gone = score.transpose_track(notes(spark, d), ["rec"], 7)
@@ -270,8 +271,9 @@ def transpose(spark, d):
     return named.unionByName(gone, allowMissingColumns=True)
 
 
-@query(f"""with {NOTES}, r as (select rec, pc, region, f, row_number() over (partition by event_id, region order by abs(f - region), f) as k from (select rec, event_id, pc, region, unnest(range(-15, 20)) as f from (select rec, event_id, pc, unnest(range(-15, 20)) as region from notes where event_id % 5 = 0)) where ((f * 7) % 12 + 12) % 12 = pc),
-  s as (select rec, region, cast(sum(abs(floor((f + 1) / 7.0))) as bigint) as accidentals, cast(sum(abs(f - region)) as bigint) as distance from r where k = 1 group by 1, 2),
+@query(f"""with {NOTES}, c as (select rec, pc, count(*) as n from notes group by 1, 2),
+  r as (select *, row_number() over (partition by rec, pc, region order by abs(f - region), f) as k from (select *, unnest(range(-15, 20)) as f from (select *, unnest(range(-15, 20)) as region from c)) where ((f * 7) % 12 + 12) % 12 = pc),
+  s as (select rec, region, cast(sum(n * abs(floor((f + 1) / 7.0))) as bigint) as accidentals, cast(sum(n * abs(f - region)) as bigint) as distance from r where k = 1 group by 1, 2),
   b as (select *, row_number() over (partition by rec order by accidentals, distance, abs(region - 2), abs(region), region) as k from s) select rec, cast(region as integer) as region, accidentals, distance from b where k = 1""")
 def cheapest_region(spark, d):
     """A34."""

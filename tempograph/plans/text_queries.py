@@ -21,7 +21,8 @@ def query(sql: str | None = None):
 
 @query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents),
   m as (select *, count(*) over (partition by doc_id, line) as n, min(pos) over (partition by doc_id, line) as f from l), k as (select *, case when n >= 2 then dense_rank() over (partition by doc_id, n >= 2 order by f) - 1 end as r from m)
-  select doc_id, pos, case when r is null then null when r < 26 then chr(cast(65 + r as integer)) else chr(cast(64 + r // 26 as integer)) || chr(cast(65 + r % 26 as integer)) end as tag from k where r is null or r < 702""")
+  select doc_id, pos, case when r is not null then array_to_string(list_transform(range(w - 1, -1, -1), lambda p: chr(cast(65 + (r - (26 ** w - 26) // 25)::bigint // (26 ** p)::bigint % 26 as integer))), '') end as tag
+  from (select *, 1 + (r >= 26)::int + (r >= 702)::int + (r >= 18278)::int + (r >= 475254)::int as w from k)""")
 def line_repeat_tags(spark, d):
     """A24, A25."""
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -70,7 +71,7 @@ def cache_key(spark, d):
     return table(spark, d, "orders").select("o_orderkey", cache_key_of("chords", parts).alias("key"))
 
 
-@query("""with w as (select doc_id, unnest(string_split(substr(text, 1, 400), ' ')) as word, unnest(range(len(string_split(substr(text, 1, 400), ' ')))) as pos from documents), p as (select *, regexp_replace(lower(word), '[^a-z]', '', 'g') as s from w),
+@query("""with w as (select doc_id, unnest(string_split(text, ' ')) as word, unnest(range(len(string_split(text, ' ')))) as pos from documents), p as (select *, regexp_replace(lower(word), '[^a-z]', '', 'g') as s from w),
   g as (select *, len(regexp_extract_all(s, '[aeiouy]+')) as n from p) select doc_id, pos, cast(greatest(1, n - case when n > 1 and regexp_matches(s, '[^aeiouy]e$') then 1 else 0 end) as integer) as syllables from g""")
 def syllables(spark, d):
     """F5."""

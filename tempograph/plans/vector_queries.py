@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tempograph.functions import vectors as V
 from tempograph.operators import harmony, signal, stats, temporal
 from tempograph.plans.bindings import CHROMA, FRAMES, chroma, frames
+from tempograph.plans.event_queries import HOURS
 
 FOUND: dict = {}
 
@@ -103,12 +104,15 @@ def viterbi_labels(spark, d):
 
 
 @query(f"""with recursive {VIT}, c as (select b.rec, b.frame, state, chroma, case when row_number() over w > 1 and lag(state) over w <> state then 1 else 0 end as c from back b join chroma k on b.rec = k.rec and b.frame = k.frame window w as (partition by b.rec order by b.frame)),
-  r as (select *, sum(c) over (partition by rec order by frame rows unbounded preceding) as run from c) select rec, min(frame) as first_frame, count(*) as n, cast(any_value(state) as integer) as state, round(sum(chroma[1]), 6) as sum_c from r group by rec, run""")
+  r as (select *, sum(c) over (partition by rec order by frame rows unbounded preceding) as run from c), u as (select rec, run, frame, state, unnest(range(12)) as pc, unnest(chroma) as v from r)
+  select rec, min(frame) as first_frame, count(*) as n, cast(any_value(state) as integer) as state, pc, round(sum(v), 6) as sum_c from u group by rec, run, pc""")
 def run_sums(spark, d):
     """Vector sums over runs of one state."""
     path = harmony.decode_frames(harmony.template_similarity(chroma(spark, d), "chroma"), "rec", "frame", "similarity")
     runs = temporal.islands(path.join(chroma(spark, d), ["rec", "frame"]), ["rec"], ["frame"], "state")
-    return runs.groupBy("rec", "run").agg(F.min("frame").alias("first_frame"), F.count("*").alias("n"), F.first("state").alias("state"), F.round(F.sum(F.get("chroma", F.lit(0))), 6).alias("sum_c")).drop("run")
+    runs = runs.groupBy("rec", "run").agg(F.min("frame").alias("first_frame"), F.count("*").alias("n"), F.first("state").alias("state"), *(F.sum(F.get("chroma", F.lit(k))).alias(f"c{k}") for k in range(12)))
+    each = runs.select("rec", "first_frame", "n", "state", F.posexplode(F.array(*(f"c{k}" for k in range(12)))).alias("pc", "v"))
+    return each.select("rec", "first_frame", "n", "state", F.col("pc").cast("bigint").alias("pc"), F.round("v", 6).alias("sum_c"))
 
 
 PEAKS = f"{FRAMES}, peaks as (select rec, frame, i, vec[i] as m, 0.5 * (vec[i - 1] - vec[i + 1]) / nullif(vec[i - 1] - 2 * vec[i] + vec[i + 1], 0) as o from (select *, unnest(range(2, 64)) as i from (select rec, frame, list_transform(vec, lambda x: abs(x)) as vec from frames)) where vec[i] > vec[i - 1] and vec[i] > vec[i + 1])"
@@ -171,15 +175,28 @@ def stft_magnitudes(spark, d):
     return mags.select("frame", F.posexplode("mags").alias("bin", "mag")).select("frame", "bin", F.round("mag", 6).alias("mag"))
 
 
-@query()
+MEL = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(signal.mel_bands(signal.RATE, 1024)))
+
+
+@query(f"""with s as (select i, 0.2 * sin(2 * pi() * 440 * i / 22050.0) + 0.2 * sin(2 * pi() * 660 * i / 22050.0) as x from (select unnest(range(11025)) as i)),
+  w as (select f, i - f * 512 as j, x * (0.5 - 0.5 * cos(2 * pi() * (i - f * 512) / 1024)) as x from (select unnest(range(20)) as f) join s on i >= f * 512 and i < f * 512 + 1024),
+  m as (select f, k, sqrt(pow(sum(x * cos(2 * pi() * k * j / 1024)), 2) + pow(sum(x * sin(2 * pi() * k * j / 1024)), 2)) as m from w cross join (select unnest(range(373)) as k) group by f, k),
+  bands as (select * from (values {MEL}) t(band, a, b))
+  select cast(f as integer) as frame, cast(band as integer) as band, round(20 * log10(greatest(sum(m), 1e-10)), 3) as db from bands join m on k >= a and k < b group by f, band""")
 def mel_db(spark, d):
     """M3 over generated frames."""
     audio = signal.signals(signal.tone_chunks(spark, "pair", [440.0, 660.0], 0.5))
     mags = signal.band_decibels(signal.magnitudes(signal.frame_signal(audio, 1024, 512)), signal.RATE, 1024)
-    return mags.select("frame", F.posexplode("bands").alias("band", "db"))
+    return mags.select("frame", F.posexplode("bands").alias("band", "db")).withColumn("db", F.round("db", 3))
 
 
-@query()
+@query(f"""with recursive {HOURS}, z as (select list(n / 10 order by h) as z, min(h) as h0, count(*) as n from hours),
+  fwd as (select 0 as t, cast([] as double[]) as score, cast([] as bigint[]) as back from z
+    union all select t + 1, list_append(score, v + coalesce(best.g, 0)), list_append(back, cast(coalesce(best.b, -1) as bigint)) from (
+      select t, score, back, z.z[t + 1] as v, case when t >= 3 then list_sort(list_transform(range(3, least(12, t) + 1), lambda g: struct_pack(g := score[t - g + 1] - 100 * pow(ln(g / 6.0), 2), o := -g, b := t - g)))[-1] end as best from fwd, z where t < z.n)),
+  last as (select score, back from fwd, z where t = z.n),
+  path as (select cast(list_position(score, list_max(score)) - 1 as bigint) as t, 0 as i from last union all select back[t + 1], i + 1 from path, last where back[t + 1] >= 0)
+  select 1 as rec, cast(max(i) over () - i as bigint) as beat, cast(t + h0 as bigint) as frame from path, z""")
 def beat_dp(spark, d):
     """D4 over hourly event counts of each day of the month."""
     from tempograph.plans.event_queries import hourly
