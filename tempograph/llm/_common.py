@@ -123,7 +123,7 @@ def drop_cut(df: DataFrame) -> None:
 
 
 def looked_up(df: DataFrame, keys: list[str], values: DataFrame, most: int) -> DataFrame:
-    """Inner join with a table of unique keys; the ``most`` keys of highest n are broadcast, so no key of many rows is shuffled."""
+    """Inner join with a table of unique keys and their number of rows n; the ``most`` keys of highest n are broadcast, so no key of many rows is shuffled."""
     head = F.broadcast(values.orderBy(F.desc("n"), *keys).limit(most))
     rest = df.join(F.broadcast(head.select(keys)), keys, "left_anti").join(values, keys)
     return df.join(head, keys).unionByName(rest).drop("n")

@@ -9,7 +9,7 @@ each chunk and each position left out, the others form an index key, and every
 wanted pair shares a key.  ``chunks`` is the least number for which a pair at the
 similarity threshold is at a greater distance with a probability below ``MISS`` (two
 sets have signatures that differ in a share of 1 - similarity of the positions);
-more similar pairs are missed less.  Nothing else loses a link.
+more similar pairs are missed less.
 
 Documents with equal sets are first joined to one class.  In the index each class
 is compared with one leader of its buckets (the class that meets the most others);
@@ -17,9 +17,12 @@ links are confirmed on full sets.  What then still meets in a bucket but not in
 component is joined without walking through its buckets pair by pair: two sets at
 the similarity share one of the rarest shingles of each (of n shingles, those that
 can't all be outside the overlap that the similarity needs), so classes are joined
-on those, and tested by size, by the distance of their signatures and then on full
-sets.  A bucket of many classes that stay apart has few such meetings, and a large
-group of near copies doesn't make its square of pairs.
+on those, and kept once, at the first that they share, if they pass by size, by the
+distance of their signatures and by that of ``BITS`` one-bit MinHash values, which
+tells sets a little under the similarity from those at it (a pair at the similarity
+fails with a probability under 1e-9, six deviations).  Then full sets decide.  A
+bucket of many classes that stay apart has few such meetings, and a large group of
+near copies doesn't make its square of pairs.
 
 Sets are compared as 64-bit hashes of their shingles and equal sets by 128-bit
 digests: two of n shingles collide with a probability under n**2 / 2**65, two of m
@@ -46,7 +49,7 @@ from tempograph.llm._common import append_columns, cut, drop_cut, looked_up, sli
 from tempograph.llm._graph import components
 from tempograph.llm.bpe import Memo
 
-WIDTH, MISS = 4, 4e-6
+WIDTH, MISS, BITS = 4, 4e-6, 1024
 #: Keys of most rows whose values are sent to all tasks in a join, and pairs of one class that a task confirms at once.
 HEAVY, GROUP = 1000, 500
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -118,6 +121,41 @@ class Signer:
         return out.reshape(len(parts), -1).view(np.int64)
 
 
+def furthest(similarity: float) -> int:
+    """Differing one-bit MinHash values that a pair at the similarity may have: the mean and six deviations."""
+    p = (1 - similarity) / 2
+    return int(np.ceil(BITS * p + 6 * np.sqrt(BITS * p * (1 - p))))
+
+
+class BitSigner:
+    """BITS one-bit MinHash values of a set, packed into 64-bit words."""
+
+    def __init__(self):
+        seeds = mixed(np.arange(1, 2 * BITS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+        self.a, self.b = (seeds[:BITS] | np.uint64(1))[:, None], seeds[BITS:][:, None]
+
+    def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        out = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(shingles), 512):
+            out = np.minimum(out, (shingles[at : at + 512] * self.a + self.b).min(axis=1))
+        return np.packbits((mixed(out) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
+def bit_rows(held: DataFrame, shingle: int) -> DataFrame:
+    """(node, words): the words of each text's one-bit signature."""
+
+    def make():
+        shingler, signer = Shingler(shingle), BitSigner()
+
+        def fn(batch):
+            made = np.array([signer(shingler(x)) for x in texts(batch, "text")], np.int64).reshape(-1)
+            return {"words": pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (BITS // 64)), pa.array(made))}
+
+        return fn
+
+    return append_columns(held, "text", "words array<bigint>", make).select("node", "words")
+
+
 def shingle_rows(held: DataFrame, shingle: int) -> DataFrame:
     """(node, d, n, s) for each shingle of each text; d is a digest of its set of n."""
 
@@ -166,8 +204,14 @@ def distance(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: (a != b).cast("int")), F.lit(0), lambda n, d: n + d)
 
 
+def bits_apart(x: Column, y: Column) -> Column:
+    """Differing bits of two one-bit signatures."""
+    parts = [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(BITS // 64)]
+    return sum(parts[1:], parts[0])
+
+
 def confirm(pairs: DataFrame, held: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets reach the similarity.  held: (node, text).
+    """Those of the pairs (a, b), a written table, whose full sets reach the similarity.  held: (node, text).
 
     A class ``a`` of many pairs is dealt over as many groups as keep each near GROUP pairs.
     """
@@ -196,9 +240,9 @@ def confirm(pairs: DataFrame, held: DataFrame, shingle: int, percent: int) -> Da
 
 
 def rarest(apart: DataFrame, held: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(node, s): of each class, the shingles of which a set at the similarity must share one; those that no other class has are left out.
+    """(node, d, rare): of each class, the shingles of which a set at the similarity must share one; those that no other class has are left out.
 
-    apart: (node).  Shingles are ranked by the number of classes that have them, and then by value.
+    apart: (node); d tells the sets of a repeated id apart.  Shingles are ranked by the number of classes that have them, and then by value.
     """
     sets = cut(shingle_rows(held.join(apart, "node"), shingle), "sets")
     counts = cut(sets.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "shared-shingles")
@@ -208,7 +252,7 @@ def rarest(apart: DataFrame, held: DataFrame, shingle: int, percent: int) -> Dat
     # Those that no other class has come first: n - m of them.
     least = F.floor((percent * F.col("size") + 99) / 100)
     found = ranked.where(F.col("size") - F.col("m") + F.col("r") <= F.col("size") - least + 1)
-    out = cut(found.select("node", "s").distinct(), "rarest")
+    out = cut(found.groupBy("node", "d").agg(F.collect_list("s").alias("rare")), "rarest")
     drop_cut(sets)
     drop_cut(counts)
     return out
@@ -236,8 +280,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
     leaders = meets.groupBy("key").agg(F.max(F.struct("met", F.negative("node").alias("l"))).alias("m")).select("key", F.negative("m.l").alias("leader"))
     votes = shared.join(leaders, "key").where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"))
     star = votes.groupBy("node").agg(F.max(F.struct("votes", F.negative("leader").alias("l"))).alias("m")).select(F.negative("m.l").alias("a"), F.col("node").alias("b"))
-    wide = looked_up(star, ["a"], one.withColumnRenamed("node_a", "a").join(star.groupBy("a").agg(F.count("*").alias("n")), "a"), HEAVY)
-    links = cut(confirm(wide.join(two.withColumnRenamed("node_b", "b"), "b").where(able).select("a", "b").distinct(), held, shingle, percent).distinct(), "links")
+    star = cut(star, "star")
+    counted = one.withColumnRenamed("node_a", "a").join(star.groupBy("a").agg(F.count("*").alias("n")), "a")
+    near = looked_up(star, ["a"], counted, HEAVY).join(two.withColumnRenamed("node_b", "b"), "b").where(able)
+    near = cut(near.select("a", "b").distinct(), "star")
+    links = cut(confirm(near, held, shingle, percent).distinct(), "links")
     # What meets in a bucket but isn't known to be in one component: known is what leads to one leader in two steps.
     up = links.select(F.col("b").alias("node"), F.col("a").alias("one"))
     known = up.join(links.select(F.col("b").alias("one"), F.col("a").alias("two")), "one", "left").select("node", F.coalesce("two", "one").alias("component"))
@@ -245,13 +292,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
     mixed_keys = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     apart = cut(tagged.join(mixed_keys, "key", "left_semi").select("node", "n", "component").distinct(), "apart")
     rare = rarest(apart.select("node").distinct(), held, shingle, percent)
-    rows = rare.join(apart.select("node", "component").distinct().join(signatures, "node"), "node")
+    bits = bit_rows(held.join(rare.select("node").distinct(), "node"), shingle)
+    rows = rare.join(apart.select("node", "component").distinct().join(signatures, "node").join(bits, "node"), "node").drop("d")
+    rows = cut(rows, "able").withColumn("s", F.explode("rare"))
     a, b = (rows.toDF(*("s" if c == "s" else f"{c}_{t}" for c in rows.columns)) for t in "ab")
-    rest = a.join(b, "s").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & able)
+    once = F.array_min(F.array_intersect("rare_a", "rare_b")) == F.col("s")
+    close = bits_apart(F.col("words_a"), F.col("words_b")) <= furthest(percent / 100)
+    rest = a.join(b, "s").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & able & close & once)
     pairs = cut(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
     more = cut(confirm(pairs, held, shingle, percent).distinct(), "links")
     final = components(links.union(more))
-    for done in (shared, held, apart, rare, pairs, links, more):
+    for done in (shared, held, star, near, apart, rare, pairs, links, more):
         drop_cut(done)
 
     by_class = classes.select("h1", "h2", F.col("node").alias("rep"))
