@@ -70,7 +70,7 @@ def split_span(num: int, den: int, start: Fraction, end: Fraction) -> tuple[Frac
     written in the longest notes of whole steps, from the left, and the two ends are split in the same way.
     """
     beat, grids = metric_units(num, den)
-    length = end - start
+    length = Fraction(end - start)
     if length <= 0:
         return ()
     step = next((g for g in grids if (start // g + 1) * g < end), None)

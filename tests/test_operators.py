@@ -170,16 +170,16 @@ def test_meters_take_effect_at_bar_lines():
 def test_metric_split():
     assert list(notation.split_span(4, 4, 0, 4)) == [4.0]
     assert list(notation.split_span(4, 4, 0, 3)) == [3.0]
-    assert list(notation.split_span(4, 4, 0.5, 2.5)) == [1.5, 0.5]
+    assert list(notation.split_span(4, 4, notation.Fraction(1, 2), notation.Fraction(5, 2))) == [1.5, 0.5]
     assert list(notation.split_span(4, 4, 1, 3)) == [2.0]
     assert list(notation.split_span(6, 8, 0, 3)) == [3.0]
-    assert list(notation.split_span(6, 8, 0, 1.5)) == [1.5]
+    assert list(notation.split_span(6, 8, 0, notation.Fraction(3, 2))) == [1.5]
     rng = random.Random(4)
     for _ in range(300):
         num, den = rng.choice([(4, 4), (3, 4), (6, 8), (12, 8), (5, 4), (7, 8), (2, 2)])
         ticks = num * 64 // den
         a, b = sorted(rng.sample(range(ticks + 1), 2))
-        values = notation.split_span(num, den, a / 16, b / 16)
+        values = notation.split_span(num, den, notation.Fraction(a, 16), notation.Fraction(b, 16))
         assert sum(values) == (b - a) / 16 and all(notation.single_value(notation.Fraction(v)) for v in values)
 
 
