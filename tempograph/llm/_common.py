@@ -66,6 +66,14 @@ def append_columns(df: DataFrame, text: str, fields: str, make: Callable[[], Cal
     return source.mapInArrow(run, schema)
 
 
+def unused(name: str, names: list[str]) -> str:
+    """The name, with as many underscores before it as keep it apart from the given ones."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     """The column's strings, null as the empty text."""
     return [x or "" for x in batch.column(column).to_pylist()]

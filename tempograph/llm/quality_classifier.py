@@ -5,13 +5,15 @@ A-Z lower-cased), each with a learned vector of ``DIM`` values; a document is th
 mean of its features' vectors, and a softmax layer gives the class probabilities.
 Vectors and layer are trained together by stochastic gradient descent in numpy,
 on at most ``max_rows`` labelled documents (those with the smallest hashes of
-their ids, so the sample is the same on every run); this bound keeps the training
-on the driver small and is a documented parameter.  For scoring, the layer is
-multiplied into the vectors once, which leaves one number for each feature.
+their ids, so the sample is the same on every run) and ``max_bytes`` of their texts
+(in that order, whole texts only); these bounds keep the training on the driver small
+and are documented parameters.  For scoring, the layer is multiplied into the vectors
+once, which leaves one number for each feature.
 
 Null and empty texts have no feature: their score is that of the bias alone.
 With no labelled row, or only one class, the score is the share of label 1 (0.5
-without any).  Rows of an id with several labels are all learned from.
+without any).  Rows of an id with several labels are all learned from, as far as the
+bounds go.  Input columns named score or predicted are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempograph.llm._common import append_columns, texts
@@ -51,7 +53,7 @@ def features(text: str) -> np.ndarray:
         # A word's polynomial, freed of its place by the inverse power.
         value = (powers[last + 1] - powers[first]) * inverse(n)[first]
         out.append((value ^ value >> np.uint64(29)) * FACTORS[2] >> shift)
-    return np.concatenate(out).astype(np.int64)
+    return np.concatenate([np.empty(0, np.uint64), *out]).astype(np.int64)
 
 
 BASE = 0x5851F42D4C957F2D
@@ -117,7 +119,7 @@ def train(rows: list[tuple[str, int]], epochs: int = 6, rate: float = 20.0, seed
     return model
 
 
-def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 4000, threshold: float = 0.3) -> DataFrame:
+def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 4000, max_bytes: int = 64 << 20, threshold: float = 0.3) -> DataFrame:
     """The rows with score (probability of label 1) and predicted (1 where the score reaches the threshold) added.
 
     ``labels`` has the ids to learn from in ``id_col`` and 0 or 1 in ``label``; other values and nulls are not used.
@@ -127,8 +129,12 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     # The sample's size is bounded by max_rows, and so is this join's smaller side.
     chosen = marked.orderBy(F.xxhash64("__id"), "__id", "y").limit(max_rows)
     docs = df.select(F.col(id_col).alias("__own"), F.col(text).alias("text"))
-    rows = docs.join(F.broadcast(chosen), F.col("__own") == F.col("__id")).select("__own", "text", "y").collect()
-    rows = sorted(((r["__own"], r["text"] or "", r["y"]) for r in rows), key=lambda r: (r[0], r[2], r[1]))
+    found = docs.join(F.broadcast(chosen), F.col("__own") == F.col("__id")).select("__own", F.coalesce("text", F.lit("")).alias("text"), "y")
+    order = [F.xxhash64("__own"), F.col("__own"), F.col("y"), F.xxhash64("text")]
+    first = found.withColumn("size", F.octet_length("text")).orderBy(*order).limit(max_rows)
+    # max_rows rows at most, so this sum's single task is small.
+    within = first.withColumn("upto", F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= max_bytes)
+    rows = sorted(((r["__own"], r["text"], r["y"]) for r in within.collect()), key=lambda r: (r[0], r[2], r[1]))
     model = train([(t, y) for _, t, y in rows])
     shared = df.sparkSession.sparkContext.broadcast(model.weights())
 

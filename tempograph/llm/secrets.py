@@ -12,7 +12,9 @@ of c * log2(c) changes by two table values).  A candidate is a span if the entro
 of some window reaches the threshold of its character class and neither a base
 span covers it nor an allow-list pattern matches.
 
-Null and empty texts have no span.  Columns named as a result are replaced.
+Null and empty texts have no span.  A column named as the result is replaced; other
+columns are kept, whatever their names.  Places cost the square of a text's spans over
+``BLOCK``, for spans are gathered in blocks.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempograph.llm._common import unused
+
 # The base patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -30,7 +34,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 RUN = "A-Za-z0-9+/_=-"
 CANDIDATE = f"(?<![{RUN}])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[{RUN}]{{20,}}"
-WINDOW = 20
+WINDOW, BLOCK = 20, 64
 #: Least entropy in bits of a window, by character class: (pattern of the class, bits), the first that fits.
 CLASSES = (("^[0-9a-fA-F]+$", 2.9), ("^[A-Za-z0-9]+$", 3.6), (".", 3.7))
 #: Candidates that are no secrets: UUIDs, placeholders, paths and slugs of plain words.
@@ -48,14 +52,21 @@ def places(text: Column, pattern: str, hits: Column) -> Column:
     """(start, end) of each hit, as structs."""
     gaps = F.split(text, pattern, -1)
     lengths = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    spans = "array<struct<start:int,end:int>>"
+    start = lambda at: F.struct(at.alias("at"), F.array().cast(spans).alias("out"))
 
     def step(acc, x):
         begin = acc["at"] + x["gap"]
         span = F.struct(begin.alias("start"), (begin + x["hit"]).alias("end"))
         return F.struct((begin + x["hit"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(lengths, start, step, lambda acc: acc["out"])
+    def block(acc, k):
+        own = F.aggregate(F.slice(lengths, k * BLOCK + 1, BLOCK), start(acc["at"]), step)
+        return F.struct(own["at"].alias("at"), F.concat(acc["out"], F.array(own["out"])).alias("out"))
+
+    blocks = F.sequence(F.lit(0), F.floor(F.size(hits) / BLOCK).cast("int"))
+    grown = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spans}>").alias("out"))
+    return F.when(F.size(hits) <= BLOCK, F.aggregate(lengths, start(F.lit(0)), step)["out"]).otherwise(F.flatten(F.aggregate(blocks, grown, block)["out"]))
 
 
 def ranked(spans: Column, rank: int) -> Column:
@@ -100,32 +111,34 @@ def scan_secrets(df: DataFrame, text: str = "text", out: str = "spans") -> DataF
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<struct<start:int,end:int>>")
     df = df.drop(out)
+    names = df.columns
+    made = {n: unused(f"_{n}", names) for n in ("assign", "access", "hex", "runs", "base")}
     found = df.withColumns(
         {
-            "__assign": F.regexp_extract_all(body, F.lit(ASSIGN), 0),
-            "__access": F.when(F.contains(body, F.lit("AKIA")), F.regexp_extract_all(body, F.lit(ACCESS), 0)),
-            "__hex": F.regexp_extract_all(body, F.lit(HEX), 0),
-            "__runs": F.regexp_extract_all(body, F.lit(CANDIDATE), 0),
+            made["assign"]: F.regexp_extract_all(body, F.lit(ASSIGN), 0),
+            made["access"]: F.when(F.contains(body, F.lit("AKIA")), F.regexp_extract_all(body, F.lit(ACCESS), 0)),
+            made["hex"]: F.regexp_extract_all(body, F.lit(HEX), 0),
+            made["runs"]: F.regexp_extract_all(body, F.lit(CANDIDATE), 0),
         }
     )
     some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
     values = F.regexp_extract_all(body, F.lit(ASSIGN), 2)
-    kept = F.filter(F.arrays_zip(places(body, ASSIGN, F.col("__assign")).alias("place"), values.alias("value")), lambda x: F.length(x["value"]) >= 6)
+    kept = F.filter(F.arrays_zip(places(body, ASSIGN, F.col(made["assign"])).alias("place"), values.alias("value")), lambda x: F.length(x["value"]) >= 6)
     base = found.withColumn(
-        "__base",
+        made["base"],
         F.concat(
-            F.when(some(F.col("__assign")), ranked(F.transform(kept, lambda x: x["place"]), 0)).otherwise(ranked(none, 0)),
-            F.when(some(F.col("__access")), ranked(places(body, ACCESS, F.col("__access")), 1)).otherwise(ranked(none, 1)),
-            F.when(some(F.col("__hex")), ranked(places(body, HEX, F.col("__hex")), 2)).otherwise(ranked(none, 2)),
+            F.when(some(F.col(made["assign"])), ranked(F.transform(kept, lambda x: x["place"]), 0)).otherwise(ranked(none, 0)),
+            F.when(some(F.col(made["access"])), ranked(places(body, ACCESS, F.col(made["access"])), 1)).otherwise(ranked(none, 1)),
+            F.when(some(F.col(made["hex"])), ranked(places(body, HEX, F.col(made["hex"])), 2)).otherwise(ranked(none, 2)),
         ),
     )
     flagged = F.filter(
-        F.zip_with(places(body, CANDIDATE, F.col("__runs")), F.col("__runs"), lambda s, run: F.struct(s["start"].alias("start"), s["end"].alias("end"), run.alias("run"))),
-        lambda s: ~F.exists("__base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])) & is_random(s["run"]),
+        F.zip_with(places(body, CANDIDATE, F.col(made["runs"])), F.col(made["runs"]), lambda s, run: F.struct(s["start"].alias("start"), s["end"].alias("end"), run.alias("run"))),
+        lambda s: ~F.exists(made["base"], lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])) & is_random(s["run"]),
     )
-    added = F.when(some(F.col("__runs")), F.transform(flagged, lambda s: F.struct(s["start"], s["end"], F.lit(3).alias("rank")))).otherwise(ranked(none, 3))
-    spans = F.transform(F.array_sort(F.transform(F.concat("__base", added), lambda s: F.struct(s["start"], s["rank"], s["end"]))), lambda s: F.struct(s["start"], s["end"], s["rank"]))
-    return base.withColumn(out, spans).drop("__assign", "__access", "__hex", "__runs", "__base")
+    added = F.when(some(F.col(made["runs"])), F.transform(flagged, lambda s: F.struct(s["start"], s["end"], F.lit(3).alias("rank")))).otherwise(ranked(none, 3))
+    spans = F.transform(F.array_sort(F.transform(F.concat(made["base"], added), lambda s: F.struct(s["start"], s["rank"], s["end"]))), lambda s: F.struct(s["start"], s["end"], s["rank"]))
+    return base.withColumn(out, spans).select(*names, out)
 
 
 def described(spans: Column) -> Column:
@@ -141,12 +154,15 @@ def count_kind(spans: Column, kind: str) -> Column:
 def redact(df: DataFrame, text: str = "text", marker: str = "[secret]") -> DataFrame:
     """The rows with every span of the text (spans that overlap as one) replaced by the marker; texts without a span stay as they are."""
     names = df.columns
-    scanned = scan_secrets(df, text, "__spans")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    spans = unused("_spans", names)
+    scanned = scan_secrets(df, text, spans)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"))
 
     def step(acc, s):
-        fresh = F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(marker))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when((s["start"] < acc["at"]), acc["out"]).otherwise(fresh).alias("out"))
+        piece = F.concat(F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(marker))
+        pieces = F.when(s["start"] < acc["at"], acc["pieces"]).otherwise(F.concat(acc["pieces"], F.array(piece)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), pieces.alias("pieces"))
 
-    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return scanned.withColumn(text, F.when(F.size("__spans") > 0, clean).otherwise(F.col(text))).select(names)
+    # The pieces are joined at the end, so the text isn't copied for each span.
+    clean = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["pieces"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(text))))
+    return scanned.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(F.col(text))).select(names)

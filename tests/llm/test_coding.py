@@ -170,6 +170,22 @@ def test_token_files_round_trip(spark, docs, rows, nothing):
     assert read_token_files(spark, empty).collect() == []
 
 
+def test_megabyte_texts(spark):
+    """One very long text with blanks and one without, through packing, coding and token files."""
+    long, solid = "One sentence of many, it is said. 漢字\n" * 40_000, "漢字テスト、" * 60_000
+    df = spark.createDataFrame([(1, long), (2, "short"), (3, solid)], "doc_id bigint, text string")
+    want = {1: ids_of(long), 2: ids_of("short"), 3: ids_of(solid)}
+    coded = bpe_decode(bpe_encode(df, BYTE), BYTE).collect()
+    assert all(r.ids == want[r.doc_id] and r.decoded == r.text for r in coded)
+    sums = {r.doc_id: r.n for r in pack_documents(df, BYTE).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert sums == {k: len(x) + 1 for k, x in want.items()}
+    path = token_file_path(spark)
+    write_token_files(df, WORD, path, end_id=2)
+    library = Tokenizer.from_file(WORD)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in read_token_files(spark, path).collect()}
+    assert got == {k: [*library.encode(t, add_special_tokens=False).ids, 2] for k, t in ((1, long), (2, "short"), (3, solid))}
+
+
 def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "z"), (1, "c d e"), (None, "c"), (None, None)], "doc_id bigint, text string")
     seen = []

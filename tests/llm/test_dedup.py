@@ -166,6 +166,17 @@ def test_salts_follow_the_load():
     assert salts_of({0: 5 << 20, 1: 10}, 2, 0.0, 1).tolist() == [5, 1] and salts_of({}, 1, 0.0, 6).tolist() == [6]
 
 
+def test_megabyte_texts(spark):
+    """Very long texts, one a near copy of the other and sharing all but one line with it."""
+    rng = random.Random(11)
+    lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(12_000)]
+    other = [*lines[:6000], "a line that no other text has", *lines[6001:]]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(other)), (3, "short")], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+    got = {r.doc_id: (r.text, r.n_dropped) for r in drop_repeated_lines(df).collect()}
+    assert got[2] == ("a line that no other text has", 11_999) and got[1][1] == 0
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(2).integers(0, 2**63, 5000).astype(np.uint64))
     index = PerfectHash.load(*PerfectHash(keys).dump())

@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempograph.llm import url_filter
-from tempograph.llm.quality_classifier import features, quality_scores, train
-from tempograph.llm.quality_rules import base_counts, quality_rules
+from tempograph.llm import quality_rules as quality_rules_module
+from tempograph.llm.quality_classifier import BASE, BITS, features, quality_scores, train
+from tempograph.llm.quality_rules import base_counts, bucket_counts, quality_rules
 from tempograph.llm.secrets import ALLOWED, CLASSES, KINDS, WINDOW, described, redact, scan_secrets
 from tempograph.llm.url_filter import Rules, Segmenter, filter_urls
 
@@ -206,6 +207,110 @@ def test_redaction(spark):
     assert got == {1: "é [secret] and [secret] end", 2: "clean", 3: None, 4: "[secret]"}
 
 
+def test_many_spans_and_clashing_columns(spark):
+    """Over a block of spans in one text, and columns named like those used on the way."""
+    texts = [" ".join(f"é token=abc{i:04d} {i:024x}" for i in range(n)) for n in (1, 63, 64, 65, 700)]
+    df = spark.createDataFrame([(i, t, i, i) for i, t in enumerate(texts)], "doc_id bigint, text string, _assign bigint, __base bigint")
+    out = scan_secrets(df)
+    assert out.columns == [*df.columns, "spans"]
+    got = {r.doc_id: (r.d, r._assign) for r in out.select("doc_id", "_assign", described("spans").alias("d")).collect()}
+    assert got == {i: (brute_spans(t), i) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.text for r in redact(df).collect()} == {i: brute_redacted(t) for i, t in enumerate(texts)}
+
+
+def brute_redacted(text, marker="[secret]"):
+    out, at = "", 0
+    for span in filter(None, brute_spans(text).split(",")):
+        a, z = map(int, span.split(":")[1:])
+        if a >= at:
+            out += text[at:a] + marker
+        at = max(at, z)
+    return out + text[at:]
+
+
+def brute_llr(rows, trusted, text):
+    """The likelihood ratio of a text from plain counts of hashed 4-byte n-grams."""
+
+    def bag(t):
+        raw = (t or "").encode().lower()
+        return Counter((int.from_bytes(raw[i : i + 4], "little") * 0x9E3779B1 & 0xFFFFFFFF) >> 16 for i in range(len(raw) - 3))
+
+    raw, good = Counter(), Counter()
+    for k, t in rows:
+        raw += bag(t)
+        if k in trusted:
+            good += bag(t)
+    n_raw, n_good, own = sum(raw.values()) + 0.5 * 65536, sum(good.values()) + 10_000, bag(text)
+    q = {g: (raw[g] + 0.5) / n_raw for g in own}
+    return sum(n * (math.log((good[g] + 10_000 * q[g]) / n_good) - math.log(q[g])) for g, n in own.items()) / max(1, sum(own.values()))
+
+
+def test_quality_is_that_of_brute_force(spark, rows):
+    trusted = {k for k, _ in rows if k % 4 == 0}
+    out = quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), spark.createDataFrame([(k,) for k in trusted], "doc_id bigint"))
+    got = {r.doc_id: r for r in out.collect()}
+    for k, t in rows:
+        n, chars, symbols, lines, repeated = brute_counts(t or "")
+        failed, llr = n < 50 or 100 * repeated > 50 * n, brute_llr(rows, trusted, t)
+        r = got[k]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (n, chars, symbols, lines, repeated, failed)
+        assert r.llr == pytest.approx(llr, abs=1e-9) and r.kept == (not failed and llr >= -0.6)
+
+
+def test_counts_are_added_in_a_tree(spark, rows, monkeypatch):
+    monkeypatch.setattr(quality_rules_module, "FAN", 2)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert (bucket_counts(df.repartition(9)) == bucket_counts(df.coalesce(1))).all()
+
+
+def brute_score(model, text):
+    """Mean vector of the words' and n-grams' features, then the softmax layer."""
+    raw = text.encode().lower()
+    found = []
+    for size, factor in zip((3, 5), (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+        found += [((int.from_bytes(raw[i : i + size], "little") + 1) * factor % 2**64) >> (64 - BITS) for i in range(len(raw) - size + 1)]
+    for word in raw.split():
+        value = sum((b + 1) * pow(BASE, i, 2**64) for i, b in enumerate(word)) % 2**64
+        found.append(((value ^ value >> 29) * 0x165667B19E3779F9 % 2**64) >> (64 - BITS))
+    mean = model.vectors[found].astype(float).mean(axis=0) if found else 0 * model.vectors[0]
+    z = mean @ model.layer + model.bias
+    return 1 / (1 + math.exp(z[0] - z[1]))
+
+
+def test_scores_are_those_of_brute_force(spark, rows):
+    marks = [(k, int(k % 2)) for k, t in rows if k % 5]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in quality_scores(df, spark.createDataFrame(marks, "doc_id bigint, quality int")).collect()}
+    labelled = dict(marks)
+    model = train([(t or "", labelled[k]) for k, t in sorted(rows, key=lambda r: r[0]) if k in labelled])
+    for k, t in rows:
+        want = brute_score(model, t or "")
+        assert got[k].score == pytest.approx(want, abs=1e-5) and got[k].predicted == int(got[k].score >= 0.3)
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr("tempograph.llm.quality_classifier.train", lambda rows: seen.append(rows) or train(rows))
+    df = spark.createDataFrame([(1, "a" * 10)] * 50 + [(2, "b" * 30), (3, "c" * 1000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id bigint, quality int")
+    for bounds, most in (((7, 1 << 20), (7, 1 << 20)), ((4000, 60), (6, 60))):
+        quality_scores(df, labels, max_rows=bounds[0], max_bytes=bounds[1])
+        assert 0 < len(seen[-1]) <= most[0] and sum(len(t) for t, _ in seen[-1]) <= most[1]
+
+
+def test_megabyte_texts(spark):
+    """One very long text among short ones, through every judging operator."""
+    line = "one river of words flows under the stone, and a token=abcdef12 is in it.\n"
+    long = line * 40_000
+    df = spark.createDataFrame([(1, long), (2, "short"), (3, "river " * 400_000)], "doc_id bigint, text string")
+    judged = {r.doc_id: r for r in quality_rules(df, spark.createDataFrame([(1,)], "doc_id bigint")).collect()}
+    assert (judged[1].n_words, judged[3].n_repeat_words) == (14 * 40_000, 400_000)
+    assert all(0 <= r.score <= 1 for r in quality_scores(df, spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")).collect())
+    few = spark.createDataFrame([(1, line * 3000)], "doc_id bigint, text string")
+    assert scan_secrets(few).select(F.size("spans").alias("n")).first().n == 3000
+    assert redact(few).first().text == (line * 3000).replace("token=abcdef12", "[secret]")
+
+
 def test_scan_is_native(docs):
     plan = scan_secrets(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

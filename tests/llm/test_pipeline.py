@@ -1,8 +1,13 @@
 """The pipeline's stages on a small table."""
 
 import random
+import struct
+import zlib
 
 import pytest
+from test_coding import ids_of
+from test_dedup import brute_components, brute_lines
+from test_judging import brute_counts, brute_llr, brute_redacted
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +27,41 @@ def tables(spark, tmp_path_factory):
     return at
 
 
+def brute_pipeline(docs, trusted):
+    """{doc_id: text} before packing, by the plain versions of every stage."""
+    rows = [(k, t) for k, t, *_ in docs]
+    kept = []
+    for k, t in rows:
+        n, _, _, _, repeated = brute_counts(t or "")
+        if n >= 50 and 100 * repeated <= 50 * n and brute_llr(rows, trusted, t) >= -0.6:
+            kept.append((k, t))
+    kept = [(k, text) for k, (text, _, _) in brute_lines(kept).items()]
+    classes = brute_components(kept, 5, 80)
+    return {k: brute_redacted(t) for k, t in kept if classes[k][2]}
+
+
+def test_run_is_that_of_brute_force(spark, tables):
+    from corpus_pipeline import run
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tables}/documents.parquet").collect()]
+    trusted = {r.doc_id for r in spark.read.parquet(f"{tables}/labels.parquet").collect() if r.quality == 1}
+    want = {k: [*ids_of(t), 0] for k, t in brute_pipeline(docs, trusted).items()}
+    pieces = run(spark, tables).collect()
+    held = {}
+    for p in pieces:
+        held.setdefault(p.sequence_id, []).append(p)
+        own = want[p.doc_id]
+        part = own[p.start : p.start + p.length]
+        assert (p.doc_tokens, p.ids_crc32) == (len(own), zlib.crc32(struct.pack(f"<{len(part)}I", *part))) and len(part) == p.length
+    for k, ids in want.items():
+        own = sorted((p.start, p.length) for p in pieces if p.doc_id == k)
+        assert [s for s, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) == len(ids)
+    assert len(want) == len({p.doc_id for p in pieces})
+    for own in held.values():
+        own.sort(key=lambda p: p.offset)
+        assert [p.offset for p in own] == [sum(q.length for q in own[:i]) for i in range(len(own))] and sum(p.length for p in own) <= 1024
+
+
 def test_stages(spark, tables):
     from corpus_pipeline import STAGES, run
 
