@@ -165,6 +165,33 @@ class Merger:
         return out
 
 
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def distinct(joined: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For fragments that begin at ``at``: the number of each one's kind, and the place in ``at`` of each kind's first.
+
+    Kinds are told apart by a hash of up to 16 bytes and the length; longer fragments, and all if two kinds' hashes
+    should be equal, by their bytes.
+    """
+    size = np.diff(at, append=len(joined))
+    words = np.ndarray(len(joined), "<u8", joined + bytes(16), 0, (1,))
+    low = words[at] & MASKS[np.minimum(size, 8)]
+    high = np.where(size > 8, words[np.minimum(at + 8, len(joined) - 1)], np.uint64(0)) & MASKS[np.clip(size - 8, 0, 8)]
+    mixed = (low ^ low >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + (high ^ high >> np.uint64(29)) * np.uint64(0xC2B2AE3D27D4EB4F) + size.astype(np.uint64)
+    mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    long = np.flatnonzero(size > 16)
+    kinds: dict[bytes, int] = {}
+    mixed[long] = [kinds.setdefault(joined[x : x + n], len(kinds)) for x, n in zip(at[long].tolist(), size[long].tolist())]
+    _, first, number = np.unique(mixed, return_index=True, return_inverse=True)
+    own = first[number]
+    if ((low == low[own]) & (high == high[own]) & (size == size[own])).all():
+        return number, first
+    kinds = {}
+    number = np.array([kinds.setdefault(joined[x : x + n], len(kinds)) for x, n in zip(at.tolist(), size.tolist())])
+    return number, np.unique(number, return_index=True)[1]
+
+
 class ByteBpe:
     """Encoder and decoder for a byte-level BPE file of the tokenizers library."""
 
@@ -255,10 +282,10 @@ class ByteBpe:
         return forced
 
     def _recall(self, pieces: list[bytes]) -> list[bytes]:
-        fresh = set(pieces)
-        missing = list(fresh.difference(self.memo))
+        """Packed ids of distinct fragments."""
+        missing = [p for p in pieces if p not in self.memo]
         if len(self.memo) + len(missing) > MEMO or self.memo_bytes > MEMO_BYTES:
-            self.memo, self.memo_bytes, missing = {}, 0, list(fresh)
+            self.memo, self.memo_bytes, missing = {}, 0, pieces
         if missing:
             self.memo.update(zip(missing, self.merger.merged(missing, self.first)))
             self.memo_bytes += sum(map(len, missing))
@@ -272,10 +299,14 @@ class ByteBpe:
         if not joined:
             return np.empty(0, self.merger.width), np.zeros(len(parts), np.int64)
         at = np.flatnonzero(self.cuts(joined, begins[sizes > 0]))
-        found = self._recall([joined[a:b] for a, b in zip(at.tolist(), [*at[1:].tolist(), len(joined)])])
-        upto = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))) // int(self.merger.width[2])
-        ends = np.append(np.searchsorted(at, begins), len(at))
-        return np.frombuffer(b"".join(found), self.merger.width), np.diff(upto[ends])
+        number, first = distinct(joined, at)
+        stops = np.append(at[1:], len(joined))
+        found = self._recall([joined[x:y] for x, y in zip(at[first].tolist(), stops[first].tolist())])
+        each = np.fromiter(map(len, found), np.int64, len(found)) // int(self.merger.width[2])
+        opens, count = np.cumsum(each) - each, each[number]
+        upto = np.concatenate(([0], np.cumsum(count)))
+        ids = np.frombuffer(b"".join(found), self.merger.width)[np.repeat(opens[number] - upto[:-1], count) + np.arange(upto[-1])]
+        return ids, np.diff(upto[np.append(np.searchsorted(at, begins), len(at))])
 
     def _blocks(self, part: bytes) -> Iterable[bytes]:
         """A text in blocks of about BLOCK bytes, cut where neither a merge nor the pattern reaches across."""

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tempograph.llm.bpe import bpe_decode, bpe_encode, encoder
+from tempograph.llm.bpe import bpe_decode, bpe_encode, distinct, encoder
 from tempograph.llm.packing import PENALTY, best_cuts, candidates, pack_documents
 from tempograph.llm.token_files import Table, decode_block, encode_block, read_token_files, scaled, token_file_path, write_token_files
 
@@ -195,3 +195,14 @@ def test_repeated_and_null_ids(spark):
         seen.append(sorted((r.start, r.n_tokens, bytes(r.ids)) for r in read_token_files(spark, path).collect()))
     assert seen[0] == seen[1] and sorted(n for _, n, _ in seen[0]) == [1, 2, 2, 3, 3, 4]
     assert pack_documents(df, BYTE).count() == 6
+
+
+def test_distinct_fragments_by_hash_and_by_bytes(monkeypatch):
+    raw = b"abc" + b"abc\x00" + b"abcdefgh" * 2 + b"x" * 17 + b"x" * 18 + b"abc" + b"x" * 17 + b"abcdefghi" + b"\x00" * 3
+    sizes = [3, 4, 8, 8, 17, 18, 3, 17, 9, 1, 1, 1]
+    at = np.cumsum([0, *sizes[:-1]])
+    want = [raw[a : a + n] for a, n in zip(at, sizes)]
+    for _ in range(2):
+        number, first = distinct(raw, at)
+        assert [want[first[k]] for k in number] == want and len(first) == len(set(want))
+        monkeypatch.setattr(np, "unique", lambda x, *a, _u=np.unique, **k: _u(x % np.uint64(2) if x.dtype == np.uint64 else x, *a, **k))  # all hashes collide
