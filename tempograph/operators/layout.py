@@ -36,3 +36,14 @@ def repeat_tags(lines: DataFrame, by: list[str], order: list[str], text: str) ->
 def overlay(layers: list, default):
     """The first layer, from the strongest on, that says anything."""
     return F.coalesce(*layers, F.lit(default))
+
+
+def free_names(takes: DataFrame, by: list[str], stamp: str, order: list[str], out: str = "name") -> DataFrame:
+    """The stamp as a name; the second and later takes of one stamp get -2, -3 and so on."""
+    k = F.row_number().over(Window.partitionBy(*by, stamp).orderBy(*order))
+    return takes.withColumn(out, F.concat(F.col(stamp), F.when(k > 1, F.concat(F.lit("-"), k.cast("string"))).otherwise("")))
+
+
+def newest_first(takes: DataFrame, by: list[str], at: str, name: str) -> DataFrame:
+    """Each take's place in a listing, newest first, then by name."""
+    return takes.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(at), name)))

@@ -158,28 +158,43 @@ def transpose_track(notes: DataFrame, by: list[str], semitones: int, low: int =
     return moved.join(gone, by, "left_anti").withColumn("fifths", spelled), gone
 
 
+AUDIO_QUALITIES = ("MAJOR", "MINOR", "DOMINANT_SEVENTH")
+
+
+def quality_scores(treble: Column, root: Column) -> list[tuple[int, Column, float]]:
+    """(place, score, score of a flat chroma) of each quality on a root: the share of the chroma's length along the chord's
+    notes, less, for a minor third, what of the major third the root's overtones don't explain (a quarter of the root)."""
+    energy = F.sqrt(V.total(F.transform(treble, lambda x: x * x)))
+    at = lambda k: F.get(treble, F.pmod(root + k, F.lit(12)))
+    out = []
+    for i, name in enumerate(AUDIO_QUALITIES):
+        steps = theory.INTERVALS[name]
+        mass, flat = sum((at(k) for k in steps[1:]), at(steps[0])), len(steps) / 12
+        if 3 in steps:
+            mass, flat = mass - F.greatest(F.lit(0.0), at(4) - 0.25 * at(0)), flat - 0.75 / 12
+        size = len(steps) ** 0.5
+        out.append((i, F.when(energy > 0, mass / (energy * size)).otherwise(0.0), flat / (size * 12**-0.5)))
+    return out
+
+
 def audio_chords(spans: DataFrame, by: list[str], order: list[str], state: str, chroma: str, similarity: str) -> DataFrame:
-    """Runs of a decoder's states with the summed chroma, the quality it fits best among the root's, and a confidence."""
-    runs = islands(spans, by, order, state)
-    own = F.get(similarity, F.col(state))
-    sums = runs.groupBy(*by, "run").agg(
-        F.first(state).alias(state),
-        F.count("*").alias("n"),
-        F.array(*[F.sum(F.get(chroma, F.lit(k))) for k in range(12)]).alias("treble"),
-        V.clamp01((F.avg(own) - 0.65) / 0.35).alias("confidence"),
-    )
-    root, flat = F.col(state) % 12, F.array(*[F.lit(1.0)] * 12)
-    rotated = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.get("treble", F.pmod(k + root, F.lit(12))))
-    candidates = []
-    for i, (name, _, _, steps) in enumerate(theory.QUALITIES[:-1]):
-        tpl = F.array(*[F.lit(1.0 if k in steps else 0.0) for k in range(12)])
-        score = V.cosine(rotated, tpl)
-        if 3 in steps and 4 not in steps:  # the overtone of the root counterfeits a major third
-            score = score - 0.05 * F.greatest(F.lit(0.0), F.get(rotated, F.lit(4)) - 0.25 * F.get(rotated, F.lit(0))) / F.greatest(F.lit(1e-9), V.total(rotated))
-        candidates.append(F.struct((-score).alias("k"), F.lit(i).alias("i"), F.lit(name).alias("quality")))
-    best = F.array_min(F.array(*candidates))
-    good = (F.col(state) < 36) & (-best["k"] > V.cosine(rotated, flat))
-    return sums.withColumn("quality", F.when(good, best["quality"]).otherwise("NONE")).withColumn("root", F.when(good, root))
+    """Chords from a decoder's states (quality * 12 + root; 36 is none), with their confidence.
+
+    Neighbouring spans of one root are a run, whatever their quality; over its summed chroma the quality that fits best is
+    chosen for all of it, among those that fit better than a flat chroma would (if none does, the decoder's stay).
+    """
+    root = F.when(F.col(state) < 36, F.col(state) % 12).otherwise(-1)
+    runs = islands(spans.withColumn("__root", root), by, order, "__root")
+    sums = runs.groupBy(*by, "run", "__root").agg(F.array(*[F.sum(F.get(chroma, F.lit(k))) for k in range(12)]).alias("treble"))
+    ranked = [F.when((score > 0) & (score > flat), F.struct((-score).alias("k"), F.lit(i).alias("i"))) for i, score, flat in quality_scores(F.col("treble"), F.col("__root"))]
+    best = F.array_min(F.array_compact(F.array(*ranked)))["i"]
+    chosen = sums.select(*by, "run", F.when(F.col("__root") >= 0, best * 12 + F.col("__root")).alias("__best"))
+    # A heavy recording's frames stay where they are: the choice is one row a run.
+    judged = runs.join(chosen, [*by, "run"]).withColumn("__state", F.coalesce("__best", state)).drop("run")
+    again = islands(judged, by, order, "__state")
+    named = again.groupBy(*by, "run").agg(F.min(F.struct(*order)).alias("__first"), F.first("__state").alias("state"), F.count("*").alias("n"), V.clamp01((F.avg(F.get(similarity, F.col("__state"))) - 0.65) / 0.35).alias("confidence"))
+    quality = F.coalesce(theory.pick(list(AUDIO_QUALITIES), F.floor(F.col("state") / 12).cast("int")), F.lit("NONE"))
+    return named.select(*by, *(F.col(f"__first.{c}").alias(f"first_{c}") for c in order), "n", "state", quality.alias("quality"), F.when(F.col("state") < 36, F.col("state") % 12).alias("root"), "confidence")
 
 
 def decided_confidence(winner: Column, runner_up: Column, fit: Column) -> Column:
@@ -239,6 +254,11 @@ def playable(notes: DataFrame) -> DataFrame:
     return notes.where((F.col("role") != "DRUMS") & F.col("start_beat").isNotNull() & F.col("end_beat").isNotNull())
 
 
+def with_ends(notes: DataFrame) -> DataFrame:
+    """end = start + length on the beat axis and in seconds."""
+    return notes.withColumns({"end_beat": F.col("start_beat") + F.col("beats"), "end_seconds": F.col("start_seconds") + F.col("seconds")})
+
+
 def producible(parts: DataFrame) -> DataFrame:
     """Whether a part can be written on a staff, and why not."""
     reason = F.when(F.col("role") == "DRUMS", "percussion has no staff here").when(F.col("notes") == 0, "the part has no notes").when(~F.col("quantized"), "its notes have no place in a bar")

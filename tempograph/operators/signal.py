@@ -55,6 +55,12 @@ def frame_signal(df: DataFrame, window: int, hop: int) -> DataFrame:
     return each.withColumn("samples", F.slice("samples", F.col("frame") * hop + 1, window))
 
 
+def band(df: DataFrame, spectrum: str, hz_a_bin: float, low: float, high: float) -> DataFrame:
+    """Spectra cut to the bins from ``low`` to ``high`` hertz, both included."""
+    first, last = math.ceil(low / hz_a_bin), math.floor(high / hz_a_bin)
+    return df.withColumn(spectrum, F.slice(spectrum, first + 1, last - first + 1))
+
+
 def hann(n: int) -> np.ndarray:
     """Periodic Hann window."""
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)

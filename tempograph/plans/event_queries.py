@@ -215,7 +215,7 @@ def phase_means(spark, d):
 @query(f"""with {PHASE_STATS}, r as (select *, row_number() over (partition by rec order by round(advantage + 0.05 * tanh(effective / 10), 6) desc, round(advantage, 6) desc, phase) as k from st)
   select rec, phase, round(advantage, 6) as advantage, round(0.35 + 0.25 * tanh(effective / 10), 6) as confidence from r where k = 1""")
 def downbeat_phase(spark, d):
-    """The phase with the best advantage and accent; ties by advantage, then the first."""
+    """The phase with the best advantage and accent; ties by advantage, then the first."""
     score = F.round(F.col("advantage") + 0.05 * F.tanh(F.col("effective") / 10), 6)
     best = temporal.first_of_each(phased(spark, d), ["rec"], [F.desc(score), F.desc(F.round("advantage", 6)), "phase"])
     return best.select("rec", "phase", F.round("advantage", 6).alias("advantage"), F.round(0.35 + 0.25 * F.tanh(F.col("effective") / 10), 6).alias("confidence"))

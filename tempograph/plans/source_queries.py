@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tempograph.functions import theory
 from tempograph.operators import harmony, meter, notation, score, signal, stats, temporal
 from tempograph.plans.bindings import NOTES, ONSETS, ORIGIN, SIX_HOURS, micros, notes, onsets, table
+from tempograph.plans.vector_queries import VIT
 from tempograph.sources import audio, midi, score_json, text_charts
 
 FOUND: dict = {}
@@ -61,7 +62,7 @@ def sniffed_sources(spark, d):
 
 @query("select 'tone' as rec_id, cast(i // 65536 as integer) as chunk_no, count(*) as n, round(sum(floor(0.5 * sin(2 * pi() * 440 * i / 22050.0) * 32767 + 0.5) / 32768), 2) as total from (select unnest(range(110250)) as i) group by 2")
 def wav_round_trip(spark, d):
-    """A tone written as WAV and decoded."""
+    """A tone written as WAV and decoded in chunks."""
     import numpy as np
 
     tone = 0.5 * np.sin(2 * np.pi * 440 * np.arange(110_250) / 22_050.0)
@@ -248,14 +249,28 @@ def frequency_scales(spark, d):
     return g.select("hz", F.round(theory.hz_to_mel(hz), 6).alias("mel"), F.round(theory.hz_to_midi(hz), 6).alias("midi"), F.round(theory.decibels(hz / 1000.0), 6).alias("db"), F.round(theory.tempo_prior(hz), 6).alias("prior"))
 
 
-@query()
+_AT = "t[((root + {k}) % 12)::int + 1]"
+_MASS = " + ".join(_AT.format(k=k) for k in (0, "third", 7))
+AUDIO = f"""{VIT}, f as (select b.rec, b.frame, b.state, case when b.state < 36 then b.state % 12 else -1 end as root, chroma, sim from back b join sims s on b.rec = s.rec and b.frame = s.frame join chroma k on b.rec = k.rec and b.frame = k.frame),
+  f1 as (select *, sum(c) over (partition by rec order by frame rows unbounded preceding) as run from (select *, case when row_number() over w > 1 and lag(root) over w <> root then 1 else 0 end as c from f window w as (partition by rec order by frame))),
+  tr as (select rec, run, any_value(root) as root, list_transform(range(12), lambda i: list_sum(list_transform(list(chroma), lambda v: v[i + 1]))) as t from f1 group by rec, run),
+  q as (select * from (values (0, 4, 3), (1, 3, 3), (2, 4, 4)) q(i, third, n)),
+  sc as (select rec, run, root, i, ({_MASS} + case when n = 4 then {_AT.format(k=10)} else 0 end - case when third = 3 then greatest(0, {_AT.format(k=4)} - 0.25 * {_AT.format(k=0)}) else 0 end) / (sqrt(list_sum(list_transform(t, lambda x: x * x))) * sqrt(n)) as score,
+    (n / 12.0::double - case when third = 3 then 0.75 / 12 else 0 end) / (sqrt(n) * sqrt(1 / 12.0::double)) as flat from tr cross join q where root >= 0),
+  best as (select rec, run, i * 12 + root as state from (select *, row_number() over (partition by rec, run order by score desc, i) as k from sc where score > flat and score > 0) where k = 1),
+  f2 as (select f1.rec, frame, coalesce(best.state, f1.state) as state, sim from f1 left join best on f1.rec = best.rec and f1.run = best.run),
+  f3 as (select *, sum(c) over (partition by rec order by frame rows unbounded preceding) as run from (select *, case when row_number() over w > 1 and lag(state) over w <> state then 1 else 0 end as c from f2 window w as (partition by rec order by frame)))"""
+
+
+@query(f"""with recursive {AUDIO} select rec, min(frame) as first_frame, count(*) as n, cast(any_value(state) as integer) as state, case any_value(state) // 12 when 0 then 'MAJOR' when 1 then 'MINOR' when 2 then 'DOMINANT_SEVENTH' else 'NONE' end as quality,
+  case when any_value(state) < 36 then cast(any_value(state) % 12 as integer) end as root, round(greatest(0, least(1, (avg(sim[state::int + 1]) - 0.65) / 0.35)), 6) as confidence from f3 group by rec, run""")
 def audio_chord_runs(spark, d):
     """Runs of the decoder with their quality and confidence."""
     from tempograph.plans.bindings import chroma
 
     sims = harmony.template_similarity(chroma(spark, d), "chroma")
     path = harmony.decode_frames(sims, "rec", "frame", "similarity").join(sims, ["rec", "frame"])
-    return score.audio_chords(path, ["rec"], ["frame"], "state", "chroma", "similarity").drop("treble")
+    return score.audio_chords(path, ["rec"], ["frame"], "state", "chroma", "similarity").withColumn("confidence", F.round("confidence", 6))
 
 
 @query("""with k as (select k, k - floor(floor(k / 11025.0) * 11025.0 + 0.5) as since from (select unnest(range(88200)) as k)),
@@ -266,11 +281,3 @@ def click_track(spark, d):
     c = signal.click_chunks(spark, "clicks", 120.0, 4.0)
     s = stats.peak_rms(c.select("chunk_no", F.explode("samples").alias("x")), ["chunk_no"], "x")
     return s.select("chunk_no", F.round("peak", 6).alias("peak"), F.round("rms", 6).alias("rms"))
-
-
-@query()
-def grid_choices(spark, d):
-    """Which bars are on a grid of threes."""
-    from tempograph.plans.symbolic_queries import grid_cost_table
-
-    return notation.tuplet_plan(meter.best_grid_path(grid_cost_table(spark, d), "rec", "bar"), ["rec"])

@@ -143,7 +143,7 @@ def bar_beat_position(spark, d):
 
 @query(f"with {METER_SQL}, t as (select *, coalesce(lead(start_bar) over (order by start_bar), 80) as z from mt), b as (select *, unnest(range(start_bar, z)) as bar from t) select cast(bar as integer) as bar, round(start_beat + (bar - start_bar) * len, 6) as start_beat, num, den from b")
 def bar_table(spark, d):
-    """L7."""
+    """The meter of each bar."""
     meters = spark.createDataFrame([(1, *m) for m in METERS], "rec int, start_bar int, num int, den int")
     return meter.bar_table(meters, ["rec"], 80).select("bar", F.round("start_beat", 6).alias("start_beat"), "num", "den")
 
