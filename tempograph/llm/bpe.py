@@ -11,7 +11,7 @@ they have blanks or not: a text without blanks is cut at its pairs.
 Fragments are merged here: those of one length together, as rows of a matrix, in
 which each round carries out the lowest-ranked merge of every row; fragments over
 ``WIDE`` bytes one by one with a heap.  Fragments recur, so a worker remembers up to
-``MEMO`` of them.  A text over ``BLOCK`` bytes is encoded in blocks that end at
+twice ``MEMO`` of them.  A text over ``BLOCK`` bytes is encoded in blocks that end at
 certain cuts that the pattern cannot look across, so memory follows the block.
 
 The classes of characters are asked of the tokenizers library, a character at a
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 
 from tempograph.llm._common import append_columns
 
-WIDE, MEMO, MEMO_BYTES, BLOCK = 32, 250_000, 16 << 20, 1 << 20
+WIDE, MEMO, MEMO_BYTES, BLOCK = 32, 150_000, 8 << 20, 1 << 20
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 NEVER = np.iinfo(np.int32).max
 
@@ -44,7 +44,7 @@ ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 class Memo(dict):
     """A dict that computes missing entries and empties itself at ``most`` entries."""
 
-    def __init__(self, make, most: int = MEMO):
+    def __init__(self, make, most: int = 250_000):
         super().__init__()
         self.make, self.most = make, most
 
@@ -55,6 +55,32 @@ class Memo(dict):
         return value
 
 
+class Recent:
+    """Results of a function of many distinct keys at once, remembered in two generations.
+
+    When the younger one has ``most`` keys (or MEMO_BYTES of them) it becomes the older one, whose keys are forgotten
+    unless they recur meanwhile; so what recurs stays, and memory is bounded.
+    """
+
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.size = 0
+
+    def __call__(self, keys: list[bytes]) -> list[bytes]:
+        missing = [k for k in keys if k not in self.young]
+        if self.young and (len(self.young) + len(missing) > self.most or self.size > MEMO_BYTES):
+            self.old, self.young, self.size, missing = self.young, {}, 0, keys
+        if missing:
+            again = {k: self.old[k] for k in missing if k in self.old}
+            fresh = [k for k in missing if k not in again] if again else missing
+            self.young.update(again)
+            self.young.update(zip(fresh, self.make(fresh)))
+            self.size += sum(map(len, missing))
+        return list(map(self.young.__getitem__, keys))
+
+
 def byte_chars() -> dict[int, str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -146,8 +172,9 @@ class Merger:
                 offer(before[i], i)
         return np.array([x for x in own if x >= 0])
 
-    def merged(self, fragments: list[bytes], first: np.ndarray) -> list[bytes]:
-        """Packed ids of each fragment, whose bytes ``first`` maps to ids."""
+    def merged(self, fragments: list[bytes], first: np.ndarray, last: np.ndarray | None = None) -> list[bytes]:
+        """Packed ids of each fragment, whose bytes ``first`` maps to ids (the last byte of each: ``last``, if given)."""
+        last = first if last is None else last
         out: list[bytes] = [b""] * len(fragments)
         lengths = defaultdict(list)
         for i, f in enumerate(fragments):
@@ -155,10 +182,11 @@ class Merger:
         for length, own in lengths.items():
             if length > WIDE:
                 for i in own:
-                    out[i] = self.one(first[np.frombuffer(fragments[i], np.uint8)]).astype(self.width).tobytes()
+                    symbols = np.frombuffer(fragments[i], np.uint8)
+                    out[i] = self.one(np.append(first[symbols[:-1]], last[symbols[-1]])).astype(self.width).tobytes()
             elif length:
                 symbols = np.frombuffer(b"".join([fragments[i] for i in own]), np.uint8).reshape(-1, length)
-                for number, ids in self.rows(first[symbols]):
+                for number, ids in self.rows(np.hstack((first[symbols[:, :-1]], last[symbols[:, -1:]]))):
                     packed, step = ids.astype(self.width).tobytes(), ids.shape[1] * int(self.width[2])
                     for k, i in enumerate(number.tolist()):
                         out[own[i]] = packed[k * step : (k + 1) * step]
@@ -168,13 +196,12 @@ class Merger:
 MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-def distinct(joined: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For fragments that begin at ``at``: the number of each one's kind, and the place in ``at`` of each kind's first.
+def distinct(joined: bytes, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For fragments that begin at ``at``, of these sizes: the number of each one's kind, and the place in ``at`` of each kind's first.
 
     Kinds are told apart by a hash of up to 16 bytes and the length; longer fragments, and all if two kinds' hashes
     should be equal, by their bytes.
     """
-    size = np.diff(at, append=len(joined))
     words = np.ndarray(len(joined), "<u8", joined + bytes(16), 0, (1,))
     low = words[at] & MASKS[np.minimum(size, 8)]
     high = np.where(size > 8, words[np.minimum(at + 8, len(joined) - 1)], np.uint64(0)) & MASKS[np.clip(size - 8, 0, 8)]
@@ -192,6 +219,31 @@ def distinct(joined: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return number, np.unique(number, return_index=True)[1]
 
 
+def assembled(joined: bytes, at: np.ndarray, size: np.ndarray, begins: np.ndarray, recall, width: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all fragments of texts that begin at ``begins``, and their number by text; ``recall`` gives those of distinct fragments."""
+    if not len(at):
+        return np.empty(0, width), np.zeros(len(begins), np.int64)
+    number, first = distinct(joined, at, size)
+    found = recall([joined[x : x + n] for x, n in zip(at[first].tolist(), size[first].tolist())])
+    each = np.fromiter(map(len, found), np.int64, len(found)) // int(width[2])
+    opens, count = np.cumsum(each) - each, each[number]
+    upto = np.concatenate(([0], np.cumsum(count)))
+    ids = np.frombuffer(b"".join(found), width)[np.repeat(opens[number] - upto[:-1], count) + np.arange(upto[-1])]
+    return ids, np.diff(upto[np.append(np.searchsorted(at, begins), len(at))])
+
+
+def endings_apart(points: np.ndarray, starts: np.ndarray, first: np.ndarray) -> None:
+    """Keeps a quote that opens a piece together with the ending after it, and starts a piece after that.  ``first``: where texts begin."""
+    quote = np.flatnonzero((points == 39) & starts)
+    for ending in ENDINGS:
+        at = quote[quote + len(ending) < len(points)]
+        for k, c in enumerate(ending, 1):
+            at = at[(points[at + k] == ord(c)) & ~first[at + k]]
+        starts[at + 1] = False
+        rest = at[at + len(ending) + 1 < len(points)]
+        starts[rest + len(ending) + 1] = True
+
+
 class ByteBpe:
     """Encoder and decoder for a byte-level BPE file of the tokenizers library."""
 
@@ -219,8 +271,7 @@ class ByteBpe:
             self.inside[np.frombuffer(t[:-1], np.uint8).astype(np.int64) * 256 + np.frombuffer(t[1:], np.uint8)] = True
         self.classes = np.full(0x110000, UNKNOWN, np.uint8)
         self.pattern = load_library(path).pre_tokenizer
-        self.memo: dict[bytes, bytes] = {}
-        self.memo_bytes = 0
+        self.recall = Recent(lambda pieces: self.merger.merged(pieces, self.first), MEMO)
         #: Of each id: whether it ends a sentence, and whether it opens a word (white space first).
         self.ends_sentence = np.array([b.rstrip(b"\"')")[-1:] in (b".", b"!", b"?", b"\n") if b else False for b in self.bytes_of])
         self.opens_word = np.array([b[:1].isspace() for b in self.bytes_of])
@@ -257,14 +308,7 @@ class ByteBpe:
         # The last of several blanks before a word goes its own way; a space is taken by the word after it.
         starts[:-1] |= blank[:-1] & ~blank[1:] & ~first[1:]
         starts[1:] &= ~((points[:-1] == 32) & ~blank[1:] & ~first[1:])
-        quote = np.flatnonzero((points == 39) & starts)
-        for ending in ENDINGS:
-            at = quote[quote + len(ending) < len(points)]
-            for k, c in enumerate(ending, 1):
-                at = at[(points[at + k] == ord(c)) & ~first[at + k]]
-            starts[at + 1] = False
-            rest = at[at + len(ending) + 1 < len(points)]
-            starts[rest + len(ending) + 1] = True
+        endings_apart(points, starts, first)
         return starts
 
     def cuts(self, joined: bytes, opens: np.ndarray) -> np.ndarray:
@@ -281,16 +325,6 @@ class ByteBpe:
             forced[lead[self.word_starts(points, np.searchsorted(lead, opens))]] = True
         return forced
 
-    def _recall(self, pieces: list[bytes]) -> list[bytes]:
-        """Packed ids of distinct fragments."""
-        missing = [p for p in pieces if p not in self.memo]
-        if len(self.memo) + len(missing) > MEMO or self.memo_bytes > MEMO_BYTES:
-            self.memo, self.memo_bytes, missing = {}, 0, pieces
-        if missing:
-            self.memo.update(zip(missing, self.merger.merged(missing, self.first)))
-            self.memo_bytes += sum(map(len, missing))
-        return list(map(self.memo.__getitem__, pieces))
-
     def _short(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all parts side by side, and their number by part."""
         sizes = np.array([len(p) for p in parts], np.int64)
@@ -299,14 +333,7 @@ class ByteBpe:
         if not joined:
             return np.empty(0, self.merger.width), np.zeros(len(parts), np.int64)
         at = np.flatnonzero(self.cuts(joined, begins[sizes > 0]))
-        number, first = distinct(joined, at)
-        stops = np.append(at[1:], len(joined))
-        found = self._recall([joined[x:y] for x, y in zip(at[first].tolist(), stops[first].tolist())])
-        each = np.fromiter(map(len, found), np.int64, len(found)) // int(self.merger.width[2])
-        opens, count = np.cumsum(each) - each, each[number]
-        upto = np.concatenate(([0], np.cumsum(count)))
-        ids = np.frombuffer(b"".join(found), self.merger.width)[np.repeat(opens[number] - upto[:-1], count) + np.arange(upto[-1])]
-        return ids, np.diff(upto[np.append(np.searchsorted(at, begins), len(at))])
+        return assembled(joined, at, np.diff(at, append=len(joined)), begins, self.recall, self.merger.width)
 
     def _blocks(self, part: bytes) -> Iterable[bytes]:
         """A text in blocks of about BLOCK bytes, cut where neither a merge nor the pattern reaches across."""

@@ -18,112 +18,106 @@ from __future__ import annotations
 
 import json
 import struct
+import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempograph.llm._common import append_columns, cut, drop_cut, scratch, slices, texts
-from tempograph.llm.bpe import Memo, byte_chars, load_library
+from tempograph.llm.bpe import LETTER, NUMBER, OTHER, SPACE, Memo, Merger, Recent, assembled, byte_chars, endings_apart, load_library
 
 BITS, LANES, STEPS, BLOCK = 22, 128, 256, 1 << 18
-#: Words that a worker remembers.
-PLAIN = 200_000
+#: Words of a generation that a worker remembers.
+PLAIN = 150_000
 LOW = np.uint64(1 << 31)
 MAGIC = b"rANS"
 
 
-# The word pattern of the word-end vocabulary, over the Unicode white space.
-WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
-END = "\x01"
-
-
-def merges_settle(tokens: dict[bytes, int], pairs: list[tuple[bytes, bytes]]) -> bool:
-    """Whether each merged token, built from its bytes by lower-ranked tokens alone, arrives at its listed pair."""
-    order = {a + b: i for i, (a, b) in enumerate(pairs)}
-    if len(order) < len(pairs) or any(tokens[a + b] - tokens[pairs[0][0] + pairs[0][1]] != i for i, (a, b) in enumerate(pairs)):
-        return False
-    for i, (a, b) in enumerate(pairs):
-        whole = a + b
-        parts = [whole[k : k + 1] for k in range(len(whole))]
-        while len(parts) > 2:
-            rank, at = min((order.get(x + y, i), k) for k, (x, y) in enumerate(zip(parts, parts[1:])))
-            if rank >= i:
-                return False
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        if parts != [a, b]:
-            return False
-    return True
+# The characters of Latin-1 that the word pattern of the word-end vocabulary takes as white space; its other
+# classes are letters, which make words, numbers, of which each is a word, and the rest, which make words too.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0"
+CLASSES = np.array([SPACE if chr(b) in WHITE else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(b))[0], OTHER) for b in range(256)], np.uint8)
 
 
 class WordBpe:
-    """Encoder for a lower-casing word-end BPE file: white space is never part of a token, so blanks are certain cuts.
+    """Encoder for a lower-casing word-end BPE file: white space is never part of a token, so words are encoded on their own.
 
-    Words between blanks recur and are remembered.  A new one within Latin-1 is lower-cased, cut by the
-    word pattern and encoded by tiktoken's engine, END standing for the end of a word (if the vocabulary
-    passes merges_settle()); others go to the tokenizers library.
+    The words of all texts of a batch within Latin-1 are found together, by the classes of neighbouring characters, and
+    new ones are merged together; up to twice ``PLAIN`` are remembered.  Other texts go to the tokenizers library, a chunk
+    between blanks at a time, and these are remembered too.
     """
 
     def __init__(self, path: str):
         self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        added = spec.get("added_tokens", [])
+        added, model = spec.get("added_tokens", []), spec["model"]
         self.special = [x["content"] for x in added]
-        self.size = 1 + max([*spec["model"]["vocab"].values(), *(x["id"] for x in added)])
+        self.size = 1 + max([*model["vocab"].values(), *(x["id"] for x in added)])
+        end, steps = model.get("end_of_word_suffix"), [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.merger = None
+        if end and steps == ["NFC", "Replace", "Lowercase"]:
+            ids, chars = model["vocab"], byte_chars()
+            pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+            self.merger = Merger([(ids[a], ids[b], ids[a + b]) for a, b in pairs], self.size)
+            self.first, self.last = (np.array([ids[chars[b] + tail] for b in range(256)], np.int32) for tail in ("", end))
         self.width = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.code = "H" if self.width == "<u2" else "I"
         self.chunks = Memo(self._by_library)
-        self.plain = Memo(self._by_engine, PLAIN)
-        self.engine = self._engine(spec)
+        self.recall = Recent(lambda words: self.merger.merged([w.decode("latin-1").encode() for w in words], self.first, self.last), PLAIN)
 
     @cached_property
     def library(self):
         return load_library(self.path)
 
-    def _engine(self, spec: dict):
-        end = spec["model"].get("end_of_word_suffix")
-        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        if not end or steps != ["NFC", "Replace", "Lowercase"]:
-            return None
-        back = {c: b for b, c in byte_chars().items()}
-        raw = lambda t: bytes(back[c] for c in t.removesuffix(end)) + END.encode() * t.endswith(end)
-        vocab = spec["model"]["vocab"]
-        tokens = {raw(t): i for t, i in vocab.items()}
-        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        pairs = [(raw(a), raw(b)) for a, b in merges] + [(raw(t.removesuffix(end)), END.encode()) for t in vocab if t.endswith(end) and len(t) == len(end) + 1]
-        pairs.sort(key=lambda p: tokens[p[0] + p[1]])
-        if len(tokens) != len(vocab) or not merges_settle(tokens, pairs):
-            return None
-        import tiktoken
-
-        return tiktoken.Encoding("words", pat_str=f"[^{END}]*{END}", mergeable_ranks=tokens, special_tokens={})
-
     def _by_library(self, chunk: str) -> bytes:
         return np.array(self.library.encode(chunk, add_special_tokens=False).ids, self.width).tobytes()
 
-    def _by_engine(self, chunk: str) -> bytes:
-        words = chunk + END if chunk.isalpha() else END.join([*WORDS.findall(chunk), ""])
-        return array(self.code, self.engine.encode_ordinary(words)).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self._by_library(text)
-        if self.engine and END not in text:
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                pass
+    def _latin(self, texts: list[bytes]) -> list[bytes]:
+        """Packed ids of each lower-cased text, in Latin-1."""
+        joined = b" ".join(texts) + b" "
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        points = np.frombuffer(joined, np.uint8)
+        kind = CLASSES[points]
+        starts = np.empty(len(kind), bool)
+        starts[0] = True
+        starts[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        endings_apart(points, starts, np.zeros(len(kind), bool))  # a blank stands between texts
+        at = np.flatnonzero(starts)
+        size = np.diff(at, append=len(joined))
+        words = kind[at] != SPACE
+        ids, counts = assembled(joined, at[words], size[words], begins, self.recall, self.width)
+        packed, ends = ids.tobytes(), (np.cumsum(counts) * ids.itemsize).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]
+
+    def encode_all(self, whole: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        out: list[bytes] = [b""] * len(whole)
+        plain = []
+        for i, text in enumerate(whole):
+            if any(s in text for s in self.special):
+                out[i] = self._by_library(text)
+            elif self.merger and is_latin(text):
+                plain.append((i, text.lower().encode("latin-1")))
             else:
-                return b"".join(map(self.plain.__getitem__, text.lower().replace("\n", " ").split(" ")))
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+                out[i] = b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        if plain:
+            for (i, _), made in zip(plain, self._latin([t for _, t in plain])):
+                out[i] = made
+        return out
+
+
+def is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 _loaded: dict[str, WordBpe] = {}
@@ -226,7 +220,7 @@ def tokenize(df: DataFrame, tokenizer: str, id_col: str, text: str, end_id: int
         tail = b"" if end_id is None else np.array([end_id], bpe.width).tobytes()
 
         def fn(batch):
-            packed = [bpe.encode(x) + tail for x in texts(batch, text)]
+            packed = [x + tail for x in bpe.encode_all(texts(batch, text))]
             ids = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
             return {"packed": packed, "part": pa.array(np.searchsorted(bounds, ids, side="left"), pa.int32())}
 

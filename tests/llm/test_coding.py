@@ -11,9 +11,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tempograph.llm.bpe import bpe_decode, bpe_encode, distinct, encoder
+from tempograph.llm.bpe import Recent, bpe_decode, bpe_encode, distinct, encoder
 from tempograph.llm.packing import PENALTY, best_cuts, candidates, pack_documents
-from tempograph.llm.token_files import Table, decode_block, encode_block, read_token_files, scaled, token_file_path, write_token_files
+from tempograph.llm.token_files import Table, decode_block, encode_block, read_token_files, scaled, token_file_path, word_encoder, write_token_files
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(BYTE)
@@ -65,13 +65,14 @@ def test_long_texts_are_encoded_in_blocks(monkeypatch):
     assert bpe.encode(long).tolist() == ids_of(long)
 
 
-def test_memory_of_fragments_is_bounded(monkeypatch):
-    bpe = encoder(BYTE)
-    monkeypatch.setattr("tempograph.llm.bpe.MEMO", 20)
-    bpe.memo = {}
-    for i in range(30):
-        text = " ".join(f"word{i}x{j}" for j in range(9))
-        assert bpe.encode(text).tolist() == ids_of(text) and len(bpe.memo) <= 40
+def test_memory_of_fragments_is_bounded_and_keeps_what_recurs():
+    made = []
+    recall = Recent(lambda keys: made.extend(keys) or [k.upper() for k in keys], 5)
+    for i in range(40):
+        keys = [b"often", b"x%d" % i, b"y%d" % i]
+        assert recall(keys) == [k.upper() for k in keys]
+        assert len(recall.young) <= 5 and len(recall.old) <= 5
+    assert made.count(b"often") == 1 and recall([b"k%d" % i for i in range(9)])[8] == b"K8"
 
 
 def test_broken_ids_decode_like_the_library():
@@ -145,6 +146,14 @@ def test_blocks_round_trip(ids, lanes, steps):
     assert decode_block(encode_block(ids, table, lanes, steps), table).tolist() == ids.tolist()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=" \n\t\x0b\x85\xa0\x1c\x1f aAbZ'stmdrevlÉéßµÿªº²¼09.!?_-<|>", max_size=30) | st.text(max_size=20), max_size=5))
+def test_words_are_encoded_as_by_the_library(texts):
+    words, library = word_encoder(WORD), Tokenizer.from_file(WORD)
+    got = [np.frombuffer(x, words.width).tolist() for x in words.encode_all(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_damage_is_noticed():
     ids = np.arange(1000) % 50
     table = Table(scaled(np.bincount(ids)))
@@ -203,6 +212,6 @@ def test_distinct_fragments_by_hash_and_by_bytes(monkeypatch):
     at = np.cumsum([0, *sizes[:-1]])
     want = [raw[a : a + n] for a, n in zip(at, sizes)]
     for _ in range(2):
-        number, first = distinct(raw, at)
+        number, first = distinct(raw, at, np.array(sizes))
         assert [want[first[k]] for k in number] == want and len(first) == len(set(want))
         monkeypatch.setattr(np, "unique", lambda x, *a, _u=np.unique, **k: _u(x % np.uint64(2) if x.dtype == np.uint64 else x, *a, **k))  # all hashes collide
