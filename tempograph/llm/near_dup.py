@@ -12,8 +12,8 @@ sets have signatures that differ in a share of 1 - similarity of the positions);
 more similar pairs are missed less.
 
 Documents with equal sets are first joined to one class.  In the index each class
-is compared with one leader of its buckets (the class that meets the most others);
-links are confirmed on full sets.  What then still meets in a bucket but not in a
+is compared with the ``LEADERS`` nearest leaders of its buckets (a bucket's leader is
+the class that meets the most others); links are confirmed on full sets.  What then still meets in a bucket but not in a
 component is joined without walking through its buckets pair by pair: two sets at
 the similarity share one of the rarest shingles of each (of n shingles, those that
 can't all be outside the overlap that the similarity needs), so classes are joined
@@ -50,8 +50,9 @@ from tempograph.llm._graph import components
 from tempograph.llm.bpe import Memo
 
 WIDTH, MISS, BITS = 4, 4e-6, 1024
-#: Keys of most rows whose values are sent to all tasks in a join, and pairs of one class that a task confirms at once.
-HEAVY, GROUP = 1000, 500
+#: Keys of most rows whose values are sent to all tasks in a join, pairs of one class that a task confirms at once, and
+#: leaders that a class is compared with before pairs are drawn from what is left (which leaves out none).
+HEAVY, GROUP, LEADERS = 1000, 500, 2
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -275,15 +276,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
         & (distance(F.col("signature_a"), F.col("signature_b")) < 2 * chunks)
     )
 
-    # A class and the leader of most of its buckets; a bucket's leader is the class that meets the most others.
+    # A class and the nearest leaders of its buckets; a bucket's leader is the class that meets the most others.
     meets = shared.join(shared.groupBy("node").agg(F.sum("members").alias("met")), "node")
     leaders = meets.groupBy("key").agg(F.max(F.struct("met", F.negative("node").alias("l"))).alias("m")).select("key", F.negative("m.l").alias("leader"))
-    votes = shared.join(leaders, "key").where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"))
-    star = votes.groupBy("node").agg(F.max(F.struct("votes", F.negative("leader").alias("l"))).alias("m")).select(F.negative("m.l").alias("a"), F.col("node").alias("b"))
-    star = cut(star, "star")
-    counted = one.withColumnRenamed("node_a", "a").join(star.groupBy("a").agg(F.count("*").alias("n")), "a")
-    near = looked_up(star, ["a"], counted, HEAVY).join(two.withColumnRenamed("node_b", "b"), "b").where(able)
-    near = cut(near.select("a", "b").distinct(), "star")
+    votes = cut(shared.join(leaders, "key").where("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("votes")), "votes")
+    counted = one.withColumnRenamed("node_a", "a").join(votes.groupBy("a").agg(F.count("*").alias("n")), "a")
+    met = looked_up(votes, ["a"], counted, HEAVY).join(two.withColumnRenamed("node_b", "b"), "b").where(able)
+    nearest = Window.partitionBy("b").orderBy(distance(F.col("signature_a"), F.col("signature_b")), F.desc("votes"), "a")
+    near = cut(met.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= LEADERS).select("a", "b").distinct(), "star")
     links = cut(confirm(near, held, shingle, percent).distinct(), "links")
     # What meets in a bucket but isn't known to be in one component: known is what leads to one leader in two steps.
     up = links.select(F.col("b").alias("node"), F.col("a").alias("one"))
@@ -302,7 +302,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
     pairs = cut(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
     more = cut(confirm(pairs, held, shingle, percent).distinct(), "links")
     final = components(links.union(more))
-    for done in (shared, held, star, near, apart, rare, pairs, links, more):
+    for done in (shared, held, votes, near, apart, rare, pairs, links, more):
         drop_cut(done)
 
     by_class = classes.select("h1", "h2", F.col("node").alias("rep"))
