@@ -17,16 +17,26 @@ def session():
 
 
 def analyze(root: str, source: str) -> int:
-    """Chords of every MIDI file under a path, written into the workspace as Parquet."""
+    """Chords of every MIDI and WAV file under a path, written into the workspace as Parquet."""
     from pyspark.sql import functions as F
 
+    from tempograph.operators.audio_chain import audio_chords
     from tempograph.operators.harmony import symbolic_chords
-    from tempograph.sources.midi import midi_notes, read_midi
+    from tempograph.sources import audio
+    from tempograph.sources.midi import decode_midi, midi_notes
 
     spark = session()
-    notes = midi_notes(read_midi(spark, source)).where("channel <> 9")
+    files = spark.read.format("binaryFile").load(source).withColumn("kind", audio.sniff(F.col("content")))
+    notes = midi_notes(decode_midi(files.where("kind = 'MIDI'"))).where("channel <> 9")
     scaled = notes.select(F.col("path").alias("rec"), F.floor(F.col("beat") * 960).alias("onset"), F.floor(F.col("end_beat") * 960).alias("end_us"), F.pmod("midi", F.lit(12)).alias("pc"))
-    symbolic_chords(scaled, "rec", "onset", "end_us", "pc", 960).write.mode("overwrite").parquet(os.path.join(root, "chords"))
+    found = symbolic_chords(scaled, "rec", "onset", "end_us", "pc", 960).select("rec", "from_span", "to_span", "quality", "root")
+    chunks = audio.decode_audio(files.where("kind = 'WAV'")).persist()
+    for row in chunks.select("sample_rate").distinct().collect():  # a handful of rates
+        own = audio_chords(chunks.where(F.col("sample_rate") == row.sample_rate), row.sample_rate, audio.CHUNK)
+        found = found.unionByName(own.select(F.col("rec_id").alias("rec"), F.col("first_beat").alias("from_span"), (F.col("first_beat") + F.col("n")).alias("to_span"), "quality", "root"))
+    found.write.mode("overwrite").parquet(os.path.join(root, "chords"))
+    audio.unreadable(files).write.mode("overwrite").parquet(os.path.join(root, "unreadable"))
+    chunks.unpersist()
     return 0
 
 

@@ -281,3 +281,31 @@ def click_track(spark, d):
     c = signal.click_chunks(spark, "clicks", 120.0, 4.0)
     s = stats.peak_rms(c.select("chunk_no", F.explode("samples").alias("x")), ["chunk_no"], "x")
     return s.select("chunk_no", F.round("peak", 6).alias("peak"), F.round("rms", 6).alias("rms"))
+
+
+#: Triads that the generated song goes through, one every two seconds.
+SONG = ((261.63, 329.63, 392.0), (196.0, 246.94, 293.66), (220.0, 261.63, 329.63), (174.61, 220.0, 261.63))
+
+
+@query("select cast(i as bigint) as place, ['C', 'G', 'Am', 'F'][i % 4 + 1] as symbol, cast(i * 2 as bigint) as start from (select unnest(range(8)) as i)")
+def audio_progression(spark, d):
+    """A generated song, written as a WAV file, decoded and turned into chords; starts to the nearest second."""
+    from tempograph.operators.audio_chain import audio_chords
+
+    chunks = signal.click_chord_chunks(spark, "song", 120.0, 16.0, [list(c) for c in SONG], 4)
+    samples = [x for r in chunks.orderBy("chunk_no").select("samples").toLocalIterator() for x in r.samples]  # sixteen seconds
+    files = spark.createDataFrame([("song", bytearray(audio.wav_bytes(samples, signal.RATE)))], "path string, content binary")
+    found = audio_chords(audio.decode_audio(files), signal.RATE, audio.CHUNK)
+    w = Window.partitionBy("rec_id").orderBy("first_beat")
+    return found.select((F.row_number().over(w) - 1).cast("bigint").alias("place"), "symbol", F.floor(F.col("start_seconds") + 0.5).cast("bigint").alias("start"))
+
+
+@query("select cast(i as integer) as beat, round(i * 0.5, 1) as seconds from (select unnest(range(1, 15)) as i)")
+def audio_beats(spark, d):
+    """Beats of generated clicks at 120 a minute, but for the first and the last, to a tenth of a second."""
+    from tempograph.operators.audio_chain import ONSET_HOP, onset_strength
+
+    clicks = signal.click_chunks(spark, "clicks", 120.0, 8.0)
+    found = signal.tempi_of_windows(onset_strength(clicks, signal.RATE, signal.CHUNK), "rec_id", "frame", "strength", signal.RATE / ONSET_HOP)
+    at = F.round(F.col("seconds") + 512 / signal.RATE, 1)
+    return found.select(F.round(at * 2).cast("int").alias("beat"), at.alias("seconds")).where("beat between 1 and 14").distinct()

@@ -56,7 +56,7 @@ def wav_bytes(samples: np.ndarray, rate: int) -> bytes:
 
 
 def decode_audio(files: DataFrame) -> DataFrame:
-    """(path, content) rows to chunked mono audio; unreadable files give no row (see unreadable())."""
+    """(path, content) rows to chunked mono audio; files that can't be read are those of unreadable()."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -77,9 +77,26 @@ def read_audio(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unreadable(files: DataFrame) -> DataFrame:
-    """Files that no reader takes, with the reason."""
-    kind = sniff(F.col("content"))
-    return files.select("path", kind.alias("kind")).where(~kind.isin("WAV", "MIDI")).withColumn("reason", F.concat(F.lit("no decoder for "), "kind"))
+    """Files (path, content) that no reader takes, each with its kind and the reason (P14): the rows that decode_audio() and decode_midi() leave out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from tempograph.sources.midi import parse_midi
+
+        for pdf in batches:
+            rows = []
+            for path, kind, content in zip(pdf["path"], pdf["kind"], pdf["content"]):
+                try:
+                    if kind == "WAV":
+                        parse_wav(bytes(content))
+                    elif kind == "MIDI":
+                        list(parse_midi(bytes(content)))
+                    else:
+                        rows.append((path, kind, f"no decoder for {kind}"))
+                except (ValueError, IndexError, struct.error) as error:
+                    rows.append((path, kind, str(error)))
+            yield pd.DataFrame(rows, columns=["path", "kind", "reason"])
+
+    return files.select("path", sniff(F.col("content")).alias("kind"), "content").mapInPandas(run, "path string, kind string, reason string")
 
 
 def slice_time(audio: DataFrame, start: float, end: float, chunk: int = CHUNK) -> DataFrame:

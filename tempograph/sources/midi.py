@@ -78,7 +78,7 @@ def parse_midi(data: bytes) -> Iterator[tuple]:
 
 
 def decode_midi(files: DataFrame) -> DataFrame:
-    """S3: event rows of (path, content) rows; files that can't be read give none."""
+    """S3: event rows of (path, content) rows; files that can't be read are those of audio.unreadable()."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

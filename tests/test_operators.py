@@ -309,3 +309,55 @@ def test_commands(spark, tmp_path, capsys):
     assert cli.main(["render", root]) == 0 and cli.main(["info", root]) == 0 and cli.main(["doctor"]) == 0
     out = capsys.readouterr().out
     assert "| C" in out and "pyspark: found" in out
+
+
+def test_register_chroma_hears_notes():
+    """A harmonic tone is heard as its own class: low ones in the bass register, high ones in the treble, silence as nothing."""
+    from tempograph.operators import audio_chain
+
+    rate, window = 22_050, 8192
+    t = np.arange(window) / rate
+    tones = [sum(0.5**p * np.sin(2 * np.pi * 440 * 2 ** ((midi - 69) / 12) * (p + 1) * t) for p in range(6)) for midi in (40, 64, 79)]
+    frames = np.abs(np.fft.rfft(np.stack([*tones, tones[1] + tones[2], 0 * t]) * signal.hann(window), axis=1))
+    got = audio_chain.register_chroma(frames, rate, window)
+    treble, bass = got[:, :12], got[:, 12:]
+    assert bass[0].argmax() == 4 and bass[0].max() > treble[0].max()
+    assert treble[1].argmax() == 4 and treble[2].argmax() == 7 and treble[1].max() > bass[1].max()
+    assert set(np.argsort(treble[3])[-2:]) == {4, 7} and not got[4].any()
+
+
+@pytest.mark.parametrize("chunk", [1500, 4096])
+def test_spectra_by_chunk_are_those_of_the_whole(spark, chunk):
+    from tempograph.operators import audio_chain
+
+    x = np.random.default_rng(2).normal(size=10_000)
+    rows = [("r", k, x[a : a + chunk].tolist()) for k, a in enumerate(range(0, len(x), chunk))] + [("short", 0, [0.0] * 100)]
+    df = spark.createDataFrame(rows, "rec_id string, chunk_no int, samples array<double>").repartition(3)
+    got = {(r.rec_id, r.frame): r.value for r in audio_chain.spectra(df, 2048, 256, chunk, lambda m: m[:, :5]).collect()}
+    want = {("r", f): np.abs(np.fft.rfft(x[f * 256 : f * 256 + 2048] * signal.hann(2048)))[:5] for f in range(1 + (10_000 - 2048) // 256)}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_unreadable_files(spark):
+    from tempograph.sources import audio
+
+    files = [("a.wav", audio.wav_bytes([0.1, 0.2], 8000)), ("b.wav", audio.wav_bytes([0.1], 8000)[:20]), ("c.mid", midi.fixture_file("leadIn")), ("d.mid", midi.fixture_file("leadIn")[:40]), ("e.ogg", b"OggS123"), ("f", b"")]
+    df = spark.createDataFrame([(n, bytearray(b)) for n, b in files], "path string, content binary")
+    gone = {r.path: r.kind for r in audio.unreadable(df).collect()}
+    assert gone == {"b.wav": "WAV", "d.mid": "MIDI", "e.ogg": "OGG", "f": "UNKNOWN"}
+    assert {r.rec_id for r in audio.decode_audio(df).collect()} == {"a.wav"} and {r.path for r in midi.decode_midi(df).select("path").distinct().collect()} == {"c.mid"}
+
+
+def test_the_command_line_reads_audio(spark, tmp_path, monkeypatch, capsys):
+    from tempograph import cli
+    from tempograph.plans.source_queries import SONG
+    from tempograph.sources import audio
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    chunks = signal.click_chord_chunks(spark, "song", 120.0, 8.0, [list(c) for c in SONG], 4).orderBy("chunk_no").collect()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "song.wav").write_bytes(audio.wav_bytes([x for r in chunks for x in r.samples], signal.RATE))
+    (tmp_path / "in" / "tune.mid").write_bytes(midi.fixture_file("fourChordSong"))
+    assert cli.main(["analyze", str(tmp_path), str(tmp_path / "in")]) == 0 and cli.main(["render", str(tmp_path)]) == 0
+    printed = capsys.readouterr().out
+    assert [x for x in printed.replace("|", " ").split() if x in ("C", "G", "Am", "F")][:4] == ["C", "G", "Am", "F"]
