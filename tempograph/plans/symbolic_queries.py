@@ -57,10 +57,8 @@ FIT = f"{HIST}, {_templates_sql()}, fits as (select rec, span, state, ({COVERED}
 @query(f"with {FIT}, r as (select *, row_number() over (partition by rec, span order by round(score, 9) desc, state) as k from fits) select rec, span, cast(state as integer) as state, round(score, 6) as score from r where k = 1")
 def template_fit_top1(spark, d):
     """The best template of each occupied span."""
-    e = harmony.template_scores(histograms(spark, d))
-    ranked = F.transform(F.slice("emission", 1, harmony.NO_CHORD_STATE), lambda s, i: F.struct((-F.round(s, 9)).alias("k"), i.alias("state"), s.alias("score")))
-    best = F.array_min(ranked)
-    return e.select("rec", "span", best["state"].alias("state"), F.round(best["score"], 6).alias("score"))
+    best = harmony.best_templates(histograms(spark, d).select("rec", "span", "weight"))
+    return best.select("rec", "span", "state", F.round("score", 6).alias("score"))
 
 
 CHORDS = f"""{FIT}, bounds as (select rec, min(span) as a, max(span) as z from hist group by rec), grid as (select rec, unnest(range(a, z + 1)) as span from bounds),
@@ -88,6 +86,24 @@ def symbolic_chords(spark, d):
     return harmony.symbolic_chords(notes(spark, d), "rec", "onset", "end_us", "pc", SIX_HOURS, ORIGIN).select("rec", "from_span", "to_span", "state")
 
 
+BASSES = f"""tb as (select rec, span, bass, pc, sum(least(end_us, (span + 1) * {SIX_HOURS} + {ORIGIN}) - greatest(onset, span * {SIX_HOURS} + {ORIGIN})) as t, min(midi) as low
+    from (select rec, unnest(range((onset - {ORIGIN}) // {SIX_HOURS}, (end_us - 1 - {ORIGIN}) // {SIX_HOURS} + 1)) as span, pc, midi, event_type = 'click' as bass, onset, end_us from notes) group by all),
+  ub as (select *, max(bass) over (partition by rec, span) as ub from tb), kb as (select *, sum(t) over (partition by rec, span) as tot, row_number() over (partition by rec, span order by t desc, low, pc) as r from ub where bass = ub),
+  low as (select rec, span, case when t >= 0.6 * tot then pc end as bass from kb where r = 1)"""
+BASS_CHORDS = CHORDS.replace("fits as (select rec, span, state, (", f"{BASSES}, fits as (select hist.rec, hist.span, state, (").replace(
+    "- prior::double as score from hist cross join tpl)", "- prior::double + case when len(list_filter(weight, lambda x: x >= 0.05 * total)) >= 3 and bass = root then 0.10::double else 0 end as score from hist left join low on hist.rec = low.rec and hist.span = low.span cross join tpl)")
+
+
+@query(f"with recursive {BASS_CHORDS} select rec, min(a) as from_span, max(z) as to_span, cast(any_value(state) as integer) as state from again group by rec, run")
+def bass_chords(spark, d):
+    """Chords where the lowest class of a span (of the bass part, which clicks stand for, if it sounds) favours its root."""
+    n = notes(spark, d)
+    spans = temporal.sounding_slots(n, ["rec"], "onset", "end_us", SIX_HOURS, ORIGIN).withColumnRenamed("slot", "span")
+    spans = spans.withColumns({"start_us": F.col("span") * SIX_HOURS + ORIGIN, "end_us": (F.col("span") + 1) * SIX_HOURS + ORIGIN})
+    low = score.bass_over(spans, n.select("rec", "onset", F.col("end_us").alias("off"), "midi", "pc", (F.col("event_type") == "click").alias("bass_part")), ["rec"], SIX_HOURS)
+    return harmony.symbolic_chords(n, "rec", "onset", "end_us", "pc", SIX_HOURS, ORIGIN, bass=low).select("rec", "from_span", "to_span", "state")
+
+
 def _qualities() -> str:
     return "['MAJOR', 'MINOR', 'DOMINANT_SEVENTH']"
 

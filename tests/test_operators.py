@@ -341,7 +341,7 @@ def test_spectra_by_chunk_are_those_of_the_whole(spark, chunk):
 def test_unreadable_files(spark):
     from tempograph.sources import audio
 
-    files = [("a.wav", audio.wav_bytes([0.1, 0.2], 8000)), ("b.wav", audio.wav_bytes([0.1], 8000)[:20]), ("c.mid", midi.fixture_file("leadIn")), ("d.mid", midi.fixture_file("leadIn")[:40]), ("e.ogg", b"OggS123"), ("f", b"")]
+    files = [("a.wav", audio.wav_bytes([0.1, 0.2], 8000)), ("b.wav", audio.wav_bytes([0.1], 8000)[:20]), ("c.mid", midi.fixture_file("leadIn")), ("d.mid", b"MThd\x00\x00"), ("e.ogg", b"OggS123"), ("f", b"")]
     df = spark.createDataFrame([(n, bytearray(b)) for n, b in files], "path string, content binary")
     gone = {r.path: r.kind for r in audio.unreadable(df).collect()}
     assert gone == {"b.wav": "WAV", "d.mid": "MIDI", "e.ogg": "OGG", "f": "UNKNOWN"}
