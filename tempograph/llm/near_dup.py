@@ -12,17 +12,16 @@ sets have signatures that differ in a share of 1 - similarity of the positions);
 more similar pairs are missed less.
 
 Documents with equal sets are first joined to one class.  In the index each class
-is compared with the ``LEADERS`` nearest leaders of its buckets (a bucket's leader is
-the class that meets the most others); links are confirmed on full sets.  What then still meets in a bucket but not in a
-component is joined without walking through its buckets pair by pair: two sets at
-the similarity share one of the rarest shingles of each (of n shingles, those that
-can't all be outside the overlap that the similarity needs), so classes are joined
-on those, and kept once, at the first that they share, if they pass by size, by the
-distance of their signatures and by that of ``BITS`` one-bit MinHash values, which
-tells sets a little under the similarity from those at it (a pair at the similarity
-fails with a probability under 1e-9, six deviations).  Then full sets decide.  A
-bucket of many classes that stay apart has few such meetings, and a large group of
-near copies doesn't make its square of pairs.
+is compared with one leader of its buckets (the class that meets the most others);
+links are confirmed on full sets.  What then still meets in a bucket but not in a
+component is compared in the join itself, and kept once, if it passes by an upper
+bound of the overlap (a shingle that no other class in question has can't be shared),
+by the distance of the signatures, and by that of ``BITS`` one-bit MinHash values,
+which tells sets a little under the similarity from those at it (a pair at the
+similarity fails with a probability under 1e-9, six deviations).  Then full sets
+decide.  So a large group of near copies doesn't make its square of pairs, as far as
+they are less similar than these bounds can tell; n classes of one bucket that stay
+apart still take n * n tests, which adaptive execution spreads over tasks.
 
 Sets are compared as 64-bit hashes of their shingles and equal sets by 128-bit
 digests: two of n shingles collide with a probability under n**2 / 2**65, two of m
@@ -42,17 +41,16 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempograph.llm._common import append_columns, cut, drop_cut, looked_up, slices, texts
 from tempograph.llm._graph import components
 from tempograph.llm.bpe import Memo
 
-WIDTH, MISS, BITS = 4, 4e-6, 1024
-#: Keys of most rows whose values are sent to all tasks in a join, pairs of one class that a task confirms at once, and
-#: leaders that a class is compared with before pairs are drawn from what is left (which leaves out none).
-HEAVY, GROUP, LEADERS = 1000, 500, 2
+WIDTH, MISS, BITS = 4, 4e-6, 2048
+#: Keys of most rows whose values are sent to all tasks in a join, and pairs of one class that a task confirms at once.
+HEAVY, GROUP = 1000, 500
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,6 +90,11 @@ class Shingler:
         return np.unique(total + np.uint64(0 if size == self.size else size))
 
 
+def digest(shingles: np.ndarray) -> int:
+    """Half of the 128-bit digest of a set."""
+    return int(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), "<i8")[0])
+
+
 class Signer:
     """MinHash signature and index keys of a shingle set."""
 
@@ -143,35 +146,35 @@ class BitSigner:
 
 
 def bit_rows(held: DataFrame, shingle: int) -> DataFrame:
-    """(node, words): the words of each text's one-bit signature."""
+    """(node, d, size, words): the digest of each text's set, its size and the words of its one-bit signature."""
 
     def make():
         shingler, signer = Shingler(shingle), BitSigner()
 
         def fn(batch):
-            made = np.array([signer(shingler(x)) for x in texts(batch, "text")], np.int64).reshape(-1)
-            return {"words": pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (BITS // 64)), pa.array(made))}
+            sets = [shingler(x) for x in texts(batch, "text")]
+            made = np.array([signer(s) for s in sets], np.int64).reshape(-1)
+            words = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64)), pa.array(made))
+            return {"d": [digest(s) for s in sets], "size": [len(s) for s in sets], "words": words}
 
         return fn
 
-    return append_columns(held, "text", "words array<bigint>", make).select("node", "words")
+    return append_columns(held, "text", "d bigint, size bigint, words array<bigint>", make).select("node", "d", "size", "words")
 
 
 def shingle_rows(held: DataFrame, shingle: int) -> DataFrame:
-    """(node, d, n, s) for each shingle of each text; d is a digest of its set of n."""
+    """(node, d, s) for each shingle of each text; d is the digest of its set."""
 
     def run(batches):
         shingler = Shingler(shingle)
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = [shingler(x) for x in texts(batch, "text")]
-                sizes = np.array([len(s) for s in sets], np.int64)
-                digests = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                columns = [batch.column("node").to_numpy(), digests, sizes]
-                arrays = [pa.array(np.repeat(c, sizes), pa.int64()) for c in columns]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["node", "d", "n", "s"])
+                sizes = [len(s) for s in sets]
+                columns = [np.repeat(x, sizes) for x in (batch.column("node").to_numpy(), np.array([digest(s) for s in sets], np.int64))]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["node", "d", "s"])
 
-    return held.mapInArrow(run, "node bigint, d bigint, n bigint, s bigint")
+    return held.mapInArrow(run, "node bigint, d bigint, s bigint")
 
 
 def sketch(df: DataFrame, id_col: str, text: str, shingle: int, chunks: int) -> DataFrame:
@@ -240,25 +243,6 @@ def confirm(pairs: DataFrame, held: DataFrame, shingle: int, percent: int) -> Da
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-def rarest(apart: DataFrame, held: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(node, d, rare): of each class, the shingles of which a set at the similarity must share one; those that no other class has are left out.
-
-    apart: (node); d tells the sets of a repeated id apart.  Shingles are ranked by the number of classes that have them, and then by value.
-    """
-    sets = cut(shingle_rows(held.join(apart, "node"), shingle), "sets")
-    counts = cut(sets.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "shared-shingles")
-    shared = looked_up(sets.withColumnRenamed("n", "size"), ["s"], counts.withColumn("n", F.col("c")), HEAVY)
-    by_node = Window.partitionBy("node", "d")
-    ranked = shared.withColumns({"r": F.row_number().over(by_node.orderBy("c", "s")), "m": F.count("*").over(by_node)})
-    # Those that no other class has come first: n - m of them.
-    least = F.floor((percent * F.col("size") + 99) / 100)
-    found = ranked.where(F.col("size") - F.col("m") + F.col("r") <= F.col("size") - least + 1)
-    out = cut(found.groupBy("node", "d").agg(F.collect_list("s").alias("rare")), "rarest")
-    drop_cut(sets)
-    drop_cut(counts)
-    return out
-
-
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; component_id is the smallest id reachable by links."""
     chunks = chunks_for(percent / 100)
@@ -276,33 +260,38 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
         & (distance(F.col("signature_a"), F.col("signature_b")) < 2 * chunks)
     )
 
-    # A class and the nearest leaders of its buckets; a bucket's leader is the class that meets the most others.
+    # A class and the leader of most of its buckets; a bucket's leader is the class that meets the most others.
     meets = shared.join(shared.groupBy("node").agg(F.sum("members").alias("met")), "node")
     leaders = meets.groupBy("key").agg(F.max(F.struct("met", F.negative("node").alias("l"))).alias("m")).select("key", F.negative("m.l").alias("leader"))
-    votes = cut(shared.join(leaders, "key").where("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("votes")), "votes")
-    counted = one.withColumnRenamed("node_a", "a").join(votes.groupBy("a").agg(F.count("*").alias("n")), "a")
-    met = looked_up(votes, ["a"], counted, HEAVY).join(two.withColumnRenamed("node_b", "b"), "b").where(able)
-    nearest = Window.partitionBy("b").orderBy(distance(F.col("signature_a"), F.col("signature_b")), F.desc("votes"), "a")
-    near = cut(met.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= LEADERS).select("a", "b").distinct(), "star")
+    votes = shared.join(leaders, "key").where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"))
+    star = cut(votes.groupBy("node").agg(F.max(F.struct("votes", F.negative("leader").alias("l"))).alias("m")).select(F.negative("m.l").alias("a"), F.col("node").alias("b")), "star")
+    counted = one.withColumnRenamed("node_a", "a").join(star.groupBy("a").agg(F.count("*").alias("n")), "a")
+    near = looked_up(star, ["a"], counted, HEAVY).join(two.withColumnRenamed("node_b", "b"), "b").where(able)
+    near = cut(near.select("a", "b").distinct(), "star")
     links = cut(confirm(near, held, shingle, percent).distinct(), "links")
     # What meets in a bucket but isn't known to be in one component: known is what leads to one leader in two steps.
     up = links.select(F.col("b").alias("node"), F.col("a").alias("one"))
     known = up.join(links.select(F.col("b").alias("one"), F.col("a").alias("two")), "one", "left").select("node", F.coalesce("two", "one").alias("component"))
     tagged = shared.join(known, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     mixed_keys = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    apart = cut(tagged.join(mixed_keys, "key", "left_semi").select("node", "n", "component").distinct(), "apart")
-    rare = rarest(apart.select("node").distinct(), held, shingle, percent)
-    bits = bit_rows(held.join(rare.select("node").distinct(), "node"), shingle)
-    rows = rare.join(apart.select("node", "component").distinct().join(signatures, "node").join(bits, "node"), "node").drop("d")
-    rows = cut(rows, "able").withColumn("s", F.explode("rare"))
-    a, b = (rows.toDF(*("s" if c == "s" else f"{c}_{t}" for c in rows.columns)) for t in "ab")
-    once = F.array_min(F.array_intersect("rare_a", "rare_b")) == F.col("s")
+    apart = cut(tagged.join(mixed_keys, "key", "left_semi").select("key", "node", "component").distinct(), "apart")
+    there = held.join(apart.select("node").distinct(), "node")
+    counts = shingle_rows(there, shingle).groupBy("s").agg(F.count("*").alias("c"), F.max("node").alias("node"), F.max("d").alias("d"))
+    alone = counts.where("c = 1").groupBy("node", "d").agg(F.count("*").alias("alone"))
+    most = bit_rows(there, shingle).join(alone, ["node", "d"], "left").withColumn("most", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
+    own = classes.select("node", F.col("h1").alias("d"), "n", "signature", "keys")
+    possible = cut(most.where(100 * F.col("most") >= percent * F.col("size")).join(own, ["node", "d"]).drop("d", "size"), "able")
+    rows = apart.join(possible, "node").where(F.array_contains("keys", F.col("key")))
+    a, b = (rows.toDF(*(c if c == "key" else f"{c}_{t}" for c in rows.columns)) for t in "ab")
+    shared_most = F.least("most_a", "most_b")
+    bound = 100 * shared_most >= percent * (F.col("n_a") + F.col("n_b") - shared_most)
     close = bits_apart(F.col("words_a"), F.col("words_b")) <= furthest(percent / 100)
-    rest = a.join(b, "s").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & able & close & once)
+    once = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")  # though they meet in several buckets
+    rest = a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & bound & close & able & once)
     pairs = cut(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
     more = cut(confirm(pairs, held, shingle, percent).distinct(), "links")
     final = components(links.union(more))
-    for done in (shared, held, votes, near, apart, rare, pairs, links, more):
+    for done in (shared, held, star, near, apart, possible, pairs, links, more):
         drop_cut(done)
 
     by_class = classes.select("h1", "h2", F.col("node").alias("rep"))
