@@ -91,4 +91,48 @@ URL_FILTER = f"""with recursive t as (select page_id, case when position('://' i
   select p.page_id, host, path, rule, coalesce(ruling, case when s is not null and nb > 0 and na > 0 and ln(nb / na) + s > 0 then 'block' else 'allow' end) as verdict
   from p left join scores on p.page_id = scores.page_id cross join classes"""
 
-ORACLES = {"op6_url_filter": URL_FILTER, "op2_near_dup": NEAR_DUP, "op7_line_dedup": LINE_DEDUP, "op8_secrets": SECRETS}
+# crc32 of a number's decimal digits, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(cast({0} as varchar), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: case when x >= 0 then xor(a, cast(x as bigint)) else xor(a >> 1, case when a % 2 = 1 then 3988292384 else 0 end) end), 4294967295)"""
+_FIELD = "coalesce(octet_length(encode(cast({0} as varchar))) || ':' || cast({0} as varchar), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(f) for f in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+MERKLE = f"""with recursive d as (select doc_id, lang, n_chars, n_chars + case when {_CRC.format("doc_id")} % 7 = 0 then 1 else 0 end as claimed, source, text from documents),
+  l as (select doc_id, lang, {_leaf("n_chars")} as leaf, {_leaf("claimed")} as claim from d),
+  p as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by lang) as n from l),
+  t as (select lang, 0 as level, pos, n, leaf as h from p
+    union all select lang, level + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' order by pos)) from t where n > 1 group by lang, level, pos // 2),
+  sub as (select lang, h, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from t where n = 1),
+  u as (select 0 as level, pos, n, h from sub union all select level + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' order by pos)) from u where n > 1 group by level, pos // 2),
+  height as (select lang, max(level) as levels from t group by lang),
+  every as (select lang, level, pos, n, h from t where n > 1
+    union all select s.lang, g.levels + u.level, u.pos, u.n, u.h from u cross join sub s join height g on g.lang is not distinct from s.lang where u.n > 1),
+  f as (select doc_id, p.lang, leaf, 0 as level, p.pos, claim as h, '' as proof, g.levels, sub.pos as spot from p join height g on g.lang is not distinct from p.lang join sub on sub.lang is not distinct from p.lang
+    union all select doc_id, f.lang, leaf, f.level + 1, here // 2, sha256(case when e.h is null then f.h when e.pos > here then f.h || e.h else e.h || f.h end), proof || coalesce(e.h, ''), levels, spot
+      from (select *, case when level = levels then spot else pos end as here from f) f
+      join (select distinct lang, level from every) v on v.lang is not distinct from f.lang and v.level = f.level
+      left join every e on e.lang is not distinct from f.lang and e.level = f.level and e.pos = xor(here, 1)),
+  last as (select *, row_number() over (partition by lang, doc_id, leaf order by level desc) as k from f)
+  select doc_id, leaf, sub.h as subroot, r.h as root, sha256(proof) as proof_sha256, f.h as folded_root, f.h = r.h as verified
+  from last f join sub on sub.lang is not distinct from f.lang cross join (select h from u where n = 1) r where k = 1"""
+
+PREFIX_TRIE = rf"""with recursive o as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as pos from conversations where conv_id is not null),
+  c as (select distinct conv_id, {_CRC.format("conv_id")} % 4 as h from o),
+  r as (select c.conv_id, o.pos, role, text from c join o on o.conv_id = c.conv_id where o.pos >= h union all select c.conv_id, o.pos, role, text from c join o on o.conv_id = c.conv_id - c.conv_id % 20 where o.pos < h),
+  n as (select *, row_number() over (partition by conv_id order by pos) as depth from r),
+  w as (select conv_id, 0 as depth, sha256('') as path, cast(null as varchar) as up, cast(0 as bigint) as words from c
+    union all select n.conv_id, n.depth, sha256(w.path || sha256(role) || sha256(text)), w.path, len(regexp_extract_all(text, '[^ 	-]+')) from w join n on n.conv_id = w.conv_id and n.depth = w.depth + 1),
+  node as (select depth, path, any_value(up) as up, any_value(words) as words, min(conv_id) as conv_id, count(*) as n_convs from w group by depth, path),
+  kid as (select depth - 1 as depth, up as path, count(*) as n_children from node where depth > 0 group by depth, up),
+  own as (select node.*, coalesce(n_children, 0) as n_children, (n_convs - 1) * words as saved from node left join kid on kid.depth = node.depth and kid.path = node.path),
+  above as (select depth as d, path as p, depth, path, up from own union all select d, p, o.depth, o.path, o.up from above a join own o on o.depth = a.depth - 1 and o.path = a.up),
+  sums as (select a.depth, a.path, count(*) filter (where o.n_children = 0) as n_leaves, sum(o.saved) as saved_tokens from above a join own o on o.depth = a.d and o.path = a.p group by a.depth, a.path),
+  size as (select conv_id, max(depth) as depth from w group by conv_id),
+  ends as (select w.depth, w.path, string_agg(cast(w.conv_id as varchar), ',' order by w.conv_id) as ids from w join size s on s.conv_id = w.conv_id and s.depth = w.depth group by w.depth, w.path)
+  select o.conv_id, cast(o.depth as bigint) as depth, b.conv_id as parent_conv_id, o.n_convs, cast(o.n_children as bigint) as n_children, n_leaves, cast(saved_tokens as bigint) as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+  from own o join sums s on s.depth = o.depth and s.path = o.path left join own b on b.depth = o.depth - 1 and b.path = o.up left join ends e on e.depth = o.depth and e.path = o.path"""
+
+ORACLES = {"op6_url_filter": URL_FILTER, "op2_near_dup": NEAR_DUP, "op7_line_dedup": LINE_DEDUP, "op8_secrets": SECRETS, "op11_merkle": MERKLE, "op12_prefix_trie": PREFIX_TRIE}

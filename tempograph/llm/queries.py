@@ -119,5 +119,25 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op2_near_dup, op3_quality_rules, op4_quality_classifier, op5_bpe, op6_url_filter, op7_line_dedup, op8_secrets, op9_token_files, op10_media)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tempograph.llm._common import utf8_crc
+    from tempograph.llm.merkle import merkle_manifest
+
+    tampered = F.col("n_chars") + F.when(utf8_crc("doc_id") % 7 == 0, 1).otherwise(0)
+    return merkle_manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], claims={"n_chars": tampered})
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tempograph.llm.prefix_trie import prefix_trie, rebuilt
+
+    return prefix_trie(*rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tempograph.llm.mixing import mixed_documents
+
+    return mixed_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op1_packing, op2_near_dup, op3_quality_rules, op4_quality_classifier, op5_bpe, op6_url_filter, op7_line_dedup, op8_secrets, op9_token_files, op10_media, op11_merkle, op12_prefix_trie, op13_mixing)}
 
