@@ -163,10 +163,15 @@ def shard_of(nodes: DataFrame, rows: DataFrame, shard: int) -> DataFrame:
     owned = nodes.where("depth > 0").groupBy("conv_id").agg(F.min("depth").alias("first"))
     ladder = rows.where(F.bit_count("depth") == 1).select("conv_id", "depth", "size", "x1", "x2")
     ladder = cut(ladder.join(owned, "conv_id").withColumn("weight", F.col("size") - F.greatest("first", "depth") + 1), "ladder")
-    weights = ladder.groupBy("depth", "x1", "x2").agg(F.sum("weight").alias("weight"))
-    light = ladder.drop("weight").join(weights.where(F.col("weight") > shard).drop("weight"), ["depth", "x1", "x2"], "left_anti")
-    first = F.min_by(F.struct("x1", "x2"), "depth").alias("k")
-    return light.groupBy("conv_id").agg(F.min("depth").alias("light"), first).select("conv_id", "light", F.col("k.x1").alias("s1"), F.col("k.x2").alias("s2"))
+    key = ["depth", "x1", "x2"]
+    weights = ladder.groupBy(*key).agg(F.sum("weight").alias("weight"))
+    # The heaviest prefixes go to all tasks: a prefix that most conversations share is then not shuffled by.
+    heavy = cut(weights.where(F.col("weight") > shard), "heavy")
+    first = F.broadcast(heavy.orderBy(F.desc("weight"), *key).limit(HEAVY).select(key))
+    light = ladder.drop("weight").join(first, key, "left_anti")
+    if heavy.count() > HEAVY:
+        light = light.join(heavy.select(key).join(first, key, "left_anti"), key, "left_anti")
+    return light.groupBy("conv_id").agg(F.min("depth").alias("light"), F.min_by(F.struct("x1", "x2"), "depth").alias("k")).select("conv_id", "light", F.col("k.x1").alias("s1"), F.col("k.x2").alias("s2"))
 
 
 def merged(upper: DataFrame, roots: DataFrame) -> DataFrame:
