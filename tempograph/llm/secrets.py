@@ -7,14 +7,15 @@ summing lengths in code points.
 
 The method adds ``entropy`` spans: candidates are runs of 20 or more token
 characters with a digit and a letter; over each, a window of ``WINDOW`` characters
-slides with counts kept up to date (one character leaves, one enters, and the sum
-of c * log2(c) changes by two table values).  A candidate is a span if the entropy
+slides (one character leaves, one enters: the counts of these two change by one, and
+the sum of c * log2(c) by two table values).  A candidate is a span if the entropy
 of some window reaches the threshold of its character class and neither a base
 span covers it nor an allow-list pattern matches.
 
-Null and empty texts have no span.  A column named as the result is replaced; other
-columns are kept, whatever their names.  Places cost the square of a text's spans over
-``BLOCK``, for spans are gathered in blocks.
+Null and empty texts have no span.  Rows that repeat are scanned one by one.  A column
+named as the result is replaced; other columns are kept, whatever their names.  Work
+is in proportion to a text's length, but for the lists of results, which are gathered
+in blocks: n spans copy n ** (4 / 3) references.
 """
 
 from __future__ import annotations
@@ -34,39 +35,56 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 RUN = "A-Za-z0-9+/_=-"
 CANDIDATE = f"(?<![{RUN}])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[{RUN}]{{20,}}"
-WINDOW, BLOCK = 20, 64
+WINDOW, BLOCK, CHUNK = 20, 64, 1024
 #: Least entropy in bits of a window, by character class: (pattern of the class, bits), the first that fits.
 CLASSES = (("^[0-9a-fA-F]+$", 2.9), ("^[A-Za-z0-9]+$", 3.6), (".", 3.7))
 #: Candidates that are no secrets: UUIDs, placeholders, paths and slugs of plain words.
+SLUG = "^/?([A-Za-z]+|[0-9]{1,8})([-_/=+]+([A-Za-z]+|[0-9]{1,8}))+/?$"
 ALLOWED = (
     "^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
     "(?i)example|sample|dummy|placeholder|xxxx|0000000",
-    "^/?([A-Za-z]+|[0-9]{1,8})([-_/=+]+([A-Za-z]+|[0-9]{1,8}))+/?$",
+    SLUG,
     "(?i)^(md5|sha1|sha256|sha512)[-_=]",
 )
 
 SPAN = "array<struct<start:int,end:int,rank:int>>"
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once, though it be used within lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def scanned(items: Column, zero: Column, step, kind: str) -> Column:
+    """The results of step(state, item) -> (state, result) along an array, as an array of ``kind``; results are gathered in blocks."""
+    none = F.array().cast(f"array<{kind}>")
+    start = lambda state: F.struct(state.alias("state"), none.alias("out"))
+
+    def one(acc, x):
+        state, out = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    def blocks(v):
+        own, size = v["items"], v["block"]
+        many = F.sequence(F.lit(0), F.floor((F.size(own) - 1) / size).cast("int"))
+        block = lambda acc, k: F.concat(acc, F.array(F.aggregate(F.slice(own, k * size + 1, size), start(F.element_at(acc, -1)["state"]), one)))
+        grown = F.aggregate(many, F.array(start(zero)), block)
+        return F.flatten(F.transform(grown, lambda x: x["out"]))
+
+    sized = bound(items, lambda own: F.struct(own.alias("items"), F.greatest(F.lit(BLOCK), F.cbrt(2 * F.size(own)).cast("int")).alias("block")))
+    return bound(sized, lambda v: F.when(F.size(v["items"]) > 0, blocks(v)).otherwise(none))
+
+
 def places(text: Column, pattern: str, hits: Column) -> Column:
     """(start, end) of each hit, as structs."""
     gaps = F.split(text, pattern, -1)
     lengths = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit")))
-    spans = "array<struct<start:int,end:int>>"
-    start = lambda at: F.struct(at.alias("at"), F.array().cast(spans).alias("out"))
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        span = F.struct(begin.alias("start"), (begin + x["hit"]).alias("end"))
-        return F.struct((begin + x["hit"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def step(at, x):
+        begin = at + x["gap"]
+        return begin + x["hit"], F.struct(begin.alias("start"), (begin + x["hit"]).alias("end"))
 
-    def block(acc, k):
-        own = F.aggregate(F.slice(lengths, k * BLOCK + 1, BLOCK), start(acc["at"]), step)
-        return F.struct(own["at"].alias("at"), F.concat(acc["out"], F.array(own["out"])).alias("out"))
-
-    blocks = F.sequence(F.lit(0), F.floor(F.size(hits) / BLOCK).cast("int"))
-    grown = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spans}>").alias("out"))
-    return F.when(F.size(hits) <= BLOCK, F.aggregate(lengths, start(F.lit(0)), step)["out"]).otherwise(F.flatten(F.aggregate(blocks, grown, block)["out"]))
+    return scanned(lengths, F.lit(0), step, "struct<start:int,end:int>")
 
 
 def ranked(spans: Column, rank: int) -> Column:
@@ -74,25 +92,37 @@ def ranked(spans: Column, rank: int) -> Column:
 
 
 def lowest_sum(candidate: Column) -> Column:
-    """Least sum of c * log2(c) over the windows of a candidate, by incremental counts."""
-    terms = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 1)])
-    code = lambda i: F.ascii(F.substring(candidate, i, F.lit(1)))
-    event = lambda symbol, delta, full: F.struct(symbol.alias("symbol"), F.lit(delta).alias("delta"), full.alias("full"))
-    events = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.length(candidate)),
-            lambda i: F.when(i > WINDOW, F.array(event(code(i - WINDOW), -1, F.lit(False)), event(code(i), 1, F.lit(True)))).otherwise(F.array(event(code(i), 1, i == WINDOW))),
+    """Least sum of c * log2(c) over the windows of a candidate, by incremental counts.
+
+    The window is a string of WINDOW characters at most; a character's count in it is what its removal shortens.
+    """
+    term = lambda c: c * math.log2(c) if c else 0.0
+    rises = F.array(*[F.lit(term(c + 1) - term(c)) for c in range(WINDOW + 1)])  # by one more of c
+    count = lambda x, window: F.length(window) - F.length(F.replace(window, x, F.lit("")))
+    empty = F.struct(F.lit("").alias("window"), F.lit(0.0).alias("sum"), F.lit(1e9).alias("best"))
+    # The sum of a full window is noted when the next character enters, so that no step has to compute anything twice.
+    best = lambda acc: F.when(F.length(acc["window"]) == WINDOW, F.least(acc["best"], acc["sum"])).otherwise(acc["best"])
+
+    def step(acc, x):
+        window = acc["window"]
+        full, first = F.length(window) == WINDOW, F.substring(window, 1, 1)
+        grown = F.get(rises, count(x, window))
+        # The first character leaves: one less of it, which x itself may be.
+        moved = F.when(x == first, 0.0).otherwise(grown - F.get(rises, count(first, window) - 1))
+        return F.struct(
+            F.concat(F.when(full, F.substring(window, 2, WINDOW)).otherwise(window), x).alias("window"),
+            (acc["sum"] + F.when(full, moved).otherwise(grown)).alias("sum"),
+            best(acc).alias("best"),
         )
-    )
-    empty = F.struct(F.array_repeat(F.lit(0), 123).alias("counts"), F.lit(0.0).alias("sum"), F.lit(1e9).alias("best"))
 
-    def step(acc, e):
-        had = F.get(acc["counts"], e["symbol"])
-        after = acc["sum"] + F.get(terms, had + e["delta"]) - F.get(terms, had)
-        counts = F.transform(acc["counts"], lambda c, j: F.when(j == e["symbol"], c + e["delta"]).otherwise(c))
-        return F.struct(counts.alias("counts"), after.alias("sum"), F.when(e["full"], F.least(acc["best"], after)).otherwise(acc["best"]).alias("best"))
+    return F.aggregate(F.split(candidate, ""), empty, step, best)
 
-    return F.aggregate(events, empty, step, lambda acc: acc["best"])
+
+def is_slug(candidate: Column) -> Column:
+    """Whether SLUG fits, without a repeated group, which Java's patterns match by recursion."""
+    parts = F.filter(F.split(candidate, "[-_/=+]+"), lambda p: p != "")
+    ends = candidate.rlike("^/?[A-Za-z0-9]") & candidate.rlike("[A-Za-z0-9]/?$")
+    return ends & (F.size(parts) > 1) & F.forall(parts, lambda p: p.rlike("^([A-Za-z]+|[0-9]{1,8})$"))
 
 
 def is_random(candidate: Column) -> Column:
@@ -102,7 +132,7 @@ def is_random(candidate: Column) -> Column:
         bits = F.when(candidate.rlike(pattern), F.lit(least)).otherwise(bits)
     allowed = F.lit(False)
     for pattern in ALLOWED:
-        allowed = allowed | candidate.rlike(pattern)
+        allowed = allowed | (is_slug(candidate) if pattern == SLUG else candidate.rlike(pattern))
     return ~allowed & (F.round(entropy, 9) >= bits)
 
 
@@ -132,10 +162,17 @@ def scan_secrets(df: DataFrame, text: str = "text", out: str = "spans") -> DataF
             F.when(some(F.col(made["hex"])), ranked(places(body, HEX, F.col(made["hex"])), 2)).otherwise(ranked(none, 2)),
         ),
     )
-    flagged = F.filter(
-        F.zip_with(places(body, CANDIDATE, F.col(made["runs"])), F.col(made["runs"]), lambda s, run: F.struct(s["start"].alias("start"), s["end"].alias("end"), run.alias("run"))),
-        lambda s: ~F.exists(made["base"], lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])) & is_random(s["run"]),
-    )
+    # Base spans and candidates in one order: a candidate is covered if a base span so far reaches its end.
+    spot = lambda s, kind, run: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), run.alias("run"))
+    runs = F.zip_with(places(body, CANDIDATE, F.col(made["runs"])), F.col(made["runs"]), lambda s, run: spot(s, 1, run))
+    both = F.array_sort(F.concat(F.transform(made["base"], lambda s: spot(s, 0, F.lit(None).cast("string"))), runs))
+
+    def reach(furthest, s):
+        free = (s["kind"] == 1) & (furthest < s["end"])
+        return F.when(s["kind"] == 0, F.greatest(furthest, s["end"])).otherwise(furthest), F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(free, s["run"]).alias("run"))
+
+    free = scanned(both, F.lit(0), reach, "struct<start:int,end:int,run:string>")
+    flagged = F.filter(free, lambda s: s["run"].isNotNull() & is_random(s["run"]))
     added = F.when(some(F.col(made["runs"])), F.transform(flagged, lambda s: F.struct(s["start"], s["end"], F.lit(3).alias("rank")))).otherwise(ranked(none, 3))
     spans = F.transform(F.array_sort(F.transform(F.concat(made["base"], added), lambda s: F.struct(s["start"], s["rank"], s["end"]))), lambda s: F.struct(s["start"], s["end"], s["rank"]))
     return base.withColumn(out, spans).select(*names, out)
@@ -155,14 +192,23 @@ def redact(df: DataFrame, text: str = "text", marker: str = "[secret]") -> DataF
     """The rows with every span of the text (spans that overlap as one) replaced by the marker; texts without a span stay as they are."""
     names = df.columns
     spans = unused("_spans", names)
-    scanned = scan_secrets(df, text, spans)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"))
+    found = scan_secrets(df, text, spans)
+
+    def clean(v):
+        chunks = v["chunks"]
+
+        def piece(a, b):  # code points a to b, read from the chunks that hold them
+            first = F.floor(a / CHUNK).cast("int")
+            held = F.array_join(F.slice(chunks, first + 1, F.floor(b / CHUNK).cast("int") - first + 1), "")
+            return F.substring(held, a - first * CHUNK + 1, b - a)
+
+        def step(at, s):
+            gap = F.when(s["start"] >= at, F.concat(piece(at, s["start"]), F.lit(marker))).otherwise("")
+            return F.greatest(at, s["end"]), gap
 
-    def step(acc, s):
-        piece = F.concat(F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(marker))
-        pieces = F.when(s["start"] < acc["at"], acc["pieces"]).otherwise(F.concat(acc["pieces"], F.array(piece)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), pieces.alias("pieces"))
+        last = F.aggregate(spans, F.lit(0), lambda at, s: F.greatest(at, s["end"]))
+        gaps = F.array_join(scanned(F.col(spans), F.lit(0), step, "string"), "")
+        return F.concat(gaps, bound(last, lambda at: piece(at, v["size"])))
 
-    # The pieces are joined at the end, so the text isn't copied for each span.
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["pieces"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return scanned.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(F.col(text))).select(names)
+    cut = F.struct(F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("chunks"), F.length(text).alias("size"))
+    return found.withColumn(text, F.when(F.size(spans) > 0, bound(cut, clean)).otherwise(F.col(text))).select(names)

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import string
+import time
 from collections import Counter
 
 import pytest
@@ -311,6 +312,39 @@ def test_megabyte_texts(spark):
     assert redact(few).first().text == (line * 3000).replace("token=abcdef12", "[secret]")
 
 
+SHAPES = {
+    "slug": "ab-12-",
+    "words": "ab-12-cd/",
+    "path": "/usr/lib12",
+    "base64": "q9Zx7Kp2Lm4Vt8Rw1Ys6Bd3FhT5+jC0n",
+    "hex": "0f1e2d3c",
+    "upper": "0F1E2D3CA9",
+    "equals": "=",
+    "mixed": "=a1",
+    "access": "AKIA1234",
+    "assign": "token=a1b2.",
+    "secrets": "token=abc12345 Zx81hQ0pLm3Vt7Rw2Ys6Bd ",
+    "blanks": "password ",
+}
+
+
+@pytest.mark.parametrize("size", [3_000, 1_000_000])
+def test_long_runs_neither_crash_nor_slow_down(spark, size):
+    """A run of each shape, as long as a document; the short ones against brute force."""
+    made = {k: (x * (size // len(x) + 1))[:size] for k, x in SHAPES.items()}
+    df = spark.createDataFrame(list(made.items()), "doc_id string, text string").repartition(4)
+    began = time.perf_counter()
+    got = {r.doc_id: r.d for r in scan_secrets(df).select("doc_id", described("spans").alias("d")).collect()}
+    assert time.perf_counter() - began < 90
+    assert set(got) == set(made)
+    if size < 10_000:
+        assert got == {k: brute_spans(t) for k, t in made.items()}
+        assert {r.doc_id: r.text for r in redact(df).collect()} == {k: brute_redacted(t) for k, t in made.items()}
+    else:
+        assert got["secrets"].count("entropy") == pytest.approx(size / len(SHAPES["secrets"]), abs=1)
+        assert {r.doc_id: r.n for r in redact(df).select("doc_id", F.length("text").alias("n")).collect()}["equals"] == size
+
+
 def test_scan_is_native(docs):
     plan = scan_secrets(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
