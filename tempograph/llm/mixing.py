@@ -37,7 +37,7 @@ from tempograph.llm._common import cut, drop_cut
 from tempograph.llm._scan import PART, ranged, scan
 
 #: Words of a block, blocks of an output shard, sources of one node of the tree, and levels between written tables.
-BLOCK, SHARD, SOURCES, LEVELS = 512, 4096, 1024, 6
+BLOCK, SHARD, SOURCES, LEVELS = 512, 4096, 1024, 3
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -205,7 +205,7 @@ def mix(
     ranks = ranks.select("place", "block", (F.col("epoch") * F.col("blocks") + F.col("rank")).alias("draw"), upto.cast("bigint").alias("upto")).where("upto > 0")
 
     allotted = shards_of(quotas, shard, group).select("place", "shard", F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)).alias("draw"))
-    taken = ranks.join(allotted, ["place", "draw"])
+    taken = ranks.join(allotted.hint("merge"), ["place", "draw"])  # a row a block: never to be broadcast, however short the ranges it comes from
     begin, end = F.greatest(F.col("at"), F.col("b") * block), F.least(F.col("at") + F.col("size"), (F.col("b") + 1) * block)
     pieces = known.where("size > 0").withColumn("b", F.explode(F.sequence(F.floor(F.col("at") / block).cast("bigint"), F.floor((F.col("at") + F.col("size") - 1) / block).cast("bigint"))))
     pieces = pieces.select("place", F.col("b").alias("block"), "id", "row", (begin - F.col("at")).alias("start"), (begin - F.col("b") * block).alias("in_block"), (end - begin).alias("length"))
