@@ -11,17 +11,20 @@ similarity threshold is at a greater distance with a probability below ``MISS``
 sets have signatures that differ in a share of 1 - similarity of the positions);
 more similar pairs are missed less.
 
-Documents with equal sets are first joined to one class.  In the index each class
-is compared with one leader of its buckets (the class that meets the most others);
-links are confirmed on full sets.  What then still meets in a bucket but not in a
-component is compared in the join itself, and kept once, if it passes by an upper
-bound of the overlap (a shingle that no other class in question has can't be shared),
-by the distance of the signatures, and by that of ``BITS`` one-bit MinHash values,
-which tells sets a little under the similarity from those at it (a pair at the
-similarity fails with a probability under 1e-9, six deviations).  Then full sets
-decide.  So a large group of near copies doesn't make its square of pairs, as far as
-they are less similar than these bounds can tell; n classes of one bucket that stay
-apart still take n * n tests, which adaptive execution spreads over tasks.
+Documents with equal sets are first joined to one class.  Classes are then linked in
+rounds of leaders.  In a round each bucket that still holds several components
+elects leaders of its largest one (one at first, then LEADERS), and each class outside
+of that component is compared with those that it meets in most buckets; then components
+are joined and sizes counted again, so a dense group shrinks by a share a round, and its
+members leave the search as soon as they are in one component.  Rounds end when few
+tests are left, or a link costs more of them than there are classes in the buckets.  What then still meets in a bucket without being in one
+component is compared once, the classes outside of a bucket's largest component
+with all of the bucket, and is kept if sizes, the signatures' distance and that of ``BITS``
+one-bit MinHash values allow it (a pair at the similarity fails with a probability
+under 1e-9, six deviations).  Every pair so found is confirmed on full sets, which
+travel as sorted hashes: a leader's set goes once to each group of GROUP partners, and
+theirs stream past it.  Classes that meet and stay apart, though as near as the
+bounds can tell, cost a test a pair; such tests are dealt over tasks by adaptive execution.
 
 Sets are compared as 64-bit hashes of their shingles and equal sets by 128-bit
 digests: two of n shingles collide with a probability under n**2 / 2**65, two of m
@@ -41,16 +44,20 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempograph.llm._common import append_columns, cut, drop_cut, looked_up, slices, texts
+from tempograph.llm._common import append_columns, bitmap, cut, drop_cut, looked_up, slices, texts
 from tempograph.llm._graph import components
 from tempograph.llm.bpe import Memo
 
 WIDTH, MISS, BITS = 4, 4e-6, 2048
-#: Keys of most rows whose values are sent to all tasks in a join, and pairs of one class that a task confirms at once.
-HEAVY, GROUP = 1000, 500
+#: Keys of most rows whose values are sent to all tasks in a join, pairs of one class that a task confirms at once, and bits of the filter of ids.
+HEAVY, GROUP, FILTER = 1000, 500, 1 << 26
+#: Leaders that a class is compared with in a round, from the second one on.
+LEADERS = 8
+#: Tests that need no further round of leaders.
+FEW = 1 << 18
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -145,36 +152,40 @@ class BitSigner:
         return np.packbits((mixed(out) & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
-def bit_rows(held: DataFrame, shingle: int) -> DataFrame:
-    """(node, d, size, words): the digest of each text's set, its size and the words of its one-bit signature."""
+def set_rows(df: DataFrame, id_col: str, text: str, shingle: int, nodes: DataFrame) -> DataFrame:
+    """(node, d, shingles) of the texts of the given nodes: the digest of each set and its sorted hashes, written.
 
-    def make():
-        shingler, signer = Shingler(shingle), BitSigner()
+    Nodes' bits in a bitmap keep back most other texts, so sets and not texts are joined.
+    """
+    bits = min(FILTER, 1 << max(15, (16 * nodes.count()).bit_length()))
+    held = df.sparkSession.sparkContext.broadcast(bitmap(nodes, F.pmod(F.xxhash64("node"), F.lit(bits)), bits))
 
-        def fn(batch):
-            sets = [shingler(x) for x in texts(batch, "text")]
-            made = np.array([signer(s) for s in sets], np.int64).reshape(-1)
-            words = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64)), pa.array(made))
-            return {"d": [digest(s) for s in sets], "size": [len(s) for s in sets], "words": words}
+    def run(batches):
+        shingler, seen = Shingler(shingle), np.unpackbits(np.frombuffer(held.value, np.uint8), bitorder="little").view(bool)
+        for whole in batches:
+            whole = whole.filter(pa.array(seen[whole.column("place").to_numpy()], pa.bool_()))
+            for batch in slices(whole, "text"):
+                sets = [shingler(x) for x in texts(batch, "text")]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([digest(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "d", "shingles"])
 
-        return fn
+    docs = df.select(F.col(id_col).cast("bigint").alias("node"), F.col(text).alias("text")).where("text is not null and node is not null")
+    rows = docs.withColumn("place", F.pmod(F.xxhash64("node"), F.lit(bits))).mapInArrow(run, "node bigint, d bigint, shingles binary")
+    return cut(rows.join(nodes, "node", "left_semi").dropDuplicates(["node", "d"]), "sets")
 
-    return append_columns(held, "text", "d bigint, size bigint, words array<bigint>", make).select("node", "d", "size", "words")
 
+def bit_rows(sets: DataFrame) -> DataFrame:
+    """(node, d, words): the words of each set's one-bit signature."""
 
-def shingle_rows(held: DataFrame, shingle: int) -> DataFrame:
-    """(node, d, s) for each shingle of each text; d is the digest of its set."""
+    def make():
+        signer = BitSigner()
 
-    def run(batches):
-        shingler = Shingler(shingle)
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                sets = [shingler(x) for x in texts(batch, "text")]
-                sizes = [len(s) for s in sets]
-                columns = [np.repeat(x, sizes) for x in (batch.column("node").to_numpy(), np.array([digest(s) for s in sets], np.int64))]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["node", "d", "s"])
+        def fn(batch):
+            made = np.array([signer(np.frombuffer(x, np.uint64)) for x in batch.column("shingles").to_pylist()], np.int64).reshape(-1)
+            return {"words": pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (BITS // 64)), pa.array(made))}
+
+        return fn
 
-    return held.mapInArrow(run, "node bigint, d bigint, s bigint")
+    return append_columns(sets, "shingles", "words array<bigint>", make).select("node", "d", "words")
 
 
 def sketch(df: DataFrame, id_col: str, text: str, shingle: int, chunks: int) -> DataFrame:
@@ -214,33 +225,75 @@ def bits_apart(x: Column, y: Column) -> Column:
     return sum(parts[1:], parts[0])
 
 
-def confirm(pairs: DataFrame, held: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b), a written table, whose full sets reach the similarity.  held: (node, text).
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the distinct pairs (a, b), a written table, whose full sets reach the similarity, written.  sets: (node, shingles).
 
-    A class ``a`` of many pairs is dealt over as many groups as keep each near GROUP pairs.
+    A class ``a`` of many pairs is dealt over as many groups as keep each near GROUP pairs.  A group's rows
+    are its own set and then the sets of its partners, so a task holds one set at a time.
     """
 
     def run(batches):
-        shingler = Shingler(shingle)
-        last, own = None, None
+        group, own = None, []
         for whole in batches:
-            for batch in slices(whole, "text_b"):
-                keep = []
-                for a, left, right in zip(*(batch.column(c).to_pylist() for c in ("a", "text_a", "text_b"))):
-                    if last is None or last != (a, left):
-                        last, own = (a, left), shingler(left)
-                    other = shingler(right)
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= percent * (len(own) + len(other) - both))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    groups = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("groups", F.ceil(F.col("n") / GROUP).cast("int"))
+            for batch in slices(whole, "shingles"):
+                hits = [[], []]
+                for a, g, b, shingles in zip(*(batch.column(c).to_pylist() for c in ("a", "g", "b", "shingles"))):
+                    other = np.frombuffer(shingles, np.uint64)
+                    if group != (a, g):
+                        group, own = (a, g), []
+                    if b is None:  # an id may have several texts
+                        own.append(other)
+                        continue
+                    for x in own:
+                        both = len(np.intersect1d(x, other, assume_unique=True))
+                        if both and 100 * both >= percent * (len(x) + len(other) - both):
+                            hits[0].append(a)
+                            hits[1].append(b)
+                            break
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in hits], names=["a", "b"])
+
+    groups = cut(pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("groups", F.ceil(F.col("n") / GROUP).cast("int")), "groups")
     dealt = looked_up(pairs, ["a"], groups, HEAVY).select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"))
-    right = held.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    left = held.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(groups, "a")
-    left = left.select("a", "text_a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"))
-    joined = dealt.join(right, "b").join(left, ["a", "g"]).select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    partners = dealt.join(sets.select(F.col("node").alias("b"), "shingles"), "b").select("a", "g", "b", "shingles")
+    owners = groups.join(sets.select(F.col("node").alias("a"), "shingles"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(None).cast("bigint").alias("b"), "shingles")
+    rows = owners.unionByName(partners).repartition("a", "g").sortWithinPartitions("a", "g", F.asc_nulls_first("b"))
+    out = cut(rows.mapInArrow(run, "a bigint, b bigint").distinct(), "links")
+    drop_cut(groups)
+    return out
+
+
+def led(tagged: DataFrame, turn: int, leaders: int) -> DataFrame:
+    """(key, chosen, lead, lead_size, members, n) of the buckets of several components, written: some members of their largest component, others each turn, and that component.
+
+    tagged: (key, node, component, size); components of one size are in the order of a hash.
+    """
+    rank = lambda j: F.struct("size", F.xxhash64("component").alias("h"), F.xxhash64("node", F.lit(turn), F.lit(j)).alias("turn"), "node", "component")
+    best = [F.max(rank(j)).alias(f"m{j}") for j in range(leaders)]
+    found = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), *best)
+    chosen = F.array_distinct(F.array(*(F.col(f"m{j}.node") for j in range(leaders))))
+    return cut(found.where("x <> y").select("key", chosen.alias("chosen"), F.col("m0.component").alias("lead"), F.col("m0.size").alias("lead_size"), F.col("n").alias("members"), "n"), "leaders")
+
+
+def compared(tagged: DataFrame, leaders: DataFrame, tested: DataFrame | None, most: int) -> DataFrame:
+    """(a, b, component, lead, lead_size, members), written: each class b outside of its buckets' largest components and at most ``most`` of their leaders, by the number of common buckets."""
+    votes = looked_up(tagged, ["key"], leaders, HEAVY).where("component <> lead").withColumn("a", F.explode("chosen"))
+    votes = votes.groupBy(F.col("node").alias("b"), "component", "a", "lead", "lead_size").agg(F.count("*").alias("votes"), F.max("members").alias("members"))
+    if tested is not None:
+        votes = votes.join(tested, ["a", "b"], "left_anti")
+    order = Window.partitionBy("b", "component").orderBy(F.desc("votes"), F.xxhash64("a"), "a")
+    return cut(votes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place", "votes"), "star")
+
+
+def joined(members: DataFrame, hooks: DataFrame) -> DataFrame:
+    """The members (node, component) with components joined to larger ones, and the size of each, written.  hooks: (component, lead, size)."""
+    up = cut(hooks.groupBy("component").agg(F.max(F.struct("lead_size", F.xxhash64("lead").alias("h"), "lead")).alias("m")).select("component", F.col("m.lead").alias("lead")), "hooks")
+    twice = up.join(up.select(F.col("component").alias("lead"), F.col("lead").alias("top")), "lead", "left").select("component", F.coalesce("top", "lead").alias("top"))
+    now = cut(members.join(twice, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "members")
+    sizes = cut(now.groupBy("component").agg(F.count("*").alias("n")).withColumn("size", F.col("n")), "sizes")
+    out = cut(looked_up(now, ["component"], sizes, HEAVY), "members")
+    for done in (up, now, sizes):
+        drop_cut(done)
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -249,49 +302,60 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
     sketches = cut(sketch(df, id_col, text, shingle, chunks), "sketches")
     some = sketches.where("n_shingles > 0 and node is not null")
     classes = cut(some.groupBy("h1", "h2").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("keys").alias("keys")), "classes")
-    keyed = classes.select("node", "n", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = cut(keyed.join(buckets, "key"), "shared")
-    held = cut(df.select(F.col(id_col).cast("bigint").alias("node"), F.col(text).alias("text")).where("text is not null").join(shared.select("node").distinct(), "node", "left_semi").withColumn("t", F.xxhash64("text")).dropDuplicates(["node", "t"]).drop("t"), "texts")
+    keyed = classes.select("node", F.explode("keys").alias("key"))
+    buckets = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key", "n", F.col("n").alias("members")), "buckets")
+    shared = cut(looked_up(keyed, ["key"], buckets, HEAVY).distinct(), "shared")
+    met = cut(shared.groupBy("node").agg(F.sum("members").alias("size")), "met")
+    sets = set_rows(df, id_col, text, shingle, met.select("node"))
     signatures = classes.select("node", "n", "signature")
     one, two = (signatures.toDF(*(f"{c}_{s}" for c in signatures.columns)) for s in "ab")
-    able = (
-        (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        & (distance(F.col("signature_a"), F.col("signature_b")) < 2 * chunks)
-    )
-
-    # A class and the leader of most of its buckets; a bucket's leader is the class that meets the most others.
-    meets = shared.join(shared.groupBy("node").agg(F.sum("members").alias("met")), "node")
-    leaders = meets.groupBy("key").agg(F.max(F.struct("met", F.negative("node").alias("l"))).alias("m")).select("key", F.negative("m.l").alias("leader"))
-    votes = shared.join(leaders, "key").where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"))
-    star = cut(votes.groupBy("node").agg(F.max(F.struct("votes", F.negative("leader").alias("l"))).alias("m")).select(F.negative("m.l").alias("a"), F.col("node").alias("b")), "star")
-    counted = one.withColumnRenamed("node_a", "a").join(star.groupBy("a").agg(F.count("*").alias("n")), "a")
-    near = looked_up(star, ["a"], counted, HEAVY).join(two.withColumnRenamed("node_b", "b"), "b").where(able)
-    near = cut(near.select("a", "b").distinct(), "star")
-    links = cut(confirm(near, held, shingle, percent).distinct(), "links")
-    # What meets in a bucket but isn't known to be in one component: known is what leads to one leader in two steps.
-    up = links.select(F.col("b").alias("node"), F.col("a").alias("one"))
-    known = up.join(links.select(F.col("b").alias("one"), F.col("a").alias("two")), "one", "left").select("node", F.coalesce("two", "one").alias("component"))
-    tagged = shared.join(known, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed_keys = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    apart = cut(tagged.join(mixed_keys, "key", "left_semi").select("key", "node", "component").distinct(), "apart")
-    there = held.join(apart.select("node").distinct(), "node")
-    counts = shingle_rows(there, shingle).groupBy("s").agg(F.count("*").alias("c"), F.max("node").alias("node"), F.max("d").alias("d"))
-    alone = counts.where("c = 1").groupBy("node", "d").agg(F.count("*").alias("alone"))
-    most = bit_rows(there, shingle).join(alone, ["node", "d"], "left").withColumn("most", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
-    own = classes.select("node", F.col("h1").alias("d"), "n", "signature", "keys")
-    possible = cut(most.where(100 * F.col("most") >= percent * F.col("size")).join(own, ["node", "d"]).drop("d", "size"), "able")
-    rows = apart.join(possible, "node").where(F.array_contains("keys", F.col("key")))
-    a, b = (rows.toDF(*(c if c == "key" else f"{c}_{t}" for c in rows.columns)) for t in "ab")
-    shared_most = F.least("most_a", "most_b")
-    bound = 100 * shared_most >= percent * (F.col("n_a") + F.col("n_b") - shared_most)
-    close = bits_apart(F.col("words_a"), F.col("words_b")) <= furthest(percent / 100)
-    once = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")  # though they meet in several buckets
-    rest = a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & bound & close & able & once)
-    pairs = cut(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
-    more = cut(confirm(pairs, held, shingle, percent).distinct(), "links")
-    final = components(links.union(more))
-    for done in (shared, held, star, near, apart, possible, pairs, links, more):
+    able = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (distance(F.col("signature_a"), F.col("signature_b")) < 2 * chunks)
+
+    # At first each class is a component, and those come first that meet the most others.
+    members = met.select("node", F.col("node").alias("component"), "size")
+    links, tested, turn = [], None, 0
+    while True:
+        tagged, most = shared.select("key", "node").join(members, "node"), LEADERS if turn else 1
+        leaders = led(tagged, turn, most)
+        star = compared(tagged, leaders, tested, most)
+        counted = cut(one.withColumnRenamed("node_a", "a").join(star.groupBy("a").agg(F.count("*").alias("n")), "a"), "counted")
+        near = cut(looked_up(star, ["a"], counted, HEAVY).join(two.withColumnRenamed("node_b", "b"), "b").where(able).select("a", "b").distinct(), "near")
+        found = confirm(near, sets, percent)
+        links.append(found)
+        tested = star.select("a", "b") if tested is None else tested.union(star.select("a", "b"))
+        (tried, bucket), gained = star.agg(F.count("*"), F.coalesce(F.avg("members"), F.lit(0.0))).first(), found.count()
+        for done in (leaders, counted, near):
+            drop_cut(done)
+        if gained:
+            members = joined(members.select("node", "component"), star.join(found, ["a", "b"], "left_semi").select("component", "lead", "lead_size"))
+        turn += 1
+        left = bucket * (tried / most - gained)  # tests, at least, if the rest is compared with all of its buckets
+        if left <= FEW or 2 * tried >= gained * bucket:
+            break
+
+    # What still meets in a bucket without being in one component: those outside of its largest one against all.
+    tagged = shared.select("key", "node").join(members, "node")
+    leaders = led(tagged, turn, 1)
+    apart = cut(looked_up(tagged, ["key"], leaders, HEAVY).select("key", "node", "component", (F.col("component") != F.col("lead")).alias("minor")), "apart")
+    if apart.limit(1).count():
+        own = classes.select("node", F.col("h1").alias("d"), "n", "signature", "keys")
+        words = cut(bit_rows(sets.join(apart.select("node").distinct(), "node", "left_semi")).join(own, ["node", "d"]).drop("d"), "words")
+        rows = apart.join(words, "node").where(F.array_contains("keys", F.col("key")))
+        a, b = (rows.toDF(*(c if c == "key" else f"{c}_{t}" for c in rows.columns)) for t in "ab")
+        close = bits_apart(F.col("words_a"), F.col("words_b")) <= furthest(percent / 100)
+        once = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")  # though they meet in several buckets
+        other = (F.col("component_a") != F.col("component_b")) & (~F.col("minor_b") | (F.col("node_a") < F.col("node_b")))
+        rest = a.where("minor_a").join(b, "key").where(other & close & able & once).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        known = tested.union(tested.select("b", "a"))
+        pairs = cut(rest.join(known, ["a", "b"], "left_anti"), "pairs")
+        links.append(confirm(pairs, sets, percent))
+        drop_cut(words)
+        drop_cut(pairs)
+    every = links[0]
+    for more in links[1:]:
+        every = every.union(more)
+    final = components(every)
+    for done in (buckets, shared, sets, apart, leaders, *links):
         drop_cut(done)
 
     by_class = classes.select("h1", "h2", F.col("node").alias("rep"))
