@@ -49,18 +49,21 @@ def grid_costs(df: DataFrame, by: list[str], beat: str, depth_cost: float = 0.03
 def best_grid_path(costs: DataFrame, by: str, bar: str, change: float = 0.25) -> DataFrame:
     """D3: the cheapest resolution of each bar where a change costs; staying wins ties, then the coarser grid.  One recording a group."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     from tempograph.operators.harmony import best_path
 
     kind, bkind = costs.schema[by].dataType.simpleString(), costs.schema[bar].dataType.simpleString()
 
-    def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index=bar, columns="divisions", values="cost").sort_index()
-        path = best_path(-wide.to_numpy(), np.full(len(wide), change))
-        return pd.DataFrame({by: pdf[by].iloc[0], bar: wide.index, "divisions": np.array(wide.columns)[path].astype("int32")})
+    def decode(key, table):
+        grids, column = np.unique(table.column("divisions").to_numpy(), return_inverse=True)
+        bars, row = np.unique(table.column(bar).to_numpy(), return_inverse=True)
+        wide = np.full((len(bars), len(grids)), np.inf)
+        wide[row, column] = table.column("cost").to_numpy()
+        path = best_path(-wide, np.full(len(wide), change))
+        return pa.table([pa.array([key[0].as_py()] * len(bars), table.schema.field(by).type), pa.array(bars, table.schema.field(bar).type), pa.array(grids[path], pa.int32())], names=[by, bar, "divisions"])
 
-    return costs.groupBy(by).applyInPandas(decode, f"{by} {kind}, {bar} {bkind}, divisions int")
+    return costs.groupBy(by).applyInArrow(decode, f"{by} {kind}, {bar} {bkind}, divisions int")
 
 
 def snap_note(onset: Column, end: Column, step, legato: float = 0.02, articulation: float = 0.9) -> tuple[Column, Column]:
