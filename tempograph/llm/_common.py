@@ -83,7 +83,8 @@ def scratch(spark: SparkSession, what: str = "table") -> str:
     """A fresh path in the folder that the cluster shares (``spark.checkpoint.dir``); only a local session may do without that setting."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tempograph-')}"
         spark.conf.set("spark.checkpoint.dir", root)
