@@ -11,13 +11,13 @@ similarity threshold is at a greater distance with a probability below ``MISS``
 sets have signatures that differ in a share of 1 - similarity of the positions);
 more similar pairs are missed less.
 
-Documents with equal sets are first joined to one class.  Classes are then linked in
-rounds of leaders.  In a round each bucket that still holds several components
-elects leaders of its largest one (one at first, then LEADERS), and each class outside
-of that component is compared with those that it meets in most buckets; then components
-are joined and sizes counted again, so a dense group shrinks by a share a round, and its
-members leave the search as soon as they are in one component.  Rounds end when few
-tests are left, or a link costs more of them than there are classes in the buckets.  What then still meets in a bucket without being in one
+Documents with equal sets are first joined to one class.  Each bucket then elects a
+leader, the class that meets the most others, and each class is compared with the one
+leader that it meets in most buckets; what is linked is one component.  A class of a large
+bucket (over LARGE classes) that isn't linked is compared with LEADERS members of its leader's
+component, and then, for ROUNDS rounds, with as many others; a linked class leaves the search,
+so a dense group shrinks by a share a round and no class is compared with all of it.
+What then still meets in a bucket without being in one
 component is compared once, the classes outside of a bucket's largest component
 with all of the bucket, and is kept if sizes, the signatures' distance and that of ``BITS``
 one-bit MinHash values allow it (a pair at the similarity fails with a probability
@@ -54,10 +54,8 @@ from tempograph.llm.bpe import Memo
 WIDTH, MISS, BITS = 4, 4e-6, 2048
 #: Keys of most rows whose values are sent to all tasks in a join, pairs of one class that a task confirms at once, and bits of the filter of ids.
 HEAVY, GROUP, FILTER = 1000, 500, 1 << 26
-#: Leaders that a class is compared with in a round, from the second one on.
-LEADERS = 8
-#: Tests that need no further round of leaders.
-FEW = 1 << 18
+#: Members of a component that a class is compared with in a round, rounds, and classes of a bucket that is large.
+LEADERS, ROUNDS, LARGE = 32, 2, 96
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -225,75 +223,73 @@ def bits_apart(x: Column, y: Column) -> Column:
     return sum(parts[1:], parts[0])
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b), a written table, whose full sets reach the similarity, written.  sets: (node, shingles).
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, own: list[str] | None = None) -> DataFrame:
+    """Those of the distinct pairs (a, b), with the columns ``own``, whose full sets reach the similarity, written.  sets: (node, shingles).
 
-    A class ``a`` of many pairs is dealt over as many groups as keep each near GROUP pairs.  A group's rows
-    are its own set and then the sets of its partners, so a task holds one set at a time.
+    ``pairs`` is a written table; its column ``n`` is the number of a's pairs, or more (rows of one a may differ, where each row's
+    own pairs are meant).  A class ``a`` of many pairs is dealt over as many groups as keep each under GROUP pairs.  A group's rows are its own set and then the sets of its partners, so a task holds
+    one set at a time.
     """
+    own = own or []
+    names = ["a", "b", *own]
 
     def run(batches):
-        group, own = None, []
+        group, held = None, []
         for whole in batches:
             for batch in slices(whole, "shingles"):
-                hits = [[], []]
+                keep = []
                 for a, g, b, shingles in zip(*(batch.column(c).to_pylist() for c in ("a", "g", "b", "shingles"))):
                     other = np.frombuffer(shingles, np.uint64)
                     if group != (a, g):
-                        group, own = (a, g), []
+                        group, held = (a, g), []
                     if b is None:  # an id may have several texts
-                        own.append(other)
-                        continue
-                    for x in own:
-                        both = len(np.intersect1d(x, other, assume_unique=True))
-                        if both and 100 * both >= percent * (len(x) + len(other) - both):
-                            hits[0].append(a)
-                            hits[1].append(b)
-                            break
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in hits], names=["a", "b"])
-
-    groups = cut(pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("groups", F.ceil(F.col("n") / GROUP).cast("int")), "groups")
-    dealt = looked_up(pairs, ["a"], groups, HEAVY).select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"))
-    partners = dealt.join(sets.select(F.col("node").alias("b"), "shingles"), "b").select("a", "g", "b", "shingles")
-    owners = groups.join(sets.select(F.col("node").alias("a"), "shingles"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(None).cast("bigint").alias("b"), "shingles")
-    rows = owners.unionByName(partners).repartition("a", "g").sortWithinPartitions("a", "g", F.asc_nulls_first("b"))
-    out = cut(rows.mapInArrow(run, "a bigint, b bigint").distinct(), "links")
-    drop_cut(groups)
-    return out
-
-
-def led(tagged: DataFrame, turn: int, leaders: int) -> DataFrame:
-    """(key, chosen, lead, lead_size, members, n) of the buckets of several components, written: some members of their largest component, others each turn, and that component.
-
-    tagged: (key, node, component, size); components of one size are in the order of a hash.
+                        held.append(other)
+                        keep.append(False)
+                    else:
+                        keep.append(any(similar(x, other, percent) for x in held))
+                yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+
+    groups = F.ceil(F.col("n") / GROUP).cast("int")
+    dealt = pairs.withColumn("g", F.pmod(F.xxhash64("b"), groups).cast("int"))
+    partners = dealt.join(sets.select(F.col("node").alias("b"), "shingles"), "b").select(*names, "g", "shingles")
+    leads = pairs.groupBy("a").agg(F.max(groups).alias("groups"))
+    owners = leads.join(sets.select(F.col("node").alias("a"), "shingles"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), "shingles")
+    rows = partners.unionByName(owners, allowMissingColumns=True).repartition("a", "g").sortWithinPartitions("a", "g", F.asc_nulls_first("b"))
+    return cut(rows.mapInArrow(run, ", ".join(f"{n} bigint" for n in names)), "links")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def led(tagged: DataFrame) -> DataFrame:
+    """(key, leader, lead, lead_size, members, n) of the buckets of several components, written: a member of their first component in the order of size and a hash, and that component.
+
+    tagged: (key, node, component, size).
     """
-    rank = lambda j: F.struct("size", F.xxhash64("component").alias("h"), F.xxhash64("node", F.lit(turn), F.lit(j)).alias("turn"), "node", "component")
-    best = [F.max(rank(j)).alias(f"m{j}") for j in range(leaders)]
-    found = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), *best)
-    chosen = F.array_distinct(F.array(*(F.col(f"m{j}.node") for j in range(leaders))))
-    return cut(found.where("x <> y").select("key", chosen.alias("chosen"), F.col("m0.component").alias("lead"), F.col("m0.size").alias("lead_size"), F.col("n").alias("members"), "n"), "leaders")
+    rank = F.struct("size", F.xxhash64("component").alias("h"), F.xxhash64("node").alias("turn"), "node", "component")
+    found = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), F.max(rank).alias("m"))
+    return cut(found.where("x <> y").select("key", F.col("m.node").alias("leader"), F.col("m.component").alias("lead"), F.col("m.size").alias("lead_size"), F.col("n").alias("members"), "n"), "leaders")
 
 
-def compared(tagged: DataFrame, leaders: DataFrame, tested: DataFrame | None, most: int) -> DataFrame:
-    """(a, b, component, lead, lead_size, members), written: each class b outside of its buckets' largest components and at most ``most`` of their leaders, by the number of common buckets."""
-    votes = looked_up(tagged, ["key"], leaders, HEAVY).where("component <> lead").withColumn("a", F.explode("chosen"))
-    votes = votes.groupBy(F.col("node").alias("b"), "component", "a", "lead", "lead_size").agg(F.count("*").alias("votes"), F.max("members").alias("members"))
-    if tested is not None:
-        votes = votes.join(tested, ["a", "b"], "left_anti")
-    order = Window.partitionBy("b", "component").orderBy(F.desc("votes"), F.xxhash64("a"), "a")
-    return cut(votes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place", "votes"), "star")
+def hubs_of(members: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(lead, hubs, n) of the components wanted (lead, n): up to LEADERS * ROUNDS of their members, one for each value of a hash, so they come from a pre-aggregated sum."""
+    own = looked_up(members.select("node", F.col("component").alias("lead")), ["lead"], wanted.withColumn("wanted", F.col("n")), HEAVY)
+    slot = F.pmod(F.xxhash64("node", F.lit("slot")), F.lit(LEADERS * ROUNDS))
+    best = own.groupBy("lead", slot.alias("slot")).agg(F.max(F.struct(F.xxhash64("node").alias("h"), "node")).alias("m"), F.max("wanted").alias("n"))
+    return cut(best.groupBy("lead").agg(F.array_sort(F.collect_list(F.struct("slot", "m.node"))).alias("hubs"), F.max("n").alias("n")).withColumn("pairs", F.col("n")), "hubs")
 
 
 def joined(members: DataFrame, hooks: DataFrame) -> DataFrame:
-    """The members (node, component) with components joined to larger ones, and the size of each, written.  hooks: (component, lead, size)."""
-    up = cut(hooks.groupBy("component").agg(F.max(F.struct("lead_size", F.xxhash64("lead").alias("h"), "lead")).alias("m")).select("component", F.col("m.lead").alias("lead")), "hooks")
-    twice = up.join(up.select(F.col("component").alias("lead"), F.col("lead").alias("top")), "lead", "left").select("component", F.coalesce("top", "lead").alias("top"))
-    now = cut(members.join(twice, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "members")
-    sizes = cut(now.groupBy("component").agg(F.count("*").alias("n")).withColumn("size", F.col("n")), "sizes")
-    out = cut(looked_up(now, ["component"], sizes, HEAVY), "members")
-    for done in (up, now, sizes):
-        drop_cut(done)
-    return out
+    """The members (node, component), written, where a class (b) that was linked has its leader's component (lead) for its own.
+
+    Only what is linked comes under one name, though not all of it: that is left to components().
+    """
+    up = hooks.groupBy("b").agg(F.min("lead").alias("lead"))
+    return cut(members.join(up.withColumnRenamed("b", "component"), "component", "left").select("node", F.coalesce("lead", "component").alias("component")), "members")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -313,30 +309,40 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
 
     # At first each class is a component, and those come first that meet the most others.
     members = met.select("node", F.col("node").alias("component"), "size")
-    links, tested, turn = [], None, 0
-    while True:
-        tagged, most = shared.select("key", "node").join(members, "node"), LEADERS if turn else 1
-        leaders = led(tagged, turn, most)
-        star = compared(tagged, leaders, tested, most)
-        counted = cut(one.withColumnRenamed("node_a", "a").join(star.groupBy("a").agg(F.count("*").alias("n")), "a"), "counted")
-        near = cut(looked_up(star, ["a"], counted, HEAVY).join(two.withColumnRenamed("node_b", "b"), "b").where(able).select("a", "b").distinct(), "near")
-        found = confirm(near, sets, percent)
-        links.append(found)
-        tested = star.select("a", "b") if tested is None else tested.union(star.select("a", "b"))
-        (tried, bucket), gained = star.agg(F.count("*"), F.coalesce(F.avg("members"), F.lit(0.0))).first(), found.count()
-        for done in (leaders, counted, near):
-            drop_cut(done)
-        if gained:
-            members = joined(members.select("node", "component"), star.join(found, ["a", "b"], "left_semi").select("component", "lead", "lead_size"))
-        turn += 1
-        left = bucket * (tried / most - gained)  # tests, at least, if the rest is compared with all of its buckets
-        if left <= FEW or 2 * tried >= gained * bucket:
-            break
+    tagged = shared.select("key", "node").join(members, "node")
+    leaders = led(tagged)
+    votes = looked_up(tagged, ["key"], leaders, HEAVY).where("component <> lead").groupBy("node", "lead").agg(F.count("*").alias("votes"), F.max("members").alias("members"), F.max("lead_size").alias("n"))
+    best = votes.groupBy("node").agg(F.max(F.struct("votes", F.xxhash64("lead").alias("h"), "lead", "members", "n")).alias("m"))
+    # A leader has no more pairs than it meets classes in its buckets.
+    star = cut(best.select(F.col("m.lead").alias("a"), F.col("node").alias("b"), F.col("m.lead").alias("lead"), "m.members", "m.n"), "star")
+    links = [confirm(star, sets, percent, ["lead"])]
+    tested = [star.select("a", "b")]
+    members = joined(members.select("node", "component"), links[0])
+    names = members.select(F.col("node").alias("lead"), F.col("component").alias("name"))
+    alone = star.where(F.col("members") > LARGE).join(links[0].select("b"), "b", "left_anti").select("b", "lead")
+    alone = cut(alone.join(names, "lead").select("b", F.col("name").alias("lead")), "alone")
+    wanted = cut(alone.groupBy("lead").agg(F.count("*").alias("n")), "wanted")
+    if wanted.limit(1).count():
+        alone = cut(looked_up(alone, ["lead"], hubs_of(members, wanted), HEAVY), "alone")
+        for turn in range(ROUNDS):
+            own = F.transform(F.filter("hubs", lambda h: (h["slot"] >= turn * LEADERS) & (h["slot"] < (turn + 1) * LEADERS)), lambda h: h["node"])
+            star = cut(alone.select(F.explode(own).alias("a"), "b", "lead", F.col("pairs").alias("n")).where("a <> b"), "star")
+            links.append(confirm(star, sets, percent, ["lead"]))
+            tested.append(star.select("a", "b"))
+            members = joined(members, links[-1])
+            if turn + 1 < ROUNDS:
+                alone = cut(alone.join(links[-1].select("b").distinct(), "b", "left_anti"), "alone")
+    known = tested[0]
+    for more in tested[1:]:
+        known = known.union(more)
+    tested = known
 
     # What still meets in a bucket without being in one component: those outside of its largest one against all.
+    sizes = cut(members.groupBy("component").agg(F.count("*").alias("n")).withColumn("size", F.col("n")), "sizes")
+    members = cut(looked_up(members, ["component"], sizes, HEAVY), "members")
     tagged = shared.select("key", "node").join(members, "node")
-    leaders = led(tagged, turn, 1)
-    apart = cut(looked_up(tagged, ["key"], leaders, HEAVY).select("key", "node", "component", (F.col("component") != F.col("lead")).alias("minor")), "apart")
+    leaders = led(tagged)
+    apart = cut(looked_up(tagged, ["key"], leaders, HEAVY).select("key", "node", "component", "members", (F.col("component") != F.col("lead")).alias("minor")), "apart")
     if apart.limit(1).count():
         own = classes.select("node", F.col("h1").alias("d"), "n", "signature", "keys")
         words = cut(bit_rows(sets.join(apart.select("node").distinct(), "node", "left_semi")).join(own, ["node", "d"]).drop("d"), "words")
@@ -345,15 +351,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
         close = bits_apart(F.col("words_a"), F.col("words_b")) <= furthest(percent / 100)
         once = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")  # though they meet in several buckets
         other = (F.col("component_a") != F.col("component_b")) & (~F.col("minor_b") | (F.col("node_a") < F.col("node_b")))
-        rest = a.where("minor_a").join(b, "key").where(other & close & able & once).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        rest = a.where("minor_a").join(b, "key").where(other & close & able & once).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("members_a").alias("n"))
         known = tested.union(tested.select("b", "a"))
-        pairs = cut(rest.join(known, ["a", "b"], "left_anti"), "pairs")
+        pairs = cut(rest.groupBy("a", "b").agg(F.max("n").alias("n")).join(known, ["a", "b"], "left_anti"), "pairs")
         links.append(confirm(pairs, sets, percent))
         drop_cut(words)
         drop_cut(pairs)
-    every = links[0]
+    every = links[0].select("a", "b")
     for more in links[1:]:
-        every = every.union(more)
+        every = every.union(more.select("a", "b"))
     final = components(every)
     for done in (buckets, shared, sets, apart, leaders, *links):
         drop_cut(done)
