@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tempograph.llm._common import slices
+from tempograph.llm._common import slices, unused
 from tempograph.llm.bpe import ByteBpe, encoder
 
 RUN, GRAIN = 1 << 20, 12
@@ -96,9 +96,11 @@ def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
     One row a piece: the id, ``start`` (the document's tokens before it), ``length``, ``doc_tokens``,
     ``sequence_id`` (partition number times 2**32 plus the window's number in it), ``offset`` in the
     sequence and ``ids`` (little-endian 32-bit).  Other columns of the input are not read.
+    A column that would have the id's name gets an underscore before it.
     """
     docs = df.select(id_col, text)
-    names = [id_col, *(p.split()[0] for p in PIECES.split(", "))]
+    fields = [p.split() for p in PIECES.split(", ")]
+    names = [id_col, *(unused(n, [id_col]) for n, _ in fields)]
     kind = docs.schema[id_col].dataType.simpleString()
     key = pa.schema(docs.select(id_col).limit(0).toArrow().schema).field(0).type
 
@@ -133,4 +135,4 @@ def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
         if docs:
             yield flush()
 
-    return docs.mapInArrow(run, f"{id_col} {kind}, {PIECES}")
+    return docs.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, [kind, *(k for _, k in fields)])))

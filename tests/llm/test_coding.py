@@ -215,3 +215,10 @@ def test_distinct_fragments_by_hash_and_by_bytes(monkeypatch):
         number, first = distinct(raw, at, np.array(sizes))
         assert [want[first[k]] for k in number] == want and len(first) == len(set(want))
         monkeypatch.setattr(np, "unique", lambda x, *a, _u=np.unique, **k: _u(x % np.uint64(2) if x.dtype == np.uint64 else x, *a, **k))  # all hashes collide
+
+
+def test_pieces_keep_apart_from_an_id_of_their_name(spark):
+    df = spark.createDataFrame([(7, "some words here"), (8, None)], "start bigint, text string")
+    out = pack_documents(df, BYTE, id_col="start")
+    assert out.columns == ["start", "_start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+    assert {(r["start"], r["_start"]) for r in out.collect()} == {(7, 0), (8, 0)}
