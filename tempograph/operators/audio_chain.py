@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tempograph.functions import theory
 from tempograph.functions import vectors as V
-from tempograph.operators import harmony, score, signal
+from tempograph.operators import downbeat, harmony, score, signal
 
 # Fixed values of the note model: grid and notes as MIDI numbers, bins a semitone, partials and their decay, widths in FFT bins.
 LOWEST, HIGHEST_BIN, HIGHEST_NOTE, BINS = 21, 108, 96, 3
@@ -71,7 +71,7 @@ def register_chroma(magnitudes: np.ndarray, rate: int, window: int, tuning: floa
     floor = FLOOR * grid.mean(axis=1, keepdims=True)
     white = np.where(floor > 0, np.maximum(0, grid - mean) / np.maximum(np.maximum(spread, floor), 1e-300), 0)
     gram = spectra.T @ spectra
-    found = np.array([signal.nnls(gram, x) for x in white @ spectra]).reshape(len(white), -1)
+    found = signal.nnls_batch(gram, spectra.T @ white.T).T
     return found[:, :-1] @ registers
 
 
@@ -117,11 +117,13 @@ def note_chroma(audio: DataFrame, rate: int, chunk: int, tuning: float = 0.0) ->
 def smoothed(x: np.ndarray, pole: float = 0.45, stages: int = 2) -> np.ndarray:
     """Each column smoothed forward and then backward, so that nothing moves in time."""
     for _ in range(2 * stages):
-        out, y = np.empty_like(x), x[0]
-        for t in range(len(x)):
-            y = y + (1 - pole) * (x[t] - y)
-            out[t] = y
-        x = out[::-1]
+        y = (1 - pole) * x
+        y[0] = x[0]
+        k = 1
+        while k < len(y) and pole**k > 0:  # sums over 1, 2, 4, ... frames back, all bands at once
+            y[k:] += pole**k * y[:-k].copy()
+            k *= 2
+        x = y[::-1]
     return x
 
 
@@ -163,6 +165,27 @@ def beat_chroma(frames: DataFrame, beats: DataFrame, vector: str, frame_rate: fl
     return sums.withColumn(vector, V.l1_normalise(F.col(vector)))
 
 
+def downbeats(beats: DataFrame, chroma: DataFrame, strength: DataFrame, vector: str, rate: int, per_bar: int = 4) -> DataFrame:
+    """The beats with ``position`` in the bar, ``downbeat`` and the phase's ``confidence``: chroma novelty at beats and onsets, in one score.
+
+    chroma: (rec_id, beat, vector), a span from each beat to the next; strength: (rec_id, frame, strength).
+    """
+    at = beats.select("rec_id", "beat", F.floor(F.col("seconds") * rate / ONSET_HOP + 0.5).alias("frame")).join(strength, ["rec_id", "frame"], "left")
+    heard = at.select("rec_id", "beat", F.coalesce("strength", F.lit(0.0)).alias("strength"))
+    phase = downbeat.downbeat_phase(heard, downbeat.novelty_at_beats(chroma, ["rec_id"], "beat", vector), ["rec_id"], "beat", "strength", per_bar)
+    out = beats.join(phase, "rec_id").withColumn("position", F.pmod(F.col("beat") - F.col("phase"), F.lit(per_bar)).cast("int"))
+    return out.select("rec_id", "beat", "seconds", "position", (F.col("position") == 0).alias("downbeat"), "confidence")
+
+
+def audio_downbeats(audio: DataFrame, rate: int, chunk: int = signal.CHUNK) -> DataFrame:
+    """The chain up to beats and bar lines: (rec_id, beat, seconds, position, downbeat, confidence)."""
+    strength = onset_strength(audio, rate, chunk)
+    beats = signal.tempi_of_windows(strength, "rec_id", "frame", "strength", rate / ONSET_HOP)
+    registers = note_chroma(audio, rate, chunk).withColumn("combined", V.vector_sum(F.col("treble"), F.col("bass")))
+    frame_rate = rate / (window_size(rate) // HOPS_A_WINDOW)
+    return downbeats(beats, beat_chroma(registers, beats, "combined", frame_rate), strength, "combined", rate)
+
+
 def audio_chords(audio: DataFrame, rate: int, chunk: int = signal.CHUNK) -> DataFrame:
     """The chain: (rec_id, first_beat, n, start_seconds, end_seconds, root, quality, symbol, confidence) of audio chunks (rec_id, chunk_no, samples).
 

@@ -249,6 +249,12 @@ def guarded(df: DataFrame, by: list[str], most: int, what: str) -> DataFrame:
     return df.join(counts, by).where(fine).drop("__n")
 
 
+def counted(df: DataFrame, by: list[str], most: int) -> DataFrame:
+    """O8 as a verdict: the rows with ``n``, the number of their key's rows, and ``within``, whether that is within a limit."""
+    counts = df.groupBy(*by).agg(F.count("*").alias("n"))
+    return df.join(counts, by).withColumn("within", F.col("n") <= most)
+
+
 def playable(notes: DataFrame) -> DataFrame:
     """Notes with a place on the beat axis that are no drums, by onset."""
     return notes.where((F.col("role") != "DRUMS") & F.col("start_beat").isNotNull() & F.col("end_beat").isNotNull())

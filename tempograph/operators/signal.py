@@ -41,20 +41,6 @@ def silence_chunks(spark: SparkSession, rec: str, seconds: float, rate: int = RA
     return tone_chunks(spark, rec, [], seconds, rate, chunk)
 
 
-def signals(audio: DataFrame) -> DataFrame:
-    """A recording's chunks as one array; one recording must fit a task."""
-    parts = F.array_sort(F.collect_list(F.struct("chunk_no", "samples")))
-    return audio.groupBy("rec_id", "sample_rate").agg(F.flatten(F.transform(parts, lambda p: p["samples"])).alias("samples"))
-
-
-def frame_signal(df: DataFrame, window: int, hop: int) -> DataFrame:
-    """1 + (n - window) // hop frames without padding, none for a shorter signal."""
-    count = F.when(F.size("samples") >= window, 1 + F.floor((F.size("samples") - window) / hop)).otherwise(0).cast("int")
-    spots = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    each = df.withColumn("frame", F.explode(spots))
-    return each.withColumn("samples", F.slice("samples", F.col("frame") * hop + 1, window))
-
-
 def band(df: DataFrame, spectrum: str, hz_a_bin: float, low: float, high: float) -> DataFrame:
     """Spectra cut to the bins from ``low`` to ``high`` hertz, both included."""
     first, last = math.ceil(low / hz_a_bin), math.floor(high / hz_a_bin)
@@ -66,19 +52,6 @@ def hann(n: int) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
 
 
-def magnitudes(df: DataFrame, samples: str = "samples", out: str = "mags") -> DataFrame:
-    """Magnitude spectrum of each windowed frame."""
-
-    @F.pandas_udf("array<double>")
-    def spectrum(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return x
-        m = np.stack(x.to_numpy()).astype(float)
-        return pd.Series(list(np.abs(np.fft.rfft(m * hann(m.shape[1]), axis=1))))
-
-    return df.withColumn(out, spectrum(samples))
-
-
 def mel_bands(rate: int, window: int, bands: int = 40, low: float = 30.0, high: float = 8000.0) -> list[tuple[int, int]]:
     """M3: first and end bin of rectangular bands, evenly spaced in mel."""
     mel = lambda f: 2595 * math.log10(1 + f / 700)
@@ -188,6 +161,43 @@ def nnls(gram: np.ndarray, projected: np.ndarray, tolerance: float = 1e-10) -> n
     return x
 
 
+def nnls_batch(gram: np.ndarray, projected: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
+    """The non-negative minimisers of x'Gx/2 - p'x for all columns p of ``projected``, by block principal pivoting.
+
+    Every column keeps the set of its active notes.  Columns of equal sets are solved together, with one factor; then each
+    column moves the notes that break a condition (a negative activation, or a slope that would gain) to the other side, all
+    of them as long as that leaves fewer broken, else only the last one, which can't go round in circles.
+    """
+    n, many = projected.shape
+    g = gram + np.eye(n) * (1e-10 * np.trace(gram) / max(1, n))
+    active, x, slope = np.zeros((n, many), bool), np.zeros((n, many)), -projected
+    fewest, tries = np.full(many, n + 1), np.full(many, 3)
+    scale = tolerance * np.maximum(1.0, np.abs(projected).max(axis=0)) if many else np.ones(0)
+    for _ in range(50 * n):
+        broken = (active & (x < -scale)) | (~active & (slope < -scale))
+        count = broken.sum(axis=0)
+        todo = np.flatnonzero(count)
+        if not len(todo):
+            break
+        better = count[todo] < fewest[todo]
+        fewest[todo] = np.minimum(fewest[todo], count[todo])
+        tries[todo] = np.where(better, 3, tries[todo] - 1)
+        one = todo[tries[todo] < 0]
+        last = n - 1 - broken[::-1, one].argmax(axis=0)
+        broken[:, one] = False
+        broken[last, one] = True
+        active[:, todo] ^= broken[:, todo]
+        sets, group = np.unique(np.packbits(active[:, todo], axis=0), axis=1, return_inverse=True)
+        for k in range(sets.shape[1]):
+            own = todo[group.ravel() == k]
+            at = active[:, own[0]]
+            x[:, own] = 0
+            if at.any():
+                x[np.ix_(at, own)] = np.linalg.solve(g[np.ix_(at, at)], projected[np.ix_(at, own)])
+            slope[:, own] = np.where(at[:, None], 0.0, g[:, at] @ x[np.ix_(at, own)] - projected[:, own])
+    return np.maximum(x, 0)
+
+
 def note_dictionary(bins: int, per_semitone: int, lowest: int, notes: range, partials: int = 12, decay: float = 0.5, width: float = 1.0) -> np.ndarray:
     """Unit columns of harmonic spectra on a log-frequency axis, and a flat one for the background."""
     axis = lowest + np.arange(bins) / per_semitone
@@ -202,39 +212,39 @@ def note_dictionary(bins: int, per_semitone: int, lowest: int, notes: range, par
 
 
 def activations(df: DataFrame, spectrum: str, dictionary: np.ndarray, out: str = "activation") -> DataFrame:
-    """Non-negative note activations of each spectrum (the dictionary and its Gram matrix go with the function)."""
+    """``out``, the non-negative note activations of each spectrum, a batch of rows at once, and ``slope``, the gradient at them (0 or more)."""
     gram = dictionary.T @ dictionary
 
-    @F.pandas_udf("array<double>")
-    def solve(x: pd.Series) -> pd.Series:
-        return pd.Series([nnls(gram, dictionary.T @ np.asarray(v, float)) for v in x])
+    @F.pandas_udf(f"{out} array<double>, slope array<double>")
+    def solve(x: pd.Series) -> pd.DataFrame:
+        if not len(x):
+            return pd.DataFrame({out: [], "slope": []})
+        projected = dictionary.T @ np.stack(x.to_numpy()).astype(float).T
+        found = nnls_batch(gram, projected)
+        return pd.DataFrame({out: list(found.T), "slope": list((gram @ found - projected).T)})
 
-    return df.withColumn(out, solve(spectrum))
+    return df.withColumn("__a", solve(spectrum)).select("*", F.col(f"__a.{out}").alias(out), "__a.slope").drop("__a")
 
 
-def register_weights(note: int) -> tuple[float, float]:
-    """Treble and bass weight of a note: crossfaded over 45..57, the treble rolled off over 84..96."""
-    ramp = lambda x, a, b: 0.0 if x <= a else 1.0 if x >= b else 0.5 * (1 - math.cos(math.pi * (x - a) / (b - a)))
-    high = ramp(note, 45, 57)
-    return high * (1 - ramp(note, 84, 96)), 1 - high
+def tones(df: DataFrame, by: list[str], hertz: str, seconds: float, rate: int = RATE, chunk: int = CHUNK) -> DataFrame:
+    """Audio (key, chunk_no, sample_rate, samples) of a sine for each row, at half of full scale."""
+    n = int(math.floor(seconds * rate + 0.5))
+    each = df.select(*by, F.col(hertz).alias("__f"), F.explode(F.sequence(F.lit(0), F.lit(-(-n // chunk) - 1))).alias("chunk_no"))
+    spots = F.sequence(F.col("chunk_no") * chunk, F.least(F.lit(n), (F.col("chunk_no") + 1) * chunk) - 1)
+    return each.select(*by, "chunk_no", F.lit(rate).alias("sample_rate"), F.transform(spots, lambda k: 0.5 * F.sin(2 * math.pi * F.col("__f") * (k / F.lit(float(rate))))).alias("samples"))
 
 
-def whiten(v: np.ndarray, half: int, floor: float = 1e-3) -> np.ndarray:
-    """Values over the local weighted mean in units of the local deviation, rectified."""
-    w = np.hamming(2 * half + 1)
-    norm = np.convolve(np.ones(len(v)), w, "same")
-    mean = np.convolve(v, w, "same") / norm
-    spread = np.sqrt(np.maximum(0, np.convolve(v * v, w, "same") / norm - mean * mean))
-    return np.maximum(0, v - mean) / np.maximum(spread, floor * max(v.mean(), 1e-12))
+def clicks(df: DataFrame, by: list[str], bpm: str, seconds: float, rate: int = RATE, chunk: int = CHUNK) -> DataFrame:
+    """The same with a decaying 1 kHz burst of a hundredth of a second on each beat of the row's tempo."""
+    n, length = int(math.floor(seconds * rate + 0.5)), rate // 100
+    each = df.select(*by, (F.lit(60.0) / F.col(bpm) * rate).alias("__p"), F.explode(F.sequence(F.lit(0), F.lit(-(-n // chunk) - 1))).alias("chunk_no"))
+    spots = F.sequence(F.col("chunk_no") * chunk, F.least(F.lit(n), (F.col("chunk_no") + 1) * chunk) - 1)
 
+    def value(k):
+        since = k - F.floor(F.floor(k / F.col("__p")) * F.col("__p") + 0.5)
+        return F.when((since >= 0) & (since < length), 0.8 * F.exp(-8.0 * since / length) * F.sin(2 * math.pi * 1000 * since / rate)).otherwise(0.0)
 
-def log_frequency_map(window: int, rate: int, bins: int, per_semitone: int, lowest: int, tuning: float = 0.0) -> np.ndarray:
-    """(bins, spectrum bins) weights from a linear to a log-frequency spectrum, each row summing to one."""
-    hz = 440 * 2 ** ((lowest + np.arange(bins) / per_semitone + tuning - 69) / 12)
-    at = hz * window / rate
-    d = np.abs(np.arange(window // 2 + 1)[None, :] - at[:, None]) / 2.5
-    w = np.where(d < 1, 0.5 * (1 + np.cos(np.pi * d)), 0)
-    return w / np.maximum(1e-12, w.sum(axis=1, keepdims=True))
+    return each.select(*by, "chunk_no", F.lit(rate).alias("sample_rate"), F.transform(spots, value).alias("samples"))
 
 
 def click_chord_chunks(spark: SparkSession, rec: str, bpm: float, seconds: float, chords: list[list[float]], beats_per_chord: int, rate: int = RATE, chunk: int = CHUNK) -> DataFrame:

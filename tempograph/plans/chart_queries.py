@@ -197,3 +197,12 @@ def lowpass_series(spark, d):
     x = onsets(spark, d).withColumn("i", (F.row_number().over(w) - 1).cast("bigint"))
     smooth = downbeat.zero_phase(x.select("rec", "i", "value"), ["rec"], "i", "value", 0.45, block=16)
     return x.select("rec", "event_id", "i").join(smooth, ["rec", "i"]).select("rec", "event_id", F.round("smooth", 6).alias("smooth"))
+
+
+@query("select user_id, event_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as gap_us from events")
+def streamed_gaps(spark, d):
+    """The time since each user's last event, by a stream that takes the events in in four runs and keeps its state between them."""
+    from tempograph.streaming.onset_rate import EVENTS, gaps_in_runs
+
+    names = [p.split()[0] for p in EVENTS.split(", ")]
+    return gaps_in_runs(table(spark, d, "events").select(names), "ts", 4)

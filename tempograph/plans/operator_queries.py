@@ -85,15 +85,6 @@ def key_names(spark, d):
     return best.select("rec", text_charts.key_text(theory.sharp_name(F.col("tonic")), F.col("mode")).alias("name"))
 
 
-@query("""with t as (select unnest(range(1, 6145)) as k), q as (select k, k / 768.0::double as quarters, (k // gcd(k, 3072)) || '/' || (3072 // gcd(k, 3072)) as share from t)
-  select k, case when k in (3072, 1536, 768, 384, 192, 96, 48) then cast(3072 // k as varchar) when k * 2 % 3 = 0 and (k * 2 // 3) in (3072, 1536, 768, 384, 192, 96, 48) then (3072 // (k * 2 // 3)) || '.' else '1*' || share end as token,
-    case k when 3072 then 'whole' when 1536 then 'half' when 768 then 'quarter' when 384 then 'eighth' when 192 then '16th' when 96 then '32nd' when 48 then '64th' end as type from q""")
-def note_values(spark, d):
-    """tokens and types of all lengths up to two bars of four quarters, in 768ths of a quarter."""
-    q = spark.range(1, 6145).select(F.col("id").alias("k"), (F.col("id") / 768.0).alias("quarters"))
-    return q.select("k", theory.duration_token(F.col("quarters")).alias("token"), theory.note_type(F.col("quarters")).alias("type"))
-
-
 @query("""with b as (select p_brand, list(p_name order by p_partkey) as names from part group by 1), u as (select p_brand, list_transform(list_filter(list_transform(names, lambda n, i: struct_pack(n := n, first := list_position(names, n) = i)), lambda x: x.first), lambda x: x.n) as names from b)
   select p_brand, array_to_string(names[:6], ', ') || case when len(names) > 6 then ' and ' || (len(names) - 6) || ' more' else '' end as listed from u""")
 def first_parts(spark, d):
@@ -153,28 +144,6 @@ def band_projection(spark, d):
     return kept.select("rec", "frame", F.posexplode("vec").alias("k", "x")).select("rec", "frame", (F.col("k") + 8).cast("bigint").alias("bin"), F.round("x", 6).alias("x"))
 
 
-@query("""with s as (select i, 0.5 * sin(2 * pi() * 440 * i / 22050.0) as x from (select unnest(range(44100)) as i)) select count(*) as n, round(sum(x), 4) as total, round(min(x), 6) as low from s where i >= floor(0.7 * 22050 + 0.5) and i < floor(1.3 * 22050 + 0.5)""")
-def sliced_tone(spark, d):
-    """The samples of a stretch of time, from the chunks that hold it."""
-    part = audio.slice_time(signal.tone_chunks(spark, "tone", [440.0], 2.0), 0.7, 1.3, signal.CHUNK).select(F.explode("samples").alias("x"))
-    return part.agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("total"), F.round(F.min("x"), 6).alias("low"))
-
-
-@query("with i as (select unnest(range(0, 1000)) as i) select i, round(i / 22050.0, 6) as seconds, cast(greatest(0, least(499, floor(i * 0.01::double * 50 + 0.5))) as bigint) as index, round((i * 512 + 512) / 22050.0, 6) as centre from i")
-def time_axes(spark, d):
-    """Times of samples, the sample at a time, the centre of a frame."""
-    i = F.col("i")
-    g = spark.range(1000).select(F.col("id").alias("i"))
-    return g.select("i", F.round(audio.time_of(i, 22050.0), 6).alias("seconds"), audio.index_of(i * 0.01, 50, F.lit(500)).cast("bigint").alias("index"), F.round(audio.frame_centre(i, 512, 1024, 22050.0), 6).alias("centre"))
-
-
-@query("with r as (select unnest([8000, 11025, 16000, 22050, 32000, 44100, 48000, 96000]) as rate), x as (select rate, cast(pow(2, ceil(log2(ceil(rate * 0.37)))) as bigint) as size from r) select rate, size, (rate + 5) % 12 as pc, round(case when abs(rate / 50000.0 - 1) <= 1 then 0.5 * (1 + cos(pi() * (rate / 50000.0 - 1))) else 0 end, 6) as ramp from x")
-def window_sizes(spark, d):
-    """M18, M6, M7."""
-    r = spark.createDataFrame([(x,) for x in (8000, 11025, 16000, 22050, 32000, 44100, 48000, 96000)], "rate int")
-    return r.select("rate", theory.next_power_of_two(F.ceil(F.col("rate") * 0.37)).alias("size"), theory.pitch_class(F.col("rate") + 5).alias("pc"), F.round(theory.raised_cosine(F.col("rate") / 50000.0 - 1), 6).alias("ramp"))
-
-
 # ---------------------------------------------------------------- rates and time
 
 
@@ -246,14 +215,6 @@ def lead_ins(spark, d):
 # ---------------------------------------------------------------- grids and layout
 
 
-@query(f"""with {BEATS}, p as (select distinct rec, floor(beat / 0.3) * 0.3 as s from beats where event_id % 20 = rec % 20), g as (select rec, min(gap) as g from (select rec, s - lag(s) over (partition by rec order by s) as gap from p) group by rec)
-  select rec, round(case when g is null then 1.0 else greatest(0.0625, 1.0 / pow(2, greatest(0, ceil(log2(1.0 / g) - 1e-9)))) end, 6) as grid from g""")
-def chart_grids(spark, d):
-    """L4, over the notes whose number ends like the recording's."""
-    b = beats(spark, d).where("event_id % 20 = rec % 20").select("rec", (F.floor(F.col("beat") / 0.3) * 0.3).alias("s"))
-    return rounded(score.chart_grid(b, ["rec"], "s", 1.0), 6, "grid")
-
-
 @query(f"""with {BEATS}, d as (select rec, floor(beat / 4) * 4 as line, beat from beats), f as (select rec, case when rec % 2 = 0 then min(beat) else min(beat) - 9 end + 3.0 as chord from d group by rec),
   c as (select d.rec, max(line) filter (where line <= chord + 0.25) as held, min(line) as opening, any_value(chord) as chord from d join f using (rec) group by d.rec)
   select rec, round(coalesce(held, opening - ceil((opening - chord) / 4) * 4), 6) as origin from c""")
@@ -457,12 +418,6 @@ def dangling_ties(spark, d):
     return last.join(ids, "rec")
 
 
-@query(f"with {NOTES} select rec, event_id from notes")
-def guarded_rows(spark, d):
-    """All rows, as no recording has more than the limit."""
-    return score.guarded(notes(spark, d), ["rec"], 100_000_000, "notes").select("rec", "event_id")
-
-
 @query("""with b as (select o_orderkey, o_totalprice as was from orders where o_orderkey % 4 <> 0), n as (select o_orderkey, o_totalprice + case when o_orderkey % 5 = 0 then 1 else 0 end as now from orders where o_orderkey % 3 <> 0)
   select coalesce(b.o_orderkey, n.o_orderkey) as o_orderkey, was, now from b full join n on b.o_orderkey = n.o_orderkey where now is not null and was is distinct from now""")
 def baseline_diffs(spark, d):

@@ -22,80 +22,6 @@ def query(sql: str | None = None):
     return add
 
 
-NAMED = ("cMajorScale", "leadIn", "fourChordSong", "drumsAndBass", "compoundTime")
-FIXTURES = "fx as (select * from (values " + ", ".join(f"('{f}', '{p}', {c}, {b}, {n}, {m})" for f, p, c, b, n, m in midi.fixture_rows()) + ") t(fixture, part, channel, beat, length, midi))"
-
-
-def files(spark):
-    return spark.createDataFrame([(n, bytearray(midi.fixture_file(n))) for n in NAMED], "path string, content binary")
-
-
-@query(f"with {FIXTURES} select fixture as path, channel, midi, beat::double as beat, (beat + length)::double as end_beat from fx")
-def midi_events(spark, d):
-    """Notes read back from MIDI files made from the fixtures."""
-    return midi.midi_notes(midi.decode_midi(files(spark))).select("path", "channel", "midi", "beat", "end_beat")
-
-
-@query("select * from (values ('cMajorScale'), ('leadIn'), ('fourChordSong'), ('drumsAndBass'), ('compoundTime')) t(path), (select 0.0::double as beat, 120.0::double as bpm, 0.0::double as seconds)")
-def midi_tempi(spark, d):
-    """O3, W19."""
-    return midi.midi_tempi(midi.decode_midi(files(spark)))
-
-
-@query(f"with {FIXTURES} select path, case when path = 'drumsAndBass' and channel = 1 then 0 else channel end as channel, tick, kind, d1 from (select fixture as path, channel, cast(beat * 768 as bigint) as tick, 'ON' as kind, midi as d1 from fx union all select fixture, channel, cast((beat + length) * 768 as bigint), 'OFF', midi from fx)")
-def midi_export(spark, d):
-    """Notes written to MIDI files and read back, in 768ths; channels are dealt anew, 9 for drums."""
-    n = midi.midi_notes(midi.decode_midi(files(spark)))
-    role = F.when(F.col("channel") == 9, "DRUMS").otherwise("OTHER")
-    out = midi.export_files(midi.export_events(n.select(F.col("path").alias("rec"), F.col("channel").alias("part"), role.alias("role"), "midi", F.lit(80).alias("velocity"), "beat", "end_beat")))
-    back = midi.decode_midi(out.select(F.col("rec").alias("path"), "content")).where("kind in ('ON', 'OFF')")
-    return back.select("path", F.when(F.col("channel") == 9, 9).otherwise(F.col("channel")).alias("channel"), "tick", "kind", "d1")
-
-
-@query("select * from (values ('cMajorScale', 'MIDI'), ('leadIn', 'MIDI'), ('fourChordSong', 'MIDI'), ('drumsAndBass', 'MIDI'), ('compoundTime', 'MIDI'), ('tone', 'WAV')) t(path, kind)")
-def sniffed_sources(spark, d):
-    """S4."""
-    tone = spark.createDataFrame([("tone", bytearray(audio.wav_bytes([0.0, 0.5], 8000)))], "path string, content binary")
-    f = files(spark).unionByName(tone)
-    return f.select("path", audio.sniff(F.col("content")).alias("kind"))
-
-
-@query("select 'tone' as rec_id, cast(i // 65536 as integer) as chunk_no, count(*) as n, round(sum(floor(0.5 * sin(2 * pi() * 440 * i / 22050.0) * 32767 + 0.5) / 32768), 2) as total from (select unnest(range(110250)) as i) group by 2")
-def wav_round_trip(spark, d):
-    """A tone written as WAV and decoded in chunks."""
-    import numpy as np
-
-    tone = 0.5 * np.sin(2 * np.pi * 440 * np.arange(110_250) / 22_050.0)
-    f = spark.createDataFrame([("tone", bytearray(audio.wav_bytes(tone, 22_050)))], "path string, content binary")
-    chunks = audio.decode_audio(f)
-    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return chunks.select("rec_id", "chunk_no", F.size("samples").cast("bigint").alias("n"), F.round(total, 2).alias("total"))
-
-
-@query("""with t as (select i, string_split('A7 A7 F7-D7 Bb C#-E A7', ' ')[i + 1] as bar from (select unnest(range(6)) as i)), a as (select i, bar, unnest(range(len(string_split(bar, '-')))) as alt from t)
-  select cast(i as integer) as bar, cast(alt as integer) as alt, cast(list_position(['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'Bb', 'B'], regexp_extract(string_split(bar, '-')[alt + 1], '^[A-G][#b]?')) - 1 as integer) as pitch_class, regexp_replace(string_split(bar, '-')[alt + 1], '^[A-G][#b]?', '') as quality from a""")
-def truth_grid(spark, d):
-    """S11."""
-    f = spark.createDataFrame([("x", "A7 A7 F7-D7 Bb C#-E A7")], "rec string, t string")
-    return text_charts.truth_bars(f, "rec", "t").select("bar", "alt", F.col("pitch_class").cast("int").alias("pitch_class"), "quality")
-
-
-@query("select * from (values (0, 0, 'a', '1', ''), (1, 0, 'd', '2', ':m7'), (1, 1, null, '2', ''), (2, 0, 'c', '4.', ''), (2, 1, 'g', '1*5/8', ':7')) t(bar, cell, root, length, quality)")
-def chordmode_tokens(spark, d):
-    """S12, K5."""
-    f = spark.createDataFrame([("x", "a1 | d2:m7 r2 | c4. g1*5/8:7 |")], "rec string, t string")
-    c = text_charts.chordmode_cells(f, "rec", "t")
-    return c.select("bar", "cell", "root", "length", F.coalesce("quality", F.lit("")).alias("quality"))
-
-
-@query("select title, cast(n as integer) as segments, provenance from (values ('one', 1, 'UNKNOWN'), ('two', 1, 'MEASURED')) t(title, n, provenance)")
-def json_round_trip(spark, d):
-    """Documents without and with a provenance, read, written and read again."""
-    seg = '{"startBeat":0.0,"startSeconds":0.0,"beatsPerMinute":90.0%s}'
-    docs = [('{"title":"one","tempoMap":{"segments":[' + seg % "" + '],"meterChanges":[]},"unknown":[1]}',), ('{"title":"two","tempoMap":{"segments":[' + seg % ',"provenance":"MEASURED"' + '],"meterChanges":[]}}',)]
-    first = score_json.parse_scores(spark.createDataFrame(docs, "j string"), "j")
-    again = score_json.parse_scores(first.select(score_json.score_text().alias("j")), "j")
-    return again.select("title", F.size("tempoMap.segments").alias("segments"), F.get("tempoMap.segments.provenance", F.lit(0)).alias("provenance"))
 
 
 @query(f"""with {NOTES}, b as (select rec, event_id, onset, (onset - {ORIGIN}) / 3.6e9 as h from notes) select rec, event_id, round(case when h < 240 then h / 2.0 else 120 + (h - 240) end, 6) as seconds from b""")
@@ -219,13 +145,6 @@ def staff_notation(spark, d):
     return notation.staff_lines(notation.bar_pieces(notation.filled(staff(spark, d), ["rec"]), ["rec"]), ["rec"])
 
 
-@query()
-def metric_split(spark, d):
-    """D22 on spans of common meters."""
-    spans = spark.createDataFrame([(4, 4, a / 4, b / 4) for a in range(16) for b in range(a + 1, 17)] + [(6, 8, a / 4, b / 4) for a in range(12) for b in range(a + 1, 13)], "num int, den int, a double, b double")
-    return spans.withColumn("values", notation.split_values(F.col("num"), F.col("den"), "a", "b"))
-
-
 @query("""with o as (select o_custkey as rec, o_orderkey, o_orderstatus, o_orderpriority from orders), b as (select *, o_orderkey % 3 = 0 as fresh from o)
   select rec, o_orderstatus, o_orderkey from b where fresh or not exists (select 1 from b b2 where b2.fresh and b2.rec = b.rec and b2.o_orderstatus = b.o_orderstatus)""")
 def upsert_by_role(spark, d):
@@ -241,14 +160,6 @@ def beat_positions(spark, d):
     return score.beat_phases(o, ["rec"], 4, 1).select("rec", "o_orderkey", "pos", "downbeat")
 
 
-@query("with g as (select unnest(range(40, 260)) as hz) select hz::double as hz, round(2595 * log10(1 + hz / 700.0), 6) as mel, round(69 + 12 * log2(hz / 440.0), 6) as midi, round(20 * log10(greatest(hz / 1000.0, 1e-10)), 6) as db, round(exp(-0.5 * pow(log2(hz / 120.0) / 1.4, 2)), 6) as prior from g")
-def frequency_scales(spark, d):
-    """M1, M2, M3, M5."""
-    hz = F.col("hz")
-    g = spark.range(40, 260).select(F.col("id").cast("double").alias("hz"))
-    return g.select("hz", F.round(theory.hz_to_mel(hz), 6).alias("mel"), F.round(theory.hz_to_midi(hz), 6).alias("midi"), F.round(theory.decibels(hz / 1000.0), 6).alias("db"), F.round(theory.tempo_prior(hz), 6).alias("prior"))
-
-
 _AT = "t[((root + {k}) % 12)::int + 1]"
 _MASS = " + ".join(_AT.format(k=k) for k in (0, "third", 7))
 AUDIO = f"""{VIT}, f as (select b.rec, b.frame, b.state, case when b.state < 36 then b.state % 12 else -1 end as root, chroma, sim from back b join sims s on b.rec = s.rec and b.frame = s.frame join chroma k on b.rec = k.rec and b.frame = k.frame),
@@ -273,39 +184,3 @@ def audio_chord_runs(spark, d):
     return score.audio_chords(path, ["rec"], ["frame"], "state", "chroma", "similarity").withColumn("confidence", F.round("confidence", 6))
 
 
-@query("""with k as (select k, k - floor(floor(k / 11025.0) * 11025.0 + 0.5) as since from (select unnest(range(88200)) as k)),
-  x as (select k // 4096 as chunk_no, case when since >= 0 and since < 220 then 0.8 * exp(-8.0 * since / 220) * sin(2 * pi() * 1000 * since / 22050) else 0 end as x from k)
-  select cast(chunk_no as integer) as chunk_no, round(max(abs(x)), 6) as peak, round(sqrt(avg(x * x)), 6) as rms from x group by 1""")
-def click_track(spark, d):
-    """A click track's chunks with their peaks."""
-    c = signal.click_chunks(spark, "clicks", 120.0, 4.0)
-    s = stats.peak_rms(c.select("chunk_no", F.explode("samples").alias("x")), ["chunk_no"], "x")
-    return s.select("chunk_no", F.round("peak", 6).alias("peak"), F.round("rms", 6).alias("rms"))
-
-
-#: Triads that the generated song goes through, one every two seconds.
-SONG = ((261.63, 329.63, 392.0), (196.0, 246.94, 293.66), (220.0, 261.63, 329.63), (174.61, 220.0, 261.63))
-
-
-@query("select cast(i as bigint) as place, ['C', 'G', 'Am', 'F'][i % 4 + 1] as symbol, cast(i * 2 as bigint) as start from (select unnest(range(8)) as i)")
-def audio_progression(spark, d):
-    """A generated song, written as a WAV file, decoded and turned into chords; starts to the nearest second."""
-    from tempograph.operators.audio_chain import audio_chords
-
-    chunks = signal.click_chord_chunks(spark, "song", 120.0, 16.0, [list(c) for c in SONG], 4)
-    samples = [x for r in chunks.orderBy("chunk_no").select("samples").toLocalIterator() for x in r.samples]  # sixteen seconds
-    files = spark.createDataFrame([("song", bytearray(audio.wav_bytes(samples, signal.RATE)))], "path string, content binary")
-    found = audio_chords(audio.decode_audio(files), signal.RATE, audio.CHUNK)
-    w = Window.partitionBy("rec_id").orderBy("first_beat")
-    return found.select((F.row_number().over(w) - 1).cast("bigint").alias("place"), "symbol", F.floor(F.col("start_seconds") + 0.5).cast("bigint").alias("start"))
-
-
-@query("select cast(i as integer) as beat, round(i * 0.5, 1) as seconds from (select unnest(range(1, 15)) as i)")
-def audio_beats(spark, d):
-    """Beats of generated clicks at 120 a minute, but for the first and the last, to a tenth of a second."""
-    from tempograph.operators.audio_chain import ONSET_HOP, onset_strength
-
-    clicks = signal.click_chunks(spark, "clicks", 120.0, 8.0)
-    found = signal.tempi_of_windows(onset_strength(clicks, signal.RATE, signal.CHUNK), "rec_id", "frame", "strength", signal.RATE / ONSET_HOP)
-    at = F.round(F.col("seconds") + 512 / signal.RATE, 1)
-    return found.select(F.round(at * 2).cast("int").alias("beat"), at.alias("seconds")).where("beat between 1 and 14").distinct()

@@ -157,13 +157,6 @@ def bar_beat_position(spark, d):
     return meter.bar_position(beats(spark, d), meters, ["rec"], "beat").select("rec", "event_id", "bar", F.round("beat_in_bar", 6).alias("beat_in_bar"))
 
 
-@query(f"with {METER_SQL}, t as (select *, coalesce(lead(start_bar) over (order by start_bar), 80) as z from mt), b as (select *, unnest(range(start_bar, z)) as bar from t) select cast(bar as integer) as bar, round(start_beat + (bar - start_bar) * len, 6) as start_beat, num, den from b")
-def bar_table(spark, d):
-    """The meter of each bar."""
-    meters = spark.createDataFrame([(1, *m) for m in METERS], "rec int, start_bar int, num int, den int")
-    return meter.bar_table(meters, ["rec"], 80).select("bar", F.round("start_beat", 6).alias("start_beat"), "num", "den")
-
-
 GRID = f"""{BEATS}, g as (select unnest([1, 2, 3, 4, 6, 8]) as div), c as (select rec, cast(floor(beat / 4) as bigint) as bar, div, abs(beat - floor(beat / (1.0::double / div) + 0.5) * (1.0::double / div))
     + 0.035 * case when div = 1 then 0 when div in (2, 3) then 1 when div in (4, 6) then 2 else 3 end + case when div % 3 = 0 then 0.015 else 0 end as cost from beats cross join g),
   costs as (select rec, bar, div, sum(cost) as cost from c group by 1, 2, 3)"""
@@ -268,16 +261,6 @@ def spelling_sharp_flat(spark, d):
 SPELL = "(select f from (select unnest(range(-15, 20)) as f) where ((f * 7) % 12 + 12) % 12 = {pc} order by abs(f - {c}), f limit 1)"
 
 
-@query(f"""with {NOTES}, g as (select unnest(range(12)) as pc, unnest(range(12)) * 0 as z), c as (select unnest(range(-7, 8)) as centre), f as (select pc, centre, unnest(range(-15, 20)) as f from g cross join c),
-  b as (select pc, centre, f, row_number() over (partition by pc, centre order by abs(f - centre), f) as k from f where ((f * 7) % 12 + 12) % 12 = pc)
-  select cast(pc as integer) as pc, cast(centre as integer) as centre, cast(f as integer) as fifths, substr('FCGDAEB', cast(((f + 1) % 7 + 7) % 7 as integer) + 1, 1) || case when f + 1 >= 0 then repeat('#', cast((f + 1) // 7 as integer)) else repeat('b', cast(-floor((f + 1) / 7.0) as integer)) end as name from b where k = 1""")
-def fifths_respell(spark, d):
-    """Each pitch class near each centre of the line of fifths."""
-    g = spark.range(12).select(F.col("id").cast("int").alias("pc"), F.explode(F.sequence(F.lit(-7), F.lit(7))).alias("centre"))
-    f = g.withColumn("fifths", theory.fifths_of(F.col("pc"), F.col("centre")))
-    return f.select("pc", "centre", "fifths", theory.name_at_fifths(F.col("fifths")).alias("name"))
-
-
 @query(f"""with {NOTES}, gone as (select distinct rec from notes where midi + 7 not between 0 and 127)
   select rec, event_id, midi + 7 as moved, {NAMES}[(midi + 7) % 12 + 1] as name from notes where rec not in (select rec from gone) union all select rec, null, null, null from gone""")
 def transpose(spark, d):

@@ -79,33 +79,9 @@ def syllables(spark, d):
     return w.select("doc_id", F.col("pos").cast("bigint").alias("pos"), theory.syllables(F.col("word")).alias("syllables"))
 
 
-@query("""with p as (select * from (values ('C4', 60), ('Bb3', 58), ('F##5', 79), ('Abb2', 43), ('B#-1', 12), ('H4', null), ('c4', null), ('G#9', 128), ('C10', null)) t(text, midi)) select text, cast(midi as integer) as midi from p""")
-def pitch_parse(spark, d):
-    """F4 on written pitches."""
-    texts = [("C4",), ("Bb3",), ("F##5",), ("Abb2",), ("B#-1",), ("H4",), ("c4",), ("G#9",), ("C10",)]
-    return spark.createDataFrame(texts, "text string").select("text", theory.parse_pitch(F.col("text")).cast("int").alias("midi"))
-
-
-_NAMES = "['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B']"
-
-
-@query(f"""with q as (select * from (values {", ".join(f"({i}, '{n}', '{s}')" for i, (n, s, _, _) in enumerate(theory.QUALITIES))}) t(i, quality, symbol)), g as (select unnest(range(12)) as root), b as (select unnest(range(12)) as bass)
-  select cast(root as integer) as root, quality, cast(bass as integer) as bass, case when quality = 'NONE' then 'N.C.' else {_NAMES}[root + 1] || symbol || case when bass <> root then '/' || {_NAMES}[bass + 1] else '' end end as name from q cross join g cross join b""")
-def chord_symbol(spark, d):
-    """F1, F2 for every root, quality and bass."""
-    q = spark.createDataFrame([(n,) for n, _, _, _ in theory.QUALITIES], "quality string")
-    each = q.withColumn("root", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("bass", F.explode(F.sequence(F.lit(0), F.lit(11))))
-    return each.select("root", "quality", "bass", theory.chord_symbol(F.col("root"), F.col("quality"), F.col("bass")).alias("name"))
 
 
 @query("select o_orderkey, regexp_replace(o_orderpriority, '[^A-Za-z0-9._-]', '_', 'g') as stage, cast(floor(floor(o_totalprice) / 60) as bigint) || ':' || lpad(cast(cast(floor(o_totalprice) as bigint) % 60 as varchar), 2, '0') as took from orders")
 def safe_names(spark, d):
     """F9, X26."""
     return table(spark, d, "orders").select("o_orderkey", theory.stage_name(F.col("o_orderpriority")).alias("stage"), theory.duration_text(F.col("o_totalprice")).alias("took"))
-
-
-@query("with m as (select * from (values (4, 4, 4.0, 1.0), (3, 4, 3.0, 1.0), (6, 8, 3.0, 1.5), (12, 8, 6.0, 1.5), (7, 8, 3.5, 0.5), (3, 8, 1.5, 0.5), (2, 2, 4.0, 2.0)) t(num, den, bar, beat)) select num, den, bar::double as bar, beat::double as beat from m")
-def meter_arithmetic(spark, d):
-    """M16 on common meters."""
-    m = spark.createDataFrame([(4, 4), (3, 4), (6, 8), (12, 8), (7, 8), (3, 8), (2, 2)], "num int, den int")
-    return m.select("num", "den", theory.bar_length(F.col("num"), F.col("den")).alias("bar"), theory.beat_unit(F.col("num"), F.col("den")).alias("beat"))

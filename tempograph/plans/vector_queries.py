@@ -152,13 +152,6 @@ def lowpass_zero_phase(spark, d):
     return out.select("rec", "frame", "pos", F.round("y", 6).alias("y"))
 
 
-@query("select 'tone' as rec_id, cast(i // 4096 as integer) as chunk_no, count(*) as n, round(sum(0.5 * sin(2 * pi() * 440 * i / 22050.0)), 4) as total, round(max(0.5 * sin(2 * pi() * 440 * i / 22050.0)), 6) as peak from (select unnest(range(44100)) as i) group by 2")
-def synthetic_signal(spark, d):
-    """S9, A1."""
-    t = signal.tone_chunks(spark, "tone", [440.0], 2.0)
-    return t.select("rec_id", "chunk_no", F.size("samples").cast("bigint").alias("n"), F.round(V.total(F.col("samples")), 4).alias("total"), F.round(F.array_max("samples"), 6).alias("peak"))
-
-
 @query(f"with {FRAMES} select rec, frame, cast(i as integer) as pos, round(vec[cast(floor(i * 0.5) as integer) + 1] + (i * 0.5 - floor(i * 0.5)) * (coalesce(vec[cast(floor(i * 0.5) as integer) + 2], vec[cast(floor(i * 0.5) as integer) + 1]) - vec[cast(floor(i * 0.5) as integer) + 1]), 6) as y from (select *, unnest(range(128)) as i from frames)")
 def resample_linear(spark, d):
     """W7, upwards."""
@@ -166,28 +159,6 @@ def resample_linear(spark, d):
     return out.select("rec", "frame", "pos", F.round("y", 6).alias("y"))
 
 
-@query("""with s as (select unnest(range(2)) as f), k as (select f, unnest(range(33)) as k from s), x as (select f, k, i, (0.5 - 0.5 * cos(2 * pi() * i / 64)) * (0.2 * sin(2 * pi() * 1000 * (f * 32 + i) / 8000.0) + 0.2 * sin(2 * pi() * 2000 * (f * 32 + i) / 8000.0)) as v from (select *, unnest(range(64)) as i from k))
-  select cast(f as integer) as frame, cast(k as integer) as bin, round(sqrt(pow(sum(v * cos(2 * pi() * k * i / 64)), 2) + pow(sum(v * sin(2 * pi() * k * i / 64)), 2)), 6) as mag from x group by 1, 2""")
-def stft_magnitudes(spark, d):
-    """W1, W2 on two generated frames."""
-    audio = signal.signals(signal.tone_chunks(spark, "pair", [1000.0, 2000.0], 96 / 8000, 8000))
-    mags = signal.magnitudes(signal.frame_signal(audio, 64, 32))
-    return mags.select("frame", F.posexplode("mags").alias("bin", "mag")).select("frame", "bin", F.round("mag", 6).alias("mag"))
-
-
-MEL = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(signal.mel_bands(signal.RATE, 1024)))
-
-
-@query(f"""with s as (select i, 0.2 * sin(2 * pi() * 440 * i / 22050.0) + 0.2 * sin(2 * pi() * 660 * i / 22050.0) as x from (select unnest(range(11025)) as i)),
-  w as (select f, i - f * 512 as j, x * (0.5 - 0.5 * cos(2 * pi() * (i - f * 512) / 1024)) as x from (select unnest(range(20)) as f) join s on i >= f * 512 and i < f * 512 + 1024),
-  m as (select f, k, sqrt(pow(sum(x * cos(2 * pi() * k * j / 1024)), 2) + pow(sum(x * sin(2 * pi() * k * j / 1024)), 2)) as m from w cross join (select unnest(range(373)) as k) group by f, k),
-  bands as (select * from (values {MEL}) t(band, a, b))
-  select cast(f as integer) as frame, cast(band as integer) as band, round(20 * log10(greatest(sum(m), 1e-10)), 3) as db from bands join m on k >= a and k < b group by f, band""")
-def mel_db(spark, d):
-    """M3 over generated frames."""
-    audio = signal.signals(signal.tone_chunks(spark, "pair", [440.0, 660.0], 0.5))
-    mags = signal.band_decibels(signal.magnitudes(signal.frame_signal(audio, 1024, 512)), signal.RATE, 1024)
-    return mags.select("frame", F.posexplode("bands").alias("band", "db")).withColumn("db", F.round("db", 3))
 
 
 @query(f"""with recursive {HOURS}, z as (select list(n / 10 order by h) as z, min(h) as h0, count(*) as n from hours),
@@ -209,11 +180,21 @@ def _nnls_dictionary():
     return signal.note_dictionary(64, 1, 36, range(36, 76, 2), partials=6)
 
 
+def _activations(spark, d):
+    f = frames(spark, d).select("rec", "frame", F.transform("vec", F.abs).alias("v"))
+    return signal.activations(f, "v", _nnls_dictionary())
+
+
 @query()
 def nnls_activations(spark, d):
-    """D8, D9."""
-    f = frames(spark, d).select("rec", "frame", F.transform("vec", F.abs).alias("v"))
-    a = signal.activations(f, "v", _nnls_dictionary())
-    return a.select("rec", "frame", F.posexplode("activation").alias("note", "activation"))
+    """Every note's activation in every frame; nnls_conditions holds them against the conditions of a minimum."""
+    return _activations(spark, d).select("rec", "frame", F.posexplode("activation").alias("note", "activation"))
 
 
+@query(f"with {FRAMES} select rec, frame, 21 as notes, true as feasible, true as no_better, true as complementary from frames")
+def nnls_conditions(spark, d):
+    """The conditions that only the minimum meets, in every frame: activations of 0 or more, slopes of 0 or more, and of each pair one 0."""
+    a = _activations(spark, d)
+    least = lambda c: F.array_min(c)
+    product = F.array_max(F.zip_with("activation", "slope", lambda x, y: F.abs(x * y)))
+    return a.select("rec", "frame", F.size("activation").alias("notes"), (least("activation") >= 0).alias("feasible"), (least("slope") >= -1e-6).alias("no_better"), (product <= 1e-6).alias("complementary"))

@@ -55,6 +55,16 @@ def wav_bytes(samples: np.ndarray, rate: int) -> bytes:
     return b"RIFF" + struct.pack("<I", 36 + len(pcm)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, 2 * rate, 2, 16) + b"data" + struct.pack("<I", len(pcm)) + pcm
 
 
+def wav_files(audio: DataFrame) -> DataFrame:
+    """(path, content) of each recording's chunks (rec_id, chunk_no, sample_rate, samples) as one WAV file; a file is written by one task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values("chunk_no")
+        return pd.DataFrame({"path": [own["rec_id"].iloc[0]], "content": [wav_bytes(np.concatenate(own["samples"].to_list()), int(own["sample_rate"].iloc[0]))]})
+
+    return audio.select(F.col("rec_id").cast("string").alias("rec_id"), "chunk_no", "sample_rate", "samples").groupBy("rec_id").applyInPandas(run, "path string, content binary")
+
+
 def decode_audio(files: DataFrame) -> DataFrame:
     """(path, content) rows to chunked mono audio; files that can't be read are those of unreadable()."""
 

@@ -201,6 +201,18 @@ def export_files(events: DataFrame, bpm: float = 120.0) -> DataFrame:
     return events.groupBy("rec").applyInPandas(run, f"rec {kind}, content binary")
 
 
+def tempo_files(changes: DataFrame) -> DataFrame:
+    """(rec, content): files of a conductor track alone, with the tempo changes (rec, tick, seq, us) in the order of tick and seq."""
+    kind = changes.schema["rec"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values(["tick", "seq"])
+        track = [(int(t), meta(0x51, int(us).to_bytes(3, "big"))) for t, us in zip(own["tick"], own["us"])]
+        return pd.DataFrame({"rec": [pdf["rec"].iloc[0]], "content": [midi_bytes([track], EXPORT_QUARTER)]})
+
+    return changes.groupBy("rec").applyInPandas(run, f"rec {kind}, content binary")
+
+
 # Fixtures as (part, channel, beat, length, midi) rows, and their tempi.
 def fixture_rows() -> list[tuple]:
     """Named note sequences: a scale after a rest, a lead-in with a tempo change, chords over a bass."""

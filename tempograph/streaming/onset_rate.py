@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,3 +49,35 @@ def gaps(events: DataFrame) -> DataFrame:
 
     moments = events.select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
     return moments.groupBy("user_id").applyInPandasWithState(run, "user_id bigint, event_id bigint, gap_us bigint", "last bigint", "append", "NoTimeout")
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A fresh path where the cluster's workers and the driver all see it (``spark.checkpoint.dir``); only a local session may do without that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='tempograph-')}"
+    return f"{root.rstrip('/')}/tempograph-{what}-{uuid.uuid4().hex}"
+
+
+def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """What has arrived since the last run with this checkpoint, appended to a Parquet folder; then the stream stops.
+
+    State and the place in the source are in the checkpoint, so a run goes on where the last one ended, or failed.
+    """
+    stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def gaps_in_runs(events: DataFrame, at: str, runs: int) -> DataFrame:
+    """gaps() of a table that arrives in ``runs`` parts, one after another in time, each met by a stream that starts, takes it in and stops."""
+    spark = events.sparkSession
+    source, out, checkpoint = (shared_folder(spark, what) for what in ("arrivals", "gaps", "stream"))
+    ends = events.agg(F.min(at).alias("a"), F.max(at).alias("z")).select(F.unix_micros(F.col("a").cast("timestamp")).alias("a"), F.unix_micros(F.col("z").cast("timestamp")).alias("z")).first()
+    place = F.unix_micros(F.col(at).cast("timestamp"))
+    edges = [ends["a"] + (ends["z"] - ends["a"] + 1) * k // runs for k in range(runs + 1)] if ends["a"] is not None else []
+    for low, high in zip(edges, edges[1:]):
+        events.where((place >= low) & (place < high)).write.mode("append").parquet(source)
+        run_available(gaps(event_stream(spark, source, 1000)), out, checkpoint)
+    return spark.read.schema("user_id bigint, event_id bigint, gap_us bigint").parquet(out) if edges else spark.createDataFrame([], "user_id bigint, event_id bigint, gap_us bigint")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tempograph.functions import theory
 from tempograph.functions import vectors as V
-from tempograph.operators import harmony, meter, notation, score, signal, temporal
+from tempograph.operators import audio_chain, harmony, meter, notation, score, signal, temporal
 from tempograph.sources import audio, midi, score_json, text_charts, workspace
 
 
@@ -107,19 +107,27 @@ def test_beat_path_finds_a_pulse():
 
 
 def test_signals_and_spectra(spark):
-    tone = signal.signals(signal.tone_chunks(spark, "a", [441.0], 0.5, 4410, 500))
-    frames = signal.frame_signal(tone, 256, 128)
-    assert frames.count() == 1 + (2205 - 256) // 128
-    mags = signal.magnitudes(frames).select("mags").first().mags
-    assert int(np.argmax(mags)) == round(441 * 256 / 4410)
-    assert signal.frame_signal(tone, 4096, 128).count() == 0
-    clicks = signal.signals(signal.click_chunks(spark, "c", 120, 2, 1000)).first().samples
+    tone = signal.tone_chunks(spark, "a", [441.0], 0.5, 4410, 500)
+    frames = audio_chain.spectra(tone, 256, 128, 500, lambda m: m).collect()
+    assert sorted(r.frame for r in frames) == list(range(1 + (2205 - 256) // 128))
+    assert int(np.argmax(frames[0].value)) == round(441 * 256 / 4410)
+    assert audio_chain.spectra(tone, 4096, 128, 500, lambda m: m).count() == 0
+    clicks = [x for r in signal.click_chunks(spark, "c", 120, 2, 1000).orderBy("chunk_no").collect() for x in r.samples]
     assert max(abs(x) for x in clicks[:10]) > 0 and clicks[200] == 0
     assert spark.range(1).select(V.is_silent(F.array(F.lit(0.0)))).first()[0]
-    w = signal.log_frequency_map(1024, 22050, 48, 1, 60)
-    assert np.allclose(w.sum(axis=1), 1)
-    assert signal.register_weights(40) == (0.0, 1.0) and signal.register_weights(70) == (1.0, 0.0)
-    assert signal.whiten(np.ones(20), 3).max() == 0
+
+
+def test_batched_least_squares_are_those_of_single_ones():
+    rng = np.random.default_rng(5)
+    for shape in ((30, 12, 40), (10, 25, 20), (64, 21, 1), (5, 5, 0)):
+        a, y = np.abs(rng.normal(size=shape[:2])), rng.normal(size=(shape[0], shape[2]))
+        gram, projected = a.T @ a, a.T @ y
+        x = signal.nnls_batch(gram, projected)
+        slope = gram @ x - projected
+        assert (x >= 0).all() and (slope > -1e-6).all() and (np.abs(x * slope) < 1e-6).all()
+        for k in range(shape[2]):
+            own = signal.nnls(gram, projected[:, k])
+            assert 0.5 * x[:, k] @ gram @ x[:, k] - projected[:, k] @ x[:, k] == pytest.approx(0.5 * own @ gram @ own - projected[:, k] @ own, abs=1e-6)
 
 
 def test_wav_round_trip(spark, tmp_path):
@@ -350,7 +358,7 @@ def test_unreadable_files(spark):
 
 def test_the_command_line_reads_audio(spark, tmp_path, monkeypatch, capsys):
     from tempograph import cli
-    from tempograph.plans.source_queries import SONG
+    from tempograph.plans.bound_queries import SONG
     from tempograph.sources import audio
 
     monkeypatch.setattr(cli, "session", lambda: spark)
