@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tempograph.operators import chart, downbeat, meter, quantize
+from tempograph.operators import chart, downbeat, meter, nested_score, notation, quantize
 from tempograph.plans import symbolic_queries
 from tempograph.plans.bindings import CHROMA, NOTES, ONSETS, ORIGIN, SIX_HOURS, chroma, micros, notes, onsets, table
+from tempograph.plans.source_queries import STAFF, staff
 from tempograph.plans.symbolic_queries import BEATS, beats, grid_cost_table
 
 FOUND: dict = {}
@@ -206,3 +207,31 @@ def streamed_gaps(spark, d):
 
     names = [p.split()[0] for p in EVENTS.split(", ")]
     return gaps_in_runs(table(spark, d, "events").select(names), "ts", 4)
+
+
+@query(f"""with {STAFF}, b as (select rec, start, stop, len(pitches) as n, unnest(range(cast(floor(start / 4) as bigint), cast(ceil(stop / 4) as bigint))) as bar from ev where stop > start),
+  sums as (select rec, bar, cast(round(sum(least(stop, bar * 4 + 4) - greatest(start, bar * 4)) * 768) as bigint) as ticks from b group by rec, bar),
+  opening as (select rec, min(bar) as f from sums group by rec)
+  select sums.rec, cast(case when rec % 2 = 0 then bar else bar + 1 end as integer) as number, case when rec % 2 = 0 and bar = 0 then 'yes' end as implicit, case when bar = f then 4 end as beats, ticks from sums join opening using (rec)""")
+def musicxml_measures(spark, d):
+    """Each recording's staff as a MusicXML document of nested rows, read back: measures with their number, meter and the length of their notes."""
+    pieces = notation.bar_pieces(staff(spark, d), ["rec"]).withColumn("part", F.lit("melody"))
+    rows = nested_score.note_rows(pieces, ["rec", "part"])
+    meters = pieces.select("rec", "bar").distinct().select("rec", "bar", F.lit(4).alias("num"), F.lit(4).alias("den"), F.when(F.col("rec") % 3 == 0, -2).otherwise(1).alias("fifths"), (F.col("rec") % 2 == 0).alias("up"))
+    back = nested_score.read_score_xml(nested_score.score_xml(rows, meters, ["rec"], "part", F.col("up")), ["rec"])
+    ticks = F.aggregate(F.filter("note", lambda n: n["chord"].isNull()), F.lit(0).cast("bigint"), lambda a, n: a + n["duration"])
+    return back.select("rec", "number", "implicit", "beats", ticks.alias("ticks"))
+
+
+@query("""with l as (select o_custkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as i, o_orderkey, o_orderpriority from orders)
+  select o_custkey, 3 * i as line_no, 'chart' || o_custkey || '.ly' as file, cast(o_orderkey % 90 as integer) as line, cast(i as integer) as column, case when o_orderkey % 2 = 0 then 'warning' else 'error' end as level, o_orderpriority as message from l""")
+def engraver_complaints(spark, d):
+    """complaints of an engraver's log, one for each order, each followed by two lines of echo that may look like one."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, d, "orders").withColumn("i", F.row_number().over(w) - 1)
+    said = F.concat(F.lit("chart"), F.col("o_custkey").cast("string"), F.lit(".ly:"), (F.col("o_orderkey") % 90).cast("string"), F.lit(":"), F.col("i").cast("string"), F.lit(": "), F.when(F.col("o_orderkey") % 2 == 0, "warning").otherwise("error"), F.lit(": "), F.col("o_orderpriority"))
+    lines = F.array(F.struct((3 * F.col("i")).alias("line_no"), said.alias("line")), F.struct((3 * F.col("i") + 1).alias("line_no"), F.lit("  c'4 d'4").alias("line")), F.struct((3 * F.col("i") + 2).alias("line_no"), F.lit("        e'4").alias("line")))
+    log = o.select("o_custkey", F.explode(lines).alias("l")).select("o_custkey", "l.*")
+    from tempograph.sources.text_charts import renderer_complaints
+
+    return renderer_complaints(log, "o_custkey", "line_no", "line").select("o_custkey", F.col("line_no").cast("bigint").alias("line_no"), "file", "line", "column", "level", "message")

@@ -174,3 +174,33 @@ def test_brackets_cut_notes_into_exact_parts(spark):
     assert got["a"] == [(0, 1, 2, Fraction(1), True, "3/2"), (1, 0, 2, Fraction(1), False, "3/2")]
     assert len(got["b"]) == 8 and all(p[2:4] == (3, Fraction(3, 4)) for p in got["b"])
     assert got["c"] == [(0, 1, 1, Fraction(1, 2), True, "2/3"), (1, 0, 2, Fraction(1), False, "2/3")]
+
+
+def test_scores_as_nested_rows(spark):
+    """Two parts, a pickup, a change of meter, a chord with a tie, a triplet and a rest, written as MusicXML and read back."""
+    from tempograph.operators import nested_score
+
+    rows = [
+        ("s", "b", 0, (0.0, 0), 0, 58, 768, False, True, 1.0, None, None),
+        ("s", "b", 1, (0.0, 0), 0, 58, 3072, True, False, 4.0, None, None),
+        ("s", "b", 1, (0.0, 0), 1, 61, 3072, False, False, 4.0, None, None),
+        ("s", "b", 2, (0.0, 0), 0, None, 2304, False, False, 3.0, None, None),
+        ("s", "a", 2, (1.0, 0), 0, 66, 256, False, False, 0.5, 3, 2),
+        ("s", "a", 2, (0.0, 0), 0, None, 768, False, False, 1.0, None, None),
+    ]
+    notes = spark.createDataFrame(rows, "rec string, part string, bar bigint, at struct<b:double,v:int>, k int, midi int, ticks bigint, tie_in boolean, tie_out boolean, quarters double, actual int, normal int")
+    meters = spark.createDataFrame([("s", 0, 4, 4, -2), ("s", 1, 4, 4, -2), ("s", 2, 3, 4, 1)], "rec string, bar bigint, num int, den int, fifths int")
+    made = nested_score.score_xml(notes, meters, ["rec"], "part", F.lit(True))
+    document = made.first().document
+    assert document.count("<score-part ") == 2 and '_' not in document.split("<part-list>")[0].replace("_version", "")
+    got = {(r.part, r.number): r for r in nested_score.read_score_xml(made, ["rec"]).collect()}
+    assert set(got) == {("P1", 2), ("P2", 0), ("P2", 1), ("P2", 2)}
+    assert [(got["P2", n].implicit, got["P2", n].beats, got["P2", n].fifths) for n in (0, 1, 2)] == [("yes", 4, -2), (None, None, None), (None, 3, 1)]
+    low, high = got["P2", 1].note
+    assert (low.pitch.step, low.pitch.alter, low.pitch.octave, low.chord, [t["_type"] for t in low.tie]) == ("B", -1, 3, None, ["stop"])
+    assert (high.pitch.step, high.pitch.alter, high.tie) == ("D", -1, None) and high.chord is not None and high.type == "whole"
+    rest, triplet = got["P1", 2].note
+    assert rest.rest is not None and rest.pitch is None and rest.type == "quarter"
+    assert (triplet.pitch.step, triplet.pitch.alter, triplet.duration, triplet.type) == ("F", 1, 256, "eighth")
+    assert tuple(triplet["time-modification"]) == (3, 2)
+    assert got["P2", 2].note[0].dot is not None and got["P2", 2].note[0].type == "half"
