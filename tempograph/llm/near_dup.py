@@ -55,7 +55,7 @@ WIDTH, MISS, BITS = 4, 4e-6, 2048
 #: Keys of most rows whose values are sent to all tasks in a join, pairs of one class that a task confirms at once, and bits of the filter of ids.
 HEAVY, GROUP, FILTER = 1000, 500, 1 << 26
 #: Members of a component that a class is compared with in a round, rounds, and classes of a bucket that is large.
-LEADERS, ROUNDS, LARGE = 32, 2, 96
+LEADERS, ROUNDS, LARGE = 20, 2, 96
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
