@@ -27,6 +27,13 @@ def steady_rate(df: DataFrame, by: list[str], at: str, order: list[str], toleran
     return whole.groupBy(*by).agg(F.first("median_gap").alias("median_gap"), F.coalesce(F.avg(F.when(near, F.col("gap"))), F.first("median_gap")).alias("steady_gap"))
 
 
+def strictly_rising(df: DataFrame, by: list[str], at: str, order: list[str]) -> DataFrame:
+    """(pulses, repeats, strict): how many times each key has, how many are no later than the one before, and whether none is."""
+    before = F.lag(at).over(Window.partitionBy(*by).orderBy(at, *order))
+    each = df.select(*by, (F.col(at) <= before).alias("__late"))
+    return each.groupBy(*by).agg(F.count("*").alias("pulses"), F.count_if("__late").alias("repeats"), (F.count_if("__late") == 0).alias("strict"))
+
+
 def weighted_rate(df: DataFrame, by: list[str], start: str, end: str, rate: str, low, high) -> DataFrame:
     """A4: time-weighted mean rate over [low, high): elapsed time over the sum of elapsed time / rate^-1, exact for a single segment."""
     length = F.least(F.col(end), F.lit(high)) - F.greatest(F.col(start), F.lit(low))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -60,13 +62,29 @@ def midi_export(spark, d):
   select cast(o_custkey as varchar) as path, beat::double as beat, round(60e6 / us, 6) as bpm, round(sum(step) over (partition by o_custkey order by beat rows unbounded preceding), 4) as seconds from s""")
 def midi_tempi(spark, d):
     """Each customer's orders as tempo changes of a MIDI file; the last at a tick counts, seconds run on."""
-    w = Window.partitionBy("o_custkey")
-    o = table(spark, d, "orders").withColumn("at", micros("o_orderdate"))
-    changes = o.select(F.col("o_custkey").alias("rec"), (F.floor((F.col("at") - F.min("at").over(w)) / 86_400_000_000) * 768).alias("tick"), F.col("o_orderkey").alias("seq"), (300_000 + F.col("o_orderkey") % 1000 * 700).alias("us"))
-    files = midi.tempo_files(changes).select(F.col("rec").cast("string").alias("path"), "content")
+    o = order_beats(spark, d).withColumns({"kind": F.lit(0x51), "data": midi.tempo_data(300_000 + F.col("seq") % 1000 * 700)})
+    files = midi.meta_files(o).select(F.col("rec").cast("string").alias("path"), "content")
     return midi.midi_tempi(midi.decode_midi(files)).select("path", "beat", F.round("bpm", 6).alias("bpm"), F.round("seconds", 4).alias("seconds"))
 
 
+def order_beats(spark, d):
+    """Orders as events of their customer (rec), a beat a day since the first."""
+    at = micros("o_orderdate")
+    first = F.min(at).over(Window.partitionBy("o_custkey"))
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("rec"), (F.floor((at - first) / 86_400_000_000) * 768).alias("tick"), F.col("o_orderkey").alias("seq"))
+
+
+@query("""with o as (select o_custkey, o_orderkey, (epoch_us(o_orderdate) - min(epoch_us(o_orderdate)) over (partition by o_custkey)) // 86400000000 as beat, o_orderkey % 70 as num, o_orderkey % 9 as log from orders)
+  select cast(o_custkey as varchar) as path, beat::double as beat, cast(arg_max(num, o_orderkey) as integer) as num, cast(arg_max(1 << log, o_orderkey) as integer) as den from o where o_orderkey % 11 <> 0 and num between 1 and 64 and log <= 6 group by o_custkey, beat""")
+def midi_meters(spark, d):
+    """Each customer's orders as time signatures of a MIDI file, some of them cut short or beyond what the model can say: those are left out."""
+    o = order_beats(spark, d)
+    data = midi.meter_data(F.col("seq") % 70, F.col("seq") % 9)
+    o = o.withColumns({"kind": F.lit(0x58), "data": F.when(F.col("seq") % 11 == 0, F.substring(data, 1, 1)).otherwise(data)})
+    files = midi.meta_files(o).select(F.col("rec").cast("string").alias("path"), "content")
+    return midi.midi_meters(midi.decode_midi(files))
+
+
 _HEADS = ("MThd", "RIFF", "fLaC", "OggS", "ID3", "plain", "")
 
 
@@ -361,3 +379,24 @@ def audio_progression(spark, d):
     found = audio_chain.audio_chords(chunks, signal.RATE, audio.CHUNK)
     w = Window.partitionBy("rec_id").orderBy("first_beat")
     return found.select(F.col("rec_id").cast("int").alias("n_nationkey"), (F.row_number().over(w) - 1).cast("bigint").alias("place"), "symbol", F.floor(F.col("start_seconds") + 0.5).cast("bigint").alias("start"))
+
+
+_POLE = math.exp(-2 * math.pi * 0.45 * 2 / 3)
+
+
+@query(f"""with recursive {FRAMES}, f(rec, frame, i, y) as (select rec, frame, 1, vec[1] from frames union all select f.rec, f.frame, i + 1, y + (1 - {_POLE!r}::double) * (vec[i + 1] - y) from f join frames using (rec, frame) where i < 64),
+  fl as (select rec, frame, list(y order by i desc) as v from f group by 1, 2), b(rec, frame, i, y) as (select rec, frame, 1, v[1] from fl union all select b.rec, b.frame, i + 1, y + (1 - {_POLE!r}::double) * (v[i + 1] - y) from b join fl using (rec, frame) where i < 64),
+  s as (select rec, frame, list(y order by i desc) as v from b group by 1, 2)
+  select rec, frame, cast(i as integer) as pos, round(v[cast(floor(i * 1.5) as integer) + 1] + (i * 1.5 - floor(i * 1.5)) * (coalesce(v[cast(floor(i * 1.5) as integer) + 2], v[cast(floor(i * 1.5) as integer) + 1]) - v[cast(floor(i * 1.5) as integer) + 1]), 6) as y from (select *, unnest(range(42)) as i from s)""")
+def resample_down(spark, d):
+    """Each frame at two thirds of its rate, smoothed first."""
+    out = frames(spark, d).select("rec", "frame", F.posexplode(signal.resample(F.col("vec"), 3, 2)).alias("pos", "y"))
+    return out.select("rec", "frame", "pos", F.round("y", 6).alias("y"))
+
+
+@query(f"""with {ONSETS}, r as (select rec, event_id, floor(t_us / 3600000000) as h from onsets), g as (select rec, h, lag(h) over (partition by rec order by h, event_id) as b from r)
+  select rec, count(*) as pulses, count(*) filter (where h <= b) as repeats, count(*) filter (where h <= b) = 0 as strict from g group by rec""")
+def strict_pulses(spark, d):
+    """Whether each user's pulses, by the hour, rise strictly, as a steady rate asks for."""
+    hours = onsets(spark, d).withColumn("h", F.floor(F.col("at") / 3_600_000_000))
+    return stats.strictly_rising(hours, ["rec"], "h", ["event_id"])

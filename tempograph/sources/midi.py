@@ -201,16 +201,26 @@ def export_files(events: DataFrame, bpm: float = 120.0) -> DataFrame:
     return events.groupBy("rec").applyInPandas(run, f"rec {kind}, content binary")
 
 
-def tempo_files(changes: DataFrame) -> DataFrame:
-    """(rec, content): files of a conductor track alone, with the tempo changes (rec, tick, seq, us) in the order of tick and seq."""
-    kind = changes.schema["rec"].dataType.simpleString()
+def meta_files(events: DataFrame) -> DataFrame:
+    """(rec, content): files of a conductor track alone, with the meta events (rec, tick, seq, kind, data) in the order of tick and seq."""
+    key = events.schema["rec"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.sort_values(["tick", "seq"])
-        track = [(int(t), meta(0x51, int(us).to_bytes(3, "big"))) for t, us in zip(own["tick"], own["us"])]
+        track = [(int(t), meta(int(k), bytes(d))) for t, k, d in zip(own["tick"], own["kind"], own["data"])]
         return pd.DataFrame({"rec": [pdf["rec"].iloc[0]], "content": [midi_bytes([track], EXPORT_QUARTER)]})
 
-    return changes.groupBy("rec").applyInPandas(run, f"rec {kind}, content binary")
+    return events.groupBy("rec").applyInPandas(run, f"rec {key}, content binary")
+
+
+def tempo_data(us) -> F.Column:
+    """The three bytes of a tempo event."""
+    return F.unhex(F.lpad(F.hex(us), 6, "0"))
+
+
+def meter_data(num, log) -> F.Column:
+    """The four bytes of a time signature event."""
+    return F.unhex(F.concat(F.lpad(F.hex(num), 2, "0"), F.lpad(F.hex(log), 2, "0"), F.lit("1808")))
 
 
 # Fixtures as (part, channel, beat, length, midi) rows, and their tempi.
