@@ -14,18 +14,22 @@ more similar pairs are missed less.
 Documents with equal sets are first joined to one class.  Each bucket then elects a
 leader, the class that meets the most others, and each class is compared with the one
 leader that it meets in most buckets; what is linked is one component.  A class of a large
-bucket (over LARGE classes) that isn't linked is compared with LEADERS members of its leader's
-component, and then, for ROUNDS rounds, with as many others; a linked class leaves the search,
-so a dense group shrinks by a share a round and no class is compared with all of it.
+bucket (over LARGE classes) that isn't linked is compared with the NEAREST, by their parity sketches, of HUBS
+members of its largest bucket and of the smallest one that is large, so a dense group comes together though its leader be
+an outsider, and no class is compared with all of it.
 What then still meets in a bucket without being in one
 component is compared once, the classes outside of a bucket's largest component
-with all of the bucket, and is kept if sizes, the signatures' distance and that of ``BITS``
-one-bit MinHash values allow it (a pair at the similarity fails with a probability
+with all of the bucket, and is kept if sizes, parity sketches, the signatures' distance and that of ``BITS``
+one-bit MinHash values allow it (a pair at the similarity fails the last with a probability
 under 1e-9, six deviations).  Every pair so found is confirmed on full sets, which
 travel as sorted hashes: a leader's set goes once to each group of GROUP partners, and
 theirs stream past it.  Classes that meet and stay apart, though as near as the
 bounds can tell, cost a test a pair; such tests are dealt over tasks by adaptive execution.
 
+A parity sketch has ODD bits, each the parity of the number of shingles that fall on it.  Two sketches
+differ in no more bits than the sets in shingles, so one that differs in more than linked sets can is
+ruled out for certain; sets of some hundred shingles are ruled out nearly as by a count of all.
+
 Sets are compared as 64-bit hashes of their shingles and equal sets by 128-bit
 digests: two of n shingles collide with a probability under n**2 / 2**65, two of m
 sets with one under m**2 / 2**129.
@@ -54,8 +58,8 @@ from tempograph.llm.bpe import Memo
 WIDTH, MISS, BITS = 4, 4e-6, 2048
 #: Keys of most rows whose values are sent to all tasks in a join, pairs of one class that a task confirms at once, and bits of the filter of ids.
 HEAVY, GROUP, FILTER = 1000, 500, 1 << 26
-#: Members of a component that a class is compared with in a round, rounds, and classes of a bucket that is large.
-LEADERS, ROUNDS, LARGE = 20, 2, 96
+#: Members of a bucket whose sketches a class is held against, those of them that it is compared with, classes of a bucket that is large, and bits of a parity sketch.
+HUBS, NEAREST, LARGE, ODD = 40, 4, 96, 1024
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -150,8 +154,19 @@ class BitSigner:
         return np.packbits((mixed(out) & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set, packed into 64-bit words."""
+    counts = np.bincount((shingles >> np.uint64(64 - ODD.bit_length() + 1)).astype(np.int64), minlength=ODD)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
+def word_lists(rows: list[np.ndarray], n: int) -> pa.ListArray:
+    """Rows of n words each as a column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * n), pa.array(np.array(rows, np.int64).reshape(-1)))
+
+
 def set_rows(df: DataFrame, id_col: str, text: str, shingle: int, nodes: DataFrame) -> DataFrame:
-    """(node, d, shingles) of the texts of the given nodes: the digest of each set and its sorted hashes, written.
+    """(node, d, n, odd, shingles) of the texts of the given nodes: the digest of each set, its size, parity sketch and sorted hashes, written.
 
     Nodes' bits in a bitmap keep back most other texts, so sets and not texts are joined.
     """
@@ -164,26 +179,26 @@ def set_rows(df: DataFrame, id_col: str, text: str, shingle: int, nodes: DataFra
             whole = whole.filter(pa.array(seen[whole.column("place").to_numpy()], pa.bool_()))
             for batch in slices(whole, "text"):
                 sets = [shingler(x) for x in texts(batch, "text")]
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([digest(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "d", "shingles"])
+                own = [pa.array([digest(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), word_lists([parities(x) for x in sets], ODD // 64), pa.array([x.tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), *own], names=["node", "d", "n", "odd", "shingles"])
 
     docs = df.select(F.col(id_col).cast("bigint").alias("node"), F.col(text).alias("text")).where("text is not null and node is not null")
-    rows = docs.withColumn("place", F.pmod(F.xxhash64("node"), F.lit(bits))).mapInArrow(run, "node bigint, d bigint, shingles binary")
+    rows = docs.withColumn("place", F.pmod(F.xxhash64("node"), F.lit(bits))).mapInArrow(run, "node bigint, d bigint, n bigint, odd array<bigint>, shingles binary")
     return cut(rows.join(nodes, "node", "left_semi").dropDuplicates(["node", "d"]), "sets")
 
 
 def bit_rows(sets: DataFrame) -> DataFrame:
-    """(node, d, words): the words of each set's one-bit signature."""
+    """(node, d, odd, words): the words of each set's parity sketch and of its one-bit signature."""
 
     def make():
         signer = BitSigner()
 
         def fn(batch):
-            made = np.array([signer(np.frombuffer(x, np.uint64)) for x in batch.column("shingles").to_pylist()], np.int64).reshape(-1)
-            return {"words": pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (BITS // 64)), pa.array(made))}
+            return {"words": word_lists([signer(np.frombuffer(x, np.uint64)) for x in batch.column("shingles").to_pylist()], BITS // 64)}
 
         return fn
 
-    return append_columns(sets, "shingles", "words array<bigint>", make).select("node", "d", "words")
+    return append_columns(sets, "shingles", "words array<bigint>", make).select("node", "d", "odd", "words")
 
 
 def sketch(df: DataFrame, id_col: str, text: str, shingle: int, chunks: int) -> DataFrame:
@@ -223,6 +238,12 @@ def bits_apart(x: Column, y: Column) -> Column:
     return sum(parts[1:], parts[0])
 
 
+def excess(n_a: Column, odd_a: Column, n_b: Column, odd_b: Column, percent: int) -> Column:
+    """Over 0 if two sets differ, by their sizes and parity sketches, in too many shingles for the similarity; the less, the nearer."""
+    apart = F.aggregate(F.zip_with(odd_a, odd_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+    return (100 + percent) * apart - (100 - percent) * (n_a + n_b)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int, own: list[str] | None = None) -> DataFrame:
     """Those of the distinct pairs (a, b), with the columns ``own``, whose full sets reach the similarity, written.  sets: (node, shingles).
 
@@ -275,12 +296,23 @@ def led(tagged: DataFrame) -> DataFrame:
     return cut(found.where("x <> y").select("key", F.col("m.node").alias("leader"), F.col("m.component").alias("lead"), F.col("m.size").alias("lead_size"), F.col("n").alias("members"), "n"), "leaders")
 
 
-def hubs_of(members: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(lead, hubs, n) of the components wanted (lead, n): up to LEADERS * ROUNDS of their members, one for each value of a hash, so they come from a pre-aggregated sum."""
-    own = looked_up(members.select("node", F.col("component").alias("lead")), ["lead"], wanted.withColumn("wanted", F.col("n")), HEAVY)
-    slot = F.pmod(F.xxhash64("node", F.lit("slot")), F.lit(LEADERS * ROUNDS))
-    best = own.groupBy("lead", slot.alias("slot")).agg(F.max(F.struct(F.xxhash64("node").alias("h"), "node")).alias("m"), F.max("wanted").alias("n"))
-    return cut(best.groupBy("lead").agg(F.array_sort(F.collect_list(F.struct("slot", "m.node"))).alias("hubs"), F.max("n").alias("n")).withColumn("pairs", F.col("n")), "hubs")
+def hubs_of(shared: DataFrame, wanted: DataFrame, odds: DataFrame) -> DataFrame:
+    """(key, hubs, pairs, n) of the buckets wanted (key, n): up to HUBS of their members, one for each value of a hash, so they come from a pre-aggregated sum, with their sketches."""
+    own = looked_up(shared.select("key", "node"), ["key"], wanted.withColumn("pairs", F.col("n")), HEAVY)
+    slot = F.pmod(F.xxhash64("node", F.lit("slot")), F.lit(HUBS))
+    best = own.groupBy("key", slot.alias("slot")).agg(F.max(F.struct(F.xxhash64("node").alias("h"), "node")).alias("m"), F.max("pairs").alias("pairs"))
+    known = best.select("key", F.col("m.node").alias("node"), "pairs").join(odds, "node")
+    return cut(known.groupBy("key").agg(F.collect_list(F.struct("node", "n", "odd")).alias("hubs"), F.max("pairs").alias("pairs")).withColumn("n", F.col("pairs")), "hubs")
+
+
+def nearest(alone: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n): the NEAREST hubs a of each class b and bucket, of those that its sketch allows.  alone: (b, own, odd, hubs, pairs), own being its size."""
+    # A hub or class of several texts has no sketch, and nothing rules it out.
+    over = lambda h: F.when(h["node"] == F.col("b"), 1).otherwise(F.coalesce(excess(F.col("own"), F.col("odd"), h["n"], h["odd"], percent), F.lit(0)))
+    ranked = F.array_sort(F.transform("hubs", lambda h: F.struct(over(h).cast("bigint").alias("over"), h["node"].alias("node"))))
+    able = F.slice(F.filter(ranked, lambda h: h["over"] <= 0), 1, NEAREST)
+    found = alone.select(F.explode(F.transform(able, lambda h: h["node"])).alias("a"), "b", "pairs")
+    return found.groupBy("a", "b").agg(F.max("pairs").alias("n"))
 
 
 def joined(members: DataFrame, hooks: DataFrame) -> DataFrame:
@@ -301,7 +333,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
     keyed = classes.select("node", F.explode("keys").alias("key"))
     buckets = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key", "n", F.col("n").alias("members")), "buckets")
     shared = cut(looked_up(keyed, ["key"], buckets, HEAVY).distinct(), "shared")
-    met = cut(shared.groupBy("node").agg(F.sum("members").alias("size")), "met")
+    place = F.when(F.col("members") > LARGE, F.struct("members", "key"))
+    met = cut(shared.groupBy("node").agg(F.sum("members").alias("size"), F.min(place).alias("least"), F.max(place).alias("most")), "met")
     sets = set_rows(df, id_col, text, shingle, met.select("node"))
     signatures = classes.select("node", "n", "signature")
     one, two = (signatures.toDF(*(f"{c}_{s}" for c in signatures.columns)) for s in "ab")
@@ -318,20 +351,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
     links = [confirm(star, sets, percent, ["lead"])]
     tested = [star.select("a", "b")]
     members = joined(members.select("node", "component"), links[0])
-    names = members.select(F.col("node").alias("lead"), F.col("component").alias("name"))
-    alone = star.where(F.col("members") > LARGE).join(links[0].select("b"), "b", "left_anti").select("b", "lead")
-    alone = cut(alone.join(names, "lead").select("b", F.col("name").alias("lead")), "alone")
-    wanted = cut(alone.groupBy("lead").agg(F.count("*").alias("n")), "wanted")
+    alone = met.where("most is not null").join(links[0].select(F.col("b").alias("node")), "node", "left_anti")
+    alone = cut(alone.select(F.col("node").alias("b"), F.explode(F.array_distinct(F.array("least.key", "most.key"))).alias("key")), "alone")
+    wanted = cut(alone.groupBy("key").agg(F.count("*").alias("n")), "wanted")
     if wanted.limit(1).count():
-        alone = cut(looked_up(alone, ["lead"], hubs_of(members, wanted), HEAVY), "alone")
-        for turn in range(ROUNDS):
-            own = F.transform(F.filter("hubs", lambda h: (h["slot"] >= turn * LEADERS) & (h["slot"] < (turn + 1) * LEADERS)), lambda h: h["node"])
-            star = cut(alone.select(F.explode(own).alias("a"), "b", "lead", F.col("pairs").alias("n")).where("a <> b"), "star")
-            links.append(confirm(star, sets, percent, ["lead"]))
-            tested.append(star.select("a", "b"))
-            members = joined(members, links[-1])
-            if turn + 1 < ROUNDS:
-                alone = cut(alone.join(links[-1].select("b").distinct(), "b", "left_anti"), "alone")
+        one_text = F.count("*") == 1
+        odds = sets.groupBy("node").agg(F.when(one_text, F.first("n")).alias("n"), F.when(one_text, F.first("odd")).alias("odd"))
+        alone = alone.join(odds.select(F.col("node").alias("b"), F.col("n").alias("own"), "odd"), "b")
+        star = cut(nearest(looked_up(alone, ["key"], hubs_of(shared, wanted, odds), HEAVY), percent), "star")
+        links.append(confirm(star, sets, percent))
+        tested.append(star.select("a", "b"))
+        named = components(links[0].select("a", "b").union(links[1].select("a", "b"))).withColumnRenamed("component", "name")
+        members = cut(members.join(named, "node", "left").select("node", F.coalesce("name", "node").alias("component")), "members")
     known = tested[0]
     for more in tested[1:]:
         known = known.union(more)
@@ -351,7 +382,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
         close = bits_apart(F.col("words_a"), F.col("words_b")) <= furthest(percent / 100)
         once = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")  # though they meet in several buckets
         other = (F.col("component_a") != F.col("component_b")) & (~F.col("minor_b") | (F.col("node_a") < F.col("node_b")))
-        rest = a.where("minor_a").join(b, "key").where(other & close & able & once).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("members_a").alias("n"))
+        near = excess(F.col("n_a"), F.col("odd_a"), F.col("n_b"), F.col("odd_b"), percent) <= 0
+        rest = a.where("minor_a").join(b, "key").where(other & close & near & able & once).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("members_a").alias("n"))
         known = tested.union(tested.select("b", "a"))
         pairs = cut(rest.groupBy("a", "b").agg(F.max("n").alias("n")).join(known, ["a", "b"], "left_anti"), "pairs")
         links.append(confirm(pairs, sets, percent))

@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tempograph.llm import line_dedup
+from tempograph.llm import line_dedup, near_dup
 from tempograph.llm._common import bitmap
 from tempograph.llm._graph import components
 from tempograph.llm.line_dedup import PerfectHash, drop_repeated_lines, salts_of
@@ -63,6 +63,34 @@ def test_a_large_group_of_near_copies(spark):
     assert got == brute_components(rows, 3, 85)
 
 
+def test_copies_just_short_of_a_large_group_cost_few_tests(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(240):
+        words = list(base)
+        for at in rng.sample(range(0, 150, 4), 1 if k < 120 else 5):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    counts = []
+    confirm = near_dup.confirm
+    monkeypatch.setattr(near_dup, "confirm", lambda pairs, *more: (counts.append(pairs.count()), confirm(pairs, *more))[1])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, shingle=3, percent=85).collect()}
+    assert got == brute_components(rows, 3, 85)
+    assert sum(counts) < 4 * len(rows)
+
+
+def test_parity_sketches_rule_out_no_linked_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 3, 150, 3000):
+        own = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        for drop in (0, 1, n // 20, n // 5):
+            other = np.unique(np.concatenate((own[drop:], rng.integers(0, 1 << 64, drop, np.uint64))))
+            apart = int(np.bitwise_count((near_dup.parities(own) ^ near_dup.parities(other)).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(own, other))
+
+
 def test_near_duplicates_of_odd_tables(spark, nothing):
     assert near_duplicates(nothing).collect() == []
     df = spark.createDataFrame([(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (9, None)], "doc_id bigint, text string")
