@@ -69,7 +69,8 @@ class Recent:
         self.size = 0
 
     def __call__(self, keys: list[bytes]) -> list[bytes]:
-        missing = [k for k in keys if k not in self.young]
+        found = list(map(self.young.get, keys))
+        missing = [k for k, v in zip(keys, found) if v is None] if None in found else []
         if self.young and (len(self.young) + len(missing) > self.most or self.size > MEMO_BYTES):
             self.old, self.young, self.size, missing = self.young, {}, 0, keys
         if missing:
@@ -78,7 +79,8 @@ class Recent:
             self.young.update(again)
             self.young.update(zip(fresh, self.make(fresh)))
             self.size += sum(map(len, missing))
-        return list(map(self.young.__getitem__, keys))
+            found = list(map(self.young.__getitem__, keys))
+        return found
 
 
 def byte_chars() -> dict[int, str]:
@@ -196,6 +198,17 @@ class Merger:
 MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each value's kind, and the place of each kind's first; np.unique() would sort stably, which takes longer."""
+    order = np.argsort(x)
+    ranked = x[order]
+    opens = np.ones(len(x), bool)
+    opens[1:] = ranked[1:] != ranked[:-1]
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(opens) - 1
+    return number, np.minimum.reduceat(order, np.flatnonzero(opens))
+
+
 def distinct(joined: bytes, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For fragments that begin at ``at``, of these sizes: the number of each one's kind, and the place in ``at`` of each kind's first.
 
@@ -210,7 +223,7 @@ def distinct(joined: bytes, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarra
     long = np.flatnonzero(size > 16)
     kinds: dict[bytes, int] = {}
     mixed[long] = [kinds.setdefault(joined[x : x + n], len(kinds)) for x, n in zip(at[long].tolist(), size[long].tolist())]
-    _, first, number = np.unique(mixed, return_index=True, return_inverse=True)
+    number, first = numbered(mixed)
     own = first[number]
     if ((low == low[own]) & (high == high[own]) & (size == size[own])).all():
         return number, first

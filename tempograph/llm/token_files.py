@@ -33,7 +33,7 @@ from tempograph.llm.bpe import LETTER, NUMBER, OTHER, SPACE, Memo, Merger, Recen
 
 BITS, LANES, STEPS, BLOCK = 22, 128, 256, 1 << 18
 #: Words of a generation that a worker remembers.
-PLAIN = 150_000
+PLAIN = 400_000
 LOW = np.uint64(1 << 31)
 MAGIC = b"rANS"
 

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tempograph.llm import bpe, token_files
 from tempograph.llm.bpe import Recent, bpe_decode, bpe_encode, distinct, encoder
 from tempograph.llm.packing import PENALTY, best_cuts, candidates, pack_documents
 from tempograph.llm.token_files import Table, decode_block, encode_block, read_token_files, scaled, token_file_path, word_encoder, write_token_files
@@ -222,3 +223,27 @@ def test_pieces_keep_apart_from_an_id_of_their_name(spark):
     out = pack_documents(df, BYTE, id_col="start")
     assert out.columns == ["start", "_start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
     assert {(r["start"], r["_start"]) for r in out.collect()} == {(7, 0), (8, 0)}
+
+
+def test_kinds_are_numbered_as_by_unique():
+    x = np.random.default_rng(5).integers(0, 300, 4000).astype(np.uint64)
+    number, first = bpe.numbered(x)
+    _, want, inverse = np.unique(x, return_index=True, return_inverse=True)
+    assert number.tolist() == inverse.tolist() and first.tolist() == want.tolist()
+
+
+def test_colliding_hashes_fall_back_on_bytes(monkeypatch):
+    numbered = bpe.numbered
+    monkeypatch.setattr(bpe, "numbered", lambda x: numbered(x % np.uint64(2)))
+    raw, at, size = b"abcabdabcab", np.array([0, 3, 6, 9]), np.array([3, 3, 3, 2])
+    number, first = distinct(raw, at, size)
+    assert [raw[at[first[k]] : at[first[k]] + size[first[k]]] for k in number] == [b"abc", b"abd", b"abc", b"ab"]
+
+
+def test_words_that_recur_after_300000_others_are_merged_once():
+    made = []
+    recall = bpe.Recent(lambda keys: made.append(len(keys)) or keys, token_files.PLAIN)
+    for at in [*range(0, 300_000, 50_000)] * 2:
+        keys = [b"%d" % i for i in range(at, at + 50_000)]
+        assert recall(keys) == keys
+    assert sum(made) == 300_000
