@@ -6,12 +6,14 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempograph.operators.temporal import fifo_pairs
 
 LARGEST, QUARTER, EXPORT_QUARTER = 4 << 20, 480, 768
+EVENTS_AT_ONCE = 1 << 14
 EVENTS = "path string, division int, track int, tick bigint, seq int, kind string, channel int, d1 int, d2 int, meta binary"
 
 
@@ -78,18 +80,28 @@ def parse_midi(data: bytes) -> Iterator[tuple]:
 
 
 def decode_midi(files: DataFrame) -> DataFrame:
-    """S3: event rows of (path, content) rows; files that can't be read are those of audio.unreadable()."""
+    """S3: event rows of (path, content) rows; files that can't be read are those of audio.unreadable().
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
+    The events of many small files go into one batch, those of a file never into two.
+    """
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    names = [field.split()[0] for field in EVENTS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 try:
-                    rows = [(path, *e) for e in parse_midi(bytes(content))]
+                    rows += [(path, *e) for e in parse_midi(content.as_py())]
                 except (ValueError, IndexError, struct.error):
                     continue
-                yield pd.DataFrame(rows, columns=["path", "division", "track", "tick", "seq", "kind", "channel", "d1", "d2", "meta"])
+                if len(rows) >= EVENTS_AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=names)
 
-    return files.select("path", "content").mapInPandas(run, EVENTS)
+    return files.select("path", "content").mapInArrow(run, EVENTS)
 
 
 def read_midi(spark: SparkSession, path: str) -> DataFrame:
@@ -109,19 +121,28 @@ def unsigned(meta, count: int):
     return F.conv(F.hex(F.substring(meta, 1, count)), 16, 10).cast("bigint")
 
 
+def later() -> F.Column:
+    """The order of events of one tick, as one number: by track, then by place in it."""
+    return F.col("track").cast("bigint") * (1 << 32) + F.col("seq")
+
+
 def midi_tempi(events: DataFrame) -> DataFrame:
     """(path, beat, bpm, seconds): the last tempo at each tick; seconds are the running sum of declared tempi.
 
     120 holds before the first; a tempo of zero microseconds fails, malformed ones are left out.
     """
-    t = events.where((F.col("kind") == "META") & (F.col("d1") == 0x51) & (F.octet_length("meta") >= 3)).withColumn("us", unsigned("meta", 3))
-    t = t.withColumn("us", F.when(F.col("us") == 0, F.raise_error(F.lit("a tempo of zero")).cast("bigint")).otherwise(F.col("us")))
-    each = t.groupBy("path", "division", "tick").agg(F.max_by("us", F.struct("track", "seq")).alias("us"))
-    start = events.select("path", "division").distinct().join(each.where("tick = 0").select("path"), "path", "left_anti").select("path", "division", F.lit(0).cast("bigint").alias("tick"), F.lit(500_000).cast("bigint").alias("us"))
-    every = each.unionByName(start)
+    # The events are gone over once: those that are no tempo stand for the 120 at a file's beginning.
+    tempo = (F.col("kind") == "META") & (F.col("d1") == 0x51) & (F.octet_length("meta") >= 3)
+    declared = unsigned("meta", 3)
+    us = F.when(tempo, F.when(declared == 0, F.raise_error(F.lit("a tempo of zero")).cast("bigint")).otherwise(declared))
+    t = events.select("path", "division", F.when(tempo, F.col("tick")).otherwise(0).alias("tick"), us.alias("us"), F.when(tempo, later()).alias("later"))
+    each = t.repartition("path").groupBy("path", "division", "tick").agg(F.max_by("us", "later").alias("us")).withColumn("us", F.coalesce("us", F.lit(500_000)))
     w = Window.partitionBy("path").orderBy("tick")
-    step = (F.col("tick") - F.lag("tick").over(w)) / F.col("division") * F.lag("us").over(w) / 1e6
-    return every.withColumn("step", F.coalesce(step, F.lit(0.0))).select("path", (F.col("tick") / F.col("division")).alias("beat"), (60e6 / F.col("us")).alias("bpm"), F.sum("step").over(w).alias("seconds"))
+    # A file of tempi alone, the first of them later on, lacks the row at its beginning.
+    both = each.withColumns({"from_tick": F.lag("tick", 1, 0).over(w), "from_us": F.lag("us", 1, 500_000).over(w), "first": F.row_number().over(w) == 1})
+    opening, own = F.struct(F.lit(0).cast("bigint").alias("tick"), F.lit(500_000).cast("bigint").alias("us"), F.lit(0.0).alias("step")), F.struct("tick", "us", ((F.col("tick") - F.col("from_tick")) / F.col("division") * F.col("from_us") / 1e6).alias("step"))
+    rows = both.select("path", "division", F.explode(F.when(F.col("first") & (F.col("tick") > 0), F.array(opening, own)).otherwise(F.array(own))).alias("r")).select("path", "division", "r.*")
+    return rows.select("path", (F.col("tick") / F.col("division")).alias("beat"), (60e6 / F.col("us")).alias("bpm"), F.sum("step").over(w).alias("seconds"))
 
 
 def midi_meters(events: DataFrame) -> DataFrame:
@@ -201,16 +222,28 @@ def export_files(events: DataFrame, bpm: float = 120.0) -> DataFrame:
     return events.groupBy("rec").applyInPandas(run, f"rec {kind}, content binary")
 
 
-def meta_files(events: DataFrame) -> DataFrame:
-    """(rec, content): files of a conductor track alone, with the meta events (rec, tick, seq, kind, data) in the order of tick and seq."""
-    key = events.schema["rec"].dataType.simpleString()
+def number_hex(value) -> F.Column:
+    """number_bytes() of a number below 2**56, as hexadecimal digits."""
+    packed = value.bitwiseAND(127)
+    for k in range(1, 8):
+        group = F.shiftright(value, 7 * k).bitwiseAND(127).bitwiseOR(128)
+        packed = packed.bitwiseOR(F.when(value >= 1 << 7 * k, F.shiftleft(group, 8 * k)).otherwise(0))
+    return F.when(value < 128, F.substring(F.hex(value + 256), 2, 2)).when(value < 1 << 56, F.hex(packed))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values(["tick", "seq"])
-        track = [(int(t), meta(int(k), bytes(d))) for t, k, d in zip(own["tick"], own["kind"], own["data"])]
-        return pd.DataFrame({"rec": [pdf["rec"].iloc[0]], "content": [midi_bytes([track], EXPORT_QUARTER)]})
 
-    return events.groupBy("rec").applyInPandas(run, f"rec {key}, content binary")
+def meta_files(events: DataFrame) -> DataFrame:
+    """(rec, content): files of a conductor track alone, with the meta events (rec, tick, seq, kind, data) in the order of tick and seq."""
+    w = Window.partitionBy("rec").orderBy("tick", "seq")
+    tick, kind, size = F.col("tick").cast("bigint"), F.col("kind").cast("bigint"), F.octet_length("data").cast("bigint")
+    delta = tick - F.lag(tick, 1, 0).over(w)
+    text = F.concat(number_hex(F.col("delta")), F.lit("FF"), F.substring(F.hex(kind + 256), 2, 2), number_hex(size), F.hex("data"))
+    fits = (F.col("delta") >= 0) & kind.between(0, 255)
+    each = events.select("rec", kind.alias("kind"), "data", delta.alias("delta"), F.row_number().over(w).alias("i"))
+    each = each.select("rec", "i", F.when(fits & text.isNotNull(), text).otherwise(F.raise_error(F.lit("an event that a file can't hold")).cast("string")).alias("text"))
+    body = F.concat(F.array_join(F.array_sort(F.collect_list(F.struct("i", "text")))["text"], ""), F.lit("00FF2F00"))
+    head = (b"MThd" + struct.pack(">IHHH", 6, 1, 1, EXPORT_QUARTER) + b"MTrk").hex()
+    files = each.groupBy("rec").agg(body.alias("body"))
+    return files.select("rec", F.unhex(F.concat(F.lit(head), F.lpad(F.hex((F.length("body") / 2).cast("bigint")), 8, "0"), F.col("body"))).alias("content"))
 
 
 def tempo_data(us) -> F.Column:

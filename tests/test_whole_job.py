@@ -13,6 +13,7 @@ from tempograph.functions import theory
 from tempograph.plans.bindings import ORIGIN
 from tempograph.plans.event_queries import hourly
 from tempograph.queries import ORACLES, QUERIES
+from tempograph.sources import midi
 
 
 def saved(folder, name, sql):
@@ -133,3 +134,46 @@ def test_placed_notes_are_those_of_brute_force(spark, tmp_path):
     assert got == want and {None, int} == {type(x[1]) if x[1] is not None else None for x in want.values()}
     for name in ("placed_notes", "placed_spans"):
         assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(whole_sql(tmp_path, name, ["events"]))
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def orders(spark, folder, rows):
+    """(customer, order, day) as orders."""
+    o = spark.createDataFrame(rows, "o_custkey bigint, o_orderkey bigint, day int")
+    o.selectExpr("o_custkey", "o_orderkey", "cast(timestamp_seconds(day * 86400L) as timestamp_ntz) as o_orderdate").coalesce(1).write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
+def test_tempi_of_many_customers_read_each_file_once(spark, tmp_path):
+    rng = random.Random(3)
+    folder = orders(spark, tmp_path, [(i % 400, i, 10_000 + rng.choice([0, 0, 1, 7, 300, 90_000])) for i in range(2000)])
+    frame = QUERIES["midi_tempi"](spark, folder)
+    assert rows(frame.toPandas()) == rows(whole_sql(folder, "midi_tempi", ["orders"]))
+    plan = plan_of(frame)
+    assert plan.count("MapIn") == 1 and "FlatMapGroups" not in plan  # no Python call for a file, none read twice
+
+
+def test_files_of_meta_events_are_those_of_the_writer(spark):
+    rng = random.Random(5)
+    table = [(r, rng.choice([0, 5, 127, 128, 16_384, 2_097_152, 1 << 28, 1 << 36]), i, rng.choice([1, 0x51, 0x58, 255]), bytes(rng.randrange(256) for _ in range(rng.choice([0, 1, 3, 127, 128, 20_000])))) for r in range(20) for i in range(rng.randrange(1, 12))]
+    got = midi.meta_files(spark.createDataFrame(table, "rec int, tick bigint, seq int, kind int, data binary")).collect()
+    want = {r: midi.midi_bytes([[(t, midi.meta(k, d)) for _, t, _, k, d in sorted((e for e in table if e[0] == r), key=lambda e: e[1:3])]], midi.EXPORT_QUARTER) for r in range(20)}
+    assert {r.rec: bytes(r.content) for r in got} == want
+    for bad in ((1, -1, 1, 3, b"x"), (1, 0, 1, 256, b"x"), (1, 0, 1, 3, None)):
+        with pytest.raises(Exception, match="a file can't hold"):
+            midi.meta_files(spark.createDataFrame([bad], "rec int, tick bigint, seq int, kind int, data binary")).collect()
+
+
+def test_tempi_hold_120_before_the_first(spark):
+    event = "path string, division int, track int, tick bigint, seq int, kind string, channel int, d1 int, d2 int, meta binary"
+    tempo = lambda us: (-1, 0x51, 0, us.to_bytes(3, "big"))
+    table = [("late", 480, 0, 960, 1, "META", *tempo(250_000)), ("late", 480, 0, 1440, 2, "META", *tempo(1_000_000))]  # nothing else in the file
+    table += [("none", 480, 0, 7, 1, "ON", 0, 60, 80, b""), ("short", 480, 0, 5, 1, "META", -1, 0x51, 0, b"ab")]
+    table += [("same", 100, 0, 0, 1, "META", *tempo(300_000)), ("same", 100, 1, 0, 1, "META", *tempo(400_000)), ("same", 100, 0, 0, 2, "META", *tempo(500_000)), ("same", 100, 0, 50, 3, "OFF", 0, 1, 0, b""), ("same", 100, 0, 200, 4, "META", *tempo(600_000))]
+    got = sorted(map(tuple, midi.midi_tempi(spark.createDataFrame(table, event)).collect()))
+    assert got == [("late", 0.0, 120.0, 0.0), ("late", 2.0, 240.0, 1.0), ("late", 3.0, 60.0, 1.25), ("none", 0.0, 120.0, 0.0), ("same", 0.0, 150.0, 0.0), ("same", 2.0, 100.0, 0.8), ("short", 0.0, 120.0, 0.0)]
+    with pytest.raises(Exception, match="a tempo of zero"):
+        midi.midi_tempi(spark.createDataFrame([("z", 480, 0, 0, 1, "META", *tempo(0))], event)).collect()
