@@ -149,7 +149,8 @@ def midi_meters(events: DataFrame) -> DataFrame:
     """P13, W20's input: the last meter at each tick; those the model can't say are left out."""
     m = events.where((F.col("kind") == "META") & (F.col("d1") == 0x58) & (F.octet_length("meta") >= 2))
     m = m.withColumns({"num": unsigned("meta", 1).cast("int"), "log": unsigned(F.substring("meta", 2, 1), 1).cast("int")}).where("num between 1 and 64 and log between 0 and 6")
-    return m.groupBy("path", (F.col("tick") / F.col("division")).alias("beat")).agg(F.max_by(F.struct("num", "log"), F.struct("track", "seq")).alias("m")).select("path", "beat", "m.num", F.pow(F.lit(2), F.col("m.log")).cast("int").alias("den"))
+    last = m.groupBy("path", (F.col("tick") / F.col("division")).alias("beat")).agg(F.max_by(F.col("num") * 8 + F.col("log"), later()).alias("m"))
+    return last.select("path", "beat", F.floor(F.col("m") / 8).cast("int").alias("num"), F.pow(F.lit(2), F.col("m") % 8).cast("int").alias("den"))
 
 
 def track_names(events: DataFrame) -> DataFrame:

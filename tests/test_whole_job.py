@@ -177,3 +177,12 @@ def test_tempi_hold_120_before_the_first(spark):
     assert got == [("late", 0.0, 120.0, 0.0), ("late", 2.0, 240.0, 1.0), ("late", 3.0, 60.0, 1.25), ("none", 0.0, 120.0, 0.0), ("same", 0.0, 150.0, 0.0), ("same", 2.0, 100.0, 0.8), ("short", 0.0, 120.0, 0.0)]
     with pytest.raises(Exception, match="a tempo of zero"):
         midi.midi_tempi(spark.createDataFrame([("z", 480, 0, 0, 1, "META", *tempo(0))], event)).collect()
+
+
+def test_meters_of_many_customers_read_each_file_once(spark, tmp_path):
+    rng = random.Random(6)
+    folder = orders(spark, tmp_path, [(i % 300, i, 10_000 + rng.choice([0, 0, 2, 400])) for i in range(3000)])
+    frame = QUERIES["midi_meters"](spark, folder)
+    assert rows(frame.toPandas()) == rows(whole_sql(folder, "midi_meters", ["orders"]))
+    assert plan_of(frame).count("MapIn") == 1 and "FlatMapGroups" not in plan_of(frame)
+    assert "SortAggregate" not in frame._jdf.queryExecution().executedPlan().toString()  # the last meter of a tick is found by hashing
