@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,16 +79,62 @@ def low_pass(x, pole: float):
     return F.reverse(once(F.reverse(once(x))))
 
 
+def low_passed(x: np.ndarray, pole: float) -> np.ndarray:
+    """low_pass() of rows of one length, with the same operations in the same order."""
+    for _ in range(2):
+        if len(x) < 16:  # a step along few rows costs more than the steps along each
+            x = np.array([list(accumulate(row[1:], lambda y, s: y + (1 - pole) * (s - y), initial=row[0] + (1 - pole) * (row[0] - row[0]))) for row in x.tolist()])
+        else:
+            columns, y = np.ascontiguousarray(x.T), x[:, 0]
+            for k, s in enumerate(columns):
+                columns[k] = y = y + (1 - pole) * (s - y)
+            x = columns.T
+        x = x[:, ::-1]
+    return x
+
+
+def resampled(x: np.ndarray, from_rate: int, to_rate: int) -> np.ndarray:
+    """resample() downwards of rows of one length."""
+    n = x.shape[1]
+    count = math.floor(n * (to_rate / from_rate))
+    if not count:
+        return np.empty((len(x), 0))
+    source = low_passed(x, math.exp(-2 * math.pi * 0.45 * to_rate / from_rate))
+    p = np.arange(count) * (from_rate / to_rate)
+    low = np.floor(p).astype(np.int64)
+    a = source[:, low]
+    return a + (p - low) * (source[:, np.minimum(low + 1, n - 1)] - a)
+
+
 def resample(x, from_rate: int, to_rate: int):
     """Linear interpolation at the new rate, smoothed first when going down."""
-    source = low_pass(x, math.exp(-2 * math.pi * 0.45 * to_rate / from_rate)) if to_rate < from_rate else x
+    if to_rate < from_rate:
+        # An expression would smooth the whole array again for each sample that it takes from it.
+        @F.arrow_udf("array<double>")
+        def down(batch: pa.Array) -> pa.Array:
+            plain = lambda v: v.to_numpy(zero_copy_only=False)
+            size = plain(pc.list_value_length(batch).fill_null(0)).astype(np.int64)
+            count = np.floor(size * (to_rate / from_rate)).astype(np.int64)
+            flat, first, out = batch.flatten(), np.cumsum(size) - size, np.append(0, np.cumsum(count))
+            samples, holes = plain(flat).astype(float), plain(flat.is_null())
+            values, gone = np.empty(out[-1]), np.zeros(out[-1], bool)
+            for n in np.unique(size[count > 0]).tolist():
+                rows = np.flatnonzero(size == n)
+                at = first[rows, None] + np.arange(n)
+                to = out[rows, None] + np.arange(count[rows[0]])
+                values[to] = resampled(samples[at], from_rate, to_rate)
+                gone[to] = holes[at].any(axis=1)[:, None]  # smoothing forward and backward carries a null to all samples
+            return pa.ListArray.from_arrays(pa.array(out, pa.int32()), pa.array(values, mask=gone))
+
+        return down(x)
+
     count = F.floor(F.size(x) * (to_rate / from_rate)).cast("int")
 
     def at(i):
         p = i * (from_rate / to_rate)
         low = F.floor(p).cast("int")
-        a = F.get(source, low)
-        return a + (p - low) * (F.coalesce(F.get(source, low + 1), a) - a)
+        a = F.get(x, low)
+        return a + (p - low) * (F.coalesce(F.get(x, low + 1), a) - a)
 
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), at)).otherwise(F.array().cast("array<double>"))
 

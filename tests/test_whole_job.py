@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from test_queries import rows
 
 from tempograph.functions import theory
+from tempograph.operators import signal
 from tempograph.plans.bindings import ORIGIN
 from tempograph.plans.event_queries import hourly
 from tempograph.queries import ORACLES, QUERIES
@@ -188,6 +189,13 @@ def test_meters_of_many_customers_read_each_file_once(spark, tmp_path):
     assert "SortAggregate" not in frame._jdf.queryExecution().executedPlan().toString()  # the last meter of a tick is found by hashing
 
 
+def test_clicks_of_a_tempo_are_made_once(spark, tmp_path):
+    saved(tmp_path, "supplier", "select cast(i as bigint) as s_suppkey from range(-40, 700) t(i)")
+    frame = QUERIES["click_track"](spark, str(tmp_path))
+    assert "Aggregate [bpm" in plan_of(frame)
+    assert rows(frame.toPandas()) == rows(whole_sql(tmp_path, "click_track", ["supplier"]))
+
+
 def test_beats_of_a_tempo_are_tracked_once(spark, tmp_path):
     saved(tmp_path, "supplier", "select cast(i * 7 as bigint) as s_suppkey from range(300) t(i)")
     frame = QUERIES["audio_beats"](spark, str(tmp_path))
@@ -195,8 +203,22 @@ def test_beats_of_a_tempo_are_tracked_once(spark, tmp_path):
     assert rows(frame.toPandas()) == rows(whole_sql(tmp_path, "audio_beats", ["supplier"]))
 
 
-def test_clicks_of_a_tempo_are_made_once(spark, tmp_path):
-    saved(tmp_path, "supplier", "select cast(i as bigint) as s_suppkey from range(-40, 700) t(i)")
-    frame = QUERIES["click_track"](spark, str(tmp_path))
-    assert "Aggregate [bpm" in plan_of(frame)
-    assert rows(frame.toPandas()) == rows(whole_sql(tmp_path, "click_track", ["supplier"]))
+def test_resampling_down_smooths_once(spark):
+    rng = random.Random(8)
+    made = [[rng.uniform(-1, 1) for _ in range(n)] for n in [0, 1, 2, 3, 64, 5001, *[63] * 20]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*made, None, [1.0, None, 2.0], [float("nan"), 1.0, 2.0]])], "i int, x array<double>")
+    frame = df.select("i", signal.resample(F.col("x"), 3, 2).alias("y"))
+    assert "aggregate(" not in plan_of(frame)
+    got = {r.i: r.y for r in frame.collect()}
+    pole = math.exp(-2 * math.pi * 0.45 * 2 / 3)
+    for i, x in enumerate(made):
+        for _ in range(2):
+            x = list(x)
+            for k in range(1, len(x)):
+                x[k] = x[k - 1] + (1 - pole) * (x[k] - x[k - 1])
+            x = x[::-1]
+        p = [k * 1.5 for k in range(int(len(x) * (2 / 3)))]
+        at = lambda k: x[min(k, len(x) - 1)]  # noqa: E731, B023
+        assert got[i] == pytest.approx([at(int(q)) + (q - int(q)) * (at(int(q) + 1) - at(int(q))) for q in p], abs=1e-12)
+    n = len(made)
+    assert got[n] == [] and got[n + 1] == [None, None] and all(map(math.isnan, got[n + 2])) and len(got[n + 2]) == 2
